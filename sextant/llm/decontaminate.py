@@ -101,7 +101,7 @@ def matches(found: DataFrame, rare: DataFrame, window: int = WINDOW, ends: bool
         F.slice("words", F.col("position") + 2, F.lit(reach)).alias("right_words"),
         F.monotonically_increasing_id().alias("number"),
     )
-    runs = near.select("row", "doc_id", "term", "position", "item_id", "need", _run(F.col("left_words"), F.col("before")).alias("left"), _run(F.col("right_words"), F.col("after")).alias("right"))
+    runs = near.where("number >= 0").select("row", "doc_id", "term", "position", "item_id", "need", _run(F.col("left_words"), F.col("before")).alias("left"), _run(F.col("right_words"), F.col("after")).alias("right"))
     runs = runs.where((F.col("term") == "") | (F.col("left") + F.col("right") + 1 >= F.col("need")))
     return runs.select("row", "doc_id", "term", "position", "item_id", (F.col("position") - F.col("left")).alias("low"), (F.col("position") + F.col("right")).alias("high"))
 
