@@ -1 +1 @@
-"""plans of the engine."""
+"""Plans that join operators: retrieve, fuse and evaluate."""
