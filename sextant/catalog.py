@@ -1,11 +1,344 @@
-"""All queries over the reference tables, by name, with their SQL."""
+"""All queries over the reference tables, by name, with their SQL where SQL can express them.
+
+Columns are aliased alike on both sides, and doubles are rounded at the output only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sextant.functions import text as T
+from sextant.operators import answers, chunking, evaluation, fusion, observability, ranking, sessions, understanding
+from sextant.plans import retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "rank_bm25"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NORM = r"trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g'))"
+TOK = "[x FOR x IN string_split(" + NORM + ", ' ') IF x <> '']"
+
+# Text functions and chunking
+
+
+@query(f"SELECT doc_id, length({NORM.format('text')}) AS n, md5({NORM.format('text')}) AS digest FROM documents")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.normalize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(n).alias("n"), F.md5(n).alias("digest"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(l) > 220 THEN rtrim(substr(l, 1, 220)) || '...' ELSE l END AS excerpt
+FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS l FROM documents)""")
+def text_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_slice(ts, 1, 48), ' ') AS terms FROM (
+  SELECT doc_id, [s.t FOR s IN list_sort([{'p': list_position(a, t), 't': t} FOR t IN list_distinct(a)])] AS ts
+  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z][a-z0-9_+\-]+)', 1) AS a FROM documents))""")
+def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.terms(F.col("text")), " ").alias("terms"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, md5(substr(text, CAST(i * 440 + 1 AS BIGINT), 520)) AS digest FROM (
+  SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 80) / 440.0), 1) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)""")
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.windows(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", F.md5("content").alias("digest"))
+
+
+@query()
+def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.recursive_chunks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN contains(text, '```') THEN 'code' WHEN regexp_matches(text, '(?m)^\s*([-*+]|\d+\.)\s+') THEN 'list'
+  WHEN regexp_matches(text, '(?m)^\s*\|.*\|') THEN 'table' WHEN regexp_matches(lower(text), '流程|步骤|flow|pipeline|step') THEN 'flow' ELSE 'paragraph' END AS chunk_type FROM documents""")
+def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.chunk_type(F.col("text")).alias("chunk_type"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS child_no, CAST(i * 28 + 1 AS INTEGER) AS start_line, CAST(least(i * 28 + 36, len(l)) AS INTEGER) AS end_line, md5(array_to_string(l[i * 28 + 1 : i * 28 + 36], chr(10))) AS digest
+FROM (SELECT doc_id, l, unnest(range(0, CAST(greatest(ceil((len(l) - 36) / 28.0), 0) AS BIGINT) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+def chunk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.children(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return c.select("doc_id", "child_no", "start_line", "end_line", F.md5("content").alias("digest"))
+
+
+@query("""SELECT lang, source, count(*) AS chunks FROM (SELECT lang, source, unnest(range(0, CAST(greatest(ceil((length(text) - 80) / 440.0), 1) AS BIGINT))) AS i FROM documents WHERE length(text) > 0) GROUP BY lang, source""")
+def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return chunking.windows(d).join(d.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source").agg(F.count("*").alias("chunks"))
+
+
+# Ranking
+
+_Q = f"q AS (SELECT item_id AS query_id, unnest(list_distinct({TOK.format('text')})) AS term FROM benchmark)"
+_D = f"d AS (SELECT doc_id AS item_id, {TOK.format('text')} AS ts FROM documents)"
+_TF = "tf AS (SELECT item_id, dl, term, count(*) AS tf FROM (SELECT item_id, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY item_id, dl, term)"
+_BM25 = f"""{_Q}, {_D}, {_TF}, tot AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+idf AS (SELECT term, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, max(avgdl) AS avgdl FROM tf, tot GROUP BY term),
+bm AS (SELECT query_id, item_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY query_id, item_id)"""
+_TFIDF = """ti AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+w AS (SELECT item_id, term, tf * idf AS w FROM tf JOIN ti USING (term)), nrm AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM w GROUP BY item_id),
+qn AS (SELECT query_id, sqrt(sum(idf * idf)) AS n FROM q JOIN ti USING (term) GROUP BY query_id),
+tx AS (SELECT query_id, item_id, s / (nrm.n * qn.n) AS score FROM (SELECT query_id, item_id, sum(w * idf) AS s FROM w JOIN ti USING (term) JOIN q USING (term) GROUP BY query_id, item_id) JOIN nrm USING (item_id) JOIN qn USING (query_id))"""
+_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round({1}, 8) DESC, item_id) AS rank FROM {0}"
+
+
+def _rounded(ranked: DataFrame, *more: str) -> DataFrame:
+    return ranked.select("query_id", "item_id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"), *more)
+
+
+@query(f"WITH {_BM25} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 5")
+def rank_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5))
+
+
+@query(f"WITH {_BM25}, {_TFIDF} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 5")
+def rank_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.tfidf(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5))
+
+
+@query(f"""WITH {_BM25}, {_TFIDF}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 10), b AS (SELECT * FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 10),
+f AS (SELECT query_id, item_id, sum(p) AS score FROM (SELECT query_id, item_id, 0.6 / (60 + rank) AS p FROM a UNION ALL SELECT query_id, item_id, 0.4 / (60 + rank) FROM b) GROUP BY query_id, item_id)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, item_id) AS rank FROM f) WHERE rank <= 5""")
+def rank_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return _rounded(ranking.fuse([(ranking.bm25(d, q, 10), 0.6), (ranking.tfidf(d, q, 10), 0.4)], 5))
+
+
+_DENSE = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label AS ql, b.label AS il, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, item_id) AS rank FROM s)"""
+
+
+@query(f"WITH {_DENSE} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM r WHERE rank <= 5")
+def rank_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return _rounded(ranking.dense(e, e.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id"), 5))
+
+
+@query(f"""WITH {_BM25}, x AS (SELECT query_id, item_id, score, source FROM (SELECT *, {_RANKED.format('bm', 'score')}) JOIN documents ON doc_id = item_id WHERE rank <= 30),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 8) DESC, item_id) AS n FROM x)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, item_id) AS rank FROM g WHERE n <= 1) WHERE rank <= 5""")
+def rank_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    ranked = ranking.bm25(d, table(spark, sf_dir, "benchmark"), 30).join(d.select(F.col("doc_id").alias("item_id"), "source"), "item_id")
+    return _rounded(ranking.diversify(ranked, "source", 1, 5), "source")
+
+
+@query(f"""WITH {_BM25} SELECT query_id, count(*) AS hits, round(max(score), 5) AS top1, CASE WHEN max(score) >= 6 AND count(*) >= 2 THEN 'high' WHEN max(score) >= 3 THEN 'medium' ELSE 'low' END AS grade
+FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 5 GROUP BY query_id""")
+def rank_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = ranking.grade(ranking.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5))
+    return g.select("query_id", "hits", F.round("top1", 5).alias("top1"), "grade")
+
+
+@query("SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE contains(lower(line), 'rights reserved') OR contains(line, 'The and')) WHERE n <= 40")
+def rank_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.grep(table(spark, sf_dir, "documents"), ["rights reserved", "The and"])
+
+
+@query()
+def rank_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return _rounded(ranking.retry(lambda qs, k: ranking.bm25(d, qs, k, qkey="query_id"), q, 3, high=60.0, medium=40.0))
+
+
+@query()
+def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = retrieval.evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return m.select("query_id", "kind", "item_id", "fusion_rank", F.round("fusion_score", 5).alias("fusion_score"))
+
+
+@query(f"""WITH {_BM25}, {_TFIDF}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 5), b AS (SELECT * FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 5),
+u AS (SELECT query_id, item_id, min(l * 1000 + rank) AS place FROM (SELECT query_id, item_id, rank, 0 AS l FROM a UNION ALL SELECT query_id, item_id, rank, 1 FROM b) GROUP BY query_id, item_id)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, item_id) AS rank FROM u) WHERE rank <= 8""")
+def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranking.union_candidates([ranking.bm25(d, q, 5), ranking.tfidf(d, q, 5)], 8).select("query_id", "item_id", F.col("rank").cast("int").alias("rank"))
+
+
+# Query understanding, over users' turns
+
+PROFILE = understanding.Profile(
+    domain_words=("the", "und", "que", "des", "ing"),
+    trouble=("error", "thth", "euxeux"),
+    modules=(understanding.Module("north", 1, ("the", "and"), ("that",), ("thinh",)), understanding.Module("south", 2, ("que", "des"), ("eau",), ("êtreê",)), understanding.Module("east", 3, ("und", "ver"), ("lich",), ("keitß",))),
+)
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user'),
+s AS (SELECT *, CAST(contains(q, 'the') AS INT) + CAST(contains(q, 'and') AS INT) + CAST(contains(q, 'that') AS INT) AS n, CAST(contains(q, 'que') AS INT) + CAST(contains(q, 'des') AS INT) + CAST(contains(q, 'eau') AS INT) AS s, CAST(contains(q, 'und') AS INT) + CAST(contains(q, 'ver') AS INT) + CAST(contains(q, 'lich') AS INT) AS e,
+  contains(q, 'thinh') AS bn, contains(q, 'êtreê') AS bs, contains(q, 'keitß') AS be FROM u)
+SELECT conv_id, turn, CASE WHEN bn THEN 'north' WHEN bs THEN 'south' WHEN be THEN 'east' WHEN greatest(n, s, e) = 0 THEN 'general' WHEN n >= s AND n >= e THEN 'north' WHEN s >= e THEN 'south' ELSE 'east' END AS module FROM s""")
+def understand_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return u.select("conv_id", "turn", understanding.module(F.col("text"), PROFILE).alias("module"))
+
+
+@query()
+def understand_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    score = understanding.relevance(F.col("text"), PROFILE, F.col("turn") > 0)
+    return u.select("conv_id", "turn", F.round(score, 4).alias("relevance"), understanding.intent(F.col("text"), PROFILE, score).alias("route"), F.array_join(understanding.related_modules(F.col("text"), PROFILE), ",").alias("related"), understanding.question_type(F.col("text")).alias("question"))
+
+
+@query("SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user'")
+def context_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return understanding.with_previous(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text", "previous")
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def context_last_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return understanding.last_where(table(spark, sf_dir, "conversations"), F.col("role") == "assistant")
+
+
+@query("""SELECT conv_id, string_agg(substr(text, 1, 24), ' / ' ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 4 GROUP BY conv_id""")
+def context_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return understanding.history_summary(table(spark, sf_dir, "conversations"))
+
+
+# Sessions
+
+
+@query(r"""SELECT conv_id, count(*) AS message_count, substr(coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), ''), 1, 24) AS title,
+  max(CASE WHEN length(l) > 72 THEN rtrim(substr(l, 1, 72)) || '...' ELSE l END) AS preview FROM (SELECT *, (trim(regexp_replace(coalesce(last_user, ''), '\s+', ' ', 'g'))) AS l FROM (SELECT c.*, u.last_user FROM conversations c LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS last_user FROM conversations WHERE role = 'user' GROUP BY conv_id) u USING (conv_id))) GROUP BY conv_id""")
+def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.summaries(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'")
+def session_with_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.with_message(table(spark, sf_dir, "conversations"), F.col("role") == "system")
+
+
+@query("SELECT o_custkey AS session_id, min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at FROM orders GROUP BY o_custkey ORDER BY updated_at DESC, session_id LIMIT 50")
+def session_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("session_id")).agg(F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at"))
+    return sessions.latest(s, 50)
+
+
+@query("""SELECT CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d <= 7 THEN '7 days' WHEN d <= 30 THEN '30 days' ELSE 'older' END AS bucket, count(*) AS n
+FROM (SELECT date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') AS d FROM events) GROUP BY bucket""")
+def session_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(sessions.age_bucket(F.col("ts"), F.lit("2024-01-30").cast("date")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# Observability, over events: purchases are the questions, small values failures, large ones slow
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumns({"failed": F.col("value") < 5, "slow": F.col("value") > 100})
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type = 'purchase') AS sample_size, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END), 6) AS fail_rate, round(avg(CASE WHEN value > 100 THEN 1.0 ELSE 0.0 END), 6) AS slow_rate,
+  round(coalesce(quantile_cont(value, 0.95) FILTER (WHERE event_type = 'purchase'), 0), 6) AS p95 FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-11 00:00:00'""")
+def observe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    s = observability.summary(_measured(spark, sf_dir), at("2024-01-10 00:00:00"), at("2024-01-11 00:00:00"), F.col("event_type") == "purchase", F.col("value"))
+    return s.select("sample_size", *[F.round(c, 6).alias(c) for c in ("fail_rate", "slow_rate", "p95")])
+
+
+@query("SELECT * FROM (SELECT user_id AS key, count(*) AS total, count(*) FILTER (WHERE value < 5) AS fails FROM events GROUP BY user_id ORDER BY fails DESC, total DESC, key LIMIT 20) WHERE fails > 0")
+def observe_top_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observability.top_failed(_measured(spark, sf_dir), F.col("user_id"), F.col("failed"), 20)
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 30 MINUTES, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1, 2")
+def observe_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = table(spark, sf_dir, "events").groupBy(F.window("ts", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    return by.select(F.col("w.start").alias("start"), "event_type", "n", "mean", "p95")
+
+
+RULES = [observability.Rule("high_failures", "fail_rate", 0.1), observability.Rule("slow", "p95", 100.0), observability.Rule("few_large", "slow_rate", 0.2, above=False)]
+
+
+@query("""WITH m AS (SELECT CAST(ts AS DATE) AS day, count(*) AS sample_size, avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END) AS fail_rate, avg(CASE WHEN value > 100 THEN 1.0 ELSE 0.0 END) AS slow_rate, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1)
+SELECT day, 'high_failures' AS alert_type, round(fail_rate, 6) AS metric_value FROM m WHERE sample_size >= 20 AND fail_rate > 0.1 UNION ALL SELECT day, 'slow', round(p95, 6) FROM m WHERE sample_size >= 20 AND p95 > 100 UNION ALL SELECT day, 'few_large', round(slow_rate, 6) FROM m WHERE sample_size >= 20 AND slow_rate < 0.2""")
+def observe_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _measured(spark, sf_dir).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("sample_size"), F.avg(F.col("failed").cast("double")).alias("fail_rate"), F.avg(F.col("slow").cast("double")).alias("slow_rate"), F.percentile("value", 0.95).alias("p95"))
+    return observability.alerts(m, RULES).select("day", "alert_type", F.round("metric_value", 6).alias("metric_value"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT event_type, ts FROM events WHERE value < 20), k AS (
+  SELECT event_type, min(ts) AS ts FROM c GROUP BY event_type
+  UNION ALL SELECT k.event_type, (SELECT min(c.ts) FROM c WHERE c.event_type = k.event_type AND c.ts > k.ts + INTERVAL 30 MINUTES) FROM k WHERE k.ts IS NOT NULL)
+SELECT event_type, ts FROM k WHERE ts IS NOT NULL""")
+def observe_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observability.suppress(table(spark, sf_dir, "events").where("value < 20"), 30, "event_type")
+
+
+_VIEW = "FROM events WHERE event_type = 'view'"
+
+
+@query("""SELECT a.event_id, min(b.ts) AS matched FROM (SELECT * FROM events WHERE event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts > a.ts GROUP BY a.event_id""")
+def log_next_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return observability.next_matching(e, "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase", "ts").select("event_id", "matched")
+
+
+@query("""SELECT a.event_id, max(b.ts) AS matched FROM (SELECT * FROM events WHERE event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts <= a.ts GROUP BY a.event_id""")
+def log_last_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return observability.last_matching(e, "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase", "ts").select("event_id", "matched")
+
+
+# Evaluation: a vector's gold items are those with its label
+
+
+@query(f"""WITH {_DENSE}, f AS (SELECT query_id, min(rank) FILTER (WHERE ql = il AND query_id <> item_id) AS g FROM r WHERE rank <= 10 GROUP BY query_id)
+SELECT count(*) AS cases, round(avg(CASE WHEN g <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1, round(avg(CASE WHEN g <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_3, round(avg(CASE WHEN g <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_5, round(avg(coalesce(1.0 / g, 0)), 6) AS mrr FROM f""")
+def evaluate_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "embeddings")
+    e = t.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    hits = ranking.dense(e, e.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id"), 10).join(t.select(F.col("vec_id").alias("item_id"), F.col("label").alias("item_label")), "item_id")
+    cases = t.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    per = evaluation.per_case(cases, hits, (F.col("label") == F.col("item_label")) & (F.col("query_id") != F.col("item_id")))
+    o = evaluation.overall(per)
+    return o.select("cases", *[F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
+
+
+@query("""SELECT lang, count(*) AS cases, round(avg(CAST(quality AS DOUBLE)), 6) AS pass_rate, round(avg(CAST(1 - toxic AS DOUBLE)), 6) AS clean_rate FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)""")
+def evaluate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.rollup("lang").agg(F.count("*").alias("cases"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("pass_rate"), F.round(F.avg((1 - F.col("toxic")).cast("double")), 6).alias("clean_rate"))
+
+
+@query("""SELECT doc_id, round(CASE WHEN w > 0 THEN s / w END, 6) AS weighted FROM (SELECT doc_id, CASE WHEN quality IS NULL THEN 0 ELSE 0.7 END + CASE WHEN toxic IS NULL THEN 0 ELSE 0.3 END AS w, coalesce(quality, 0) * 0.7 + coalesce(1 - toxic, 0) * 0.3 AS s FROM documents LEFT JOIN labels USING (doc_id))""")
+def evaluate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.select("doc_id", F.round(evaluation.weighted([(F.col("quality").cast("double"), 0.7), ((1 - F.col("toxic")).cast("double"), 0.3)]), 6).alias("weighted"))
+
+
+# Answers
+
+
+@query()
+def answer_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = answers.symptoms(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.array_join("s.ids", ",").alias("ids"), F.array_join("s.times", ",").alias("times"), F.array_join("s.signals", ",").alias("signals"), "s.excerpt")
+
+
+@query()
+def answer_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", answers.numbered(F.col("text")).alias("answer"))
