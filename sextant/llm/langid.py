@@ -114,7 +114,7 @@ def fit(docs: DataFrame) -> Model:
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     keep = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.row_number().over(by_hash).alias("nth")).where(F.col("nth") <= PER_LANGUAGE).orderBy("nth", "lang", "doc_id").limit(SAMPLE)
     sample = docs.select("doc_id", "text").where(F.length("text") <= LEARN_CHARS).join(F.broadcast(keep.select("doc_id", "lang", "nth").dropDuplicates(["doc_id"])), "doc_id").toPandas()
-    sample = sample[sample["text"].map(lambda t: bool(LETTER.search(t)))].sort_values(["nth", "lang", "doc_id", "text"])
+    sample = sample[sample["text"].map(lambda t: bool(LETTER.search(t))).astype(bool)].sort_values(["nth", "lang", "doc_id", "text"])
     return Model(sample["text"].tolist(), sample["lang"].tolist())
 
 
