@@ -61,7 +61,7 @@ def evidence_block(hits: Column, most: int = 6) -> Column:
 def judge_score(text: Column) -> Column:
     """The score of the first JSON object in a text, clamped to 0..1; 0 where there is none."""
     raw = F.get_json_object(F.regexp_extract(text, r"(?s)(\{.*?\})", 1), "$.score").try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(0.0)
 
 
 def sections(text: Column, names: list[str]) -> Column:

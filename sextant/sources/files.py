@@ -13,7 +13,7 @@ MOST_BYTES = 256 << 10
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of all non-empty Markdown files below root."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.trim("value") != "")
 
 
