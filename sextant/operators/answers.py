@@ -77,4 +77,8 @@ def sections(text: Column, names: list[str]) -> Column:
         return F.when(head.isin(*names), F.struct(head.alias("at"), acc["out"].alias("out"))).otherwise(F.struct(acc["at"].alias("at"), F.when(keep, F.array_append(acc["out"], F.struct(acc["at"].alias("s"), item.alias("l")))).otherwise(acc["out"]).alias("out")))
 
     rows = F.aggregate(lines, start, step, lambda acc: acc["out"])
-    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.transform(F.filter(rows, lambda r, n=n: r["s"] == n), lambda r: r["l"]) for n in names]))
+
+    def under(name: str) -> Column:
+        return F.transform(F.filter(rows, lambda r: r["s"] == name), lambda r: r["l"])
+
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(under, names)))
