@@ -4,11 +4,13 @@ extra columns; and on an empty table."""
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
@@ -220,8 +222,33 @@ def test_warc(spark, least):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_pieces(docs, empty):
+def test_pieces_by_merges_are_those_of_the_model(spark, docs, empty):
     p = pieces.load_pieces()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert p.merges
+    encoded = pieces.encode(docs, p).cache()
+    got = {}
+    for r in encoded.collect():
+        got.setdefault(r.doc_id, r.ids)
+    # Units of more than LETTERS characters are cut, and U+2581 is a character of its own.
+    data = [(i, t or "") for i, t, *_ in rows() if "\u2581" not in (t or "") and not re.search(rf"[^ \n]{{{pieces.LETTERS + 1}}}| {{{pieces.SPACES + 1}}}", t or "")]
+    assert len(data) > 5
+    for i, t in data:
+        assert got[i] == model.encode(t), i
+    long = [(1, "x" * 63 + "ab"), (2, "\U0001f600" * 200), (3, "la" * 200 + " y"), (4, "\u6f22\U0001f600" * 90), (5, " " * 70), (6, " " * 16 + "re" * 23 + "s")]
+    cut = spark.createDataFrame(long, "doc_id long, text string")
+    assert cut.select(F.max(F.array_max(F.transform(pieces.units(F.col("text")), F.length)))).first()[0] <= pieces.LONGEST
+    back = pieces.decode_texts(pieces.encode(cut, p), p)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(long)
+    assert all(r.exact for r in pieces.token_summary(cut, p).collect())
+    assert {r.doc_id: r.text for r in pieces.decode_texts(encoded, p).collect()} == {i: t or "" for i, t, *_ in rows()}
+    assert pieces.token_summary(empty, p).count() == 0
+
+
+def test_pieces_by_viterbi(docs):
+    ranked = pieces.load_pieces()
+    p = pieces.Pieces(tuple((i, s, -1.5 - math.log(2 + i)) for i, s, _ in ranked.rows), ranked.byte_ids)
+    assert not p.merges
     score = {s: (x, i) for i, s, x in p.rows}
     longest, fallback = p.longest, p.fallback
     data = [(i, t) for i, t, *_ in rows() if len(t or "") < 500]
@@ -255,7 +282,6 @@ def test_pieces(docs, empty):
     for frequent in (3, 1_000_000):
         s = pieces.token_summary(docs, p, frequent=frequent).collect()
         assert len(s) == len(rows()) and all(r.exact and r.n_pieces == len(got[r.doc_id]) for r in s)
-    assert pieces.token_summary(empty, p).count() == 0
 
 
 def labelled(spark):
