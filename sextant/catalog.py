@@ -158,6 +158,38 @@ def rank_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.grep(table(spark, sf_dir, "documents"), ["rights reserved", "The and"])
 
 
+_PAIRS = "p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS c FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn and the assistant's after it."""
+    c = table(spark, sf_dir, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("c"))
+    return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q")).join(a, ["conv_id", "turn"])
+
+
+@query(f"""WITH {_PAIRS}, t AS (SELECT conv_id, turn, q, c, {NORM.format('c')} AS n, {NORM.format('q')} AS nq, split_part({NORM.format('c')}, ' ', 1) AS s, [lower(x) FOR x IN regexp_extract_all(q, '([A-Za-z_][A-Za-z0-9_]+)', 1)] AS a FROM p),
+i AS (SELECT *, 'src/' || s || '.py' AS path, 'def ' || s AS sig, [x.t FOR x IN list_sort([{{'n': -length(t), 'p': list_position(a, t), 't': t}} FOR t IN list_distinct(a)])][1:48] AS ids,
+  nq SIMILAR TO '.*(在哪|哪里|定位|定义|实现|哪个文件|哪个函数|入口函数|where|located|find).*' AS place FROM t)
+SELECT conv_id, turn, round(CAST(coalesce(list_sum([CAST(least((length(n) - length(replace(n, x, ''))) // length(x), 3) * (CASE WHEN length(x) >= 4 THEN 1.8 ELSE 1.0 END) + CASE WHEN contains(s, x) THEN 1.4 ELSE 0 END + CASE WHEN contains(path, x) THEN 1.1 ELSE 0 END + CASE WHEN contains(sig, x) THEN 0.9 ELSE 0 END AS DOUBLE) FOR x IN ids]), 0) AS DOUBLE), 4) AS lexical,
+  round(CAST(coalesce(list_sum([CAST(CASE WHEN x = s THEN 6.0 WHEN contains(s, x) THEN CASE WHEN place THEN 3.6 ELSE 2.2 END WHEN contains(path, x) THEN CASE WHEN place THEN 2.8 ELSE 1.6 END ELSE 0 END AS DOUBLE) FOR x IN [y FOR y IN ids IF contains(y, '_') OR length(y) >= 8][1:24]]), 0)
+  + coalesce(list_sum([CAST(CASE WHEN contains(n, x) THEN 0.8 ELSE 0 END AS DOUBLE) FOR x IN [y FOR y IN ids IF regexp_matches(y, '(_id|_rate|_score|_cpa|_cpc|_ctr|_cvr)$') OR y IN ('pctr', 'pcvr', 'trace_id', 'request_id')][1:24]]), 0)
+  + CASE WHEN (regexp_matches(nq, '公式|计算|怎么算|formula|calculate') OR regexp_matches(q, '[=*/+-]')) AND contains(c, '=') THEN 1.2 ELSE 0 END + CASE WHEN place THEN 0.6 ELSE 0 END AS DOUBLE), 4) AS pattern FROM i""")
+def rank_code_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.normalize(F.col("c"))
+    p = _pairs(spark, sf_dir).withColumns({"n": n, "s": F.split(n, " ")[0], "asked": ranking.code_patterns(F.col("q"))})
+    p = p.withColumns({"path": F.concat(F.lit("src/"), "s", F.lit(".py")), "sig": F.concat(F.lit("def "), "s")})
+    lexical = ranking.code_lexical(F.col("n"), F.col("s"), F.col("path"), F.col("sig"), F.col("asked.ids"))
+    pattern = ranking.code_pattern(F.col("n"), F.col("c"), F.col("s"), F.col("path"), F.col("asked"))
+    return p.select("conv_id", "turn", F.round(lexical, 4).alias("lexical"), F.round(pattern, 4).alias("pattern"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(source, '0') AND NOT starts_with(source, 'src1') THEN CASE WHEN doc_id % 2 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END ELSE CAST(0 AS DOUBLE) END AS penalty FROM documents")
+def rank_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    penalty = ranking.general_penalty(F.col("source"), F.array(F.lit("src1")), (F.col("doc_id") % 2).cast("double"), F.contains(F.col("source"), F.lit("0")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(penalty, 4).alias("penalty"))
+
+
 @query()
 def rank_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
@@ -330,6 +362,23 @@ def evaluate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(evaluation.weighted([(F.col("quality").cast("double"), 0.7), ((1 - F.col("toxic")).cast("double"), 0.3)]), 6).alias("weighted"))
 
 
+@query(r"""WITH PAIRS, t AS (SELECT conv_id, turn, c, lower(regexp_replace(c, '[^\p{L}\p{N}]', '', 'g')) AS z, string_split(trim(q), ' ') AS w FROM p),
+m AS (SELECT conv_id, turn, c, ['formula', 'reason', 'function_location', 'mixed_followup'][conv_id % 4 + 1] AS kind, CASE WHEN contains(z, lower(regexp_replace(w[1], '[^\p{L}\p{N}]', '', 'g'))) THEN 0.0 ELSE 1.0 END AS forbidden,
+  CASE WHEN conv_id % 3 = 0 THEN 1.0 WHEN conv_id % 3 = 1 THEN CAST(contains(c, 'the') AS INT) ELSE 1 - CAST(contains(c, 'the') AS INT) END AS mode,
+  CASE WHEN list_contains(string_split(c, ' '), w[1]) THEN 1.0 ELSE 0.0 END AS sources FROM t)
+SELECT kind, count(*) AS cases, round(CAST(avg(forbidden) AS DOUBLE), 6) AS forbidden_pass, round(CAST(avg(mode) AS DOUBLE), 6) AS mode_accuracy, round(CAST(avg(sources) AS DOUBLE), 6) AS sources_hit,
+  round(CAST(avg(CASE kind WHEN 'formula' THEN CAST(contains(c, '=') OR contains(c, '公式') AS INT) WHEN 'reason' THEN CAST(regexp_matches(c, '(?m)^\s*(?:\d+\.|[-*])\s+') OR contains(c, '原因') AS INT) WHEN 'function_location' THEN 1 - forbidden ELSE sources END) AS DOUBLE), 6) AS structure FROM m GROUP BY kind""".replace("PAIRS", _PAIRS))
+def evaluate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer is held against the first word of its question: as claim, as code symbol and as source."""
+    c, first = F.col("c"), F.array(F.split(F.trim("q"), " ")[0])
+    expected = F.element_at(F.array(F.lit("either"), F.lit("insufficient_evidence"), F.lit("answer")), (F.col("conv_id") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("formula"), F.lit("reason"), F.lit("function_location"), F.lit("mixed_followup")), (F.col("conv_id") % 4 + 1).cast("int"))
+    anchor = evaluation.anchor_hit(c, first, F.array().cast("array<string>"))
+    sources = evaluation.sources_hit(first, F.split(c, " "))
+    each = _pairs(spark, sf_dir).select(kind.alias("kind"), evaluation.forbidden_pass(c, first).alias("f"), evaluation.mode_accuracy(c, expected, ["the"]).alias("m"), sources.alias("s"), evaluation.structure_hit(kind, c, anchor, sources).alias("x"))
+    return each.groupBy("kind").agg(F.count("*").alias("cases"), *[F.round(F.avg(a), 6).alias(b) for a, b in (("f", "forbidden_pass"), ("m", "mode_accuracy"), ("s", "sources_hit"), ("x", "structure"))])
+
+
 # Answers
 
 

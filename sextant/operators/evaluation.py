@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.text import squeeze
+
 
 def per_case(cases: DataFrame, hits: DataFrame, is_gold: Column, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """cases (query_id, ...) and hits (query_id, rank, ...): hit@k and the reciprocal rank of the first gold hit."""
@@ -41,3 +43,47 @@ def exact(coverage: Column, forbidden_ok: Column, mode_ok: Column, cited: Column
 
 def gate(metrics: DataFrame, metric: str, least: float) -> DataFrame:
     return metrics.withColumn("passed", F.col(metric) >= least)
+
+
+#: Modes that ask nothing of an answer's form.
+FREE_MODES = ("either", "answer_or_insufficient", "flexible")
+
+
+def forbidden_pass(answer: Column, claims: Column) -> Column:
+    """1 unless the answer makes one of the claims, both compared without case, space and punctuation."""
+    return F.when(F.exists(claims, lambda c: F.contains(squeeze(answer), squeeze(c))), 0.0).otherwise(1.0)
+
+
+def mode_accuracy(answer: Column, expected: Column, markers: list[str]) -> Column:
+    """Whether an answer that should say that evidence is missing says so, and no other does."""
+    says = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(answer, m))
+    return F.when(expected.isin(*FREE_MODES), 1.0).when(expected == "insufficient_evidence", says.cast("double")).otherwise((~says).cast("double"))
+
+
+def hit_if_gold(gold: Column, found: Column) -> Column:
+    """1 or 0 where there is gold, else null: an average over it has its own denominator."""
+    return F.when(F.size(gold) > 0, F.arrays_overlap(gold, found).cast("double"))
+
+
+def sources_hit(expected: Column, found: Column) -> Column:
+    """1 if all expected sources were cited; null where none is expected."""
+    return F.when(F.size(expected) > 0, (F.size(F.array_except(expected, found)) == 0).cast("double"))
+
+
+def anchor_hit(answer: Column, symbols: Column, paths: Column) -> Column:
+    """1 if the answer names a symbol, a path or a path's file; null where neither is expected."""
+    names = F.concat(symbols, paths, F.transform(paths, lambda p: F.element_at(F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/"), -1)))
+    hit = F.exists(F.filter(names, lambda n: squeeze(n) != ""), lambda n: F.contains(squeeze(answer), squeeze(n)))
+    return F.when((F.size(symbols) > 0) | (F.size(paths) > 0), hit.cast("double"))
+
+
+def structure_hit(kind: Column, answer: Column, anchor: Column, sources: Column) -> Column:
+    """By kind of question: a formula in the answer, a list or the word for reason, a code anchor, all sources; else null."""
+    formula = F.contains(answer, F.lit("=")) | F.contains(squeeze(answer), F.lit("公式"))
+    reason = answer.rlike(r"(?m)^\s*(?:\d+\.|[-*])\s+") | F.contains(squeeze(answer), F.lit("原因"))
+    return (
+        F.when(kind == "formula", formula.cast("double"))
+        .when(kind == "reason", reason.cast("double"))
+        .when(kind == "function_location", F.coalesce(anchor, F.lit(0.0)))
+        .when(kind == "mixed_followup", F.coalesce(sources, F.lit(0.0)))
+    )

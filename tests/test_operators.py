@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
@@ -152,3 +153,35 @@ def test_sources(spark, tmp_path):
     assert docs.count() == 1 and row.meta == {"name": "x"} and row.body == "body"
     assert [r.content for r in files.code(spark, str(tmp_path)).collect()] == ["x = 1"]
     assert files.cases(spark, str(tmp_path / "q.jsonl")).first().gold_paths == ["p"]
+
+
+def test_code_scores(spark):
+    rows = [("where is bid_rate = x", "def bid_rate(): a = bid_rate", "bid_rate"), ("plain words", "nothing", "other"), ("", "", ""), (None, "x", "y")]
+    df = spark.createDataFrame(rows, "q string, c string, s string").withColumn("asked", ranking.code_patterns(F.col("q")))
+    c, s, asked, path = F.lower("c"), F.col("s"), F.col("asked"), F.lit("src/bid_rate.py")
+    got = df.select("asked", ranking.code_lexical(c, s, path, c, asked["ids"]).alias("l"), ranking.code_pattern(c, F.col("c"), s, path, asked).alias("p")).collect()
+    assert got[0].asked.ids == ["bid_rate", "where", "is"] and got[0].asked.exact == got[0].asked.fields == ["bid_rate"]
+    assert got[0].asked.formula and got[0].asked.place and not got[1].asked.place
+    # Two occurrences, a long name; in the symbol, path and signature. The symbol itself, a field, a formula, a place.
+    assert got[0].l == pytest.approx(2 * 1.8 + 1.4 + 1.1 + 0.9) and got[0].p == pytest.approx(6.0 + 0.8 + 1.2 + 0.6)
+    assert all(r.l == r.p == 0.0 for r in got[1:]) and got[3].asked.ids == []
+
+
+def test_general_penalty(spark):
+    rows = [("00-all.md", ["02-"], 0.0, True, 0.25), ("00-all.md", ["02-"], 0.5, True, 0.15), ("00-02-x.md", ["02-"], 0.0, True, 0.0), ("rate.md", ["Rate"], 0.0, True, 0.0), ("a-rate.md", ["rate"], 0.0, True, 0.25), ("x.md", ["02-"], 0.0, False, 0.0), ("00-all.md", [], 0.0, True, 0.0)]
+    df = spark.createDataFrame(rows, "path string, hints array<string>, boost double, general boolean, want double")
+    for r in df.withColumn("got", ranking.general_penalty(F.col("path"), F.col("hints"), F.col("boost"), F.col("general"))).collect():
+        assert r.got == pytest.approx(r.want), r
+
+
+def test_answer_measures(spark):
+    none = []
+    rows = [("The bid = 3, see Bid.py", ["bid=3"], ["f"], ["src\\\\bid.py"], ["wiki"], ["wiki", "code"]), ("不足", none, none, none, none, none), ("1. a", ["b"], ["a"], none, ["wiki", "case"], ["wiki"])]
+    df = spark.createDataFrame(rows, "a string, claims array<string>, symbols array<string>, paths array<string>, want array<string>, have array<string>")
+    a, anchor, sources = F.col("a"), evaluation.anchor_hit(F.col("a"), F.col("symbols"), F.col("paths")), evaluation.sources_hit(F.col("want"), F.col("have"))
+    kinds = [evaluation.structure_hit(F.lit(k), a, anchor, sources).alias(k[0] + k[-1]) for k in ("formula", "reason", "function_location", "mixed_followup", "other")]
+    modes = [evaluation.mode_accuracy(a, F.lit(m), ["不足"]).alias(m) for m in ("either", "insufficient_evidence", "answer")]
+    got = df.select(evaluation.forbidden_pass(a, F.col("claims")).alias("f"), *modes, anchor.alias("n"), sources.alias("s"), evaluation.hit_if_gold(F.col("want"), F.col("have")).alias("g"), *kinds).collect()
+    assert tuple(got[0]) == (0.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 1.0, None)
+    assert tuple(got[1]) == (1.0, 1.0, 1.0, 0.0, None, None, None, 0.0, 0.0, 0.0, 0.0, None)
+    assert tuple(got[2]) == (1.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, None)
