@@ -190,6 +190,17 @@ def rank_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(penalty, 4).alias("penalty"))
 
 
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), h AS (SELECT doc_id, line_no FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM l) WHERE contains(lower(line), 'the')),
+c AS (SELECT doc_id, CAST(i AS INTEGER) AS child_no, i * 28 + 1 AS a, i * 28 + 36 AS b FROM (SELECT doc_id, unnest(range(0, CAST(greatest(ceil((len(ls) - 36) / 28.0), 0) AS BIGINT) + 1)) AS i FROM l)),
+n AS (SELECT c.doc_id, child_no, count(h.line_no) AS line_hits FROM c LEFT JOIN h ON c.doc_id = h.doc_id AND line_no BETWEEN a AND b WHERE c.doc_id IN (SELECT doc_id FROM h) GROUP BY c.doc_id, child_no)
+SELECT doc_id, child_no, line_hits, round(CAST(least(line_hits * 2.2, 6.6) AS DOUBLE), 4) AS line_boost FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_hits > 0 ORDER BY child_no) AS k FROM n) WHERE line_hits > 0 OR k <= 2""")
+def rank_line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.contains(F.lower("line"), F.lit("the"))).select("doc_id", (F.col("at") + 1).alias("line_no"))
+    found = ranking.line_boost(chunking.children(d, "doc_id", "text").select("doc_id", "child_no"), lines, "doc_id")
+    return found.select("doc_id", "child_no", "line_hits", F.round("line_boost", 4).alias("line_boost"))
+
+
 @query()
 def rank_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
@@ -235,6 +246,19 @@ def understand_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("conv_id", "turn", F.round(score, 4).alias("relevance"), understanding.intent(F.col("text"), PROFILE, score).alias("route"), F.array_join(understanding.related_modules(F.col("text"), PROFILE), ",").alias("related"), understanding.question_type(F.col("text")).alias("question"))
 
 
+@query(r"""WITH u AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, turn, regexp_matches(q, 'class|function|def|code|file|implement|line') AS code, regexp_matches(q, '(\.py|\bline\b|\bfunction\b|\bclass\b)') AS place, regexp_matches(q, 'metric|rate|ctr|roi|pipeline|flow|stage|architecture|overview|design|架构|流程|阶段|指标|口径|规则|原理|背景|说明') AS wiki, conv_id % 3 = 0 AS issue FROM u),
+s AS (SELECT *, CASE WHEN place OR (code AND NOT wiki) THEN 'code_first' WHEN wiki AND NOT code THEN 'wiki_first' ELSE 'hybrid' END AS strategy FROM f)
+SELECT conv_id, turn, strategy, CAST(greatest(CASE strategy WHEN 'hybrid' THEN 4 WHEN 'wiki_first' THEN 6 ELSE 2 END, CASE WHEN issue THEN 3 ELSE 0 END) AS INTEGER) AS wiki_top_k, CAST(greatest(CASE strategy WHEN 'hybrid' THEN 4 WHEN 'wiki_first' THEN 2 ELSE 7 END, CASE WHEN issue THEN 6 ELSE 0 END) AS INTEGER) AS code_top_k,
+  CAST(CASE strategy WHEN 'hybrid' THEN 1.0 WHEN 'wiki_first' THEN 1.15 ELSE 0.9 END AS DOUBLE) AS wiki_weight, CAST(greatest(CASE strategy WHEN 'hybrid' THEN 1.0 WHEN 'wiki_first' THEN 0.9 ELSE 1.2 END, CASE WHEN issue THEN 1.15 ELSE 0 END) AS DOUBLE) AS code_weight,
+  CASE strategy WHEN 'hybrid' THEN 'query_is_hybrid' WHEN 'wiki_first' THEN 'query_prefers_wiki' ELSE 'query_prefers_code' END || CASE WHEN issue THEN ',issue_analysis_bias_code' ELSE '' END AS reasons FROM s""")
+def understand_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    route = F.when(F.col("conv_id") % 3 == 0, "issue_analysis").otherwise("knowledge_qa")
+    p = u.select("conv_id", "turn", understanding.retrieval_plan(F.col("text"), route, PROFILE).alias("p"))
+    return p.select("conv_id", "turn", "p.strategy", "p.wiki_top_k", "p.code_top_k", F.col("p.weights.wiki").alias("wiki_weight"), F.col("p.weights.code").alias("code_weight"), F.array_join("p.reasons", ",").alias("reasons"))
+
+
 @query("SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user'")
 def context_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.with_previous(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text", "previous")

@@ -32,6 +32,7 @@ class Profile:
     generation: tuple[str, ...] = ("generate code", "write code")
     metric: tuple[str, ...] = ("metric", "rate", "ctr", "roi")
     pipeline: tuple[str, ...] = ("pipeline", "flow", "stage")
+    architecture: tuple[str, ...] = ("architecture", "overview", "design")
     modules: tuple[Module, ...] = ()
     default_module: str = "general"
     synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -65,7 +66,7 @@ def intent(text: Column, p: Profile, score: Column | None = None) -> Column:
 
 def flags(text: Column, p: Profile) -> Column:
     q = normalize(text)
-    return F.struct(contains_any(q, list(p.metric)).alias("metric"), contains_any(q, list(p.pipeline)).alias("pipeline"), contains_any(q, list(p.trouble)).alias("troubleshoot"), contains_any(q, list(p.code_words)).alias("code"), q.rlike(r"(\.py|\bline\b|\bfunction\b|\bclass\b)").alias("code_location"))
+    return F.struct(contains_any(q, list(p.metric)).alias("metric"), contains_any(q, list(p.pipeline)).alias("pipeline"), contains_any(q, list(p.architecture)).alias("architecture"), contains_any(q, list(p.trouble)).alias("troubleshoot"), contains_any(q, list(p.code_words)).alias("code"), q.rlike(r"(\.py|\bline\b|\bfunction\b|\bclass\b)").alias("code_location"))
 
 
 def module_scores(text: Column, p: Profile) -> Column:
@@ -102,6 +103,50 @@ def expand(text: Column, p: Profile) -> Column:
     return F.array_distinct(out)
 
 
+#: Words of a question for documents, the depths of each strategy, the weights and quotas of sources.
+WIKI_WORDS = ["架构", "流程", "阶段", "指标", "口径", "规则", "原理", "背景", "说明"]
+DEPTHS = {"hybrid": (4, 4, 2, 6), "wiki_first": (6, 2, 1, 6), "code_first": (2, 7, 1, 6)}
+SOURCE_WEIGHTS = {"wiki": 1.0, "code": 1.0, "case": 0.6}
+QUOTAS = {"wiki": 4, "code": 4, "case": 1}
+
+
+def retrieval_plan(text: Column, route: Column, p: Profile) -> Column:
+    """struct(strategy, wiki_top_k, code_top_k, case_top_k, final_top_k, weights, quotas, reasons) for each query. Questions
+    for a place in code, or for code and nothing else, go to code first; those for documents only to documents first. The
+    analysis of an issue looks deeper and weighs code more. Null texts count as empty."""
+    q, f = normalize(text), flags(text, p)
+    wiki = f["architecture"] | f["pipeline"] | f["metric"] | contains_any(q, WIKI_WORDS)
+    code, issue = f["code"], F.coalesce(route == "issue_analysis", F.lit(False))
+    code_first = f["code_location"] | (code & ~wiki)
+    wiki_first = ~code_first & wiki & ~code
+
+    def pick(of_code: object, of_wiki: object, of_both: object) -> Column:
+        return F.when(code_first, F.lit(of_code)).when(wiki_first, F.lit(of_wiki)).otherwise(F.lit(of_both))
+
+    def depth(i: int) -> Column:
+        return pick(DEPTHS["code_first"][i], DEPTHS["wiki_first"][i], DEPTHS["hybrid"][i])
+
+    w, n = SOURCE_WEIGHTS, QUOTAS
+    code_weight = pick(max(w["code"], 1.2), min(w["code"], 0.9), w["code"])
+    weights = F.struct(
+        pick(min(w["wiki"], 0.9), max(w["wiki"], 1.15), w["wiki"]).alias("wiki"),
+        F.when(issue, F.greatest(code_weight, F.lit(1.15))).otherwise(code_weight).alias("code"),
+        F.lit(w["case"]).alias("case"),
+    )
+    quotas = F.struct(pick(min(n["wiki"], 2), n["wiki"], n["wiki"]).alias("wiki"), pick(max(n["code"], 4), n["code"], n["code"]).alias("code"), F.lit(n["case"]).alias("case"))
+    reasons = F.array(pick("query_prefers_code", "query_prefers_wiki", "query_is_hybrid"))
+    return F.struct(
+        pick("code_first", "wiki_first", "hybrid").alias("strategy"),
+        F.when(issue, F.greatest(depth(0), F.lit(3))).otherwise(depth(0)).alias("wiki_top_k"),
+        F.when(issue, F.greatest(depth(1), F.lit(6))).otherwise(depth(1)).alias("code_top_k"),
+        depth(2).alias("case_top_k"),
+        depth(3).alias("final_top_k"),
+        weights.alias("weights"),
+        quotas.alias("quotas"),
+        F.when(issue, F.array_append(reasons, F.lit("issue_analysis_bias_code"))).otherwise(reasons).alias("reasons"),
+    )
+
+
 def question_type(text: Column) -> Column:
     q = normalize(text)
     return F.when(contains_any(q, ["formula", "公式", "calculate"]), "formula").when(contains_any(q, ["why", "reason", "为什么", "原因"]), "reason").when(contains_any(q, ["which", "list", "哪些", "有哪"]), "list").otherwise("general")

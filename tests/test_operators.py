@@ -185,3 +185,20 @@ def test_answer_measures(spark):
     assert tuple(got[0]) == (0.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 1.0, None)
     assert tuple(got[1]) == (1.0, 1.0, 1.0, 0.0, None, None, None, 0.0, 0.0, 0.0, 0.0, None)
     assert tuple(got[2]) == (1.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, None)
+
+
+def test_retrieval_plan(spark):
+    rows = [("why this line of x.py?", "knowledge_qa"), ("the class of it", "issue_analysis"), ("指标 口径", "knowledge_qa"), ("metric of the code", None), (None, "issue_analysis")]
+    df = spark.createDataFrame(rows, "t string, r string").select(understanding.retrieval_plan(F.col("t"), F.col("r"), understanding.Profile()).alias("p"))
+    got = [r.p for r in df.collect()]
+    assert [p.strategy for p in got] == ["code_first", "code_first", "wiki_first", "hybrid", "hybrid"]
+    assert [(p.wiki_top_k, p.code_top_k) for p in got] == [(2, 7), (3, 7), (6, 2), (4, 4), (4, 6)]
+    assert got[4].weights.code == 1.15 and got[4].reasons == ["query_is_hybrid", "issue_analysis_bias_code"] and got[0].quotas.wiki == 2
+
+
+def test_line_boost(spark):
+    children = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 0)], "k string, child_no int")
+    lines = spark.createDataFrame([("a", 29), ("a", 29), ("a", 36), ("a", 37), ("a", 150)], "k string, line_no int")
+    got = {(r.k, r.child_no): (r.line_hits, round(r.line_boost, 4)) for r in ranking.line_boost(children, lines, "k").collect()}
+    # Lines 29 to 36 are in the first two windows; 150 is beyond the last one.
+    assert got == {("a", 0): (2, 4.4), ("a", 1): (3, 6.6), ("a", 2): (0, 0.0), ("a", 3): (0, 0.0)}
