@@ -235,6 +235,10 @@ def test_pieces_by_merges_are_those_of_the_model(spark, docs, empty):
     assert len(data) > 5
     for i, t in data:
         assert got[i] == model.encode(t), i
+    # A unit of exactly LONGEST characters, whose last node is the sign bit, isn't cut.
+    full = " " * (pieces.SPACES - 1) + ("re" * pieces.LETTERS)[: pieces.LETTERS]
+    one = spark.createDataFrame([(0, full), (1, "a"), (2, "\u6f22"), (3, "\U0001f600")], "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in pieces.encode(one, p).collect()} == {0: model.encode(full), 1: model.encode("a"), 2: model.encode("\u6f22"), 3: model.encode("\U0001f600")}
     long = [(1, "x" * 63 + "ab"), (2, "\U0001f600" * 200), (3, "la" * 200 + " y"), (4, "\u6f22\U0001f600" * 90), (5, " " * 70), (6, " " * 16 + "re" * 23 + "s")]
     cut = spark.createDataFrame(long, "doc_id long, text string")
     assert cut.select(F.max(F.array_max(F.transform(pieces.units(F.col("text")), F.length)))).first()[0] <= pieces.LONGEST
