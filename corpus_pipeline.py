@@ -1,7 +1,7 @@
 """From raw documents to tokens: five stages, each written as Parquet and read again as the next one's input.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first four drop documents and return
-the columns of documents; the last describes the pieces of each document that is left.
+the columns of documents; the last returns the ids of each document that is left.
 """
 
 from __future__ import annotations

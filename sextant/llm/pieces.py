@@ -17,7 +17,8 @@ kind of model:
 
 In both, a character without a piece becomes its UTF-8 bytes' pieces.
 
-Decoding joins ids to the piece table and puts the pieces' bytes together in order.
+Documents get their ids in order: frequent units are looked up where the text is read, the ids of all others are joined by
+unit and put in at their places. Decoding looks up every id of a document and puts the pieces' bytes together in order.
 
 Defined results: null texts count as empty; empty texts have no pieces. A U+2581 in a text isn't a space: it becomes bytes,
 so that every text is decoded to itself. Units are cut after LETTERS characters, so that pieces of longer runs can differ
@@ -26,13 +27,17 @@ from those of an encoder without a bound, near the cuts. Repeated rows each get
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import stored
+from sextant.llm.common import bounded_batches, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACES, LETTERS = 16, 47
@@ -75,11 +80,6 @@ class Pieces:
         ranks = {s: r for r, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
         return spark.createDataFrame([(i, p, ranks[s]) for i, p, s in self.rows], "id int, piece string, rank int")
 
-    def spelled(self, spark: SparkSession) -> DataFrame:
-        """(id, bytes in hex) of every piece."""
-        rows = [(i, p.encode().hex()) for i, p, _ in self.rows] + [(i, f"{b:02x}") for b, i in enumerate(self.byte_ids)]
-        return spark.createDataFrame(rows, "id int, spelled string")
-
 
 @lru_cache(4)
 def load_pieces(path: str = MODEL) -> Pieces:
@@ -216,18 +216,9 @@ def viterbi(grouped: DataFrame, pieces: Pieces) -> DataFrame:
     return best.select("unit", *kept, F.aggregate(F.sequence(F.lit(1), n), none, back, lambda acc: acc["ids"]).alias("ids"))
 
 
-def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """rows (distinct ones) with the text that their ids spell. Unknown ids and bytes that aren't UTF-8 spell nothing that
-    can be relied on. Rows without ids get an empty text."""
-    kept = rows.columns
-    each = rows.select(*kept, F.posexplode_outer(ids).alias("_at", "_id"))
-    spelled = F.broadcast(pieces.spelled(rows.sparkSession).withColumnRenamed("id", "_id"))
-    put = each.join(spelled, "_id", "left").groupBy(*kept).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("spelled", F.lit("")).alias("s")))).alias("_all"))
-    return put.select(*kept, F.decode(F.unhex(F.array_join("_all.s", "")), "UTF-8").alias(name))
-
-
 def spell(ids: Column, pieces: Pieces) -> Column:
-    """What ids spell, by a look-up in an array of all pieces: for lists too short to be worth a join."""
+    """What ids spell, by a look-up of each in an array of all pieces. Unknown ids and bytes that aren't UTF-8 spell nothing
+    that can be relied on."""
     table = [""] * (max(max(i for i, _, _ in pieces.rows), *pieces.byte_ids) + 1)
     for i, p, _ in pieces.rows:
         table[i] = p.encode().hex()
@@ -238,26 +229,10 @@ def spell(ids: Column, pieces: Pieces) -> Column:
 
 
 def encode_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(unit, n, ids, exact) for each distinct unit of the corpus: its count, pieces, and whether they decode to it."""
+    """(unit, n, ids) for each distinct unit of the corpus: its count and pieces."""
     distinct = docs.select(F.explode(units(F.col(text))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     choose = merge if pieces.merges else viterbi
-    encoded = choose(lattice(distinct, pieces), pieces)
-    return encoded.select("unit", "n", "ids", (spell(F.col("ids"), pieces) == F.col("unit")).alias("exact"))
-
-
-def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the pieces of each text, in order."""
-    table = encode_units(docs, pieces, text).select("unit", "ids")
-    # The row number is taken below the explode, in a projection of its own.
-    each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text")).select("row", "doc_id", F.posexplode_outer(units(F.col("text"))).alias("at", "unit"))
-    joined = each.join(table, "unit", "left").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")))).alias("all"))
-    return joined.select("doc_id", F.flatten("all.ids").alias("ids"))
-
-
-def decode_texts(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids")
-    return decode(rows, pieces).select("doc_id", F.regexp_replace("decoded", "^ ", "").alias("text"))
+    return choose(lattice(distinct, pieces), pieces).select("unit", "n", "ids")
 
 
 def _least_count(table: DataFrame, most: int) -> int:
@@ -272,32 +247,104 @@ def _least_count(table: DataFrame, most: int) -> int:
     return least
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffles of what runs in here are removed as soon as it has ended, not when the driver's memory is cleaned."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _look_up(rows: DataFrame, top: DataFrame, kind: str) -> Callable[[bool], DataFrame]:
+    """A look-up of the units of rows (k1, k2, doc_id, hash, length, units) in top (unit, ids), which is broadcast. Called with
+    True it gives (k1, k2, doc_id, hash, length, known), the ids of all units found; with False (k1, k2, at, place, unit), a
+    row for each unit not found: its number, and how many ids are known before it."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    found = top.select("unit", "ids").toArrow().combine_chunks()
+    ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in found.column("ids").chunks)])
+    index = {u: i for i, u in enumerate(found.column("unit").to_pylist())}
+    starts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+    held = spark.sparkContext.broadcast((index, starts, ids.flatten().to_numpy(zero_copy_only=False)))
+    number = pa.int16() if kind == "smallint" else pa.int32()
+
+    def look(batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
+        index, starts, flat = held.value
+        for b in batches:
+            unit, lengths = b.column("units").flatten(), b.column("units").value_lengths().to_numpy(zero_copy_only=False)
+            coded = unit.dictionary_encode()
+            place = np.array([index.get(u, -1) for u in coded.dictionary.to_pylist()], np.int64)
+            at = place[coded.indices.to_numpy(zero_copy_only=False)]
+            size = np.where(at >= 0, starts[at + 1] - starts[at], 0)
+            before, first = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            if known:
+                ids = flat[np.repeat(starts[at] - before[:-1], size) + np.arange(before[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(before[first], pa.int32()), pa.array(ids, number))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "doc_id", "hash", "length")), lists], ["k1", "k2", "doc_id", "hash", "length", "known"])
+            else:
+                rare = np.flatnonzero(at < 0)
+                doc = np.searchsorted(first, rare, "right") - 1
+                more = [pa.array(rare - first[doc], pa.int32()), pa.array(before[rare] - before[first[doc]], pa.int32()), unit.take(pa.array(rare))]
+                yield pa.RecordBatch.from_arrays([b.column("k1").take(pa.array(doc)), b.column("k2").take(pa.array(doc)), *more], ["k1", "k2", "at", "place", "unit"])
+
+    def run(known: bool) -> DataFrame:
+        doc_id = rows.schema["doc_id"].dataType.simpleString()
+        schema = f"k1 bigint, k2 bigint, doc_id {doc_id}, hash bigint, length int, known array<{kind}>" if known else "k1 bigint, k2 bigint, at int, place int, unit string"
+        return rows.mapInArrow(lambda batches: look(batches, known), schema)
+
+    return run
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, key: str, text: str, frequent: int) -> DataFrame:
+    """(doc_id, ids, hash, length): the pieces of each text in order, and the text's hash and length.
+
+    Rows are known by two hashes of id and text, which don't depend on how the table is read. Rows alike in both have the
+    same units, which array_distinct makes one."""
+    with _shuffles_removed(docs.sparkSession):
+        table = stored(encode_units(docs, pieces, text), "units")
+    least = _least_count(table, frequent)
+    kind = "smallint" if max(max(i for i, _, _ in pieces.rows), *pieces.byte_ids) < 1 << 15 else "int"
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(1), key, text).alias("k2"), F.col(key).alias("doc_id"), F.xxhash64(whole).alias("hash"), F.length(whole).alias("length"), units(F.col(text)).alias("units"))
+    look = _look_up(rows, table.where(F.col("n") >= least), kind)
+    rare = look(False).join(table.where(F.col("n") < least).select("unit", "ids"), "unit")
+    rare = rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "place", "ids")).alias("rare"))
+    rare = rare.select("k1", "k2", F.array_sort(F.array_distinct("rare")).alias("rare"))
+    known, put = F.col("known").cast("array<int>"), F.col("rare")
+
+    def part(r: Column, i: Column) -> Column:
+        since = F.coalesce(F.get(put, i - 1)["place"], F.lit(0))
+        return F.concat(F.slice(known, since + 1, r["place"] - since), r["ids"])
+
+    tail = F.slice(known, F.element_at(put, -1)["place"] + 1, F.size(known))
+    ids = F.when(put.isNull(), known).otherwise(F.flatten(F.concat(F.transform(put, part), F.array(tail))))
+    return look(True).join(rare, ["k1", "k2"], "left").select("doc_id", ids.alias("ids"), "hash", "length")
+
+
+def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, ids): the pieces of each text, in order."""
+    return _encoded(docs, pieces, key, text, frequent).select("doc_id", "ids")
+
+
+def text_of(ids: Column, pieces: Pieces) -> Column:
+    """The text that a document's ids spell, without the space before it."""
+    spelled = spell(ids, pieces)
+    return F.when(F.startswith(spelled, F.lit(" ")), F.substr(spelled, F.lit(2))).otherwise(spelled)
+
+
+def decode_texts(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids)."""
+    return encoded.select("doc_id", text_of(F.col("ids"), pieces).alias("text"))
+
+
 def token_summary(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_units, n_pieces, pieces_hash, exact) for each document. pieces_hash depends on all ids and the positions
-    of their units; exact: decoding gives the text again.
-
-    Frequent units are looked up where the text is read and summed up by document there; only the others are shuffled."""
-    table = stored(encode_units(docs, pieces, text).select("unit", "n", F.size("ids").cast("bigint").alias("k"), F.xxhash64("ids").alias("h"), "exact"), "units")
-    top = table.where(F.col("n") >= _least_count(table, frequent)).drop("n")
-    rest = table.drop("n").withColumnsRenamed({"unit": "other", "k": "k2", "h": "h2", "exact": "exact2"})
-    each = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.array_append(units(F.col(text)), F.lit(None).cast("string")).alias("units"))
-    each = each.select("row", "doc_id", F.posexplode("units").alias("at", "unit"))
-    near = each.join(F.broadcast(top), "unit", "left")
-    # A unit that isn't frequent keeps its own row; all others of a document are one.
-    rare = F.col("unit").isNotNull() & F.col("k").isNull()
-    first = near.groupBy("row", "doc_id", F.when(rare, F.col("unit")).alias("other"), F.when(rare, F.col("at")).alias("place")).agg(
-        F.count("unit").alias("n_units"), F.sum("k").alias("k"), F.bit_xor(F.when(F.col("k").isNotNull(), F.xxhash64("at", "h"))).alias("x"), F.bool_and("exact").alias("exact")
-    )
-    # The row of the frequent ones gets a key that is no unit, so that nulls don't meet in one task.
-    first = first.withColumn("other", F.coalesce("other", F.concat(F.lit("\n\n"), F.col("row").cast("string"))))
-    both = first.join(rest, "other", "left")
-    return (
-        both.groupBy("row", "doc_id")
-        .agg(
-            F.sum("n_units").alias("n_units"),
-            F.sum(F.coalesce("k", "k2", F.lit(0))).cast("bigint").alias("n_pieces"),
-            F.bit_xor(F.coalesce("x", F.when(F.col("h2").isNotNull(), F.xxhash64("place", "h2")), F.lit(0).cast("bigint"))).alias("pieces_hash"),
-            F.bool_and(F.coalesce("exact", "exact2", F.col("n_units") == 0)).alias("exact"),
-        )
-        .select("doc_id", "n_units", "n_pieces", F.lower(F.hex("pieces_hash")).alias("pieces_hash"), "exact")
-    )
+    """(doc_id, n_pieces, ids, decoded_hash, exact) for each document: its ids in order and the hash of the text that they are
+    decoded to. exact: that text has the hash and the length of the document's own."""
+    each = _encoded(docs, pieces, key, text, frequent).select("doc_id", "ids", "hash", "length", text_of(F.col("ids"), pieces).alias("decoded"))
+    each = each.select("doc_id", "ids", "hash", "length", F.xxhash64("decoded").alias("h"), F.length("decoded").alias("l"))
+    exact = (F.col("h") == F.col("hash")) & (F.col("l") == F.col("length"))
+    return each.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.lower(F.hex("h")).alias("decoded_hash"), exact.alias("exact"))

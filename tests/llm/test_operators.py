@@ -288,6 +288,16 @@ def test_pieces_by_viterbi(docs):
         assert len(s) == len(rows()) and all(r.exact and r.n_pieces == len(got[r.doc_id]) for r in s)
 
 
+def test_pieces_of_documents_leave_the_query(spark):
+    p = pieces.load_pieces()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    data = [(1, "one two one"), (1, "one two one"), (2, None), (3, "two\nrare word one"), (3, "other"), (None, "one rare"), (4, " ")]
+    some = spark.createDataFrame(data, "doc_id long, text string")
+    for frequent in (0, 2, 1_000_000):
+        got = sorted(((r.doc_id or 0, r.ids, r.exact) for r in pieces.token_summary(some, p, frequent=frequent).collect()))
+        assert got == sorted((i or 0, model.encode(t or ""), True) for i, t in data)
+
+
 def labelled(spark):
     rng = random.Random(3)
     data, labels = [], []

@@ -1,8 +1,9 @@
 """The pipeline against its stages applied by brute force to what each predecessor kept."""
 
 import corpus_pipeline
+import sentencepiece
 
-from sextant.llm import decontaminate, simhash
+from sextant.llm import decontaminate, pieces, simhash
 from tests.llm.test_operators import brute_contamination, brute_simhash
 
 DIR = "/root/testdata/sf0.001"
@@ -32,5 +33,11 @@ def test_stages_keep_and_drop(spark):
     assert decontaminate.WINDOW == 13
 
 
+def test_run_ends_with_the_ids(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert all(r.ids == model.encode(texts[r.doc_id] or "") for r in corpus_pipeline.run(spark, DIR).collect() if "\u2581" not in (texts[r.doc_id] or ""))
+
+
 def test_run_equals_stages(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
