@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text with a space before it is cut into units: up to SPACES spaces and up to LETTERS other characters, or spaces alone, or
-a line feed. No piece of the table crosses the end of a unit but at those two bounds, so units are encoded one by one, and
-every distinct unit once for the whole corpus.
+A text with a space before it is cut into units: spaces and the other characters after them, or spaces alone, or a line
+feed. No piece of the table crosses the end of a unit, so units are encoded one by one, and every distinct unit once for the
+whole corpus.
 
 Lattice: all substrings of a unit up to the longest piece's length are exploded and equi-joined to the piece table; the
 edges found are grouped by unit. A path through them is then chosen by folds with Spark's higher-order aggregate, by the
@@ -17,16 +17,19 @@ kind of model:
 
 In both, a character without a piece becomes its UTF-8 bytes' pieces.
 
+Units of more than LONGEST characters (long URLs, base64, scripts without spaces, deep indents) don't fit the bits of the
+folds. They take the same path outside the lattice, in Python: merges with a heap over linked nodes, Viterbi by ends.
+
 Documents get their ids in order: frequent units are looked up where the text is read, the ids of all others are joined by
 unit and put in at their places. Decoding looks up every id of a document and puts the pieces' bytes together in order.
 
 Defined results: null texts count as empty; empty texts have no pieces. A U+2581 in a text isn't a space: it becomes bytes,
-so that every text is decoded to itself. Units are cut after LETTERS characters, so that pieces of longer runs can differ
-from those of an encoder without a bound, near the cuts. Repeated rows each get a row. Extra columns are ignored.
+so that every text is decoded to itself. Repeated rows each get a row. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -41,11 +44,14 @@ from sextant.llm.common import bounded_batches, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACES, LETTERS = 16, 47
-#: No unit is longer, so that its nodes are the bits of a bigint.
+#: No unit in the lattice is longer, so that its nodes are the bits of a bigint.
 LONGEST = SPACES + LETTERS
-#: One unit; and what tells that a text has a run of characters or spaces too long for one.
+#: One whole unit; one cut to LONGEST; and what tells that a text has a run of characters too long for that.
+_WHOLE = r" *[^ \n]+| +|\n"
 _UNIT = rf" {{0,{SPACES}}}[^ \n]{{1,{LETTERS}}}| {{1,{SPACES}}}|\n"
 _LONG = rf"[^ \n]{{{LETTERS + 1}}}"
+#: What every text with a unit of more than LONGEST characters has. One of the spaces can be the one put before the text.
+_TOO_LONG = rf" {{{SPACES}}}|{_LONG}"
 #: So many of the most frequent units are broadcast when documents are put together; all others are joined by a shuffle.
 FREQUENT = 750_000
 
@@ -92,14 +98,17 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return Pieces(tuple((i, m.id_to_piece(i).replace("▁", " "), m.get_score(i)) for i in plain), tuple(byte_ids[b] for b in range(256)))
 
 
-def units(text: Column) -> Column:
+def units(text: Column, whole: bool = False) -> Column:
+    """The units of a text: whole, or with the longer ones cut to LONGEST characters."""
     text = F.coalesce(text, F.lit(""))
     marked = F.when(text == "", "").otherwise(F.concat(F.lit(" "), text))
-    # Most texts have single spaces and no long runs. A mark that they don't hold, before each space and around each line
+    # Most texts have single spaces. A mark that they don't hold, before each space and around each line
     # feed, cuts them alike without a regular expression.
     plain = F.replace(F.replace(marked, F.lit(" "), F.lit("\0 ")), F.lit("\n"), F.lit("\0\n\0"))
     other = marked.contains("\0") | marked.contains("  ")
-    cut = F.when(other | text.rlike(_LONG), F.regexp_extract_all(marked, F.lit(_UNIT), F.lit(0))).otherwise(F.split(plain, "\0"))
+    if not whole:
+        other = other | text.rlike(_LONG)
+    cut = F.when(other, F.regexp_extract_all(marked, F.lit(_WHOLE if whole else _UNIT), F.lit(0))).otherwise(F.split(plain, "\0"))
     return F.array_remove(cut, "")
 
 
@@ -216,6 +225,67 @@ def viterbi(grouped: DataFrame, pieces: Pieces) -> DataFrame:
     return best.select("unit", *kept, F.aggregate(F.sequence(F.lit(1), n), none, back, lambda acc: acc["ids"]).alias("ids"))
 
 
+def long_merge(unit: str, known: dict[str, tuple[float, int]], byte_ids: tuple[int, ...]) -> list[int]:
+    """What merge() does, for a unit of any length: the best pair (rank, then the leftmost) first."""
+    n = len(unit)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(a: int) -> None:
+        if a >= 0 and (b := after[a]) < n and (hit := known.get(unit[a : end[b]])) is not None:
+            heapq.heappush(heap, (-hit[0], a, end[b]))
+
+    for a in range(n - 1):
+        offer(a)
+    while heap:
+        _, a, to = heapq.heappop(heap)
+        # A node that is gone has no end; one that has grown has other ends than when the pair was offered.
+        if end[a] < 0 or (b := after[a]) >= n or end[b] != to:
+            continue
+        end[a], end[b], after[a] = to, -1, after[b]
+        if after[a] < n:
+            before[after[a]] = a
+        offer(a)
+        offer(before[a])
+    out, a = [], 0
+    while a < n:
+        hit = known.get(unit[a : end[a]])
+        out += [hit[1]] if hit else [byte_ids[x] for x in unit[a].encode()]
+        a = after[a]
+    return out
+
+
+def long_viterbi(unit: str, known: dict[str, tuple[float, int]], byte_ids: tuple[int, ...], longest: int, fallback: float) -> list[int]:
+    """What viterbi() does, for a unit of any length."""
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    for end in range(1, len(unit) + 1):
+        paths = []
+        for start in range(max(0, end - longest), end):
+            if (hit := known.get(unit[start:end])) is not None:
+                paths.append((best[start][0] + hit[0], start, hit[1] + 1))
+            elif end - start == 1:
+                paths.append((best[start][0] + fallback, start, 0))
+        best.append(max(paths))
+    out, at = [], len(unit)
+    while at:
+        _, start, code = best[at]
+        out.append([code - 1] if code else [byte_ids[x] for x in unit[start].encode()])
+        at = start
+    return [i for ids in reversed(out) for i in ids]
+
+
+def long_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, ids) for the units that the lattice has no bits for."""
+    known, byte_ids, longest, fallback, merges = {p: (x, i) for i, p, x in pieces.rows}, pieces.byte_ids, pieces.longest, pieces.fallback, pieces.merges
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [long_merge(u, known, byte_ids) if merges else long_viterbi(u, known, byte_ids, longest, fallback) for u in b.column("unit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
+
+    return distinct.select("unit", "n").mapInArrow(each, "unit string, n bigint, ids array<int>")
+
+
 def spell(ids: Column, pieces: Pieces) -> Column:
     """What ids spell, by a look-up of each in an array of all pieces. Unknown ids and bytes that aren't UTF-8 spell nothing
     that can be relied on."""
@@ -230,9 +300,11 @@ def spell(ids: Column, pieces: Pieces) -> Column:
 
 def encode_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """(unit, n, ids) for each distinct unit of the corpus: its count and pieces."""
-    distinct = docs.select(F.explode(units(F.col(text))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    # The lattice goes on in the shuffle of the short ones. Only texts that can have a long unit are cut again for those.
+    each = [docs.select(F.explode(units(F.col(text), whole=True)).alias("unit")) for docs in (docs, docs.where(F.col(text).rlike(_TOO_LONG)))]
+    short, long = (u.where(fits).groupBy("unit").agg(F.count("*").alias("n")) for u, fits in zip(each, (F.length("unit") <= LONGEST, F.length("unit") > LONGEST)))
     choose = merge if pieces.merges else viterbi
-    return choose(lattice(distinct, pieces), pieces).select("unit", "n", "ids")
+    return choose(lattice(short, pieces), pieces).select("unit", "n", "ids").unionByName(long_units(long, pieces))
 
 
 def _least_count(table: DataFrame, most: int) -> int:
@@ -309,7 +381,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, key: str, text: str, frequent: int
     least = _least_count(table, frequent)
     kind = "smallint" if max(max(i for i, _, _ in pieces.rows), *pieces.byte_ids) < 1 << 15 else "int"
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(1), key, text).alias("k2"), F.col(key).alias("doc_id"), F.xxhash64(whole).alias("hash"), F.length(whole).alias("length"), units(F.col(text)).alias("units"))
+    rows = docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(1), key, text).alias("k2"), F.col(key).alias("doc_id"), F.xxhash64(whole).alias("hash"), F.length(whole).alias("length"), units(F.col(text), whole=True).alias("units"))
     look = _look_up(rows, table.where(F.col("n") >= least), kind)
     rare = look(False).join(table.where(F.col("n") < least).select("unit", "ids"), "unit")
     rare = rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "place", "ids")).alias("rare"))

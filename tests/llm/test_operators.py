@@ -249,6 +249,21 @@ def test_pieces_by_merges_are_those_of_the_model(spark, docs, empty):
     assert pieces.token_summary(empty, p).count() == 0
 
 
+def test_pieces_of_long_units_are_those_of_the_model(spark):
+    p = pieces.load_pieces()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(5)
+    mixed = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    texts = ["re" * 24, "la" * 200 + " y", "https://example.org/" + "some-long-path/" * 9, mixed, "\u6f22\u5b57\u306e" * 60, "\U0001f600" * 70, " " * 17 + "x", "a\n" + " " * 40 + "return x", " " * 300, "=" * 5000, "x" * 63 + "ab"]
+    long = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frequent in (2, 1_000_000):
+        got = {r.doc_id: r.ids for r in pieces.encode(long, p, frequent=frequent).collect()}
+        assert got == {i: model.encode(t) for i, t in enumerate(texts)}
+    known = {s: (x, i) for i, s, x in p.rows}
+    for t in (" sentence", " ab\u6f22", " " * 5 + "return"):
+        assert pieces.long_merge(t, known, p.byte_ids) == model.encode(t[1:])
+
+
 def test_pieces_by_viterbi(docs):
     ranked = pieces.load_pieces()
     p = pieces.Pieces(tuple((i, s, -1.5 - math.log(2 + i)) for i, s, _ in ranked.rows), ranked.byte_ids)
