@@ -242,6 +242,20 @@ def hex_of(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows without an id stay."""
-    gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key := fresh(docs, "_gone")[0])).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    """docs with exactly one row of each component: the one with the smallest doc_id (rows without an id come last), then by
+    a hash of id and text. Rows are known by two such hashes, and of rows alike in both one stays."""
+    a, b = keys = fresh(docs, "_a", "_b")
+    marked = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64(F.lit(1), "doc_id", "text")})
+    each = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(a).alias("a"), F.col(b).alias("b"))
+    prints = stored(with_fingerprint(each, "text", "fp").select("doc_id", "a", "b", "fp"), "rows")
+    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("first"))
+    linked = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    kept = classes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = kept.select("first.a", "first.b")
+    counted = prints.groupBy("a", "b").agg(F.count("*").alias("n"))
+    gone = counted.join(kept, ["a", "b"], "left_anti").select("a", "b")
+    repeated = counted.where("n > 1").join(kept, ["a", "b"], "left_semi").select("a", "b")
+    # Only repeated rows, of which one is taken, are brought together with their texts.
+    name = lambda df: df.select(F.col("a").alias(a), F.col("b").alias(b))
+    once = marked.join(name(gone.unionByName(repeated)), keys, "left_anti")
+    return once.unionByName(marked.join(name(repeated), keys, "left_semi").dropDuplicates(keys)).select(*docs.columns)

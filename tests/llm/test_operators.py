@@ -161,6 +161,13 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_row_of_each_component(spark):
+    x, y, z = ("the quick brown fox jumps over the lazy dog", "completely other words stand in this second text", "0123456789 numbers only here 9876543210")
+    data = [(1, x), (1, x), (2, x), (None, x), (2, y), (None, z), (None, z)]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, x), (2, y), (0, z)])
+
+
 def test_gray_index_finds_every_component():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
