@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text with a space before it is cut into units: spaces and the other characters after them, or spaces alone, or a line
-feed. No piece of the table crosses the end of a unit, so units are encoded one by one, and every distinct unit once for the
-whole corpus.
+A text with a space before it is cut into units between any two neighbouring characters that no piece of the table holds
+side by side. No piece can cross such a place, so units are encoded one by one, and every distinct unit once for the whole
+corpus.
 
 Lattice: all substrings of a unit up to the longest piece's length are exploded and equi-joined to the piece table; the
 edges found are grouped by unit. A path through them is then chosen by folds with Spark's higher-order aggregate, by the
@@ -17,43 +17,39 @@ kind of model:
 
 In both, a character without a piece becomes its UTF-8 bytes' pieces.
 
-Units of more than LONGEST characters (long URLs, base64, scripts without spaces, deep indents) don't fit the bits of the
-folds. They take the same path outside the lattice, in Python: merges with a heap over linked nodes, Viterbi by ends.
+Units of more than LONGEST characters (base64, runs of one sign) don't fit the bits of the folds. They take the same path
+outside the lattice, in Python: merges with a heap over linked nodes, Viterbi by ends. No unit is cut for its length.
 
-Documents get their ids in order: frequent units are looked up where the text is read, the ids of all others are joined by
-unit and put in at their places. Decoding looks up every id of a document and puts the pieces' bytes together in order.
+Documents get their ids in order: each text becomes the numbers of its units among the frequent ones, with gaps for all
+others; the ids of those are joined by unit, come to their document in order and fill the gaps. Decoding looks up every id
+of a document and puts the pieces' bytes together in order.
 
 Defined results: null texts count as empty; empty texts have no pieces. A U+2581 in a text isn't a space: it becomes bytes,
-so that every text is decoded to itself. Repeated rows each get a row. Extra columns are ignored.
+so that every text is decoded to itself. Bytes that aren't UTF-8 become U+FFFD. Repeated rows each get a row. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, stored
+from sextant.llm.common import bounded_batches, partitions, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACES, LETTERS = 16, 47
 #: No unit in the lattice is longer, so that its nodes are the bits of a bigint.
-LONGEST = SPACES + LETTERS
-#: One whole unit; one cut to LONGEST; and what tells that a text has a run of characters too long for that.
-_WHOLE = r" *[^ \n]+| +|\n"
-_UNIT = rf" {{0,{SPACES}}}[^ \n]{{1,{LETTERS}}}| {{1,{SPACES}}}|\n"
-_LONG = rf"[^ \n]{{{LETTERS + 1}}}"
-#: What every text with a unit of more than LONGEST characters has. One of the spaces can be the one put before the text.
-_TOO_LONG = rf" {{{SPACES}}}|{_LONG}"
-#: So many of the most frequent units are broadcast when documents are put together; all others are joined by a shuffle.
-FREQUENT = 750_000
+LONGEST = 63
+#: So many of the most frequent units, of so many bytes with their ids, are broadcast when documents are put together; all
+#: others are joined by a shuffle.
+FREQUENT, FREQUENT_BYTES = 400_000, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -98,18 +94,63 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return Pieces(tuple((i, m.id_to_piece(i).replace("▁", " "), m.get_score(i)) for i in plain), tuple(byte_ids[b] for b in range(256)))
 
 
-def units(text: Column, whole: bool = False) -> Column:
-    """The units of a text: whole, or with the longer ones cut to LONGEST characters."""
-    text = F.coalesce(text, F.lit(""))
-    marked = F.when(text == "", "").otherwise(F.concat(F.lit(" "), text))
-    # Most texts have single spaces. A mark that they don't hold, before each space and around each line
-    # feed, cuts them alike without a regular expression.
-    plain = F.replace(F.replace(marked, F.lit(" "), F.lit("\0 ")), F.lit("\n"), F.lit("\0\n\0"))
-    other = marked.contains("\0") | marked.contains("  ")
-    if not whole:
-        other = other | text.rlike(_LONG)
-    cut = F.when(other, F.regexp_extract_all(marked, F.lit(_WHOLE if whole else _UNIT), F.lit(0))).otherwise(F.split(plain, "\0"))
-    return F.array_remove(cut, "")
+class Cutter:
+    """Cuts texts into units, a batch at a time: between any two neighbouring characters that no piece holds side by side."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        beside = {(a, b) for _, p, _ in pieces.rows for a, b in zip(p, p[1:])}
+        known = sorted({ord(c) for pair in beside for c in pair})
+        self.number = np.zeros(0x110000, dtype=np.uint16)
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        joined = np.zeros((self.width, self.width), dtype=bool)
+        for a, b in beside:
+            joined[self.number[ord(a)], self.number[ord(b)]] = True
+        self.joined = joined.ravel()
+
+    def cut(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """(all units, units of each text) of texts without nulls."""
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        low, high = (int(offsets[0]), int(offsets[-1])) if len(texts) else (0, 0)
+        if low == high:
+            return pa.array([], pa.string()), np.zeros(len(texts), dtype=np.int64)
+        raw = texts.buffers()[2].slice(low, high - low)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        place = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
+        kind = self.number[np.frombuffer(raw.to_pybytes().decode().encode("utf-32-le"), dtype=np.uint32)]
+        first = np.empty(len(place), dtype=bool)
+        first[0] = True
+        first[1:] = ~self.joined[kind[:-1].astype(np.int32) * self.width + kind[1:]]
+        begins = (offsets[:-1] - low)[offsets[:-1] < offsets[1:]]
+        first[np.searchsorted(place, begins)] = True
+        starts = place[first]
+        ends = np.append(starts, np.int32(len(data)))
+        counts = np.diff(np.searchsorted(starts, offsets - low))
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), raw), counts
+
+
+@lru_cache(2)
+def _cutter(pieces: Pieces) -> Cutter:
+    return Cutter(pieces)
+
+
+def marked(text: Column) -> Column:
+    """What is cut: the text with a space before it; nothing for empty ones."""
+    text = F.make_valid_utf8(F.coalesce(text, F.lit("")))
+    return F.when(text == "", "").otherwise(F.concat(F.lit(" "), text))
+
+
+def unit_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """(unit, n) for each distinct unit of the corpus, counted within each batch before they are shuffled."""
+    bounded_batches(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _cutter(pieces)
+        for b in batches:
+            found = cutter.cut(b.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["unit", "n"])
+
+    return docs.select(marked(F.col(text)).alias("t")).mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
@@ -126,8 +167,13 @@ def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     cut = distinct.select("unit", *kept, F.explode(F.sequence(F.lit(0), last)).alias("start"))
     cut = cut.select("unit", *kept, "start", F.explode(F.sequence(least, F.least(F.lit(pieces.longest), F.length("unit") - F.col("start")))).alias("size"))
     cut = cut.select("unit", *kept, "start", "size", F.substr(F.col("unit"), F.col("start") + 1, F.col("size")).alias("piece"))
-    table = pieces.table(spark).select("piece", (F.col("id") + 1).cast("bigint").alias("code"), "rank")
-    found = cut.join(F.broadcast(table), "piece", "left").where(F.col("code").isNotNull() | (F.col("size") == 1))
+    # Joined by a number, not by the text, which makes the look-up some six times cheaper; then the texts are compared, in a
+    # form that the planner doesn't take for another key.
+    key = F.xxhash64("piece")
+    table = pieces.table(spark).select(key.alias("key"), F.col("piece").alias("held"), F.length("piece").alias("m"), (F.col("id") + 1).cast("bigint").alias("code"), "rank")
+    cut = cut.withColumn("key", key)
+    same = (cut["key"] == table["key"]) & F.startswith(cut["piece"], table["held"]) & (table["m"] >= cut["size"])
+    found = cut.join(F.broadcast(table), same, "left").where(F.col("code").isNotNull() | (F.col("size") == 1))
     start, size, zero = F.col("start").cast("bigint"), F.col("size").cast("bigint"), F.lit(0).cast("bigint")
     order = F.coalesce(F.col("rank").cast("bigint"), zero) if pieces.merges else start + size
     edge = F.shiftleft(order, 38) + F.shiftleft(start, 31) + F.shiftleft(size, 24) + F.coalesce("code", zero)
@@ -286,34 +332,53 @@ def long_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     return distinct.select("unit", "n").mapInArrow(each, "unit string, n bigint, ids array<int>")
 
 
-def spell(ids: Column, pieces: Pieces) -> Column:
-    """What ids spell, by a look-up of each in an array of all pieces. Unknown ids and bytes that aren't UTF-8 spell nothing
-    that can be relied on."""
-    table = [""] * (max(max(i for i, _, _ in pieces.rows), *pieces.byte_ids) + 1)
-    for i, p, _ in pieces.rows:
-        table[i] = p.encode().hex()
-    for b, i in enumerate(pieces.byte_ids):
-        table[i] = f"{b:02x}"
-    spelled = F.split(F.lit(",".join(table)), ",")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(spelled, i)), "")), "UTF-8")
+class Speller:
+    """Ids back to texts, a batch at a time. Unknown ids spell nothing; bytes that aren't UTF-8 become U+FFFD."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        table = [b""] * (max(max(i for i, _, _ in pieces.rows), *pieces.byte_ids) + 2)
+        for i, p, _ in pieces.rows:
+            table[i] = p.encode()
+        for b, i in enumerate(pieces.byte_ids):
+            table[i] = bytes([b])
+        self.size = np.array([len(x) for x in table], dtype=np.int32)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(table), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The text of each run of `counts` ids, without the space before it."""
+        ids = np.where((ids >= 0) & (ids < len(self.size)), ids, len(self.size) - 1)
+        data, ends = _gather(self.data, self.start[ids], self.size[ids])
+        edge = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        whole = data.tobytes()
+        return [whole[a + (whole[a : a + 1] == b" ") : b] for a, b in zip(edge, edge[1:])]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat[starts[0] : starts[0] + sizes[0]], and so on, side by side; where each begins and the last ends)."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return flat[np.repeat((starts - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)], ends
 
 
 def encode_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """(unit, n, ids) for each distinct unit of the corpus: its count and pieces."""
-    # The lattice goes on in the shuffle of the short ones. Only texts that can have a long unit are cut again for those.
-    each = [docs.select(F.explode(units(F.col(text), whole=True)).alias("unit")) for docs in (docs, docs.where(F.col(text).rlike(_TOO_LONG)))]
-    short, long = (u.where(fits).groupBy("unit").agg(F.count("*").alias("n")) for u, fits in zip(each, (F.length("unit") <= LONGEST, F.length("unit") > LONGEST)))
+    spark = docs.sparkSession
+    with _shuffles_removed(spark):
+        counted = stored(unit_counts(docs, pieces, text), "unit-counts")
+    short, long = counted.where(F.length("unit") <= LONGEST), counted.where(F.length("unit") > LONGEST)
     choose = merge if pieces.merges else viterbi
-    return choose(lattice(short, pieces), pieces).select("unit", "n", "ids").unionByName(long_units(long, pieces))
+    return choose(lattice(short.repartition(partitions(spark), "unit"), pieces), pieces).select("unit", "n", "ids").unionByName(long_units(long, pieces))
 
 
-def _least_count(table: DataFrame, most: int) -> int:
-    """A count n such that at most `most` units occur n times or more, from a histogram with 16 bars for each doubling."""
-    bars = table.groupBy(F.floor(F.log2("n") * 16).alias("bar")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("bar")).collect()
-    total, least = 0, 1 << 62
+def _least_count(table: DataFrame, most: int, most_bytes: int) -> int:
+    """A count n such that the units that occur n times or more are at most `most`, and they and their ids have at most
+    `most_bytes`; from a histogram with 16 bars for each doubling."""
+    size = F.octet_length("unit") + 4 * F.size("ids")
+    bars = table.groupBy(F.floor(F.log2("n") * 16).alias("bar")).agg(F.count("*").alias("units"), F.sum(size).alias("bytes"), F.min("n").alias("least")).orderBy(F.desc("bar")).collect()
+    units, total, least = 0, 0, 1 << 62
     for r in bars:
-        total += r.units
-        if total > most:
+        units, total = units + r.units, total + r.bytes
+        if units > most or total > most_bytes:
             break
         least = r.least
     return least
@@ -331,92 +396,145 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _look_up(rows: DataFrame, top: DataFrame, kind: str) -> Callable[[bool], DataFrame]:
-    """A look-up of the units of rows (k1, k2, doc_id, hash, length, units) in top (unit, ids), which is broadcast. Called with
-    True it gives (k1, k2, doc_id, hash, length, known), the ids of all units found; with False (k1, k2, at, place, unit), a
-    row for each unit not found: its number, and how many ids are known before it."""
-    spark = rows.sparkSession
-    bounded_batches(spark)
-    found = top.select("unit", "ids").toArrow().combine_chunks()
-    ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in found.column("ids").chunks)])
-    index = {u: i for i, u in enumerate(found.column("unit").to_pylist())}
-    starts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-    held = spark.sparkContext.broadcast((index, starts, ids.flatten().to_numpy(zero_copy_only=False)))
-    number = pa.int16() if kind == "smallint" else pa.int32()
-
-    def look(batches: Iterator[pa.RecordBatch], known: bool) -> Iterator[pa.RecordBatch]:
-        index, starts, flat = held.value
-        for b in batches:
-            unit, lengths = b.column("units").flatten(), b.column("units").value_lengths().to_numpy(zero_copy_only=False)
-            coded = unit.dictionary_encode()
-            place = np.array([index.get(u, -1) for u in coded.dictionary.to_pylist()], np.int64)
-            at = place[coded.indices.to_numpy(zero_copy_only=False)]
-            size = np.where(at >= 0, starts[at + 1] - starts[at], 0)
-            before, first = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            if known:
-                ids = flat[np.repeat(starts[at] - before[:-1], size) + np.arange(before[-1])]
-                lists = pa.ListArray.from_arrays(pa.array(before[first], pa.int32()), pa.array(ids, number))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "doc_id", "hash", "length")), lists], ["k1", "k2", "doc_id", "hash", "length", "known"])
-            else:
-                rare = np.flatnonzero(at < 0)
-                doc = np.searchsorted(first, rare, "right") - 1
-                more = [pa.array(rare - first[doc], pa.int32()), pa.array(before[rare] - before[first[doc]], pa.int32()), unit.take(pa.array(rare))]
-                yield pa.RecordBatch.from_arrays([b.column("k1").take(pa.array(doc)), b.column("k2").take(pa.array(doc)), *more], ["k1", "k2", "at", "place", "unit"])
-
-    def run(known: bool) -> DataFrame:
-        doc_id = rows.schema["doc_id"].dataType.simpleString()
-        schema = f"k1 bigint, k2 bigint, doc_id {doc_id}, hash bigint, length int, known array<{kind}>" if known else "k1 bigint, k2 bigint, at int, place int, unit string"
-        return rows.mapInArrow(lambda batches: look(batches, known), schema)
-
-    return run
-
-
-def _encoded(docs: DataFrame, pieces: Pieces, key: str, text: str, frequent: int) -> DataFrame:
-    """(doc_id, ids, hash, length): the pieces of each text in order, and the text's hash and length.
+def pack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, size of each) of numbers below 2^21: seven bits a byte, the least first, all but the last with the high bit."""
+    size = 1 + (codes >= 1 << 7).astype(np.int64) + (codes >= 1 << 14)
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, dtype=np.uint8)
+    for k in range(3):
+        some = size > k
+        out[(end - size)[some] + k] = (codes[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
+    return out, size
+
+
+def unpack(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    out = (data[first] & 127).astype(np.int32)
+    for k in (1, 2):
+        some = last - first >= k
+        out[some] |= (data[first[some] + k] & 127).astype(np.int32) << 7 * k
+    return out
+
+
+#: So many units are put together at once.
+AT_ONCE = 1 << 20
+
+
+class _Frequent:
+    """The frequent units: their numbers (from 1, the most frequent first; 0 is any other unit) and ids."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.combine_chunks()
+        lists = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in table.column("ids").chunks)])
+        self.number = {u: i for i, u in enumerate(table.column("unit").to_pylist(), 1)}
+        self.size = np.concatenate([[0], lists.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def codes(self, units: pa.StringArray) -> np.ndarray:
+        coded = units.dictionary_encode()
+        number = np.array([self.number.get(u, 0) for u in coded.dictionary.to_pylist()], dtype=np.int32)
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, key: str, text: str, frequent: int, summary: bool) -> DataFrame:
+    """(doc_id, ids), and with summary (n_pieces, decoded_hash, exact) of what the ids spell.
 
     Rows are known by two hashes of id and text, which don't depend on how the table is read. Rows alike in both have the
-    same units, which array_distinct makes one."""
-    with _shuffles_removed(docs.sparkSession):
+    same units, which collect_set makes one."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    with _shuffles_removed(spark):
         table = stored(encode_units(docs, pieces, text), "units")
-    least = _least_count(table, frequent)
-    kind = "smallint" if max(max(i for i, _, _ in pieces.rows), *pieces.byte_ids) < 1 << 15 else "int"
+    least = _least_count(table, frequent, FREQUENT_BYTES)
+    top = table.where(F.col("n") >= least).orderBy(F.desc("n"), "unit").select("unit", "ids").toArrow()
+    held = spark.sparkContext.broadcast(_Frequent(top))
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(1), key, text).alias("k2"), F.col(key).alias("doc_id"), F.xxhash64(whole).alias("hash"), F.length(whole).alias("length"), units(F.col(text), whole=True).alias("units"))
-    look = _look_up(rows, table.where(F.col("n") >= least), kind)
-    rare = look(False).join(table.where(F.col("n") < least).select("unit", "ids"), "unit")
-    rare = rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "place", "ids")).alias("rare"))
-    rare = rare.select("k1", "k2", F.array_sort(F.array_distinct("rare")).alias("rare"))
-    known, put = F.col("known").cast("array<int>"), F.col("rare")
-
-    def part(r: Column, i: Column) -> Column:
-        since = F.coalesce(F.get(put, i - 1)["place"], F.lit(0))
-        return F.concat(F.slice(known, since + 1, r["place"] - since), r["ids"])
+    keyed = docs.select(F.xxhash64(key, text).alias("k1"), F.xxhash64(F.lit(1), key, text).alias("k2"), F.col(key).alias("doc_id"), F.xxhash64(whole).alias("hash"), F.octet_length(whole).alias("length"), marked(F.col(text)).alias("t"))
 
-    tail = F.slice(known, F.element_at(put, -1)["place"] + 1, F.size(known))
-    ids = F.when(put.isNull(), known).otherwise(F.flatten(F.concat(F.transform(put, part), F.array(tail))))
-    return look(True).join(rare, ["k1", "k2"], "left").select("doc_id", ids.alias("ids"), "hash", "length")
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _cutter(pieces)
+        for b in batches:
+            units, counts = cutter.cut(b.column("t"))
+            at = np.flatnonzero(held.value.codes(units) == 0)
+            edge = np.cumsum(counts)
+            doc = np.searchsorted(edge, at, "right")
+            keys = [b.column(c).take(pa.array(doc)) for c in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(at - (edge - counts)[doc], pa.int32()), units.take(pa.array(at))], ["k1", "k2", "at", "unit"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _cutter(pieces)
+        for b in batches:
+            units, counts = cutter.cut(b.column("t"))
+            data, size = pack(held.value.codes(units))
+            edge = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "doc_id", "hash", "length")), codes], ["k1", "k2", "doc_id", "hash", "length", "codes"])
+
+    with _shuffles_removed(spark):
+        found = keyed.select("k1", "k2", "t").mapInArrow(rare, "k1 bigint, k2 bigint, at int, unit string")
+        put = stored(found.join(table.where(F.col("n") < least).select("unit", "ids"), "unit").select("k1", "k2", "at", "ids"), "rare")
+    put = put.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("rare")).select("k1", "k2", F.col("rare.ids").alias("rare"))
+    doc_type = docs.schema[key].dataType.simpleString()
+    coded = keyed.mapInArrow(known, f"k1 bigint, k2 bigint, doc_id {doc_type}, hash bigint, length int, codes binary")
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller(pieces) if summary else None
+        for b in batches:
+            # Rows are put together a few at a time, as ids take many times the room of codes.
+            size = np.cumsum([len(x.as_buffer()) for x in b.column("codes")])
+            edges = [0, *np.flatnonzero(np.diff(size // AT_ONCE)) + 1, len(size)] if len(size) else [0]
+            for low, high in zip(edges, edges[1:]):
+                yield from _put_together(b.slice(low, high - low), held.value, speller)
+
+    out = f"doc_id {doc_type}, ids array<int>" + (", n_pieces bigint, decoded_hash string, exact boolean" if summary else "")
+    return coded.join(put, ["k1", "k2"], "left").select("doc_id", "hash", "length", "codes", "rare").mapInArrow(assemble, out)
+
+
+def _put_together(b: pa.RecordBatch, frequent: _Frequent, speller: Speller | None) -> Iterator[pa.RecordBatch]:
+    packed = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in b.column("codes")]
+    codes = unpack(np.concatenate(packed)) if packed else np.zeros(0, dtype=np.int32)
+    counts = np.array([np.count_nonzero(x < 128) for x in packed], dtype=np.int64)
+    lists = b.column("rare").flatten()
+    sizes, starts = frequent.size[codes], frequent.start[codes]
+    gaps = np.flatnonzero(codes == 0)
+    if len(gaps) != len(lists):
+        raise ValueError(f"{len(gaps)} units without ids, {len(lists)} found")
+    sizes[gaps] = lists.value_lengths().to_numpy(zero_copy_only=False)
+    starts[gaps] = len(frequent.ids) + np.cumsum(sizes[gaps]) - sizes[gaps]
+    ids, ends = _gather(np.concatenate([frequent.ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)]), starts, sizes)
+    edge = ends[np.concatenate([[0], np.cumsum(counts)])]
+    columns = {"doc_id": b.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids, pa.int32()))}
+    if speller is not None:
+        texts = speller.spell(ids, np.diff(edge))
+        hashes = [xxhash.xxh64_intdigest(t, 42) for t in texts]
+        same = np.array(hashes, dtype=np.uint64).view(np.int64) == b.column("hash").to_numpy(zero_copy_only=False)
+        same &= np.array([len(t) for t in texts], dtype=np.int64) == b.column("length").to_numpy(zero_copy_only=False)
+        columns |= {"n_pieces": pa.array(np.diff(edge), pa.int64()), "decoded_hash": pa.array([f"{h:x}" for h in hashes], pa.string()), "exact": pa.array(same)}
+    yield pa.RecordBatch.from_pydict(columns)
 
 
 def encode(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, ids): the pieces of each text, in order."""
-    return _encoded(docs, pieces, key, text, frequent).select("doc_id", "ids")
+    return _encoded(docs, pieces, key, text, frequent, False)
 
 
-def text_of(ids: Column, pieces: Pieces) -> Column:
-    """The text that a document's ids spell, without the space before it."""
-    spelled = spell(ids, pieces)
-    return F.when(F.startswith(spelled, F.lit(" ")), F.substr(spelled, F.lit(2))).otherwise(spelled)
+def decode_texts(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids): what the ids spell, without the space before it."""
+    bounded_batches(encoded.sparkSession)
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller(pieces)
+        for b in batches:
+            ids, counts = b.column("ids").flatten().to_numpy(zero_copy_only=False), b.column("ids").fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
+            found = [t.decode("utf-8", "replace") for t in speller.spell(ids, counts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "text"])
 
-def decode_texts(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
-    return encoded.select("doc_id", text_of(F.col("ids"), pieces).alias("text"))
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(texts, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def token_summary(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_pieces, ids, decoded_hash, exact) for each document: its ids in order and the hash of the text that they are
     decoded to. exact: that text has the hash and the length of the document's own."""
-    each = _encoded(docs, pieces, key, text, frequent).select("doc_id", "ids", "hash", "length", text_of(F.col("ids"), pieces).alias("decoded"))
-    each = each.select("doc_id", "ids", "hash", "length", F.xxhash64("decoded").alias("h"), F.length("decoded").alias("l"))
-    exact = (F.col("h") == F.col("hash")) & (F.col("l") == F.col("length"))
-    return each.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.lower(F.hex("h")).alias("decoded_hash"), exact.alias("exact"))
+    return _encoded(docs, pieces, key, text, frequent, True).select("doc_id", "n_pieces", "ids", "decoded_hash", "exact")

@@ -9,6 +9,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -237,18 +238,17 @@ def test_pieces_by_merges_are_those_of_the_model(spark, docs, empty):
     got = {}
     for r in encoded.collect():
         got.setdefault(r.doc_id, r.ids)
-    # Units of more than LETTERS characters are cut, and U+2581 is a character of its own.
-    data = [(i, t or "") for i, t, *_ in rows() if "\u2581" not in (t or "") and not re.search(rf"[^ \n]{{{pieces.LETTERS + 1}}}| {{{pieces.SPACES + 1}}}", t or "")]
-    assert len(data) > 5
+    # U+2581 is a character of its own here, and a space to the model.
+    data = [(i, t or "") for i, t, *_ in rows() if "\u2581" not in (t or "")]
+    assert len(data) > 55
     for i, t in data:
         assert got[i] == model.encode(t), i
-    # A unit of exactly LONGEST characters, whose last node is the sign bit, isn't cut.
-    full = " " * (pieces.SPACES - 1) + ("re" * pieces.LETTERS)[: pieces.LETTERS]
+    # A unit of exactly LONGEST characters, whose last node is the sign bit, is in the lattice.
+    full = ("re" * pieces.LONGEST)[: pieces.LONGEST - 1]
     one = spark.createDataFrame([(0, full), (1, "a"), (2, "\u6f22"), (3, "\U0001f600")], "doc_id long, text string")
     assert {r.doc_id: r.ids for r in pieces.encode(one, p).collect()} == {0: model.encode(full), 1: model.encode("a"), 2: model.encode("\u6f22"), 3: model.encode("\U0001f600")}
     long = [(1, "x" * 63 + "ab"), (2, "\U0001f600" * 200), (3, "la" * 200 + " y"), (4, "\u6f22\U0001f600" * 90), (5, " " * 70), (6, " " * 16 + "re" * 23 + "s")]
     cut = spark.createDataFrame(long, "doc_id long, text string")
-    assert cut.select(F.max(F.array_max(F.transform(pieces.units(F.col("text")), F.length)))).first()[0] <= pieces.LONGEST
     back = pieces.decode_texts(pieces.encode(cut, p), p)
     assert {r.doc_id: r.text for r in back.collect()} == dict(long)
     assert all(r.exact for r in pieces.token_summary(cut, p).collect())
@@ -271,6 +271,27 @@ def test_pieces_of_long_units_are_those_of_the_model(spark):
         assert pieces.long_merge(t, known, p.byte_ids) == model.encode(t[1:])
 
 
+def test_units_are_cut_where_no_piece_can_cross():
+    p = pieces.load_pieces()
+    beside = {x[i : i + 2] for _, x, _ in p.rows for i in range(len(x) - 1)}
+    rng = random.Random(7)
+    texts = ["", " a, b", "", " x\ny  z9", "".join(rng.choice(" aeiou.,é日本\n12=") for _ in range(500)), "", " \U0001f600\U0001f600"]
+    for array in (pa.array(texts, pa.string()), pa.array(["zz", *texts, "zz"], pa.string())[1:-1]):
+        units, counts = pieces.Cutter(p).cut(array)
+        units, at = units.to_pylist(), 0
+        for t, n in zip(texts, counts.tolist()):
+            mine, at = units[at : at + n], at + n
+            assert "".join(mine) == t and all(mine)
+            assert all(a[-1] + b[0] not in beside for a, b in zip(mine, mine[1:])) and all(u[i : i + 2] in beside for u in mine for i in range(len(u) - 1))
+
+
+def test_numbers_are_packed_and_unpacked():
+    codes = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 0], dtype=np.int32)
+    data, size = pieces.pack(codes)
+    assert size.tolist() == [1, 1, 1, 2, 2, 3, 3, 1] and pieces.unpack(data).tolist() == codes.tolist()
+    assert len(pieces.unpack(pieces.pack(codes[:0])[0])) == 0
+
+
 def test_pieces_by_viterbi(docs):
     ranked = pieces.load_pieces()
     p = pieces.Pieces(tuple((i, s, -1.5 - math.log(2 + i)) for i, s, _ in ranked.rows), ranked.byte_ids)
