@@ -1,32 +1,45 @@
 """Benchmark decontamination with a distributed positional inverted index. DataFrame operations only.
 
-`postings` is the index: one row for each position of a term in a document. Phrase search starts from the rarest term of
-each window of the test items (by the term's count over the whole corpus) and intersects the position lists of the other
-terms, adjusted by their offsets. As the lists of one document lie side by side in the row that its postings come from,
-that intersection is done in place, outward from the rare term, and only full matches are shuffled. `build_index` and
-`search` are the same index as a stored table with position lists, for exact phrases and for proximity.
+Index: `build_index` stores a posting (row, number, position) for each place of a term of the vocabulary in the corpus, and an
+end posting for each row, whose position is the row's number of words. The corpus is read once; all that follows reads the
+postings, which lie by rows, so that no list is ever gathered in one task.
+
+Phrases: each window of the test items starts from its rarest term, by the count of postings. A posting of that anchor puts
+the item beside the row, at an offset. The postings near it are then adjusted by that offset: those whose term is the item's
+at the adjusted place are in the intersection. It is kept as bits around the anchor; a run of bits as long as a window is an
+occurrence. Anchors' postings meet the others by the row and by stretches of STRETCH positions, so that the work grows with
+the postings of anchors, whatever a row's length.
+
+Proximity: the rarest term's postings are the centres; all terms, as often as the phrase has them, must lie in one span.
 
 Defined results: null texts and texts without words have no words: n_words, n_hit and n_items are 0, the digest is that of
 an empty string, contaminated is false. Items without words match nothing; items of fewer than WINDOW words are one window.
 Repeated documents get a row each; several rows of one item_id count as one item with all their windows. Null item ids
-match but aren't listed or counted. Extra columns are ignored; `clean` keeps them.
+match but aren't listed or counted. Texts of any length are taken whole. Empty tables give no rows, an empty benchmark no
+hits. Extra columns are ignored, whatever their names; `clean` keeps them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fresh, lower_ascii
+from sextant.llm.common import fresh, lower_ascii, stored
 
 WINDOW = 13
 #: What lies between words; a word is a run of [^\x00-\x2F\x3A-\x60\x7B-\x7F].
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: So many anchors (rare terms of test items, each with its neighbours) are broadcast at once, some 25 words each. More are
-#: searched in blocks, each over the whole corpus.
-BLOCK_ANCHORS = 100_000
-#: So many distinct test terms are broadcast when terms are counted; more are joined by a shuffle of partial counts.
-BLOCK_TERMS = 500_000
+#: So many terms of the test items, or anchors, and so many places of anchors in the corpus (four numbers each) are broadcast;
+#: more are joined by a shuffle, with salt where a frequent term is the key.
+MOST_BROADCAST, MOST_PLACED = 100_000, 1_000_000
+SALT = 32
+STRETCH = 32
+#: The number of an end posting.
+END = -1
+#: Windows of more words have no bits around their anchor.
+LONGEST_WINDOW = 32
 
 
 def words(text: Column) -> Column:
@@ -34,76 +47,102 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, words, position, term): a row for each word, position from 0, and a last one with an empty term whose
-    position is the number of words. words is carried by reference and costs nothing unless it is used."""
-    listed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words"))
-    return listed.select("row", "doc_id", "words", F.posexplode(F.array_append("words", F.lit(""))).alias("position", "term"))
+@dataclass(frozen=True)
+class Index:
+    """vocabulary: (term, number); postings: (row, doc_id, number, position), doc_id only in end postings."""
 
+    vocabulary: DataFrame
+    postings: DataFrame
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("m"), F.xxhash64("item_id", "words").alias("item"))
+    def counts(self) -> DataFrame:
+        """(number, n) of the terms that occur."""
+        return self.postings.where(F.col("number") != END).groupBy("number").agg(F.count("*").alias("n"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n) over the whole corpus for the given distinct terms; terms that don't occur are absent."""
-    found = postings(docs).select("term").where(F.col("term") != "")
-    if terms.limit(BLOCK_TERMS + 1).count() <= BLOCK_TERMS:
-        return found.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    return found.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+def _few(df: DataFrame) -> bool:
+    return df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
-def anchors(benchmark: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rarest term of each window of the items: (term, item_id, need, before, after). before and after are its
-    neighbours, nearest first, as far as any window with it reaches; need is the length of a match."""
-    items = _items(benchmark)
-    starts = items.select("item", "item_id", "words", "m", F.explode(F.sequence(F.lit(0), F.greatest(F.col("m") - window, F.lit(0)))).alias("start"))
-    places = starts.select("item", "item_id", "m", "words", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.lit(window))).alias("offset", "term"))
-    rare = (
-        places.join(counts, "term", "left")
-        .groupBy("item", "item_id", "m", "start")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("term"))).alias("rare"))
-        # A window with a term that the corpus lacks can't occur.
-        .where(F.col("rare.n") > 0)
-        .select("item", "item_id", "m", (F.col("start") + F.col("rare.offset")).alias("at"), "rare.term")
-        .distinct()
-    )
-    reach = window - 1
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    return rare.join(items.dropDuplicates(["item"]).select("item", "words"), "item").select(
-        "term",
-        "item_id",
-        F.least("m", F.lit(window)).alias("need"),
-        F.reverse(F.slice("words", first + 1, F.col("at") - first)).alias("before"),
-        F.slice("words", F.col("at") + 2, F.lit(reach)).alias("after"),
-    )
+def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> Index:
+    """The stored index of docs for distinct terms (term), or for all terms of docs."""
+    listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), words(F.col(text)).alias("words"))
+    if terms is None:
+        terms = listed.select(F.explode("words").alias("term")).distinct()
+    vocabulary = stored(terms.select("term", F.monotonically_increasing_id().alias("number")), "vocabulary")
+    # The last place of the array, an empty word that no vocabulary has, is the end posting. Words are looked up by a number,
+    # which costs a fifth of a look-up by text, and compared then, in a form that isn't taken for another key.
+    end = F.lit("")
+    places = listed.select("row", "doc_id", F.posexplode(F.array_append("words", end)).alias("position", "word")).withColumn("key", F.xxhash64("word"))
+    known = vocabulary.unionByName(vocabulary.sparkSession.range(1).select(end.alias("term"), F.lit(END).cast("bigint").alias("number"))).withColumn("key", F.xxhash64("term"))
+    known = F.broadcast(known) if _few(vocabulary) else known
+    same = F.startswith("word", "term") & (F.octet_length("word") <= F.octet_length("term"))
+    found = places.join(known, "key").where(same)
+    doc_id = F.when(F.col("number") == END, F.col("doc_id"))
+    return Index(vocabulary, stored(found.select("row", doc_id.alias("doc_id"), "number", F.col("position").cast("int").alias("position")), "postings"))
 
 
-def _run(ours: Column, theirs: Column) -> Column:
-    """How many leading terms of theirs are matched, in order, by ours."""
-    first_miss = F.array_position(F.zip_with(ours, theirs, lambda a, b: a.isNotNull() & b.isNotNull() & (a == b)), False)
-    return F.when(first_miss == 0, F.size(theirs)).otherwise(first_miss - 1).cast("int")
+def _numbered(items: DataFrame, index: Index) -> DataFrame:
+    """items (item_id, text) as (item, item_id, m, numbers): the numbers of the m words, null for those that the index lacks."""
+    listed = items.select(F.monotonically_increasing_id().alias("item"), "item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    places = listed.select("item", "item_id", F.size("words").alias("m"), F.posexplode("words").alias("at", "term")).join(index.vocabulary, "term", "left")
+    by = places.groupBy("item", "item_id", "m").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("number", F.lit(END - 1)).alias("number")))).alias("places"))
+    return by.select("item", "item_id", "m", F.transform("places", lambda p: F.nullif(p["number"], F.lit(END - 1))).alias("numbers"))
 
 
-def matches(found: DataFrame, rare: DataFrame, window: int = WINDOW, ends: bool = True) -> DataFrame:
-    """Postings of rare terms whose neighbourhood holds whole windows, with (item_id, low, high), the first and last position
-    of the run around the term; and, if ends, the last posting of each document."""
-    reach = window - 1
-    first = F.greatest(F.col("position") - reach, F.lit(0))
-    if ends:
-        none = rare.sparkSession.range(1).select(F.lit("").alias("term"), *(F.lit(None).cast(rare.schema[c].dataType).alias(c) for c in rare.columns if c != "term"))
-        rare = rare.unionByName(none)
-    # An inner join leaves few of the postings; only for those are the neighbours copied out of the words. The running number
-    # keeps the comparison, which generated code doesn't cover, from being moved into the join.
-    near = found.join(F.broadcast(rare), "term").select(
-        "row", "doc_id", "term", "position", "item_id", "need", "before", "after",
-        F.reverse(F.slice("words", first + 1, F.col("position") - first)).alias("left_words"),
-        F.slice("words", F.col("position") + 2, F.lit(reach)).alias("right_words"),
-        F.monotonically_increasing_id().alias("number"),
+def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rarest term of each window of numbered items: (number, item_id, item, at, need, near). near holds the numbers of the
+    item's words from window - 1 before the anchor to window - 1 after it; need is the length of a match. A window with a
+    term that the index lacks can't occur."""
+    starts = items.select("item", "numbers", "m", F.explode(F.sequence(F.lit(0), F.greatest(F.col("m") - window, F.lit(0)))).alias("start"))
+    places = starts.select("item", "start", F.posexplode(F.slice("numbers", F.col("start") + 1, F.lit(window))).alias("offset", "number"))
+    rare = (
+        places.join(counts, "number", "left")
+        .groupBy("item", "start")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("number"))).alias("rare"))
+        .where(F.col("rare.n") > 0)
+        .select("item", (F.col("start") + F.col("rare.offset")).alias("at"), "rare.number")
+        .distinct()
     )
-    runs = near.where("number >= 0").select("row", "doc_id", "term", "position", "item_id", "need", _run(F.col("left_words"), F.col("before")).alias("left"), _run(F.col("right_words"), F.col("after")).alias("right"))
-    runs = runs.where((F.col("term") == "") | (F.col("left") + F.col("right") + 1 >= F.col("need")))
-    return runs.select("row", "doc_id", "term", "position", "item_id", (F.col("position") - F.col("left")).alias("low"), (F.col("position") + F.col("right")).alias("high"))
+    near = F.transform(F.sequence(F.lit(1 - window), F.lit(window - 1)), lambda d: F.when(F.col("at") + d >= 0, F.get("numbers", F.col("at") + d)))
+    return rare.join(items, "item").select("number", "item_id", "item", "at", F.least("m", F.lit(window)).alias("need"), near.alias("near"))
+
+
+def occurrences(index: Index, rare: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, item_id, item, at, centre, low, high): the runs of matching words around anchors that hold a whole window, from
+    word `low` to word `high` of the row; the anchor is word `at` of the item and word `centre` of the row."""
+    if not 1 <= window <= LONGEST_WINDOW:
+        raise ValueError(f"a window has 1 to {LONGEST_WINDOW} words")
+    spark = rare.sparkSession
+    rare = stored(rare.withColumn("anchor", F.monotonically_increasing_id()), "anchors")
+    postings = index.postings.where(F.col("number") != END).select("row", "number", "position")
+    heads = rare.select("number", "anchor")
+    if _few(heads):
+        placed = postings.join(F.broadcast(heads), "number")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+        placed = postings.withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int")).join(heads.select("number", "anchor", salt), ["number", "salt"])
+    placed = stored(placed.select("row", "anchor", F.col("position").alias("centre")), "placed")
+    # Each placed anchor is met by the postings of the stretches that it reaches.
+    reach = window - 1
+    first, last = F.floor(F.greatest(F.col("centre") - reach, F.lit(0)) / STRETCH), F.floor((F.col("centre") + reach) / STRETCH)
+    stretch = lambda row, number: F.xxhash64(row, number.cast("bigint"))
+    spread = F.explode(F.sequence(first, last)).alias("s")
+    wanted = placed.select(F.col("row").alias("held"), "anchor", "centre", spread).withColumn("key", stretch(F.col("held"), F.col("s"))).drop("s")
+    met = postings.withColumn("key", stretch(F.col("row"), F.floor(F.col("position") / STRETCH)))
+    met = met.join(F.broadcast(wanted) if placed.limit(MOST_PLACED + 1).count() <= MOST_PLACED else wanted, "key")
+    place = F.col("position") - F.col("centre") + reach
+    met = met.where((F.col("row") - F.col("held") == 0) & place.between(0, 2 * reach)).select("row", "anchor", "centre", "number", place.alias("place"))
+    details, few = rare.select("anchor", "item_id", "item", "at", "need", "near"), _few(rare)
+    hint = F.broadcast if few else (lambda df: df)
+    fitting = met.join(hint(details.select("anchor", "near")), "anchor").where(F.get("near", F.col("place")) == F.col("number"))
+    bits = fitting.groupBy("row", "anchor", "centre").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place"))).alias("bits"))
+    # The runs of set bits below and above the anchor's, in the middle.
+    text = F.lpad(F.bin("bits"), 2 * reach + 1, "0")
+    run = lambda part: F.length(F.substring_index(part, "0", 1))
+    below, above = run(F.substring(text, reach + 2, reach)), run(F.reverse(F.substring(text, 1, reach)))
+    runs = bits.select("row", "anchor", "centre", below.alias("below"), above.alias("above"))
+    runs = runs.join(hint(details.drop("near")), "anchor").where(F.col("below") + F.col("above") + 1 >= F.col("need"))
+    return runs.select("row", "item_id", "item", "at", "centre", (F.col("centre") - F.col("below")).alias("low"), (F.col("centre") + F.col("above")).alias("high"))
 
 
 def _covered(spans: Column) -> Column:
@@ -119,32 +158,19 @@ def _covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    terms = _items(benchmark).select(F.explode("words").alias("term")).distinct()
-    # A small table by now: some 25 words for each anchor. It is stored so that the corpus is counted once.
-    rare = anchors(benchmark, term_counts(docs, terms), window).persist()
-    blocks = max(1, -(-rare.count() // BLOCK_ANCHORS))
-    found = postings(docs)
-    if blocks == 1:
-        hits = matches(found, rare, window)
-    else:
-        hits = None
-        for b in range(blocks):
-            part = matches(found, rare.where(F.pmod(F.xxhash64("term", "item_id", "before", "after"), F.lit(blocks)) == b), window, b == 0)
-            hits = part if hits is None else hits.unionByName(part)
-    item = F.col("item_id").cast("string")
-    by_row = hits.groupBy("row", "doc_id").agg(
-        F.max(F.when(F.col("term") == "", F.col("position"))).cast("long").alias("n_words"),
-        F.collect_set(F.when(F.col("term") != "", F.struct("low", "high"))).alias("spans"),
-        F.collect_set(item).alias("items"),
-    )
-    n_hit = _covered(F.col("spans"))
-    return by_row.select(
-        "row",
+    items = benchmark.select("item_id", "text")
+    index = build_index(docs, items.select(F.explode(words(F.col("text"))).alias("term")).distinct())
+    found = occurrences(index, anchors(stored(_numbered(items, index), "items"), index.counts(), window), window)
+    by_row = found.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    each = index.postings.where(F.col("number") == END).select("row", "doc_id", F.col("position").cast("long").alias("n_words")).join(by_row, "row", "left")
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.when(F.col("spans").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("spans")))
+    return each.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items_of), ","), 256).alias("items_sha256"),
     ).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
@@ -154,39 +180,35 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The index as a table to store: (term, doc_id, positions). Group keys are pairs, so a frequent term is spread over its
-    documents."""
-    return postings(docs).where(F.col("term") != "").groupBy("term", "row", "doc_id").agg(F.array_sort(F.collect_list("position")).alias("positions")).select("term", "doc_id", "row", "positions")
-
-
-def search(index: DataFrame, queries: DataFrame, slop: int | None = None) -> DataFrame:
-    """(query_id, doc_id, starts): queries is (query_id, phrase). Without slop the phrase's terms follow each other exactly;
-    starts are the positions of its first term. With slop all its terms occur within a span of `slop` positions, in any
-    order; starts are the positions of the rarest term that are in such a span.
-
-    Candidates come from the list of the rarest term alone; the lists of the other terms are joined to those by (term,
-    document), then intersected with their offsets. A phrase with a missing term, or no terms, matches nothing."""
-    q = queries.select("query_id", words(F.col("phrase")).alias("ws"), F.size(words(F.col("phrase"))).alias("m"))
-    terms = q.select("query_id", "m", F.posexplode("ws").alias("offset", "term"))
-    counts = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
-    known = terms.join(counts, "term", "left")
-    rare = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("r")).where("r.n > 0").select("query_id", F.col("r.term").alias("term"), F.col("r.offset").alias("rare_offset"))
-    start = index.join(rare, "term").select("query_id", "row", "doc_id", "rare_offset", F.col("positions").alias("rare_positions"))
-    lists = start.join(terms, "query_id").join(index.drop("doc_id"), ["term", "row"], "left")
+def search(index: Index, queries: DataFrame, slop: int | None = None) -> DataFrame:
+    """(query_id, doc_id, starts): queries is (query_id, phrase). Without slop the phrase's terms follow each other exactly, for
+    phrases of LONGEST_WINDOW terms at most; starts are the positions of its first term. With slop all its terms, as often as
+    the phrase has them, occur within a span of `slop` positions, in any order; starts are the positions of the rarest term
+    that are in such a span. A phrase with a missing term, or no terms, matches nothing."""
+    ends = index.postings.where(F.col("number") == END).select("row", "doc_id")
+    asked = queries.select(F.col("query_id").alias("item_id"), F.col("phrase").alias("text"))
+    items = stored(_numbered(asked, index), "phrases")
     if slop is None:
-        adjusted = F.transform("positions", lambda p: p - F.col("offset"))
-        per = lists.groupBy("query_id", "row", "doc_id").agg(F.collect_list(F.coalesce(adjusted, F.array().cast("array<int>"))).alias("all"))
-        starts = F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], lambda a, b: F.array_intersect(a, b))
-        return per.select("query_id", "doc_id", F.array_sort(F.filter(starts, lambda s: s >= 0)).alias("starts")).where(F.size("starts") > 0)
-    per = lists.groupBy("query_id", "row", "doc_id").agg(F.max("rare_positions").alias("centre"), F.collect_list(F.struct(F.coalesce("positions", F.array().cast("array<int>")).alias("p"))).alias("all"))
+        # The whole phrase is one window, so that its anchor is its rarest term.
+        rare = anchors(items.where(F.col("m") <= LONGEST_WINDOW), index.counts(), LONGEST_WINDOW)
+        found = occurrences(index, rare, LONGEST_WINDOW).select("row", F.col("item_id").alias("query_id"), (F.col("centre") - F.col("at")).alias("start"))
+        by = found.groupBy("query_id", "row").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        return by.join(ends, "row").select("query_id", "doc_id", "starts")
+    whole = items.where(~F.exists("numbers", lambda x: x.isNull()))
+    terms = whole.select("item", "item_id", F.explode("numbers").alias("number")).groupBy("item", "item_id", "number").agg(F.count("*").alias("times"))
+    ranked = terms.join(index.counts(), "number").withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("n", "number")))
+    asked = ranked.groupBy("item").agg(F.count("*").alias("kinds"))
+    lists = index.postings.where(F.col("number") != END).join(ranked.select("item", "item_id", "number", "nth", "times"), "number")
+    lists = lists.groupBy("item", "item_id", "row", "nth", "times").agg(F.sort_array(F.collect_list("position")).alias("p"))
+    per = lists.groupBy("item", "item_id", "row").agg(F.sort_array(F.collect_list(F.struct("nth", "times", "p"))).alias("all"))
+    per = per.join(asked, "item").where(F.size("all") == F.col("kinds"))
 
     def within(s: Column, c: Column) -> Column:
-        """All lists have a position in [s, s + slop), and that span holds c."""
-        return (s <= c) & (c < s + slop) & F.forall("all", lambda x: F.exists(x["p"], lambda p: (p >= s) & (p < s + slop)))
+        """The span from s holds c and every list as often as it must."""
+        return (s <= c) & (c < s + slop) & F.forall("all", lambda x: F.size(F.filter(x["p"], lambda p: (p >= s) & (p < s + slop))) >= x["times"])
 
-    ok = F.filter("centre", lambda c: F.exists(F.sequence(c - (slop - 1), c), lambda s: within(s, c)))
-    return per.select("query_id", "doc_id", F.array_sort(ok).alias("starts")).where(F.size("starts") > 0)
+    ok = F.filter(F.col("all")[0]["p"], lambda c: F.exists(F.sequence(c - (slop - 1), c), lambda s: within(s, c)))
+    return per.select(F.col("item_id").alias("query_id"), "row", ok.alias("starts")).where(F.size("starts") > 0).join(ends, "row").select("query_id", "doc_id", "starts")
 
 
 ORACLE = r"""

@@ -96,9 +96,11 @@ def brute_contamination(data, items):
     return out
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_contamination(spark, docs, empty, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_ANCHORS", block)
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_contamination(spark, docs, empty, monkeypatch, most):
+    # With 0 nothing is broadcast: every join goes by its shuffle.
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    monkeypatch.setattr(decontaminate, "MOST_PLACED", most)
     data = rows()
     long = data[45][1].split()
     items = [(1, " ".join(long[5:40])), (10, " ".join(long[100:113]).upper()), (2, data[4][1]), (3, None), (4, "..."), (5, "One"), (5, " ".join(long[200:230])), (6, " ".join(long[300:312] + ["absent"])), (None, "日本語")]
@@ -113,12 +115,25 @@ def test_contamination(spark, docs, empty, monkeypatch, block):
 
 
 def test_phrase_and_proximity_search(spark):
-    d = spark.createDataFrame([(1, "a b c a b d"), (2, "b a c"), (3, "d x x b")], "doc_id bigint, text string")
-    index = decontaminate.build_index(d)
-    q = spark.createDataFrame([(1, "a b"), (2, "b d"), (3, "a zz"), (4, "a a")], "query_id int, phrase string")
-    assert sorted((r.query_id, r.doc_id, r.starts) for r in decontaminate.search(index, q).collect()) == [(1, 1, [0, 3]), (2, 1, [4])]
-    near = {(r.query_id, r.doc_id) for r in decontaminate.search(index, q.where("query_id <= 2"), slop=4).collect()}
-    assert near == {(1, 1), (1, 2), (2, 1), (2, 3)}
+    data = [(1, "a b c a b d"), (2, "b a c"), (3, "d x x b"), (4, "alpha beta"), (5, "alpha x alpha"), (6, None)]
+    d = spark.createDataFrame(data, "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "b d"), (3, "a zz"), (4, "a a"), (5, "alpha alpha"), (6, ""), (7, None), (8, "x")], "query_id int, phrase string")
+    for terms in (None, q.select(F.explode(decontaminate.words(F.col("phrase"))).alias("term")).distinct()):
+        index = decontaminate.build_index(d, terms)
+        assert sorted((r.query_id, r.doc_id, r.starts) for r in decontaminate.search(index, q).collect()) == [(1, 1, [0, 3]), (2, 1, [4]), (8, 3, [1, 2]), (8, 5, [1])]
+        near = {(r.query_id, r.doc_id) for r in decontaminate.search(index, q.where("query_id <= 2"), slop=4).collect()}
+        assert near == {(1, 1), (1, 2), (2, 1), (2, 3)}
+        # A term that the phrase has twice must be there twice.
+        twice = {(r.query_id, r.doc_id): r.starts for r in decontaminate.search(index, q.where("query_id >= 4"), slop=3).collect()}
+        assert twice == {(5, 5): [0, 2], (8, 3): [1, 2], (8, 5): [1]}
+    rng = random.Random(2)
+    text = [[rng.choice("abcde") for _ in range(40)] for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(text)], "doc_id bigint, text string")
+    asked = [[rng.choice("abcde") for _ in range(rng.randint(1, 4))] for _ in range(10)]
+    index = decontaminate.build_index(docs)
+    got = sorted((r.query_id, r.doc_id, r.starts) for r in decontaminate.search(index, spark.createDataFrame([(i, " ".join(a)) for i, a in enumerate(asked)], "query_id int, phrase string")).collect())
+    want = [(i, k, s) for i, a in enumerate(asked) for k, t in enumerate(text) if (s := [x for x in range(41 - len(a)) if t[x : x + len(a)] == a])]
+    assert got == want
 
 
 def test_token_counts(docs, empty):
