@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: Documents longer than this aren't used to learn from, which bounds what a sample holds. They are scored whole.
+LEARN_CHARS = 20_000
+
 #: Arrow batches are bounded by rows and by bytes, so that a run of long texts never fills a worker.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
@@ -22,25 +25,33 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder. Only where none is set (tests, a
-    single machine) a temporary one is made."""
+    """The folder that driver and executors share: the session's checkpoint folder. Only on a local master (tests, a single
+    machine) a temporary one is made where none is set; on a cluster that is an error, as executors couldn't see it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sextant-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="sextant-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a Parquet table into the shared folder and reads it again: smaller than a checkpoint, and as lasting."""
+    """Writes a Parquet table into the shared folder and reads it again: it cuts the lineage as a checkpoint does, in less
+    room. The table stays until `dropped`, or with the folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `stored` has made and that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -57,9 +68,10 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int) -> DataFrame:
-    """At most `bound` labelled rows outside the held-out fold, as (doc_id, text, y); y is 0 or 1. Rows are taken in the
-    order of a hash of doc_id, so that the choice depends on nothing else. Of several labels of one document the largest
-    counts; null labels and labels without a document are ignored. What is broadcast has `bound` rows at most."""
+    """At most `bound` rows, one for each labelled document outside the held-out fold, as (doc_id, text, y); y is 0 or 1. Documents
+    are taken in the order of a hash of doc_id, so that the choice depends on nothing else. Of several labels of one document
+    the largest counts, of several texts of one doc_id the one with the smallest hash; null labels, labels without a document
+    and texts of over LEARN_CHARS characters are ignored. What is broadcast has `bound` rows at most."""
     keep = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
@@ -68,7 +80,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(keep), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).where(F.length("text") <= LEARN_CHARS).join(F.broadcast(keep), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "y")
+
+
+def sample_of(docs: DataFrame, keep: Column, group: Column, each: int, buckets: int = 4096) -> DataFrame:
+    """(doc_id, g, nth): for each value of `group` at most `each` ids of rows with `keep`, known by nth from 1. Ids are dealt to
+    buckets by a hash, each bucket keeps its smallest, and those are taken in the order of the hash: partial sums of a bounded
+    size, however many rows an id or a group has."""
+    h = F.xxhash64("doc_id")
+    least = docs.where(keep & F.col("doc_id").isNotNull()).select("doc_id", group.alias("g"), h.alias("h")).groupBy("g", F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "doc_id")).alias("one"))
+    nth = F.row_number().over(Window.partitionBy("g").orderBy("one.h", "one.doc_id"))
+    return least.select("one.doc_id", "g", nth.alias("nth")).where(F.col("nth") <= each)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -81,11 +105,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
-
-
-#: Documents longer than this aren't used to learn from, which bounds what a sample holds. They are scored whole.
-LEARN_CHARS = 20_000
-
-
-def learnable(df: DataFrame) -> DataFrame:
-    return df.where(F.length("text") <= LEARN_CHARS)

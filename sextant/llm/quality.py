@@ -13,7 +13,8 @@ What is learned from is a bounded sample: at most SAMPLE labelled rows of LEARN_
 never of the held-out fold. Everything is scored whole; time grows with a text's length, memory with its lines.
 
 Defined results: a null text counts as empty, and an empty text is one empty line. Without labels of both classes every score
-is 0.5. Repeated rows each get a row. Extra columns are kept by `with_score`.
+is 0.5. Repeated rows each get a row. An empty table gives no rows. Extra columns are kept by `with_score`, whose own column
+takes a free name.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, fold_of, fresh, labelled_sample, learnable
+from sextant.llm.common import bounded_batches, fold_of, fresh, labelled_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 SAMPLE, LINES = 3_000, 400
@@ -209,7 +210,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns on the driver from a bounded sample."""
-    rows = learnable(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE)).where(F.size(F.split("text", "\n")) <= LINES).toPandas().sort_values(["doc_id", "text"])
+    rows = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE).where(F.size(F.split("text", "\n")) <= LINES).toPandas().sort_values(["doc_id", "text"])
     return Model(rows["text"].tolist(), rows["y"].to_numpy(dtype=int))
 
 
