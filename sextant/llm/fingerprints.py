@@ -10,7 +10,10 @@ A fingerprint is "length.hash.sketch" in hex. Equal texts have equal fingerprint
 equal ones, else the Dice coefficient that the two bottom-k sketches estimate.
 
 Defined results: a null text counts as empty. An empty text is like another empty text (1) and like nothing else (0). A
-text shorter than SPAN is one span. Repeated rows and ties of doc_id are ordered by their text. Null ids come last.
+text shorter than SPAN is one span. Repeated rows and ties of doc_id are ordered by their text; rows of one id lie in one
+task, which holds two of them at a time. Null ids come last and stay null; ids are whole at any size. Texts of any length
+are taken whole, in memory of some 60 bytes for each code point. An empty table gives no rows. Extra columns are ignored by
+`fingerprint_edits` and kept by `with_fingerprint`, whose own column takes a free name.
 """
 
 from __future__ import annotations
@@ -168,7 +171,8 @@ def fingerprint_column(text: Column) -> Column:
 def _buckets(key: Column, bounds: list[int]) -> Column:
     """How many bounds exceed the key, found in two steps of a root of their number."""
     step = max(1, int(len(bounds) ** 0.5))
-    all_, coarse = (F.array(*map(F.lit, x)).cast("array<bigint>") for x in (bounds, bounds[step - 1 :: step]))
+    # One literal each, however many bounds there are.
+    all_, coarse = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (bounds, bounds[step - 1 :: step]))
     first = F.size(F.filter(coarse, lambda b: b > key)) * step
     return (first + F.size(F.filter(F.slice(all_, first + 1, F.lit(step)), lambda b: b > key))).cast("int")
 
@@ -181,7 +185,8 @@ def in_descending_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     low = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(low)).alias("k"), F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # The id goes on as text: a column of integers with nulls would be one of doubles in pandas.
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(low)).alias("k"), F.col(key).cast("bigint").cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     cuts = [i / (4 * parts) for i in range(1, 4 * parts)]
     bounds = sorted(set(rows.agg(F.percentile_approx("k", cuts, 40 * parts + 10_000)).first()[0] or []), reverse=True)
     rows = rows.select(_buckets(F.col("k"), bounds).alias("b"), "k", "id", "t") if bounds else rows.select(F.lit(0).alias("b"), "k", "id", "t")
@@ -198,7 +203,7 @@ def in_descending_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix bigint"
+SCHEMA = "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_prefix bigint"
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +216,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if last and last[0] == bucket and not last[1]:
                 out.append(_row(last, now))
             last = now
-        yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kept_prefix"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kept_prefix"])
 
 
 def _row(this: tuple, following: tuple) -> tuple:
@@ -219,15 +224,15 @@ def _row(this: tuple, following: tuple) -> tuple:
     n, change = h.n, h.n // 2
     edited = text[: n - change] + following[3][:change]
     e = PrefixHash(np.concatenate([codes[: n - change], following[4][:change]]), (h, n - change))
-    return (None if pd.isna(doc_id) else int(doc_id), n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edit_mark := render(e), likeness(mark, edit_mark), likeness(mark, following[6]), h.common_extension(0, e, 0))
+    return (doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edit_mark := render(e), likeness(mark, edit_mark), likeness(mark, following[6]), h.common_extension(0, e, 0))
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text (its last half replaced from the next document in descending order of
-    the key) and their likeness; see SCHEMA. kept_prefix is the longest common extension of both texts from their start."""
+    the key) and their likeness; see SCHEMA, with doc_id as bigint. kept_prefix is the longest common extension of both texts from their start."""
     bounded_batches(docs.sparkSession)
     ordered = in_descending_order(docs, key, text)
-    return ordered.mapInPandas(_pairs, SCHEMA)
+    return ordered.mapInPandas(_pairs, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
