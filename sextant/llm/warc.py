@@ -10,7 +10,8 @@ Of records with equal payloads (same SHA-1 and length) of at least min_bytes byt
 stored as response; the others are revisit records without a payload that refer to it.
 
 Defined results: a null html is an empty payload, a null url an empty target. Repeated rows of the largest page_id are each
-a response; a null page_id is smaller than any other. An empty table gives an empty archive.
+a response; a null page_id is smaller than any other, and stays null; ids are whole at any size. An empty table gives an
+empty archive. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ CHUNK = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record bigint, chunk_no int, n_chunks int, data binary, running_digest string"
-RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target string"
+#: Ids go through Python as text: a column of integers with nulls would be one of doubles in pandas.
+RECORDS = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, target string"
 
 
 def base32(digest: bytes) -> str:
@@ -42,8 +44,8 @@ def _urn(name: str) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def _text(x: object) -> str:
-    return "" if pd.isna(x) else str(int(x))
+def _text(x: str | None) -> str:
+    return "" if pd.isna(x) else x
 
 
 def _headers(r: object) -> bytes:
@@ -95,7 +97,8 @@ def archive(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
     n = F.when(F.col("revisit"), 1).otherwise(F.greatest(F.ceil(F.col("bytes") / chunk), F.lit(1))).cast("int")
     cut = known.select("record", "page_id", "url", "digest", "bytes", "keeper", "revisit", "payload", n.alias("n_chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     data = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return cut.select("record", "page_id", "url", "digest", "bytes", "keeper", "revisit", "n_chunks", "chunk_no", data.alias("data")).mapInPandas(_write, CHUNKS)
+    ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "keeper")]
+    return cut.select("record", *ids, "url", "digest", "bytes", "revisit", "n_chunks", "chunk_no", data.alias("data")).mapInPandas(_write, CHUNKS)
 
 
 class _Reader:
@@ -122,8 +125,7 @@ class _Reader:
         f, whole = self.fields, base32(self.digest.digest())
         if not self.revisit and (f["WARC-Payload-Digest"] != f"sha1:{whole}" or self.read != int(f["Payload-Length"])):
             raise ValueError(f"damaged record {f['WARC-Record-ID']}")
-        number = lambda k: int(f[k]) if f.get(k) else None
-        return number("Page"), int(f["Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], number("Refers-To-Page"), f["WARC-Target-URI"]
+        return f["Page"] or None, int(f["Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"), f["WARC-Type"], f.get("Refers-To-Page") or None, f["WARC-Target-URI"]
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,17 +141,17 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raise ValueError(f"damaged chunk {no} of {reader.fields['WARC-Record-ID']}")
             if no == n - 1:
                 out.append(reader.result())
-        pdf = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target"])
-        yield pdf.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+        yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target"]).astype({"payload_bytes": "int64"})
 
 
 def read_records(chunks: DataFrame) -> DataFrame:
-    """Reads and verifies a chunk table: RECORDS."""
+    """Reads and verifies a chunk table: RECORDS, with ids as bigint."""
     bounded_batches(chunks.sparkSession)
     columns = ["record", "chunk_no", "n_chunks", "data", "running_digest"]
     single = chunks.where("n_chunks = 1").select(*columns)
     several = chunks.where("n_chunks > 1").select(*columns).repartition(partitions(chunks.sparkSession), "record").sortWithinPartitions("record", "chunk_no")
-    return single.mapInPandas(_read, RECORDS).unionByName(several.mapInPandas(_read, RECORDS))
+    read = single.mapInPandas(_read, RECORDS).unionByName(several.mapInPandas(_read, RECORDS))
+    return read.withColumns({c: F.col(c).cast("bigint") for c in ("page_id", "refers_to")})
 
 
 def export_file(chunks: DataFrame, out: BinaryIO) -> int:
