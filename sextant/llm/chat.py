@@ -14,7 +14,8 @@ Offsets and lengths are in code points. The loss mask is the list of spans (star
 
 Defined results: null texts count as empty, null roles as an empty role. Turns are ordered by turn (nulls first), then role,
 then text; repeated turns stay. A null conv_id is a conversation of its own. Parts of unknown type become document
-placeholders; null parts are skipped. A conversation is one output row and so must fit into one string.
+placeholders; null parts are skipped. A conversation is one output row and so must fit into one string; texts are taken
+whole. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,9 +65,12 @@ def visit(parts: Column) -> Column:
     order, and the sum of their tokens."""
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     is_text = lambda p: p["type"].eqNullSafe("text")
-    shown = F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).when(p["type"] == "image", PLACEHOLDERS["image"]).when(p["type"] == "audio", PLACEHOLDERS["audio"]).otherwise(PLACEHOLDERS["document"]))
+    mark = lambda p: F.when(p["type"] == "image", PLACEHOLDERS["image"]).when(p["type"] == "audio", PLACEHOLDERS["audio"]).otherwise(PLACEHOLDERS["document"])
+    # Texts side by side are one text: it is escaped as a whole, as a control string may begin in one and end in the next.
+    fold = lambda acc, p: F.when(is_text(p), F.struct(acc["shown"].alias("shown"), F.concat(acc["open"], F.coalesce(p["text"], F.lit(""))).alias("open"))).otherwise(F.struct(F.concat(acc["shown"], escape(acc["open"]), mark(p)).alias("shown"), F.lit("").alias("open")))
+    shown = F.aggregate(parts, F.struct(F.lit("").alias("shown"), F.lit("").alias("open")), fold, lambda acc: F.concat(acc["shown"], escape(acc["open"])))
     others = F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    return F.struct(F.array_join(shown, "").alias("text"), others.alias("attachments"), F.aggregate(others, F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]).alias("expanded"))
+    return F.struct(shown.alias("text"), others.alias("attachments"), F.aggregate(others, F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]).alias("expanded"))
 
 
 def text_part(text: Column) -> Column:
