@@ -5,18 +5,21 @@ included, joined by a space (fewer words: the whole sequence; none: fingerprint
 of the shingles' XXH64 hashes (seed 42). Fingerprints link at RADIUS or fewer differing bits; a component is what links reach.
 
 Search: distinct fingerprints only, so that any number of exact copies counts once. Two fingerprints that differ in 3 bits
-agree in one of 4 blocks of 16 bits, so each fingerprint is dealt to 4 buckets. Within a bucket fingerprints are sorted by
+agree in two of 5 blocks of 13 (12) bits, so each fingerprint is dealt to 10 buckets, one for each pair of blocks: of 10^10
+fingerprints one bucket holds some 300. Within a bucket fingerprints are sorted by
 Gray rank, by which neighbours differ little. Every FANOUT neighbours make a node, which keeps the bits that all members
 share (mask and pattern); nodes make nodes up to a root. The self-join walks pairs of nodes from the root: differences
 accumulate in the bits that both sides share, and a pair of nodes with more than RADIUS of them is dropped with all its
 members. Pairs of nodes that are known to be in one component already are dropped too, so a dense group of near copies
 takes about as many comparisons as a spanning tree needs. A bucket gives at most one link for each member.
 
-Components: links are contracted by alternating large-star and small-star steps until nothing changes, with a checkpoint
-in the shared folder for each step. Nothing about all documents comes to the driver but counts.
+Components: links are contracted by alternating large-star and small-star steps until nothing changes, with a table in the
+shared folder for each step. Nothing about all documents comes to the driver but counts. Fingerprints that very many rows
+share (empty texts, large groups of copies) go back to their rows by a broadcast of those few, all others by a shuffle.
 
 Defined results: null texts count as empty, empty texts have fingerprint 0 and link like any other. Repeated rows and ids
 each get a row. Rows with a null id get a fingerprint and their component's smallest non-null id, or null if there is none.
+Texts of any length are taken whole. An empty table gives no rows. Extra columns are ignored; `keep_one` keeps them.
 """
 
 from __future__ import annotations
@@ -29,13 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, checkpointed, fresh, partitions, stored
+from sextant.llm.common import bounded_batches, dropped, fresh, partitions, stored
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-BLOCKS, BLOCK_BITS = 4, 16
+#: Blocks that a fingerprint is cut into, as (lowest bit, bits): of five, three differing bits leave two alike.
+BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+BLOCK_BITS = 13
+#: A fingerprint of more rows than this share of all is joined to them by a broadcast: there are 1/SHARE of them at most.
+SHARE = 1e-4
 FANOUT = 8
 #: Pairs of nodes that one step of the walk expands; and fingerprints that a task holds before it works them off.
 STEP, HOLD = 8_000, 200_000
+#: Shares into which rows of one root are dealt.
+SALT = 16
 
 
 def simhash(text: str | None) -> int:
@@ -194,7 +203,9 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v): links among the distinct fingerprints in column fp, enough to connect all that are within RADIUS."""
-    block = [F.shiftrightunsigned("fp", BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1) + (i << BLOCK_BITS) for i in range(BLOCKS)]
+    block = [F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1) for low, bits in BLOCKS]
+    pairs = [(i, j) for i in range(len(BLOCKS)) for j in range(i)]
+    block = [F.shiftleft(block[i], BLOCK_BITS) + block[j] + (k << 2 * BLOCK_BITS) for k, (i, j) in enumerate(pairs)]
     dealt = distinct.select("fp", F.explode(F.array(*block)).alias("bucket"))
     parts = partitions(distinct.sparkSession)
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInPandas(_search, "u bigint, v bigint").where(F.col("u") != F.col("v"))
@@ -217,24 +228,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): for each node with a link, except the least of its component, that least node."""
     state = None
-    edges = checkpointed(edges.distinct())
+    edges = stored(edges.distinct(), "links")
     while True:
         seen = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == state or not seen[0]:
             return edges
-        state = seen
-        edges = checkpointed(_star(_star(edges, True), False))
+        state, before = seen, edges
+        edges = stored(_star(_star(edges, True), False), "links")
+        dropped(before)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row."""
     prints = stored(with_fingerprint(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", "fp").select("doc_id", "fp"), "simhash")
     # First per fingerprint: from here on a group of exact copies is one row.
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     linked = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = classes.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # Only fingerprints with links go by their root. The least ids of roots are dealt with salt, as one root can have many.
+    member = linked.unionByName(linked.select(F.col("root").alias("fp"), "root").distinct()).join(classes.select("fp", "first_id"), "fp")
+    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    found = member.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(least.select("root", "component_id", salts), ["root", "salt"]).select("fp", "component_id")
+    ids = stored(classes.join(found, "fp", "left").select("fp", "n", F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.least("component_id", "first_id")).alias("component_id")), "ids")
+    rows = ids.agg(F.sum("n")).first()[0] or 0
+    frequent = F.broadcast(ids.where(F.col("n") > SHARE * rows).select("fp", "component_id"))
+    rest = prints.join(frequent.select("fp"), "fp", "left_anti").join(ids.where(F.col("n") <= SHARE * rows).select("fp", "component_id"), "fp")
+    return rest.unionByName(prints.join(frequent, "fp")).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str) -> Column:
