@@ -4,15 +4,18 @@ Voters: lexicons and patterns. The lexicons are a fixed list and words and word
 near copies one each, so that a word that only rides along in copies of a toxic document isn't taken. Mined terms are dealt
 to several voters; a voter says toxic, clean or nothing. The sample's labels are one more voter, of a fixed accuracy.
 
-Label model: EM over the votes estimates the prior and each voter's accuracy by class; the correlation of two voters
-given the class, beyond what the class explains, then discounts the weight of voters that repeat each other. Its
-posteriors are the labels of a logistic regression over votes and densities, which scores every document.
+Label model: EM over the votes on labelled and unlabelled rows estimates the prior and each voter's accuracy by class. On an
+unlabelled row the voter of labels says nothing, so that its posterior comes from the other voters alone. The correlation
+of two voters given the class, beyond what the class explains, discounts the weight of voters that repeat each other; it is
+estimated anew in every round. The posteriors are the labels of a logistic regression over votes and densities, which
+scores every document.
 
-What is learned from is a bounded sample: at most SAMPLE labelled rows of LEARN_CHARS characters at most, never of the
-held-out fold. Everything is scored whole.
+What is learned from are bounded samples: at most SAMPLE labelled documents and UNLABELLED others, of LEARN_CHARS characters
+at most, never of the held-out fold. Everything is scored whole, texts of any length.
 
 Defined results: null texts count as empty, and are scored like any text. Without labels of both classes only the fixed list
-votes: 1 for a text with one of its words, else 0. Repeated rows each get a row. Extra columns are kept by `with_score`.
+votes: 1 for a text with one of its words, else 0. Repeated rows each get a row. An empty table gives no rows. Extra columns
+are kept by `with_score`, whose own column takes a free name.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, fold_of, fresh, labelled_sample, learnable
+from sextant.llm.common import LEARN_CHARS, bounded_batches, fold_of, fresh, labelled_sample, sample_of
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-SAMPLE = 6_000
+SAMPLE, UNLABELLED = 6_000, 2_000
 MINED, LEAST_GAIN, PENALTY, CHANCE = 400, 3, 5, 1e-3
 #: How far the label model trusts a single label.
 LABEL_ACCURACY = 0.95
@@ -147,27 +150,38 @@ class Voters:
 
 
 class LabelModel:
-    """EM for voters that are independent given the class, then a discount for those that are not."""
+    """EM for voters that are independent given the class, with a discount for those that are not. labels: 1, 0, or -1 where
+    there is none. `toxic` and `clean` are each voter's shares of -1, 0 and 1 by class."""
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> None:
         onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-        post = np.where(labels > 0, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-        said = np.log(post / (1 - post))
-        weight = np.ones(votes.shape[1])
-        for r in range(rounds):
-            self.prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-            p1 = (np.einsum("i,ijk->jk", post, onehot) + 0.1) / (post.sum() + 0.3)
-            p0 = (np.einsum("i,ijk->jk", 1 - post, onehot) + 0.1) / ((1 - post).sum() + 0.3)
-            self.accuracy = self.prior * p1[:, 2] + (1 - self.prior) * p0[:, 0]
-            if r == rounds // 2:
-                rest = votes - (post[:, None] * (p1[:, 2] - p1[:, 0]) + (1 - post[:, None]) * (p0[:, 2] - p0[:, 0]))
-                sd = rest.std(axis=0) + 1e-9
-                self.correlation = np.where(np.minimum.outer(sd, sd) < 1e-6, 0.0, (rest.T @ rest) / len(votes) / np.outer(sd, sd))
-                np.fill_diagonal(self.correlation, 0)
-                weight = 1 / (1 + (self.correlation**2 * (np.abs(self.correlation) > 0.3)).sum(axis=1))
-            logit = np.log(self.prior / (1 - self.prior)) + said + np.einsum("ijk,jk,j->i", onehot, np.log(p1 / p0), weight)
+        trust = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+        said = np.where(labels > 0, trust, np.where(labels == 0, -trust, 0.0))
+        known = labels >= 0
+        post = 1 / (1 + np.exp(-said))
+        # At first only labelled rows say what voters are like.
+        part = known.astype(float) if known.any() else np.ones(len(votes))
+        self.weight = np.ones(votes.shape[1])
+        for _ in range(rounds):
+            self._estimate(votes, onehot, post, part)
+            logit = np.log(self.prior / (1 - self.prior)) + said + np.einsum("ijk,jk,j->i", onehot, np.log(self.toxic / self.clean), self.weight)
             post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        self.posterior, self.weight = post, weight
+            part = np.ones(len(votes))
+        self.posterior = post
+
+    def _estimate(self, votes: np.ndarray, onehot: np.ndarray, post: np.ndarray, part: np.ndarray) -> None:
+        one, zero = post * part, (1 - post) * part
+        self.prior = float(np.clip(one.sum() / part.sum(), 1e-4, 1 - 1e-4))
+        self.toxic = (np.einsum("i,ijk->jk", one, onehot) + 0.1) / (one.sum() + 0.3)
+        self.clean = (np.einsum("i,ijk->jk", zero, onehot) + 0.1) / (zero.sum() + 0.3)
+        self.accuracy = self.prior * self.toxic[:, 2] + (1 - self.prior) * self.clean[:, 0]
+        mean = lambda shares: shares[:, 2] - shares[:, 0]
+        rest = (votes - (post[:, None] * mean(self.toxic) + (1 - post[:, None]) * mean(self.clean))) * np.sqrt(part)[:, None]
+        cover = rest.T @ rest / part.sum()
+        sd = np.sqrt(np.diag(cover)) + 1e-9
+        self.correlation = np.where(np.minimum.outer(sd, sd) < 1e-6, 0.0, cover / np.outer(sd, sd))
+        np.fill_diagonal(self.correlation, 0)
+        self.weight = 1 / (1 + (self.correlation**2 * (np.abs(self.correlation) > 0.3)).sum(axis=1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
@@ -185,15 +199,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30
 
 
 class Model:
-    def __init__(self, texts: list[str], toxic: np.ndarray) -> None:
+    def __init__(self, texts: list[str], toxic: np.ndarray, others: list[str] = ()) -> None:
+        """others: texts without a label."""
         self.voters, self.weights = Voters(), None
         if len(set(toxic.tolist())) < 2:
             return
         words = [set(WORDS.findall(t.lower())) for t in texts]
         one = without_copies(words)
         self.voters = Voters(mine([terms(words[i]) for i in one], toxic[one]) if 0 < toxic[one].mean() < 1 else [])
-        read = [self.voters.read(t) for t in texts]
-        self.labels = LabelModel(np.array([v for v, _ in read]), toxic)
+        read = [self.voters.read(t) for t in [*texts, *others]]
+        self.labels = LabelModel(np.array([v for v, _ in read]), np.r_[toxic, np.full(len(others), -1)])
         self.weights = logistic(np.array([f for _, f in read]), self.labels.posterior)
 
     def score(self, text: str) -> float:
@@ -204,9 +219,14 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns on the driver from a bounded sample."""
-    rows = learnable(labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)).toPandas().sort_values(["doc_id", "text"])
-    return Model(rows["text"].tolist(), rows["y"].to_numpy(dtype=int))
+    """Learns on the driver from bounded samples."""
+    rows = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE).toPandas().sort_values(["doc_id", "text"])
+    learnt = (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.length("text") <= LEARN_CHARS)
+    some = sample_of(docs, learnt, F.lit(0), UNLABELLED).select("doc_id")
+    some = some.join(labels.where(F.col("toxic").isNotNull()).select("doc_id"), "doc_id", "left_anti")
+    others = docs.select("doc_id", "text").where(learnt).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    others = others.select("doc_id", "t.text").toPandas().sort_values("doc_id")
+    return Model(rows["text"].tolist(), rows["y"].to_numpy(dtype=int), others["text"].tolist())
 
 
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:
