@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sextant.functions import text as T
 from sextant.operators import answers, chunking, evaluation, fusion, observability, ranking, sessions, understanding
 from sextant.plans import retrieval
+from sextant.streaming import metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,18 +90,54 @@ def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.windows(d).join(d.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source").agg(F.count("*").alias("chunks"))
 
 
+@query("""WITH c AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, substr(text, CAST(i * 440 + 1 AS BIGINT), 520) AS content FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 80) / 440.0), 1) AS BIGINT))) AS i FROM documents WHERE length(text) > 0))
+SELECT doc_id AS path, chunk_no, CAST(chunk_no + 1 AS INTEGER) AS doc_chunk_index, row_number() OVER (ORDER BY doc_id, chunk_no) AS index, CAST(length(content) AS INTEGER) AS content_length FROM c""")
+def chunk_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.snapshot(chunking.windows(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "path")).select("path", "chunk_no", "doc_chunk_index", "index", "content_length")
+
+
+@query(r"""WITH c AS (SELECT doc_id, chunk_no, content, CASE WHEN contains(content, '```') THEN 'code' WHEN regexp_matches(content, '(?m)^\s*([-*+]|\d+\.)\s+') THEN 'list' WHEN regexp_matches(content, '(?m)^\s*\|.*\|') THEN 'table'
+  WHEN regexp_matches(lower(content), '流程|步骤|flow|pipeline|step') THEN 'flow' ELSE 'paragraph' END AS kind FROM (SELECT doc_id, i AS chunk_no, substr(text, CAST(i * 440 + 1 AS BIGINT), 520) AS content FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 80) / 440.0), 1) AS BIGINT))) AS i FROM documents WHERE length(text) > 0))),
+k AS (SELECT doc_id, kind, count(*) AS n FROM c GROUP BY doc_id, kind), s AS (SELECT doc_id, chunk_no % 3 AS section, count(*) AS n FROM c GROUP BY doc_id, chunk_no % 3)
+SELECT doc_id AS path, sum(n) AS chunks, string_agg(kind || '=' || n, ',' ORDER BY kind) AS types, (SELECT string_agg(section || '=' || n, ',' ORDER BY section) FROM s WHERE s.doc_id = k.doc_id) AS sections FROM k GROUP BY doc_id""")
+def chunk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.windows(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "path")
+    e = chunking.export(c.withColumns({"section": (F.col("chunk_no") % 3).cast("string"), "chunk_type": chunking.chunk_type(F.col("content"))}))
+    show = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return e.select("path", F.col("chunks").cast("bigint").alias("chunks"), show(F.col("types")).alias("types"), show(F.col("sections")).alias("sections"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(ls) AS c, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '')),
+r AS (SELECT doc_id, i, n, rtrim(c, ' ' || chr(9) || chr(13)) AS c, contains(lower(c), 'the') OR contains(lower(c), 'und') AS hit FROM l),
+a AS (SELECT doc_id, coalesce(min(i) FILTER (WHERE hit), min(i) FILTER (WHERE c <> ''), 0) AS lead FROM r GROUP BY doc_id), b AS (SELECT r.*, lead, greatest(lead - 2, 0) AS first FROM r JOIN a USING (doc_id)),
+k AS (SELECT *, (hit OR i = lead) AND c <> '' AS is_hit FROM b WHERE i >= first AND i < first + 18)
+SELECT doc_id, coalesce(string_agg(CAST(i + 1 AS VARCHAR), ',' ORDER BY i) FILTER (WHERE is_hit), '') AS hits,
+  md5(trim(CASE WHEN max(first) > 0 THEN '...' || chr(10) ELSE '' END || string_agg(CASE WHEN is_hit THEN '>> ' ELSE '   ' END || CASE WHEN length(CAST(i + 1 AS VARCHAR)) < 4 THEN lpad(CAST(i + 1 AS VARCHAR), 4, ' ') ELSE CAST(i + 1 AS VARCHAR) END || ': ' || c, chr(10) ORDER BY i) || CASE WHEN max(first) + 18 < max(n) THEN chr(10) || '...' ELSE '' END)) AS digest FROM k GROUP BY doc_id""")
+def chunk_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = chunking.highlight(F.col("text"), F.array(F.lit("The"), F.lit("und"), F.lit("x")))
+    d = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", h.alias("h"))
+    return d.select("doc_id", F.array_join(F.transform("h.hits", lambda x: x.cast("string")), ",").alias("hits"), F.md5("h.text").alias("digest"))
+
+
 # Ranking
 
-_Q = f"q AS (SELECT item_id AS query_id, unnest(list_distinct({TOK.format('text')})) AS term FROM benchmark)"
 _D = f"d AS (SELECT doc_id AS item_id, {TOK.format('text')} AS ts FROM documents)"
-_TF = "tf AS (SELECT item_id, dl, term, count(*) AS tf FROM (SELECT item_id, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY item_id, dl, term)"
-_BM25 = f"""{_Q}, {_D}, {_TF}, tot AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
-idf AS (SELECT term, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, max(avgdl) AS avgdl FROM tf, tot GROUP BY term),
-bm AS (SELECT query_id, item_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY query_id, item_id)"""
-_TFIDF = """ti AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM tf GROUP BY term),
-w AS (SELECT item_id, term, tf * idf AS w FROM tf JOIN ti USING (term)), nrm AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM w GROUP BY item_id),
-qn AS (SELECT query_id, sqrt(sum(idf * idf)) AS n FROM q JOIN ti USING (term) GROUP BY query_id),
-tx AS (SELECT query_id, item_id, s / (nrm.n * qn.n) AS score FROM (SELECT query_id, item_id, sum(w * idf) AS s FROM w JOIN ti USING (term) JOIN q USING (term) GROUP BY query_id, item_id) JOIN nrm USING (item_id) JOIN qn USING (query_id))"""
+_WORD = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+def _bm25_sql(text: str = "text", name: str = "bm", q: str = "q") -> str:
+    """CTEs: the score of every query and document that share a word."""
+    return f"""{q} AS (SELECT item_id AS query_id, unnest({TOK.format(text)}) AS term FROM benchmark),
+{q}tf AS (SELECT item_id, dl, term, count(*) AS tf FROM (SELECT item_id, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM {q}) GROUP BY item_id, dl, term), {q}tot AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+{q}idf AS (SELECT term, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, max(avgdl) AS avgdl FROM {q}tf, {q}tot GROUP BY term),
+{name} AS (SELECT query_id, item_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM {q}tf JOIN {q}idf USING (term) JOIN {q} USING (term) GROUP BY query_id, item_id)"""
+
+
+_BM25 = f"{_D}, {_bm25_sql()}"
+_TFIDF = f"""wd AS (SELECT item_id, term, count(*) AS tf FROM (SELECT doc_id AS item_id, unnest({_WORD.format('text')}) AS term FROM documents) GROUP BY item_id, term),
+ti AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM wd GROUP BY term), nrm AS (SELECT item_id, sqrt(sum(tf * idf * tf * idf)) AS n FROM wd JOIN ti USING (term) GROUP BY item_id),
+wq AS (SELECT query_id, term, count(*) * max(idf) AS w FROM (SELECT item_id AS query_id, unnest({_WORD.format('text')}) AS term FROM benchmark) JOIN ti USING (term) GROUP BY query_id, term), qn AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM wq GROUP BY query_id),
+tx AS (SELECT query_id, item_id, s / (nrm.n * qn.n) AS score FROM (SELECT query_id, item_id, sum(tf * idf * w) AS s FROM wd JOIN ti USING (term) JOIN wq USING (term) GROUP BY query_id, item_id) JOIN nrm USING (item_id) JOIN qn USING (query_id))"""
 _RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round({1}, 8) DESC, item_id) AS rank FROM {0}"
 
 
@@ -118,12 +155,12 @@ def rank_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.tfidf(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5))
 
 
-@query(f"""WITH {_BM25}, {_TFIDF}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 10), b AS (SELECT * FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 10),
+@query(f"""WITH {_BM25}, {_TFIDF}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 64), b AS (SELECT * FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 64),
 f AS (SELECT query_id, item_id, sum(p) AS score FROM (SELECT query_id, item_id, 0.6 / (60 + rank) AS p FROM a UNION ALL SELECT query_id, item_id, 0.4 / (60 + rank) FROM b) GROUP BY query_id, item_id)
 SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, item_id) AS rank FROM f) WHERE rank <= 5""")
 def rank_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return _rounded(ranking.fuse([(ranking.bm25(d, q, 10), 0.6), (ranking.tfidf(d, q, 10), 0.4)], 5))
+    fused, _, _ = retrieval.recalled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5)
+    return _rounded(fused.where("rank <= 5"))
 
 
 _DENSE = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
@@ -201,37 +238,136 @@ def rank_line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "child_no", "line_hits", F.round("line_boost", 4).alias("line_boost"))
 
 
-@query()
+@query(f"""WITH {_BM25}, {_bm25_sql("text || ' the and of'", "bm2", "q2")}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 3), b AS (SELECT * FROM (SELECT *, {_RANKED.format('bm2', 'score')}) WHERE rank <= 6),
+g AS (SELECT item_id AS query_id, (SELECT count(*) FROM a WHERE a.query_id = i.item_id) AS n, (SELECT max(score) FROM a WHERE a.query_id = i.item_id) AS t FROM benchmark i),
+v AS (SELECT query_id, CASE WHEN n = 0 THEN 0 WHEN t >= 60 AND n >= 2 THEN 3 WHEN t >= 40 THEN 2 ELSE 1 END AS g, round(t, 8) AS t FROM g), h AS (SELECT query_id, CASE WHEN max(score) >= 60 AND count(*) >= 2 THEN 3 WHEN max(score) >= 40 THEN 2 ELSE 1 END AS g, round(max(score), 8) AS t FROM b GROUP BY query_id),
+y AS (SELECT query_id FROM h JOIN v USING (query_id) WHERE (v.g <= 1 OR v.t < 50) AND (v.g = 0 OR h.g > v.g OR (h.g = v.g AND h.t > v.t)))
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM a WHERE query_id NOT IN (SELECT query_id FROM y) UNION ALL SELECT query_id, item_id, CAST(rank AS INTEGER), round(score, 5) FROM b WHERE query_id IN (SELECT query_id FROM y)""")
 def rank_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
-    return _rounded(ranking.retry(lambda qs, k: ranking.bm25(d, qs, k, qkey="query_id"), q, 3, high=60.0, medium=40.0))
+    again = q.withColumn("text", F.concat("text", F.lit(" the and of")))
+    return _rounded(ranking.retry(lambda qs, k: ranking.bm25(d, qs, k, qkey="query_id"), q, 3, high=60.0, medium=40.0, again=again, least=50.0))
 
 
-@query()
+@query(f"""WITH {_BM25}, {_TFIDF}, l AS (SELECT 'wiki' AS kind, 0 AS o, *, 1.0 AS w FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 5 UNION ALL SELECT 'code', 2, *, 1.0 FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 5),
+g AS (SELECT *, count(*) OVER p AS n, max(score) OVER p AS t FROM l WINDOW p AS (PARTITION BY kind, query_id)),
+f AS (SELECT *, round(score * w + 0.12 / rank + CASE WHEN n >= 2 AND t >= CASE kind WHEN 'wiki' THEN 6 ELSE 8 END THEN 0.35 WHEN t >= CASE kind WHEN 'wiki' THEN 3 ELSE 4 END THEN 0.15 ELSE 0.0 END, 6) AS fusion_score FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY fusion_score DESC, round(score, 8) DESC, rank, item_id) > 2 AS spare FROM f),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spare, fusion_score DESC, round(score, 8) DESC, o, rank, item_id) AS fusion_rank FROM k)
+SELECT query_id, kind, item_id, CAST(fusion_rank AS INTEGER) AS fusion_rank, fusion_score FROM z WHERE fusion_rank <= 5""")
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = retrieval.evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return m.select("query_id", "kind", "item_id", "fusion_rank", F.round("fusion_score", 5).alias("fusion_score"))
+    plan = fusion.Plan(quotas={"wiki": 2, "code": 2, "case": 1}, final_top_k=5)
+    m = retrieval.evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), plan)
+    return m.select("query_id", "kind", "item_id", "fusion_rank", "fusion_score")
 
 
-@query(f"""WITH {_BM25}, {_TFIDF}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 5), b AS (SELECT * FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 5),
-u AS (SELECT query_id, item_id, min(l * 1000 + rank) AS place FROM (SELECT query_id, item_id, rank, 0 AS l FROM a UNION ALL SELECT query_id, item_id, rank, 1 FROM b) GROUP BY query_id, item_id)
-SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, item_id) AS rank FROM u) WHERE rank <= 8""")
+@query(f"""WITH {_BM25}, {_TFIDF}, a AS (SELECT * FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 64), b AS (SELECT * FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 64),
+e AS (SELECT query_id, item_id, sum(p) AS score FROM (SELECT query_id, item_id, 0.6 / (60 + rank) AS p FROM a UNION ALL SELECT query_id, item_id, 0.4 / (60 + rank) FROM b) GROUP BY query_id, item_id),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, item_id) AS rank FROM e) WHERE rank <= 64),
+u AS (SELECT query_id, item_id, min(l * 1000 + rank) AS place FROM (SELECT query_id, item_id, rank, 0 AS l FROM c UNION ALL SELECT query_id, item_id, rank, 1 FROM a UNION ALL SELECT query_id, item_id, rank, 2 FROM b) GROUP BY query_id, item_id)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, item_id) AS rank FROM u) WHERE rank <= 64""")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return ranking.union_candidates([ranking.bm25(d, q, 5), ranking.tfidf(d, q, 5)], 8).select("query_id", "item_id", F.col("rank").cast("int").alias("rank"))
+    lists = retrieval.recalled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5)
+    return ranking.union_candidates(list(lists), 64).select("query_id", "item_id", F.col("rank").cast("int").alias("rank"))
+
+
+# Numbers that stand for the parts of a child's score, from the documents' ids
+_PARTS = """SELECT doc_id, source, doc_id % 11 / 4.0 AS lexical, doc_id % 7 / 3.0 AS pattern, nullif(doc_id % 5, 0) AS b, nullif(doc_id % 6, 0) AS t, nullif(doc_id % 9, 0) AS f, doc_id % 3 / 2.0 AS pb, doc_id % 4 / 5.0 AS lb FROM documents"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    of = {"lexical": i % 11 / 4.0, "pattern": i % 7 / 3.0, "bm25_rank": F.nullif(i % 5, F.lit(0)), "tfidf_rank": F.nullif(i % 6, F.lit(0)), "fused_rank": F.nullif(i % 9, F.lit(0)), "path_boost": i % 3 / 2.0, "line_boost": i % 4 / 5.0}
+    return table(spark, sf_dir, "documents").select("doc_id", "source", *[c.alias(n) for n, c in of.items()])
+
+
+@query(f"""WITH x AS ({_PARTS}), s AS (SELECT doc_id, lexical + 0.6 * coalesce(14.0 / (b + 1), 0) + 4 * coalesce(CASE WHEN t IS NULL OR f IS NULL THEN 0 ELSE 14.0 / (greatest(t, f) + 1) END, 0) + 1.6 * pattern AS no_rg, pb + lb AS boost, 1.4 * pb + 1.2 * lb + 0.7 * lexical + 0.8 * pattern AS rg_only FROM x),
+u AS (SELECT doc_id, 'no_rg' AS strategy, no_rg AS score FROM s UNION ALL SELECT doc_id, 'rg_first', no_rg + boost FROM s UNION ALL SELECT doc_id, 'rg_only', rg_only FROM s)
+SELECT doc_id, strategy, round(CAST(score AS DOUBLE), 5) AS score FROM u WHERE score >= 0.25""")
+def rank_child_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for strategy in ("no_rg", "rg_first", "rg_only"):
+        scored = ranking.score_children(_parts(spark, sf_dir), strategy).select("doc_id", F.lit(strategy).alias("strategy"), F.round("score", 5).alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+@query(f"""WITH x AS ({_PARTS}), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lexical DESC) AS n, row_number() OVER (PARTITION BY source ORDER BY pattern DESC) AS m FROM x)
+SELECT source AS parent_id, arg_max(doc_id, (lexical, pattern, doc_id)) AS best_child, count(*) AS hits, round(CAST(max(lexical) + 0.25 * avg(lexical) FILTER (WHERE n <= 2) + 0.9 * max(pattern) + 0.35 * avg(pattern) FILTER (WHERE m <= 2) AS DOUBLE), 5) AS score, CAST(max(pb) AS DOUBLE) AS path_boost FROM r GROUP BY source""")
+def rank_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _parts(spark, sf_dir).select(F.lit(1).alias("query_id"), F.col("source").alias("parent_id"), F.col("doc_id").alias("child_id"), F.col("lexical").cast("double").alias("score"), F.col("pattern").cast("double").alias("pattern"), F.col("path_boost").cast("double").alias("path_boost"))
+    return ranking.roll_up(c).select("parent_id", "best_child", "hits", F.round("score", 5).alias("score"), "path_boost")
+
+
+@query()
+def rank_code_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents as children of their documents, asked by the benchmark's texts."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    c = chunking.children(d, "doc_id", "text").join(d.select("doc_id", "source"), "doc_id")
+    c = c.select(F.concat_ws("-", "doc_id", "child_no").alias("child_id"), F.col("doc_id").alias("parent_id"), F.col("source").alias("path"), F.lit("").alias("symbol"), F.lit("").alias("signature"), "content")
+    q = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return _rounded(retrieval.ranked_children(c, q, "no_rg"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, [lower(x) FOR x IN regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]+)', 1)] AS a FROM conversations WHERE role = 'user'),
+i AS (SELECT conv_id, turn, [x.t FOR x IN list_sort([{'n': -length(t), 'p': list_position(a, t), 't': t} FOR t IN list_distinct(a)])][1:48] AS ids FROM t),
+w AS (SELECT conv_id, turn, [y FOR y IN ids IF contains(y, '_') OR length(y) >= 8][1:24] || [y FOR y IN ids IF regexp_matches(y, '(_id|_rate|_score|_cpa|_cpc|_ctr|_cvr)$') OR y IN ('pctr', 'pcvr', 'trace_id', 'request_id')][1:24] || ids[1:24] || ['bid', 'optimizer'] AS ws FROM i)
+SELECT conv_id, turn, array_to_string([z.w FOR z IN list_sort([{'p': list_position(ws, x), 'w': x} FOR x IN list_distinct(ws)])][1:10], ',') AS terms FROM w""")
+def rank_grep_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return u.select("conv_id", "turn", F.array_join(ranking.grep_terms(ranking.code_patterns(F.col("text")), F.lit("Bid-Optimizer x")), ",").alias("terms"))
+
+
+# Evidence of a conversation's answers: the words of its texts as paths
+
+
+_HITS = """h AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'wiki_page' WHEN 1 THEN 'code' WHEN 2 THEN 'case' ELSE 'notes' END AS source_type, 'p' || CAST(turn % 5 AS VARCHAR) AS path, substr(text, 1, 3) AS section, text FROM conversations)"""
+_ISSUE = "text || CASE WHEN conv_id % 2 = 0 THEN ' request_id=r-' || CAST(conv_id AS VARCHAR) || ' 10:' || CAST(10 + turn AS VARCHAR) || ' timeout 503' ELSE '' END"
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, hits): a conversation's turns as hits, in order."""
+    kind = F.element_at(F.array(*map(F.lit, ("wiki_page", "code", "case", "notes"))), (F.col("turn") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("p"), (F.col("turn") % 5).cast("string"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("source_type"), path.alias("path"), F.lit(None).cast("string").alias("title"), F.substring("text", 1, 3).alias("section"), F.lit("").alias("symbol_name"), F.col("turn").cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.col("text").alias("excerpt"), F.lit(0.5).alias("score"))
+    each = F.struct("turn", F.struct(*[c for c in t.columns if c not in ("conv_id", "turn")]).alias("h"))
+    return t.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["h"]).alias("hits"))
+
+
+@query(f"""WITH {_HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, source_type, path, section ORDER BY turn) AS n FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM o WHERE n = 1)
+SELECT conv_id, array_to_string(list(source_type || ':' || path || ':' || section ORDER BY turn) FILTER (WHERE r <= 4), ';') AS shown FROM k GROUP BY conv_id""")
+def evidence_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.transform(fusion.output(F.col("hits")), lambda h: F.concat_ws(":", h["source_type"], h["path"], h["section"]))
+    return _hits(spark, sf_dir).select("conv_id", F.array_join(shown, ";").alias("shown"))
+
+
+@query(f"""WITH {_HITS} SELECT conv_id, CAST(count(*) FILTER (WHERE source_type NOT IN ('code', 'case')) AS INTEGER) AS wiki, CAST(count(*) FILTER (WHERE source_type = 'code') AS INTEGER) AS code, CAST(count(*) FILTER (WHERE source_type = 'case') AS INTEGER) AS cases FROM h GROUP BY conv_id""")
+def evidence_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _hits(spark, sf_dir).select("conv_id", fusion.by_source(F.col("hits")).alias("p"))
+    return parts.select("conv_id", F.size("p.wiki").alias("wiki"), F.size("p.code").alias("code"), F.size("p.case").alias("cases"))
 
 
 # Query understanding, over users' turns
 
 PROFILE = understanding.Profile(
     domain_words=("the", "und", "que", "des", "ing"),
+    off_topic=("aux", "zz"),
+    greetings=("hi", "hello"),
     trouble=("error", "thth", "euxeux"),
-    modules=(understanding.Module("north", 1, ("the", "and"), ("that",), ("thinh",)), understanding.Module("south", 2, ("que", "des"), ("eau",), ("êtreê",)), understanding.Module("east", 3, ("und", "ver"), ("lich",), ("keitß",))),
-)
+    modules=(
+        understanding.Module("north", 1, ("the", "and"), ("that",), ("thinh",), "cold"), understanding.Module("south", 2, ("que", "des"), ("eau", "mer"), ("êtreê",), "warm"),
+        understanding.Module("east", 3, ("und", "ver"), ("lich",), ("keitß",)),
+    ),
+    synonyms={"tion": ("ment", "ung"), "thing": ("chose",)},
+    abbreviations={"qu": "question"},
+    symbol_aliases={"eux": ("eux_service",)},
+    templates=(understanding.Template(("a wide question",), ("in", "on"), ("the", "das")),),
+    places=("where", "ohe"),
+)
 
 
 @query(r"""WITH u AS (SELECT conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user'),
-s AS (SELECT *, CAST(contains(q, 'the') AS INT) + CAST(contains(q, 'and') AS INT) + CAST(contains(q, 'that') AS INT) AS n, CAST(contains(q, 'que') AS INT) + CAST(contains(q, 'des') AS INT) + CAST(contains(q, 'eau') AS INT) AS s, CAST(contains(q, 'und') AS INT) + CAST(contains(q, 'ver') AS INT) + CAST(contains(q, 'lich') AS INT) AS e,
+s AS (SELECT *, CAST(contains(q, 'the') AS INT) + CAST(contains(q, 'and') AS INT) + CAST(contains(q, 'that') AS INT) AS n, CAST(contains(q, 'que') AS INT) + CAST(contains(q, 'des') AS INT) + CAST(contains(q, 'eau') AS INT) + CAST(contains(q, 'mer') AS INT) AS s, CAST(contains(q, 'und') AS INT) + CAST(contains(q, 'ver') AS INT) + CAST(contains(q, 'lich') AS INT) AS e,
   contains(q, 'thinh') AS bn, contains(q, 'êtreê') AS bs, contains(q, 'keitß') AS be FROM u)
 SELECT conv_id, turn, CASE WHEN bn THEN 'north' WHEN bs THEN 'south' WHEN be THEN 'east' WHEN greatest(n, s, e) = 0 THEN 'general' WHEN n >= s AND n >= e THEN 'north' WHEN s >= e THEN 'south' ELSE 'east' END AS module FROM s""")
 def understand_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,15 +375,64 @@ def understand_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("conv_id", "turn", understanding.module(F.col("text"), PROFILE).alias("module"))
 
 
-@query()
+_U = "SELECT conv_id, turn, text, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user'"
+#: The module of a normalised text q, and its related modules in order.
+_OWN = """CASE WHEN contains(q, 'thinh') THEN 'north' WHEN contains(q, 'êtreê') THEN 'south' WHEN contains(q, 'keitß') THEN 'east' WHEN greatest(n, s, e) = 0 THEN 'general' WHEN n >= s AND n >= e THEN 'north' WHEN s >= e THEN 'south' ELSE 'east' END"""
+_SCORES = """CAST(contains(q, 'the') AS INT) + CAST(contains(q, 'and') AS INT) + CAST(contains(q, 'that') AS INT) AS n, CAST(contains(q, 'que') AS INT) + CAST(contains(q, 'des') AS INT) + CAST(contains(q, 'eau') AS INT) + CAST(contains(q, 'mer') AS INT) AS s,
+  CAST(contains(q, 'und') AS INT) + CAST(contains(q, 'ver') AS INT) + CAST(contains(q, 'lich') AS INT) AS e"""
+_RELATED = """[x.m FOR x IN list_sort([y FOR y IN [{'s': -(n + 2 * CAST(contains(q, 'thinh') AS INT)), 'p': 1, 'm': 'north'}, {'s': -(s + 2 * CAST(contains(q, 'êtreê') AS INT)), 'p': 2, 'm': 'south'}, {'s': -(e + 2 * CAST(contains(q, 'keitß') AS INT)), 'p': 3, 'm': 'east'}] IF y.s < 0])]"""
+_DOMAIN = " + ".join(f"CAST(contains(q, '{w}') AS INT)" for w in ("the", "und", "que", "des", "ing"))
+_GENERATES = " OR ".join(f"contains(lower(text), '{w}')" for w in understanding.GENERATION_WORDS)
+_METHOD = " OR ".join(f"contains(q, '{w}')" for w in understanding.METHOD_WORDS)
+_DETAIL = " OR ".join(f"contains(q, '{w}')" for w in understanding.DETAIL_WORDS)
+
+
+@query(rf"""WITH u AS ({_U}), f AS (SELECT *, turn > 0 AS old, {_DOMAIN} AS hits, regexp_matches(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}\s*(\(|\.py\b|/)') AS hint, {_GENERATES} AS gen, q = '' OR q IN ('hi', 'hello') OR regexp_full_match(q, '[哈呵嘿啊嗯哦嗨~\s!！?？,，。…]+') AS talk FROM u),
+b AS (SELECT *, greatest(least(1.0, 0.22 * hits + CASE WHEN hint THEN 0.22 ELSE 0 END), CASE WHEN hits > 0 THEN 0.62 ELSE 0 END, CASE WHEN hint OR (gen AND conv_id % 2 = 0) THEN 0.58 ELSE 0 END) AS x FROM f),
+c AS (SELECT *, CASE WHEN old THEN least(1.0, x + 0.18) ELSE x END AS y, hits = 0 AND NOT hint AS out FROM b),
+g AS (SELECT *, CASE WHEN talk THEN 'small_talk' WHEN out AND (contains(q, 'aux') OR contains(q, 'zz')) THEN 'offtopic' WHEN out AND length(replace(q, ' ', '')) <= 4 THEN 'short_non_domain' ELSE 'scored' END AS reason FROM c)
+SELECT conv_id, turn, round(CAST(CASE reason WHEN 'small_talk' THEN 0 WHEN 'offtopic' THEN greatest(0, y - 0.45) WHEN 'short_non_domain' THEN greatest(0, y - 0.25) ELSE y END AS DOUBLE), 4) AS relevance, reason,
+  CASE WHEN reason <> 'scored' OR y < 0.5 THEN 'out_of_scope' WHEN gen THEN 'code_generation' WHEN regexp_matches(q, '报错|错误|异常|失败|超时|告警|报警|traceback|error|exception|\b[45]\d{{2}}\b|panic|fatal') THEN 'issue_analysis'
+    WHEN (contains(q, 'error') OR contains(q, 'thth') OR contains(q, 'euxeux')) AND NOT (({_METHOD}) AND NOT (({_DETAIL}) OR regexp_matches(q, '\d'))) THEN 'issue_analysis' ELSE 'knowledge_qa' END AS route,
+  CASE WHEN regexp_matches(trim(lower(text)), '公式|怎么算|如何计算|计算方式|calculate|formula|bid') THEN 'formula' WHEN regexp_matches(trim(lower(text)), '为什么|为何|原因|how to|why') THEN 'reason' WHEN regexp_matches(trim(lower(text)), '有哪些|哪些|包括什么|包含什么|分别是|列出|清单') THEN 'list' ELSE 'general' END AS question FROM g""")
 def understand_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "conversations").where("role = 'user'")
-    score = understanding.relevance(F.col("text"), PROFILE, F.col("turn") > 0)
-    return u.select("conv_id", "turn", F.round(score, 4).alias("relevance"), understanding.intent(F.col("text"), PROFILE, score).alias("route"), F.array_join(understanding.related_modules(F.col("text"), PROFILE), ",").alias("related"), understanding.question_type(F.col("text")).alias("question"))
+    scoped = u.withColumn("g", understanding.gate(F.col("text"), PROFILE, F.col("turn") > 0, F.col("conv_id") % 2 == 0))
+    route = understanding.intent(F.col("text"), PROFILE, F.col("g"))
+    return scoped.select("conv_id", "turn", F.round("g.score", 4).alias("relevance"), F.col("g.reason").alias("reason"), route.alias("route"), understanding.question_type(F.col("text")).alias("question"))
+
+
+@query(f"""WITH u AS ({_U}), m AS (SELECT *, {_SCORES} FROM u) SELECT conv_id, turn, array_to_string({_RELATED}[1:2], ',') AS related FROM m""")
+def understand_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return u.select("conv_id", "turn", F.array_join(understanding.related_modules(F.col("text"), PROFILE), ",").alias("related"))
+
+
+_FLAGS = """regexp_matches(q, 'metric|rate|ctr|roi') AS fm, regexp_matches(q, 'pipeline|flow|stage') AS fp, regexp_matches(q, 'architecture|overview|design') AS fa, regexp_matches(q, 'error|thth|euxeux') AS ft, regexp_matches(q, 'class|function|def|code|file|implement|line') AS fc, regexp_matches(q, 'where|ohe') AS fl"""
+#: Texts with their white space as single spaces, the first of those alike but for case, in order.
+_ONCE = "[z.t FOR z IN list_sort([{{'p': list_position(lows, k), 't': flat[list_position(lows, k)]}} FOR k IN list_distinct(lows)])][1:{0}]"
+_ALIASES = """CASE name WHEN 'north' THEN ['that'] WHEN 'south' THEN ['eau', 'mer'] WHEN 'east' THEN ['lich'] ELSE [] END"""
+
+
+@query(rf"""WITH u AS ({_U}), m AS (SELECT *, trim(lower(coalesce(text, ''))) AS low, {_SCORES}, {_FLAGS}, CASE conv_id % 3 WHEN 0 THEN 'issue_analysis' WHEN 1 THEN 'code_generation' ELSE 'knowledge_qa' END AS route FROM u), o AS (SELECT *, {_OWN} AS name FROM m),
+b AS (SELECT *, CASE WHEN route = 'issue_analysis' THEN [text, name || ' 异常日志', name || ' 排查案例', name || ' 联调排障'] || CASE WHEN fp OR fa THEN {_ALIASES} ELSE [] END || ['south', 'eau', 'mer']
+  ELSE [text] || CASE WHEN contains(low, 'eux') THEN ['eux_service'] ELSE [] END || CASE WHEN contains(low, 'in') AND contains(low, 'on') AND (contains(low, 'the') OR contains(low, 'das')) THEN ['a wide question'] ELSE [] END
+    || CASE WHEN fm OR fp OR fa OR ft OR fc OR fl THEN ({_ALIASES})[1:2] ELSE [] END || ['south', 'eau', 'mer'] || CASE WHEN NOT (fm OR fp OR fa OR ft OR fc OR fl) THEN [name || ' 业务说明'] ELSE [] END || CASE WHEN route = 'code_generation' THEN [name || ' 设计背景 业务口径'] ELSE [] END END AS base FROM o),
+x AS (SELECT *, base || CASE WHEN regexp_matches(low, 'tion|ment|ung') THEN ['tion', 'ment', 'ung'] ELSE [] END || CASE WHEN regexp_matches(low, 'thing|chose') THEN ['thing', 'chose'] ELSE [] END || CASE WHEN contains(lower(array_to_string(base, ' ')), 'qu') THEN ['question'] ELSE [] END AS every FROM b),
+y AS (SELECT *, [t FOR t IN [trim(regexp_replace(e, '\s+', ' ', 'g')) FOR e IN every] IF t <> ''] AS flat FROM x), w AS (SELECT *, [lower(t) FOR t IN flat] AS lows FROM y),
+q1 AS (SELECT conv_id, turn, text, name, {_ONCE.format(20)} AS qs FROM w), r AS (SELECT *, [t FOR t IN [trim(regexp_replace(e, '\s+', ' ', 'g')) FOR e IN qs || [trim(name) || ' 核心链路 关键指标', trim(name) || ' 业务口径 常见问题', trim(text) || ' 指标 口径 流程']] IF t <> ''] AS flat FROM q1), v AS (SELECT *, [lower(t) FOR t IN flat] AS lows FROM r)
+SELECT conv_id, turn, array_to_string(qs, '|') AS queries, array_to_string({_ONCE.format(16)}, '|') AS again FROM v""")
+def understand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "conversations").where("role = 'user'")
+    route = F.element_at(F.array(F.lit("issue_analysis"), F.lit("code_generation"), F.lit("knowledge_qa")), (F.col("conv_id") % 3 + 1).cast("int"))
+    name = understanding.module(F.col("text"), PROFILE)
+    q = understanding.expand(understanding.base_queries(F.col("text"), route, name, F.array(F.lit("south")), PROFILE), F.col("text"), PROFILE)
+    q = u.select("conv_id", "turn", "text", name.alias("name"), q.alias("queries"))
+    return q.select("conv_id", "turn", F.array_join("queries", "|").alias("queries"), F.array_join(understanding.retry_queries(F.col("queries"), F.col("text"), F.col("name")), "|").alias("again"))
 
 
 @query(r"""WITH u AS (SELECT conv_id, turn, text, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user'),
-f AS (SELECT conv_id, turn, regexp_matches(q, 'class|function|def|code|file|implement|line') AS code, regexp_matches(q, '(\.py|\bline\b|\bfunction\b|\bclass\b)') AS place, regexp_matches(q, 'metric|rate|ctr|roi|pipeline|flow|stage|architecture|overview|design|架构|流程|阶段|指标|口径|规则|原理|背景|说明') AS wiki, conv_id % 3 = 0 AS issue FROM u),
+f AS (SELECT conv_id, turn, regexp_matches(q, 'class|function|def|code|file|implement|line') AS code, regexp_matches(q, 'where|ohe') AS place, regexp_matches(q, 'metric|rate|ctr|roi|pipeline|flow|stage|architecture|overview|design|架构|流程|阶段|指标|口径|规则|原理|背景|说明') AS wiki, conv_id % 3 = 0 AS issue FROM u),
 s AS (SELECT *, CASE WHEN place OR (code AND NOT wiki) THEN 'code_first' WHEN wiki AND NOT code THEN 'wiki_first' ELSE 'hybrid' END AS strategy FROM f)
 SELECT conv_id, turn, strategy, CAST(greatest(CASE strategy WHEN 'hybrid' THEN 4 WHEN 'wiki_first' THEN 6 ELSE 2 END, CASE WHEN issue THEN 3 ELSE 0 END) AS INTEGER) AS wiki_top_k, CAST(greatest(CASE strategy WHEN 'hybrid' THEN 4 WHEN 'wiki_first' THEN 2 ELSE 7 END, CASE WHEN issue THEN 6 ELSE 0 END) AS INTEGER) AS code_top_k,
   CAST(CASE strategy WHEN 'hybrid' THEN 1.0 WHEN 'wiki_first' THEN 1.15 ELSE 0.9 END AS DOUBLE) AS wiki_weight, CAST(greatest(CASE strategy WHEN 'hybrid' THEN 1.0 WHEN 'wiki_first' THEN 0.9 ELSE 1.2 END, CASE WHEN issue THEN 1.15 ELSE 0 END) AS DOUBLE) AS code_weight,
@@ -269,11 +454,40 @@ def context_last_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.last_where(table(spark, sf_dir, "conversations"), F.col("role") == "assistant")
 
 
-@query("""SELECT conv_id, string_agg(substr(text, 1, 24), ' / ' ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 4 GROUP BY conv_id""")
+@query("""SELECT conv_id, coalesce(summary, '暂无历史用户提问') AS summary FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, string_agg(substr(coalesce(text, ''), 1, 24), ' / ' ORDER BY turn) AS summary
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 4 GROUP BY conv_id) USING (conv_id)""")
 def context_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return understanding.history_summary(table(spark, sf_dir, "conversations"))
 
 
+_PRONOUN = " OR ".join(f"contains(lower(question), '{w}')" for w in understanding.PRONOUNS)
+_PRONOUN_RAW = _PRONOUN.replace("question", "trim(text)")
+_LEAN = " OR ".join(f"contains(q, '{w}')" for w in understanding.FOLLOW_UP_WORDS)
+
+
+@query(rf"""WITH h AS (SELECT *, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS q FROM conversations), s AS (SELECT *, {_SCORES} FROM h), m AS (SELECT *, {_OWN} AS own, {_RELATED} AS rel FROM s),
+l AS (SELECT *, last_value(CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN own END IGNORE NULLS) OVER w AS issue, last_value(CASE WHEN role = 'assistant' THEN own END IGNORE NULLS) OVER w AS qa,
+  last_value(CASE WHEN role = 'assistant' AND len(rel) > 0 THEN rel END IGNORE NULLS) OVER w AS rel_before, last_value(CASE WHEN role = 'user' AND trim(coalesce(text, '')) <> '' THEN trim(text) END IGNORE NULLS) OVER w AS before
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT conv_id, turn, coalesce(issue, qa, '') AS active, rel_before, CASE WHEN regexp_matches(q, 'where|ohe') AND NOT (own <> 'general' OR len(rel) > 0 OR regexp_matches(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]{{2,}}\s*(\(|\.py|/)')) AND (length(replace(q, ' ', '')) <= 24 OR {_LEAN} OR {_PRONOUN_RAW})
+  AND regexp_replace(coalesce(before, ''), '[，,。.!！?？；;]+$', '') <> '' AND trim(text) <> '' THEN regexp_replace(before, '[，,。.!！?？；;]+$', '') || '，' || trim(text) ELSE trim(coalesce(text, '')) END AS question FROM l WHERE role = 'user'),
+g AS (SELECT *, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS q FROM f), i AS (SELECT *, {_SCORES} FROM g), j AS (SELECT *, {_OWN} AS own, {_RELATED} AS rel FROM i),
+k AS (SELECT *, active <> '' AND ({_PRONOUN} OR (q <> '' AND regexp_matches(q, 'where|ohe'))) AS keep FROM j), n AS (SELECT *, CASE WHEN keep THEN active ELSE own END AS module_name FROM k),
+mine AS (SELECT *, [x FOR x IN rel IF x <> module_name][1:2] AS mine FROM n), r AS (SELECT *, [x FOR x IN CASE WHEN keep THEN coalesce(rel_before, []) || mine ELSE mine END IF x <> module_name] AS every FROM mine)
+SELECT conv_id, turn, question, module_name, CASE module_name WHEN 'north' THEN 'cold' WHEN 'south' THEN 'warm' ELSE '' END AS module_hint, CASE WHEN keep THEN 'history_memory' ELSE 'current_query' END AS topic_source,
+  array_to_string([z.m FOR z IN list_sort([{{'p': list_position(every, x), 'm': x}} FOR x IN list_distinct(every)])][1:2], ',') AS related FROM r""")
+def context_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers are about the module of their own text; every other one analyses an issue."""
+    c, text = table(spark, sf_dir, "conversations"), F.col("text")
+    answer = F.col("role") == "assistant"
+    turns = c.withColumns({
+        "kind": F.when(F.col("turn") % 2 == 0, "issue_analysis").otherwise("knowledge_qa"), "intent": F.lit("knowledge_qa"),
+        "module": F.when(answer, understanding.module(text, PROFILE)), "related": F.when(answer, understanding.related_modules(text, PROFILE, 3)),
+    })
+    t = understanding.carry_over(turns, PROFILE)
+    return t.select("conv_id", "turn", "question", "module_name", "module_hint", "topic_source", F.array_join("related_modules", ",").alias("related"))
+
+
 # Sessions
 
 
@@ -300,6 +514,23 @@ def session_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(sessions.age_bucket(F.col("ts"), F.lit("2024-01-30").cast("date")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS session_id, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderpriority END), ''), '新会话 ' || right(CAST(o_orderkey AS VARCHAR), 8)) AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'idle' ELSE o_orderstatus END AS status,
+  o_custkey, o_orderstatus || '!' AS o_orderstatus FROM orders""")
+def session_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sessions, stored with what no column has as JSON, and read back."""
+    key = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").select(key.cast("string").alias("session_id"), F.when(key % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("title"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"), F.when(key % 4 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"), "o_custkey", F.concat("o_orderstatus", F.lit("!")).alias("o_orderstatus"))
+    return sessions.deserialize(sessions.serialize(s), "o_custkey bigint, o_orderstatus string").select("session_id", "title", "status", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS message_id, conv_id, 't' || CAST(conv_id AS VARCHAR) AS trace_id, turn % 2 = 0 AS helpful, 'x' AS reason_tag, CAST(turn AS INTEGER) AS rating FROM conversations WHERE role = 'assistant'")
+def session_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    m = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), "conv_id", F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("trace_id"), "role", F.lit("qa").alias("kind"), F.lit("knowledge_qa").alias("intent"), F.lit("completed").alias("status"), "turn")
+    given = m.where("role = 'assistant'").select("message_id", (F.col("turn") % 2 == 0).alias("helpful"), F.lit(" x ").alias("reason_tag"), F.col("turn").cast("int").alias("rating"), F.lit(None).cast("string").alias("comment"))
+    return sessions.feedback(m.drop("turn"), given).select("message_id", "conv_id", "trace_id", "helpful", "reason_tag", "rating")
+
+
 # Observability, over events: purchases are the questions, small values failures, large ones slow
 
 
@@ -344,9 +575,6 @@ def observe_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observability.suppress(table(spark, sf_dir, "events").where("value < 20"), 30, "event_type")
 
 
-_VIEW = "FROM events WHERE event_type = 'view'"
-
-
 @query("""SELECT a.event_id, min(b.ts) AS matched FROM (SELECT * FROM events WHERE event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts > a.ts GROUP BY a.event_id""")
 def log_next_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -359,6 +587,163 @@ def log_last_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observability.last_matching(e, "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "purchase", "ts").select("event_id", "matched")
 
 
+# Times cut to hours, so that many rows share one
+_HOURS = "e AS (SELECT *, date_trunc('hour', ts) AS h FROM events)"
+
+
+@query(f"""WITH {_HOURS}, v AS (SELECT * FROM e WHERE event_type = 'view'), p AS (SELECT * FROM e WHERE event_type = 'purchase'),
+n AS (SELECT v.event_id, arg_min(p.event_id, (p.h, p.event_id)) AS next_id FROM v JOIN p ON v.user_id = p.user_id AND p.h > v.h GROUP BY v.event_id), l AS (SELECT v.event_id, arg_max(p.event_id, (p.h, p.event_id)) AS last_id FROM v JOIN p ON v.user_id = p.user_id AND p.h <= v.h GROUP BY v.event_id)
+SELECT v.event_id, next_id, last_id FROM v LEFT JOIN n USING (event_id) LEFT JOIN l USING (event_id)""")
+def log_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("h", F.date_trunc("hour", "ts"))
+    view, purchase = F.col("event_type") == "view", F.col("event_type") == "purchase"
+    n = observability.next_matching(e, "user_id", "h", view, purchase, "event_id").select("event_id", F.col("matched").alias("next_id"))
+    last = observability.last_matching(e, "user_id", "h", view, purchase, "event_id").select("event_id", F.col("matched").alias("last_id"))
+    return n.join(last, "event_id")
+
+
+# Events as log lines: views ask, purchases answer; the value's last digits are the model's name, or none
+_ENTRIES = """x AS (SELECT user_id AS file, event_id AS line, CASE event_type WHEN 'view' THEN 'llm.debug_request' WHEN 'purchase' THEN 'llm.debug_response' ELSE event_type END AS event, CAST(event_id % 2 AS VARCHAR) AS node_name, CASE event_id % 5 WHEN 0 THEN '' ELSE CAST(event_id % 3 AS VARCHAR) END AS model FROM events)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    event = F.when(kind == "view", "llm.debug_request").when(kind == "purchase", "llm.debug_response").otherwise(kind)
+    model = F.when(i % 5 == 0, "").otherwise((i % 3).cast("string"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), i.alias("line"), event.alias("event"), (i % 2).cast("string").alias("node_name"), F.lit(1).alias("attempt"), model.alias("model"))
+
+
+@query(f"""WITH {_ENTRIES} SELECT a.line, min(b.line) AS response_line FROM x a LEFT JOIN x b ON a.file = b.file AND b.event = 'llm.debug_response' AND a.node_name = b.node_name AND b.line > a.line AND (a.model = b.model OR a.model = '' OR b.model = '') WHERE a.event = 'llm.debug_request' GROUP BY a.line""")
+def log_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observability.responses(_entries(spark, sf_dir), ("model",)).select("line", "response_line")
+
+
+@query(f"""WITH {_ENTRIES} SELECT line, last_value(CASE WHEN event = 'click' THEN 't' || CAST(line AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line) AS trace FROM x""")
+def log_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _entries(spark, sf_dir).withColumn("trace_id", F.concat(F.lit("t"), F.col("line").cast("string")))
+    return observability.trace_of(e, "click").select("line", "trace")
+
+
+# Turns of conversations as answered questions, at one a minute
+_TURNS = """t AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'issue_analysis' ELSE 'knowledge_qa' END AS intent, CASE turn % 4 WHEN 3 THEN 'failed' ELSE 'completed' END AS status, CASE conv_id % 5 WHEN 0 THEN 'fallback_rule' WHEN 1 THEN '' ELSE 'llm' END AS mode,
+  CASE conv_id % 7 WHEN 0 THEN 'empty_answer:x' ELSE '' END AS reason, CASE conv_id % 11 WHEN 0 THEN '证据不足 ' ELSE '' END || text AS answer, conv_id % 4 AS cites, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * CAST(conv_id AS INTEGER) AS ts, length(text) AS latency_ms FROM conversations WHERE role = 'assistant'),
+f AS (SELECT *, intent = 'knowledge_qa' AS qa, starts_with(reason, 'empty_answer') AS empty, mode NOT IN ('', 'llm') AS fallback, contains(answer, '证据不足') AS lacks FROM t), p AS (SELECT *, qa AND status = 'completed' AND NOT empty AND NOT lacks AND length(trim(answer)) >= 40 AND cites > 0 AS fine FROM f)"""
+_SUMMED = """count(*) FILTER (WHERE qa) AS sample_size, round(coalesce(avg(CAST(empty AS DOUBLE)), 0), 6) AS empty_response_rate, round(coalesce(avg(CAST(fallback AS DOUBLE)), 0), 6) AS fallback_rate, round(coalesce(avg(CAST(lacks AS DOUBLE)), 0), 6) AS insufficient_rate,
+  round(coalesce(avg(CAST(fine AS DOUBLE)), 0), 6) AS exact_like_pass_rate, round(coalesce(quantile_cont(latency_ms, 0.95) FILTER (WHERE qa), 0), 6) AS p95_latency_ms"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("conv_id")
+    of = {
+        "intent": F.when(i % 3 == 0, "issue_analysis").otherwise("knowledge_qa"), "status": F.when(F.col("turn") % 4 == 3, "failed").otherwise("completed"),
+        "generation_mode": F.when(i % 5 == 0, "fallback_rule").when(i % 5 == 1, "").otherwise("llm"), "fallback_reason": F.when(i % 7 == 0, "empty_answer:x").otherwise(""),
+        "answer": F.concat(F.when(i % 11 == 0, "证据不足 ").otherwise(""), "text"), "citations": F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.struct(F.when(n == 1, "wiki").otherwise("code").alias("source_type"))),
+        "ts": F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=i.cast("int")), "latency_ms": F.length("text"),
+    }
+    t = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumns(of)
+    return observability.turn_flags(t.withColumn("citations", F.slice("citations", 1, (i % 4).cast("int"))))
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, turn, qa AS is_qa_turn, empty AS is_empty_response, fallback AS is_fallback, lacks AS contains_insufficient, fine AS exact_like_pass, CAST(cites AS INTEGER) AS citation_count, CAST(greatest(cites - 1, 0) AS INTEGER) AS code_citations FROM p""")
+def observe_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", "is_qa_turn", "is_empty_response", "is_fallback", "contains_insufficient", "exact_like_pass", "citation_count", "code_citations")
+
+
+_SPAN = ("2024-01-01 00:00:00", "2024-01-01 01:30:00")
+
+
+def _turn_summary(spark: SparkSession, sf_dir: str, mode: str = "compat") -> DataFrame:
+    since, until = (F.lit(x).cast("timestamp_ntz") for x in _SPAN)
+    s = observability.turn_summary(_turns(spark, sf_dir), since, until, mode)
+    return s.select("sample_size", *[F.round(c, 6).alias(c) for c in s.columns if c != "sample_size"])
+
+
+@query(f"""WITH {_TURNS}, w AS (SELECT * FROM p WHERE ts > TIMESTAMP '{_SPAN[0]}' AND ts <= TIMESTAMP '{_SPAN[1]}') SELECT 'compat' AS mode, {_SUMMED} FROM w UNION ALL SELECT 'qa_only', {_SUMMED} FROM w WHERE qa""")
+def observe_turn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compat, qa = (_turn_summary(spark, sf_dir, m).select(F.lit(m).alias("mode"), "*") for m in ("compat", "qa_only"))
+    return compat.unionByName(qa)
+
+
+_LIMITS = (0.05, 0.1, 0.5, 100.0, 0.9)
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT {_SUMMED} FROM p WHERE ts > TIMESTAMP '{_SPAN[0]}' AND ts <= TIMESTAMP '{_SPAN[1]}'), v AS (
+  SELECT 'empty_response_rate_high' AS alert_type, 'high' AS severity, empty_response_rate AS metric_value, 0.05 AS threshold, sample_size FROM s WHERE empty_response_rate > 0.05 UNION ALL SELECT 'fallback_rate_high', 'medium', fallback_rate, 0.1, sample_size FROM s WHERE fallback_rate > 0.1
+  UNION ALL SELECT 'insufficient_rate_high', 'medium', insufficient_rate, 0.5, sample_size FROM s WHERE insufficient_rate > 0.5 UNION ALL SELECT 'p95_latency_high', 'high', p95_latency_ms, 100.0, sample_size FROM s WHERE p95_latency_ms > 100 UNION ALL SELECT 'exact_like_pass_rate_low', 'high', exact_like_pass_rate, 0.9, sample_size FROM s WHERE exact_like_pass_rate < 0.9)
+SELECT alert_type, severity, CAST(metric_value AS DOUBLE) AS metric_value, CAST(threshold AS DOUBLE) AS threshold, sample_size, 'open' AS status FROM v WHERE sample_size >= 20 AND alert_type <> 'fallback_rate_high'""")
+def observe_alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One type has an open alert from ten minutes ago."""
+    s, now = _turn_summary(spark, sf_dir), F.lit("2024-01-01 01:30:00").cast("timestamp_ntz")
+    found = observability.alerts(s, observability.turn_rules(*_LIMITS))
+    before = spark.range(1).select(F.lit("fallback_rate_high").alias("alert_type"), F.lit("open").alias("status"), (now - F.expr("INTERVAL 10 MINUTES")).alias("created_at"))
+    rows = observability.alert_rows(observability.not_recent(found, before, 30, now), s, 90, now)
+    return rows.select("alert_type", "severity", "metric_value", "threshold", "sample_size", "status")
+
+
+@query(f"""WITH {_TURNS} SELECT CAST(90 AS INTEGER) AS window_minutes, {_SUMMED} FROM p WHERE ts > TIMESTAMP '{_SPAN[0]}' AND ts <= TIMESTAMP '{_SPAN[1]}' HAVING count(*) FILTER (WHERE qa) >= 20""")
+def observe_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observability.snapshot_rows(_turn_summary(spark, sf_dir), 90).drop("payload")
+
+
+@query("SELECT event_id, event_type AS alert_type, ts AS created_at FROM events ORDER BY ts DESC, event_type LIMIT 50")
+def observe_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("alert_type"), F.col("ts").alias("created_at"), F.col("value").alias("metric_value"), F.lit(0.0).alias("threshold"), F.lit("").alias("severity"), F.lit("").alias("status"))
+    return observability.newest(e).select("event_id", "alert_type", "created_at")
+
+
+@query("SELECT event_type AS node, count(*) AS calls, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(sum(value) / (SELECT sum(value) FROM events), 6) AS share FROM events GROUP BY event_type")
+def observe_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = observability.node_latencies(table(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"), F.col("event_type").alias("node"), F.col("value").alias("ms")))
+    return n.select("node", "calls", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p95_ms", "share")])
+
+
+# Streams of the events, each read to its end into a table
+
+
+_MARK = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.read_events(spark, f"{sf_dir}/events.parquet")
+
+
+def _back(df: DataFrame, *columns: str) -> DataFrame:
+    """Times as they are stored, without a zone."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query(f"""SELECT CAST(s AS TIMESTAMP) AS start, n, mean FROM (SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS s, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1) WHERE s + INTERVAL 30 MINUTES <= {_MARK}""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = metrics.run_to_end(metrics.windowed(_events(spark, sf_dir), "30 minutes"), "windows")
+    return _back(w, "start").select("start", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH x AS (SELECT unnest([time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 5 MINUTES * i FOR i IN range(6)]) AS s, value FROM events)
+SELECT CAST(s AS TIMESTAMP) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM x GROUP BY s HAVING s + INTERVAL 30 MINUTES <= {_MARK}""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = metrics.run_to_end(metrics.windowed(_events(spark, sf_dir), "30 minutes", "5 minutes"), "sliding")
+    return _back(w, "start").select("start", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER w >= INTERVAL 30 MINUTES AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(CAST(coalesce(gap, true) AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= {_MARK}""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _back(metrics.run_to_end(metrics.user_sessions(_events(spark, sf_dir)), "sessions"), "start", "end").select("user_id", "start", "end", "n")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.run_to_end(metrics.distinct_events(_events(spark, sf_dir)), "distinct").select("event_id", "event_type")
+
+
+@query("""WITH RECURSIVE c AS (SELECT event_type, ts FROM events WHERE value < 20), k AS (
+  SELECT event_type, min(ts) AS ts FROM c GROUP BY event_type
+  UNION ALL SELECT k.event_type, (SELECT min(c.ts) FROM c WHERE c.event_type = k.event_type AND c.ts > k.ts + INTERVAL 30 MINUTES) FROM k WHERE k.ts IS NOT NULL)
+SELECT event_type, ts FROM k WHERE ts IS NOT NULL""")
+def stream_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _back(metrics.run_to_end(metrics.suppressed(_events(spark, sf_dir).where("value < 20"), 30), "emitted"), "ts").select("event_type", "ts")
+
+
 # Evaluation: a vector's gold items are those with its label
 
 
@@ -406,12 +791,128 @@ def evaluate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Answers
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, turn, trim(ISSUE) AS t FROM conversations),
+x AS (SELECT conv_id, turn, t, regexp_extract_all(t, '(?i)\b(?:request_id|trace_id|campaign_id|job_id|task_id|order_id)\s*[:=]\s*([A-Za-z0-9_\-]+)\b', 1) AS i, regexp_extract_all(t, '(\b\d{1,2}:\d{2}\b|\b\d{4}-\d{1,2}-\d{1,2}\b)', 1) AS h, regexp_extract_all(t, '(?i)(报错|错误|异常|失败|超时|timeout|exception|traceback|告警|报警|\b[45]\d{2}\b)', 1) AS s FROM t)
+SELECT conv_id, turn, array_to_string(i[1:4], ',') AS ids, array_to_string(h[1:4], ',') AS times, array_to_string([z.v FOR z IN list_sort([{'p': list_position(s, v), 'v': v} FOR v IN list_distinct(s)])][1:5], ',') AS signals, substr(t, 1, 140) AS excerpt FROM x""".replace("ISSUE", _ISSUE))
 def answer_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = answers.symptoms(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.array_join("s.ids", ",").alias("ids"), F.array_join("s.times", ",").alias("times"), F.array_join("s.signals", ",").alias("signals"), "s.excerpt")
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.symptoms(_issue_text()).alias("s"))
+    return s.select("conv_id", "turn", F.array_join("s.ids", ",").alias("ids"), F.array_join("s.times", ",").alias("times"), F.array_join("s.signals", ",").alias("signals"), "s.excerpt")
 
 
-@query()
+def _issue_text() -> F.Column:
+    """A turn's text; in every other conversation with a request, a time and two signals after it."""
+    i = F.col("conv_id").cast("string")
+    more = F.concat(F.lit(" request_id=r-"), i, F.lit(" 10:"), (10 + F.col("turn")).cast("string"), F.lit(" timeout 503"))
+    return F.concat("text", F.when(F.col("conv_id") % 2 == 0, more).otherwise(""))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN '- x' || chr(10) ELSE '' END || text AS t, CASE conv_id % 4 WHEN 0 THEN 'list' WHEN 1 THEN 'reason' WHEN 2 THEN 'formula' ELSE 'general' END AS k FROM conversations WHERE role = 'assistant'),
+p AS (SELECT *, [x FOR x IN [trim(y, ' ' || chr(9) || chr(13)) FOR y IN regexp_split_to_array(t, '[。\n,，!?！？]')] IF x <> ''] AS ps FROM a)
+SELECT conv_id, turn, CASE WHEN t = '' OR k = 'general' OR regexp_matches(t, '(?m)^\s*(?:\d+\.|[-*])\s+') OR len(ps) = 0 THEN t
+  ELSE t || chr(10) || chr(10) || '**' || CASE k WHEN 'list' THEN '要点清单' WHEN 'reason' THEN '主要原因' ELSE '公式与关键变量' END || '**' || chr(10) || array_to_string([CAST(i AS VARCHAR) || '. ' || ps[i] FOR i IN range(1, least(len(ps), 4) + 1)], chr(10)) END AS answer FROM p""")
 def answer_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", answers.numbered(F.col("text")).alias("answer"))
+    kind = F.element_at(F.array(*map(F.lit, ("list", "reason", "formula", "general"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    text = F.concat(F.when(F.col("turn") % 4 == 1, "- x\n").otherwise(""), "text")
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", answers.numbered(text, kind).alias("answer"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty_answer' WHEN contains(lower(t), 'reasoning') THEN 'empty_answer:reasoning_dump' END AS why FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'My Reasoning: ' || text ELSE text END AS t FROM conversations WHERE role = 'assistant')""")
+def answer_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("conv_id") % 3 == 0, " \n ").when(F.col("conv_id") % 3 == 1, F.concat(F.lit("My Reasoning: "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", answers.rejected(text).alias("why"))
+
+
+@query(r"""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN CAST(least(1.0, turn / 4.0) AS DOUBLE) ELSE 0.0 END AS score, CASE conv_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'invalid_llm_json' ELSE 'empty_llm_output' END AS reason, conv_id % 3 = 0 AS passed FROM conversations""")
+def answer_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's words around its JSON, which has an object in it; no JSON; nothing."""
+    said = F.concat(F.lit('I say: {"detail": {"a": 1}, "reason": " ok ", "pass": true, "score": '), (F.col("turn") / 4.0).cast("string"), F.lit("} so far"))
+    text = F.when(F.col("conv_id") % 3 == 0, said).when(F.col("conv_id") % 3 == 1, "no {json").otherwise("  ")
+    j = table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.judged(text).alias("j"))
+    return j.select("conv_id", "turn", "j.score", "j.reason", "j.passed")
+
+
+def _anchored(hit: str, missing: str) -> str:
+    """The text of a hit's place, in SQL."""
+    return f"'`' || {hit}.path || '` -> `' || coalesce(nullif(trim({hit}.section), ''), '{missing}') || '` (line: ' || {hit}.turn || ')'"
+
+
+def _said(name: str, *values: str) -> str:
+    parts = answers.TEXTS[name].split("%s")
+    return " || ".join(x for p, v in zip(parts, [*values, "''"]) for x in (f"'{p}'", v))
+
+
+@query(f"""WITH {_HITS}, q AS (SELECT conv_id, list({{'turn': turn, 'path': path, 'section': section, 'source_type': source_type}} ORDER BY turn) AS hs FROM h GROUP BY conv_id),
+g AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN [] ELSE hs END AS hs, CASE WHEN conv_id % 2 = 0 THEN 'r-' || conv_id END AS id FROM q), p AS (SELECT *, [x FOR x IN hs IF x.source_type = 'code'] AS code, [x FOR x IN hs IF x.source_type = 'case'] AS cases, [x FOR x IN hs IF x.source_type NOT IN ('code', 'case')] AS wiki, hs[1] AS top, CASE WHEN id IS NOT NULL THEN {_said('signals', "'timeout, 503'")} ELSE '' END AS sig FROM g),
+r AS (SELECT *, CASE WHEN id IS NOT NULL THEN [{_said('risk_ids', 'id')}, {_said('risk_times', "'10:15'")}] ELSE [] END || CASE WHEN len(code) > 0 AND len(wiki) > 0 THEN [{_said('risk_versions')}] ELSE [] END || CASE WHEN len(cases) > 0 THEN [{_said('risk_cases')}] ELSE [] END AS r0 FROM p), r1 AS (SELECT *, CASE WHEN len(r0) = 0 THEN [{_said('risk_narrow')}] ELSE r0 END AS rs FROM r)
+SELECT conv_id, CASE WHEN len(hs) = 0 THEN {_said('no_cause', "'m'")} WHEN top.source_type = 'code' THEN {_said('code_cause', _anchored('top', 'unknown_section'), 'sig')} ELSE {_said('other_cause', 'top.path', "'m'", 'sig')} END AS root_cause,
+  array_to_string((rs || CASE WHEN len(rs) < 2 THEN [{_said('risk_rollback')}] ELSE [] END)[1:3], '|') AS risks,
+  array_to_string(([{_said('fix_code', _anchored('c', 'unknown_section'))} FOR c IN code[1:2]] || CASE WHEN len(wiki) > 0 THEN [{_said('fix_rules', 'wiki[1].path', "'m'")}] ELSE [] END || [{_said('fix_logs')}, {_said('fix_tests')}])[1:4], '|') AS fix_plan,
+  array_to_string([CASE WHEN id IS NOT NULL THEN {_said('check_ids', 'id')} ELSE {_said('check_path')} END, CASE WHEN id IS NOT NULL THEN {_said('check_times', "'10:15'")} ELSE {_said('check_windows')} END, CASE WHEN len(hs) > 0 THEN {_said('check_anchor', _anchored('top', 'unknown_section'))} ELSE {_said('check_logs', "'m'")} END], '|') AS verification_steps, len(hs) < 2 AS need_user_confirmation FROM r1""")
+def answer_issue_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth conversation has no evidence; every other one names a request, a time and two signals."""
+    i = F.col("conv_id")
+    text = F.when(i % 2 == 0, F.concat(F.lit("request_id=r-"), i.cast("string"), F.lit(" 10:15 timeout 503"))).otherwise("")
+    hits = F.when(i % 5 == 0, F.slice("hits", 1, 0)).otherwise(F.col("hits"))
+    f = _hits(spark, sf_dir).select("conv_id", answers.issue_fallback(F.lit("m"), answers.symptoms(text), hits).alias("f"))
+    joined = [F.array_join(f"f.{c}", "|").alias(c) for c in ("risks", "fix_plan", "verification_steps")]
+    return f.select("conv_id", "f.root_cause", *joined, "f.need_user_confirmation")
+
+
+@query(rf"""WITH {_HITS}, e AS (SELECT *, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 140) AS ex FROM h),
+q AS (SELECT conv_id, list({{'turn': turn, 'path': path, 'section': section, 'ex': ex, 'code': source_type = 'code'}} ORDER BY turn) AS hs FROM e GROUP BY conv_id), g AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN [] ELSE hs END AS hs FROM q),
+p AS (SELECT conv_id, flatten([CASE WHEN x.code THEN [{_said('code_place', _anchored('x', 'unknown_symbol'))}] || CASE WHEN x.ex <> '' THEN [{_said('code_excerpt', 'x.ex')}] ELSE [] END ELSE [CASE WHEN x.ex <> '' THEN x.path || '：' || x.ex ELSE x.path END] END FOR x IN hs])[1:6] AS ps, [x FOR x IN hs IF x.code] AS code FROM g)
+SELECT conv_id, CASE WHEN coalesce(len(ps), 0) = 0 THEN {_said('no_points', "'m'", "'--'")} WHEN conv_id % 3 = 0 THEN array_to_string([CAST(i AS VARCHAR) || '. ' || ps[i] FOR i IN range(1, least(len(ps), 5) + 1)], chr(10)) WHEN conv_id % 3 = 1 THEN array_to_string([CAST(i AS VARCHAR) || '. ' || ps[i] FOR i IN range(1, least(len(ps), 4) + 1)], chr(10)) ELSE array_to_string(ps[1:3], '；') END AS answer,
+  CASE WHEN len(code) > 0 THEN array_to_string([CAST(i AS VARCHAR) || '. ' || {_anchored('code[i]', 'unknown_symbol')} FOR i IN range(1, least(len(code), 3) + 1)], chr(10)) ELSE '1. ' || {_said('no_code_1', "'m'")} || chr(10) || '2. ' || {_said('no_code_2', "'--'")} || chr(10) || '3. ' || {_said('no_code_3')} END AS places FROM p""")
+def answer_qa_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("conv_id")
+    kind = F.when(i % 3 == 0, "list").when(i % 3 == 1, "reason").otherwise("general")
+    hits = F.when(i % 5 == 0, F.slice("hits", 1, 0)).otherwise(F.col("hits"))
+    h = _hits(spark, sf_dir).select("conv_id", hits.alias("hits"))
+    none = F.lit(None).cast("string")
+    return h.select("conv_id", answers.qa_fallback(F.lit("m"), none, kind, F.col("hits")).alias("answer"), answers.place_fallback(F.lit("m"), none, fusion.by_source(F.col("hits"))["code"]).alias("places"))
+
+
+@query(f"""WITH {_HITS}, o AS (SELECT *, CASE source_type WHEN 'wiki_page' THEN 'wiki' ELSE source_type END AS kind FROM h), d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind, path, section ORDER BY turn) AS n FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM d WHERE n = 1),
+s AS (SELECT conv_id, string_agg(kind || ':' || path, ';' ORDER BY turn) FILTER (WHERE r <= 4) AS shown FROM k GROUP BY conv_id)
+SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'out_of_scope' ELSE 'knowledge_qa' END AS kind, CASE conv_id % 3 WHEN 0 THEN 'out_of_scope' ELSE 'completed' END AS status, CASE conv_id % 3 WHEN 0 THEN {_said('out_of_scope')} ELSE 'a' END AS content, CASE conv_id % 3 WHEN 0 THEN '' ELSE shown END AS shown FROM s""")
+def answer_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.col("conv_id") % 3 == 0
+    kind, none = F.when(out, "out_of_scope").otherwise("knowledge_qa"), F.slice("hits", 1, 0)
+    turns = _hits(spark, sf_dir).select(F.col("conv_id").alias("trace_id"), kind.alias("route"), kind.alias("kind"), F.when(out, "out_of_scope").alias("status"), F.when(~out, "a").alias("answer"), F.when(F.col("conv_id") % 2 == 0, F.col("hits")).otherwise(none).alias("citations"), F.when(F.col("conv_id") % 2 == 1, F.col("hits")).otherwise(none).alias("wiki_hits"), none.alias("case_hits"), none.alias("code_hits"))
+    m = answers.finalize(turns)
+    shown = F.array_join(F.transform("citations", lambda h: F.concat_ws(":", h["source_type"], h["path"])), ";")
+    return m.select(F.col("trace_id").alias("conv_id"), "kind", "status", "content", shown.alias("shown"))
+
+
+# Issues: each conversation's first user turn is a case, its assistant's text the response
+
+
+_CASES = """c AS (SELECT conv_id AS id, 'issue_analysis' AS route, CASE conv_id % 2 WHEN 0 THEN 'north' ELSE '' END AS module FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT conv_id AS id, CASE conv_id % 4 WHEN 0 THEN 'knowledge_qa' ELSE 'issue_analysis' END AS intent, CASE conv_id % 6 WHEN 0 THEN 'south' ELSE 'north' END AS module, CASE conv_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'fallback_rule' ELSE 'error' END AS mode, arg_min(text, turn) AS answer, conv_id % 3 AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+m AS (SELECT c.id, CAST(coalesce(intent = route, false) AS DOUBLE) AS route_hit, CASE WHEN c.module <> '' THEN CAST(coalesce(r.module = c.module, false) AS DOUBLE) END AS module_hit, CAST(coalesce(n > 0, false) AS DOUBLE) AS cause, CAST(coalesce(n >= 2, false) AS DOUBLE) AS lists, CAST(coalesce(mode = 'llm', false) AS DOUBLE) AS llm,
+  CAST(coalesce(mode = 'error', false) AS DOUBLE) AS err, CAST(coalesce(contains(lower(answer), 'the'), false) AS DOUBLE) AS anchored, coalesce(n, 0) AS attempts FROM c LEFT JOIN r USING (id))"""
+
+
+@query(f"""WITH {_CASES} SELECT count(*) AS total_cases, count(module_hit) AS module_eval_count, round(avg(route_hit), 6) AS route_accuracy, round(avg(module_hit), 6) AS module_accuracy, round(avg(route_hit * coalesce(module_hit, 1)), 6) AS strict_pass_rate, round(avg(cause), 6) AS root_cause_presence_rate, round(avg(cause * lists), 6) AS analysis_structure_pass_rate,
+  round(avg(anchored), 6) AS evidence_anchor_hit_rate, round(avg(llm), 6) AS llm_mode_rate, round(avg(err), 6) AS runtime_error_rate, round(avg(attempts), 6) AS avg_attempts, avg(llm) >= 0.3 AS llm_mode_threshold_passed FROM m""")
+def evaluate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    i, n = F.col("id"), (F.col("id") % 3).cast("int")
+    cases = c.select(F.col("conv_id").alias("id")).distinct().select("id", *[F.lit("issue_analysis").alias(f"expected_{x}") for x in ("route", "kind")], F.lit("completed").alias("expected_status"), F.when(i % 2 == 0, "north").otherwise("").alias("expected_module"))
+    first = c.where("role = 'assistant'").groupBy(F.col("conv_id").alias("id")).agg(F.min_by("text", "turn").alias("answer"))
+    said = F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, n)
+    got = first.select("id", F.when(i % 4 == 0, "knowledge_qa").otherwise("issue_analysis").alias("intent"), F.when(i % 4 == 0, "knowledge_qa").otherwise("issue_analysis").alias("kind"), F.lit("completed").alias("status"), "answer", F.array(F.lit("The"), F.lit("x")).alias("anchors"), F.when(i % 6 == 0, "south").otherwise("north").alias("module"), F.when(n > 0, "r").otherwise("").alias("root_cause"), said.alias("risks"), said.alias("fix_plan"), said.alias("verification_steps"), F.when(i % 3 == 0, "LLM").alias("generation_mode"), F.when(i % 3 == 1, "fallback_rule").when(i % 3 == 2, "error").alias("legacy_mode"), (n == 1).alias("need_user_confirmation"), n.alias("attempts"))
+    report = evaluation.issue_report(evaluation.issue_measures(cases, got), 0.3)
+    return report.select("total_cases", "module_eval_count", "route_accuracy", "module_accuracy", "strict_pass_rate", "root_cause_presence_rate", "analysis_structure_pass_rate", "evidence_anchor_hit_rate", "llm_mode_rate", "runtime_error_rate", "avg_attempts", "llm_mode_threshold_passed")
+
+
+_SQUEEZE = r"""regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"""
+
+
+@query(f"""WITH {_HITS}, t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, {_SQUEEZE.format("coalesce(section, '')")} AS s, {_SQUEEZE.format("coalesce(section, '') || text")} AS x FROM h)
+SELECT conv_id, CAST(max(CAST(r <= 1 AND contains(s, 'the') AS INT)) AS DOUBLE) AS symbol_hit, CAST(max(CAST(r <= 3 AND (contains(x, 'thin') OR contains(x, 'eau')) AS INT)) AS DOUBLE) AS pattern_hit, CAST(1 AS DOUBLE) AS nothing_asked FROM t GROUP BY conv_id""")
+def evaluate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.transform("hits", lambda h: F.struct(h["section"].alias("symbol_name"), F.lit("").alias("signature"), h["section"].alias("title"), h["excerpt"].alias("excerpt")))
+    h = _hits(spark, sf_dir).select("conv_id", hits.alias("hits"))
+    gold = lambda *words: F.array(*map(F.lit, words)).cast("array<string>")
+    return h.select("conv_id", evaluation.symbol_hit(F.col("hits"), gold("T-H e"), 1).alias("symbol_hit"), evaluation.pattern_hit(F.col("hits"), gold("thin", "EAU"), 3).alias("pattern_hit"), evaluation.pattern_hit(F.col("hits"), gold(), 3).alias("nothing_asked"))

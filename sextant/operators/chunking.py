@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import excerpt, normalize
@@ -157,11 +157,36 @@ def children(parents: DataFrame, key: str, content: str = "content", size: int =
     )
 
 
-def highlight(content: Column, words: Column, radius: int = 2, most: int = 18) -> Column:
-    """struct(line_no, content, is_hit) of lines with one of the words and their neighbours, `most` at most."""
-    lines = F.transform(F.split(content, "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("content"), F.exists(words, lambda w: F.contains(F.lower(x), F.lower(w))).alias("is_hit")))
+def highlight(content: Column, words: Column, radius: int = 2, most: int = 18, first_line: Column | None = None) -> Column:
+    """struct(text, lines, hits): at most `most` lines from `radius` before the first line with one of the words (two characters
+    or more; the first line that isn't blank, where none has any). lines are struct(line_no, content, is_hit), hits the
+    numbers of hit lines; text shows them with `>>` before hits and dots where lines are left out. Empty without content."""
+    first = first_line if first_line is not None else F.lit(1)
+    keys = F.filter(F.transform(words, normalize), lambda w: F.length(w) >= 2)
+    raw = F.split(F.regexp_replace(F.coalesce(content, F.lit("")), r"\n\z", ""), "\n")
+    marked = F.transform(raw, lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"(?U)\s+$", "").alias("content"), F.exists(keys, lambda w: F.contains(normalize(x), w)).alias("hit")))
+    at = F.transform(F.filter(marked, lambda x: x["hit"]), lambda x: x["at"])
+    shown = F.transform(F.filter(marked, lambda x: x["content"] != ""), lambda x: x["at"])
+    lead = F.coalesce(F.get(at, F.lit(0)), F.get(shown, F.lit(0)), F.lit(0))
+    start = F.greatest(lead - radius, F.lit(0))
+    hit = lambda x: (x["hit"] | (x["at"] == lead)) & (x["content"] != "")
+    lines = F.transform(F.slice(marked, start + 1, F.lit(most)), lambda x: F.struct((x["at"] + first).alias("line_no"), x["content"].alias("content"), hit(x).alias("is_hit")))
+    number = lambda x: F.when(F.length(x["line_no"].cast("string")) < 4, F.lpad(x["line_no"].cast("string"), 4, " ")).otherwise(x["line_no"].cast("string"))
+    rows = F.transform(lines, lambda x: F.concat(F.when(x["is_hit"], ">> ").otherwise("   "), number(x), F.lit(": "), x["content"]))
+    dots = lambda condition: F.when(condition, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>"))
+    text = F.trim(F.array_join(F.concat(dots(start > 0), rows, dots(start + most < F.size(raw))), "\n"))
+    empty = F.coalesce(content, F.lit("")) == ""
     hits = F.transform(F.filter(lines, lambda x: x["is_hit"]), lambda x: x["line_no"])
-    return F.slice(F.filter(lines, lambda x: F.exists(hits, lambda h: F.abs(h - x["line_no"]) <= radius)), 1, most)
+    return F.struct(F.when(empty, "").otherwise(text).alias("text"), F.when(empty, F.slice(lines, 1, 0)).otherwise(lines).alias("lines"), F.when(empty, F.slice(hits, 1, 0)).otherwise(hits).alias("hits"))
+
+
+def snapshot(chunks: DataFrame) -> DataFrame:
+    """All chunks in the order of their documents, with their place in the document and in all, and their length."""
+    w = Window.partitionBy("path").orderBy("chunk_no")
+    placed = chunks.withColumn("doc_chunk_index", F.row_number().over(w)).withColumn("content_length", F.length("content"))
+    sizes = placed.groupBy("path").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "before")
+    return placed.join(before, "path").withColumn("index", F.col("before") + F.col("doc_chunk_index")).drop("before").orderBy("path", "chunk_no")
 
 
 def previews(chunks: DataFrame) -> DataFrame:

@@ -7,17 +7,46 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def turn_flags(turns: DataFrame, insufficient: list[str], required: int = 40) -> DataFrame:
-    """turns (answer, citations, intent, status) with what the metrics count."""
-    a = F.coalesce("answer", F.lit(""))
-    lacking = F.exists(F.array(*map(F.lit, insufficient)), lambda w: F.contains(a, w))
-    cited = F.size(F.coalesce("citations", F.array().cast("array<string>")))
-    flagged = turns.withColumn("is_empty_response", F.trim(a) == "").withColumn("contains_insufficient", lacking).withColumn("citation_count", cited)
-    fine = ~F.col("is_empty_response") & ~lacking & (F.length(a) >= required) & (cited >= 1)
+from sextant.functions.text import contains_any
+from sextant.operators.fusion import source_kind
+
+
+#: What an answer says that lacks evidence.
+INSUFFICIENT = ("当前证据不足", "证据不足")
+RATES = ("empty_response", "fallback", "insufficient", "exact_like_pass")
+
+
+def turn_flags(turns: DataFrame, insufficient: tuple[str, ...] = INSUFFICIENT, required: int = 40) -> DataFrame:
+    """turns (answer, citations, intent, status, generation_mode, fallback_reason) with what the metrics count; citations are
+    structs with a source_type."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cited = F.coalesce("citations", F.array())
+    of = lambda kind: F.size(F.filter(cited, lambda c: source_kind(c["source_type"]) == kind))
+    flagged = turns.withColumns({
+        "is_qa_turn": text("intent") == "knowledge_qa",
+        "is_empty_response": F.startswith(text("fallback_reason"), F.lit("empty_answer")),
+        "is_fallback": ~text("generation_mode").isin("", "llm"),
+        "contains_insufficient": contains_any(text("answer"), list(insufficient)),
+        "citation_count": F.size(cited),
+        **{f"{kind}_citations": of(kind) for kind in ("wiki", "code", "case")},
+    })
+    long = F.length(F.regexp_replace(text("answer"), r"(?U)^\s+|\s+$", "")) >= required
+    fine = F.col("is_qa_turn") & (text("status") == "completed") & ~F.col("is_empty_response") & ~F.col("contains_insufficient") & long & (F.col("citation_count") > 0)
     return flagged.withColumn("exact_like_pass", fine)
 
 
+def turn_summary(flagged: DataFrame, since: Column, until: Column, mode: str = "compat") -> DataFrame:
+    """One row over a look-back window of flagged turns (ts, latency_ms): the number of question turns, four rates, and the
+    exact 95th percentile of question turns' latency. compat divides rates by all turns, qa_only by question turns. Without
+    turns all are 0."""
+    qa = F.col("is_qa_turn")
+    columns = ("is_empty_response", "is_fallback", "contains_insufficient", "exact_like_pass")
+    rate = lambda c: F.avg(F.when(F.lit(True) if mode == "compat" else qa, F.col(c).cast("double")))
+    rates = [F.coalesce(rate(c), F.lit(0.0)).alias(f"{name}_rate") for name, c in zip(RATES, columns)]
+    inside = flagged.where((F.col("ts") > since) & (F.col("ts") <= until))
+    return inside.agg(F.count_if(qa).alias("sample_size"), *rates, F.coalesce(F.percentile(F.when(qa, F.col("latency_ms")), 0.95), F.lit(0.0)).alias("p95_latency_ms"))
+
+
 def summary(events: DataFrame, since: Column, until: Column, is_qa: Column, value: Column, mode: str = "compat") -> DataFrame:
     """One row over a look-back window: counts, rates and the exact 95th percentile. compat divides rates by all turns,
     qa_only by question turns; the sample size counts question turns in both."""
@@ -49,21 +78,73 @@ def alerts(metrics: DataFrame, rules: list[Rule], sample: str = "sample_size", l
     return rows.where(F.when(F.col("above"), F.col("metric_value") > F.col("threshold")).otherwise(F.col("metric_value") < F.col("threshold"))).drop("above")
 
 
-def suppress(candidates: DataFrame, minutes: int, key: str = "alert_type", bucket: str | None = None) -> DataFrame:
+def suppress(candidates: DataFrame, minutes: int, key: str = "alert_type") -> DataFrame:
     """(key, ts) of the alerts that are emitted: one is held back if the last emitted one of its key is at most `minutes`
     before. Each emitted alert starts the window anew, so this is a fold over a key's times.
 
-    Only times with nothing in the window before them surely begin a run; runs are independent of each other, so the fold
-    goes over a run, not over all of a key's times."""
+    Repeated times count once. Only times with nothing in the window before them surely begin a run; runs are independent of
+    each other, and the fold goes over one run, not over all of a key's times."""
     span = F.expr(f"INTERVAL {minutes} MINUTES")
     w = Window.partitionBy(key).orderBy("ts")
     gap = F.lag("ts").over(w)
-    runs = candidates.select(key, "ts").withColumn("first", (gap.isNull() | (F.col("ts") > gap + span)).cast("int")).withColumn("run", F.sum("first").over(w))
-    none = F.array().cast(f"array<{dict(candidates.dtypes)['ts']}>")
-    kept = F.aggregate(F.array_sort(F.collect_list("ts")), none, lambda acc, t: F.when((F.size(acc) == 0) | (t > F.element_at(acc, -1) + span), F.array_append(acc, t)).otherwise(acc))
+    once = candidates.select(key, "ts").distinct()
+    runs = once.withColumn("first", (gap.isNull() | (F.col("ts") > gap + span)).cast("int")).withColumn("run", F.sum("first").over(w))
+    kind = dict(candidates.dtypes)["ts"]
+    none = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+
+    def step(acc: Column, t: Column) -> Column:
+        emit = acc["last"].isNull() | (t > acc["last"] + span)
+        return F.when(emit, F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc)
+
+    kept = F.aggregate(F.array_sort(F.collect_list("ts")), none, step, lambda acc: acc["kept"])
     return runs.groupBy(key, "run").agg(kept.alias("ts")).select(key, F.explode("ts").alias("ts"))
 
 
+def turn_rules(empty: float, fallback: float, insufficient: float, p95: float, passed: float) -> list[Rule]:
+    """The five checks of a summary of turns, each with its threshold."""
+    return [
+        Rule("empty_response_rate_high", "empty_response_rate", empty, severity="high"),
+        Rule("fallback_rate_high", "fallback_rate", fallback, severity="medium"),
+        Rule("insufficient_rate_high", "insufficient_rate", insufficient, severity="medium"),
+        Rule("p95_latency_high", "p95_latency_ms", p95, severity="high"),
+        Rule("exact_like_pass_rate_low", "exact_like_pass_rate", passed, above=False, severity="high"),
+    ]
+
+
+def alert_rows(violations: DataFrame, summary: DataFrame, window_minutes: int, at: Column) -> DataFrame:
+    """Rows to append to a table of alerts: violations (alert_type, severity, metric_name, metric_value, threshold), open, with
+    the (one-row) summary as JSON."""
+    detail = F.to_json(F.struct(*[F.col(c) for c in summary.columns]))
+    one = F.broadcast(summary.select(F.col("sample_size").alias("sample_size"), detail.alias("detail")))
+    rows = violations.drop("sample_size").join(one)
+    return rows.select(at.alias("created_at"), "alert_type", "severity", "metric_name", "metric_value", "threshold", F.lit(window_minutes).alias("window_minutes"), "sample_size", F.lit("open").alias("status"), "detail")
+
+
+def not_recent(violations: DataFrame, emitted: DataFrame, minutes: int, now: Column) -> DataFrame:
+    """Violations of types that have no open alert emitted within so many minutes."""
+    recent = emitted.where((F.col("status") == "open") & (F.col("created_at") >= now - F.expr(f"INTERVAL {minutes} MINUTES"))).select("alert_type").distinct()
+    return violations.join(recent, "alert_type", "left_anti")
+
+
+def snapshot_rows(summary: DataFrame, window_minutes: int, least: int = 20) -> DataFrame:
+    """The row to append to a table of metrics: the summary, if its sample is large enough."""
+    rates = [F.col(c) for c in summary.columns if c.endswith("_rate") or c == "p95_latency_ms"]
+    payload = F.to_json(F.struct(*[F.col(c) for c in summary.columns]))
+    return summary.where(F.col("sample_size") >= least).select(F.lit(window_minutes).alias("window_minutes"), "sample_size", *rates, payload.alias("payload"))
+
+
+def newest(alerts_: DataFrame, n: int = 50) -> DataFrame:
+    """The last alerts first, with defaults for what they lack."""
+    return alerts_.orderBy(F.desc("created_at"), "alert_type").limit(max(1, n)).fillna({"metric_value": 0.0, "threshold": 0.0, "severity": "", "status": ""})
+
+
+def node_latencies(spans: DataFrame) -> DataFrame:
+    """spans (trace_id, node, ms) to one row a node: calls, mean, exact 95th percentile and share of all time."""
+    by = spans.groupBy("node").agg(F.count("*").alias("calls"), F.avg("ms").alias("mean_ms"), F.percentile("ms", 0.95).alias("p95_ms"), F.sum("ms").alias("total"))
+    total = F.sum("total").over(Window.partitionBy(F.lit(1)))
+    return by.select("node", "calls", "mean_ms", "p95_ms", F.when(total > 0, F.col("total") / total).otherwise(0.0).alias("share"))
+
+
 LINE = r"^\s*([^|]*?)\s*\|\s*([A-Z]+)\s*\|\s*([^|]*?)\s*\|\s*(.*)$"
 
 
@@ -82,12 +163,40 @@ def response_event(event: Column) -> Column:
 
 
 def next_matching(events: DataFrame, key: str, order: str, is_left: Column, is_right: Column, value: str) -> DataFrame:
-    """Forward as-of join: for each left row the value of the first later right row of its key."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return events.withColumn("matched", F.first(F.when(is_right, F.col(value)), ignorenulls=True).over(w)).where(is_left)
+    """Forward as-of join: for each left row the least value of the right rows of its key at the first later time. Rows of the
+    same time aren't later."""
+    at = F.when(is_right, F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
+    # Right rows of each time, then the nearest time after: rows are numbered by their times, of which ties share one.
+    numbered = events.withColumn("_t", F.dense_rank().over(Window.partitionBy(key).orderBy(order))).withColumn("_r", at)
+    w = Window.partitionBy(key).orderBy("_t").rangeBetween(1, Window.unboundedFollowing)
+    return numbered.withColumn("matched", F.min("_r").over(w)["v"]).where(is_left).drop("_t", "_r")
 
 
 def last_matching(events: DataFrame, key: str, order: str, is_left: Column, is_right: Column, value: str) -> DataFrame:
-    """Backward as-of join: for each left row the value of the last right row of its key at or before it."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("matched", F.last(F.when(is_right, F.col(value)), ignorenulls=True).over(w)).where(is_left)
+    """Backward as-of join: for each left row the largest value of the right rows of its key at the last time not after it.
+    Rows of the same time count."""
+    at = F.when(is_right, F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
+    w = Window.partitionBy(key).orderBy(order)
+    return events.withColumn("_r", at).withColumn("matched", F.max("_r").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))["v"]).where(is_left).drop("_r")
+
+
+def responses(entries: DataFrame, optional: tuple[str, ...] = ("model", "module_name", "user_query_preview")) -> DataFrame:
+    """Log entries (file, line, event, node_name, attempt, optional fields) as requests, each with the line of its response: the
+    first later line of the file with the response's event, the same node and attempt, and the same optional fields where
+    both have them. Requests are joined to responses of their file, node and attempt, of which there are few."""
+    keys = ["file", "event", "node_name", "attempt"]
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("node_name", "attempt", *optional)]
+    all_ = entries.select("file", "line", "event", *known)
+    asked = all_.where(F.col("event").endswith(".debug_request")).withColumn("request_event", F.col("event")).withColumn("event", response_event(F.col("event")))
+    said = all_.select(*keys, F.col("line").alias("response_line"), *[F.col(c).alias(f"r_{c}") for c in optional])
+    fits = F.col("response_line") > F.col("line")
+    for c in optional:
+        fits = fits & ((F.col(c) == F.col(f"r_{c}")) | (F.col(c) == "") | (F.col(f"r_{c}") == ""))
+    found = asked.join(said, keys).where(fits).groupBy("file", "line").agg(F.min("response_line").alias("response_line"))
+    return asked.join(found, ["file", "line"], "left").drop("event").withColumnRenamed("request_event", "event")
+
+
+def trace_of(entries: DataFrame, start: str = "workflow.invoke.start") -> DataFrame:
+    """Log entries (file, line, event, trace_id) with the trace of the last start at or before them."""
+    w = Window.partitionBy("file").orderBy("line")
+    return entries.withColumn("trace", F.last(F.when(F.col("event") == start, F.col("trace_id")), ignorenulls=True).over(w))

@@ -41,3 +41,52 @@ def summaries(messages: DataFrame, preview: int = 72, title: int = 24) -> DataFr
 def age_bucket(updated: Column, now: Column) -> Column:
     days = F.datediff(now, updated)
     return F.when(days <= 0, "today").when(days == 1, "yesterday").when(days <= 7, "7 days").when(days <= 30, "30 days").otherwise("older")
+
+
+#: Columns that a stored session has of its own; all others go into its payload.
+KNOWN = ("session_id", "title", "created_at", "updated_at", "status")
+
+
+def serialize(sessions: DataFrame) -> DataFrame:
+    """Sessions with any columns as rows to store: the known columns, and the others as JSON in payload. A session without an
+    id is an error; without a title it gets one from the end of its id, without a status it is idle."""
+    sid = F.trim(F.coalesce(F.col("session_id"), F.lit("")))
+    need = F.when(sid == "", F.raise_error(F.lit("a session lacks its id")).cast("string")).otherwise(sid)
+    title = F.nullif(F.trim(F.coalesce(F.col("title"), F.lit(""))), F.lit(""))
+    more = [c for c in sessions.columns if c not in KNOWN]
+    payload = F.to_json(F.struct(*more)) if more else F.lit("{}")
+    return sessions.select(
+        need.alias("session_id"), F.coalesce(title, F.concat(F.lit("新会话 "), F.right(sid, F.lit(8)))).alias("title"), "created_at", "updated_at",
+        F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("idle")).alias("status"), payload.alias("payload"),
+    )
+
+
+def deserialize(rows: DataFrame, schema: str) -> DataFrame:
+    """Stored rows with the payload's fields (a schema) as columns again. A field that has a known column's name overrides it,
+    where the payload gives it; a payload that can't be read gives nulls."""
+    read = rows.withColumn("_p", F.from_json("payload", schema))
+    names = read.schema["_p"].dataType.names
+    own = [F.coalesce(F.col(f"_p.{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in KNOWN]
+    return read.select(*own, *[F.col(f"_p.{n}").alias(n) for n in names if n not in KNOWN])
+
+
+def references(evidence: DataFrame, trace_id: str) -> DataFrame:
+    """The citations of one trace, in order."""
+    return evidence.where(F.col("trace_id") == trace_id).orderBy("rank_no")
+
+
+def feedback(messages: DataFrame, given: DataFrame) -> DataFrame:
+    """Feedback rows to append: given (message_id, helpful, reason_tag, rating, comment) with the message's conversation, trace
+    and kind. Only assistants' messages take feedback: that to others, or to unknown messages, is an error."""
+    known = messages.select("message_id", "conv_id", "trace_id", "role", "kind", "intent", "status")
+    joined = given.join(known, "message_id", "left")
+    wrong = F.when(F.coalesce("role", F.lit("")) != "assistant", F.raise_error(F.lit("only an assistant's message takes feedback")).cast("string")).otherwise(F.col("message_id"))
+    trimmed = [F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("reason_tag", "comment")]
+    return joined.select(wrong.alias("message_id"), "conv_id", F.coalesce("trace_id", F.lit("")).alias("trace_id"), F.coalesce("helpful", F.lit(False)).alias("helpful"), *trimmed, "rating", F.to_json(F.struct("kind", "intent", "status")).alias("payload"))
+
+
+def add_turn(history: DataFrame, turns: DataFrame) -> DataFrame:
+    """history (conv_id, turn, role, text) and new turns (conv_id, role, text, nth) after it, numbered on; without a history from 0."""
+    last = history.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    new = turns.join(last, "conv_id", "left").select("conv_id", (F.coalesce("last", F.lit(-1)) + F.col("nth")).cast(history.schema["turn"].dataType).alias("turn"), "role", "text")
+    return history.select("conv_id", "turn", "role", "text").unionByName(new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,13 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sextant.storage import shared_folder
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Event files as a stream. ts is stored without a zone, which watermarks don't take, so it becomes a timestamp."""
+    """Event files as a stream, from a folder or one file. ts is stored without a zone, which watermarks don't take, so it
+    becomes a timestamp."""
     schema = spark.read.parquet(path).schema
+    # As a pattern, since a source that isn't one must be a folder.
+    path = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that is there now into a table of the shared folder, and reads that: the rows that append mode has
+    given out. Its checkpoint lies beside the table."""
+    folder = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes", *keys: str) -> DataFrame:
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.withWatermark("ts", late).groupBy(w, *keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.95).alias("p95")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "mean", "p95")
