@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sextant.storage import dropped, shared_folder, stored
+
+__all__ = ["dropped", "shared_folder", "stored"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -24,36 +25,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder. Only on a local master (tests, a single
-    machine) a temporary one is made where none is set; on a cluster that is an error, as executors couldn't see it."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="sextant-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a Parquet table into the shared folder and reads it again: it cuts the lineage as a checkpoint does, in less
-    room. The table stays until `dropped`, or with the folder."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that `stored` has made and that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
