@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sextant.llm import decontaminate, pieces, quality, simhash, toxicity
-from sextant.llm.common import stored
+from sextant.llm.common import dropped, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table is deleted when the next one has been written."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, name)
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
