@@ -56,7 +56,8 @@ class Index:
 
     def counts(self) -> DataFrame:
         """(number, n) of the terms that occur."""
-        return self.postings.where(F.col("number") != END).groupBy("number").agg(F.count("*").alias("n"))
+        n = self.postings.where(F.col("number") != END).groupBy("number").agg(F.count("*").alias("n"))
+        return F.broadcast(n) if _few(self.vocabulary) else n
 
 
 def _few(df: DataFrame) -> bool:
@@ -84,7 +85,8 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc
 def _numbered(items: DataFrame, index: Index) -> DataFrame:
     """items (item_id, text) as (item, item_id, m, numbers): the numbers of the m words, null for those that the index lacks."""
     listed = items.select(F.monotonically_increasing_id().alias("item"), "item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    places = listed.select("item", "item_id", F.size("words").alias("m"), F.posexplode("words").alias("at", "term")).join(index.vocabulary, "term", "left")
+    known = F.broadcast(index.vocabulary) if _few(index.vocabulary) else index.vocabulary
+    places = listed.select("item", "item_id", F.size("words").alias("m"), F.posexplode("words").alias("at", "term")).join(known, "term", "left")
     by = places.groupBy("item", "item_id", "m").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("number", F.lit(END - 1)).alias("number")))).alias("places"))
     return by.select("item", "item_id", "m", F.transform("places", lambda p: F.nullif(p["number"], F.lit(END - 1))).alias("numbers"))
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import bounded_batches, partitions, stored
+from sextant.llm.common import bounded_batches, dropped, partitions, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: No unit in the lattice is longer, so that its nodes are the bits of a bigint.
@@ -360,14 +360,11 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
     return flat[np.repeat((starts - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)], ends
 
 
-def encode_units(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(unit, n, ids) for each distinct unit of the corpus: its count and pieces."""
-    spark = docs.sparkSession
-    with _shuffles_removed(spark):
-        counted = stored(unit_counts(docs, pieces, text), "unit-counts")
+def encode_units(counted: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, ids) for the distinct units (unit, n) of a corpus: each with its pieces."""
     short, long = counted.where(F.length("unit") <= LONGEST), counted.where(F.length("unit") > LONGEST)
     choose = merge if pieces.merges else viterbi
-    return choose(lattice(short.repartition(partitions(spark), "unit"), pieces), pieces).select("unit", "n", "ids").unionByName(long_units(long, pieces))
+    return choose(lattice(short.repartition(partitions(counted.sparkSession), "unit"), pieces), pieces).select("unit", "n", "ids").unionByName(long_units(long, pieces))
 
 
 def _least_count(table: DataFrame, most: int, most_bytes: int) -> int:
@@ -446,7 +443,9 @@ def _encoded(docs: DataFrame, pieces: Pieces, key: str, text: str, frequent: int
     spark = docs.sparkSession
     bounded_batches(spark)
     with _shuffles_removed(spark):
-        table = stored(encode_units(docs, pieces, text), "units")
+        counted = stored(unit_counts(docs, pieces, text), "unit-counts")
+        table = stored(encode_units(counted, pieces), "units")
+    dropped(counted)
     least = _least_count(table, frequent, FREQUENT_BYTES)
     top = table.where(F.col("n") >= least).orderBy(F.desc("n"), "unit").select("unit", "ids").toArrow()
     held = spark.sparkContext.broadcast(_Frequent(top))
@@ -475,6 +474,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, key: str, text: str, frequent: int
     with _shuffles_removed(spark):
         found = keyed.select("k1", "k2", "t").mapInArrow(rare, "k1 bigint, k2 bigint, at int, unit string")
         put = stored(found.join(table.where(F.col("n") < least).select("unit", "ids"), "unit").select("k1", "k2", "at", "ids"), "rare")
+    dropped(table)
     put = put.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "ids"))).alias("rare")).select("k1", "k2", F.col("rare.ids").alias("rare"))
     doc_type = docs.schema[key].dataType.simpleString()
     coded = keyed.mapInArrow(known, f"k1 bigint, k2 bigint, doc_id {doc_type}, hash bigint, length int, codes binary")
