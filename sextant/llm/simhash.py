@@ -17,6 +17,16 @@ Components: links are contracted by alternating large-star and small-star steps
 shared folder for each step. Nothing about all documents comes to the driver but counts. Fingerprints that very many rows
 share (empty texts, large groups of copies) go back to their rows by a broadcast of those few, all others by a shuffle.
 
+Near copies by likeness: `keep_one(likeness=True)` also links texts whose sets of LIKE_SHINGLE-word shingles have a Jaccard
+similarity of LIKE or more, most of which are farther than RADIUS apart (some 10 bits at 0.8). Blocks of bits can't deal so
+wide a radius to small buckets; shared minima do: of SKETCH minima of the hashed shingles, each BAND make a band, and a band is
+a bucket. A pair with similarity 0.8 shares one of BANDS bands in 98% of cases, 0.85 in 99.7%. Buckets of one component
+only are left out, and of a component one member, another for each band, stands in a bucket, so that large groups of copies
+stay small. Within a bucket the same index is searched at WIDE bits. Of the pairs that it finds, those whose minima agree in
+too small a share (LIKE less three standard errors) go; the others link if their LEAST least shingles give a similarity of
+LIKE or more. For two texts of LEAST distinct shingles together that is the exact similarity, for longer ones an estimate with a
+standard error of 0.0125.
+
 Defined results: null texts count as empty, empty texts have fingerprint 0 and link like any other. Repeated rows and ids
 each get a row. Rows with a null id get a fingerprint and their component's smallest non-null id, or null if there is none.
 Texts of any length are taken whole. An empty table gives no rows. Extra columns are ignored; `keep_one` keeps them.
@@ -24,7 +34,7 @@ Texts of any length are taken whole. An empty table gives no rows. Extra columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,26 +55,69 @@ FANOUT = 8
 STEP, HOLD = 8_000, 200_000
 #: Shares into which rows of one root are dealt.
 SALT = 16
+#: Likeness: words of a shingle, least similarity, minima of a sketch, minima of a band, bands, bits apart at most, and how many
+#: of a text's least shingles are compared.
+LIKE_SHINGLE, LIKE, SKETCH, BAND, BANDS, WIDE, LEAST = 5, 0.8, 128, 5, 10, 16, 1024
+#: The standard error of a similarity of LIKE that is estimated from SKETCH minima.
+LIKE_ERROR = (LIKE * (1 - LIKE) / SKETCH) ** 0.5
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def simhash(text: str | None) -> int:
+def shingle_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
     line, at, starts, ends = b" ".join(words), 0, [], []
     for w in words:
         starts.append(at)
         at += len(w)
         ends.append(at)
         at += 1
-    digest, counts, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(words) - SHINGLE + 1
-    for low in range(0, n, 65_536):
-        high = min(n, low + 65_536)
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[low:high], ends[low + SHINGLE - 1 : high + SHINGLE - 1])], dtype=np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    digest, n = xxhash.xxh64_intdigest, len(words) - SHINGLE + 1
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :])), dtype=np.uint64, count=n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint: bits that are set in over half of the hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for low in range(0, len(h), 65_536):
+        counts += np.unpackbits(h[low : low + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
+
+
+def simhash(text: str | None) -> int:
+    return majority(shingle_hashes(text))
+
+
+def long_shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the LIKE_SHINGLE-word shingles, none for fewer words. Two shingles of SHINGLE words that start LIKE_SHINGLE -
+    SHINGLE words apart name the shingle that they span."""
+    apart = LIKE_SHINGLE - SHINGLE
+    h = h[:-apart] * np.uint64(0x9E3779B97F4A7C15) + (h[apart:] ^ (h[apart:] >> np.uint64(29)))
+    return h ^ (h >> np.uint64(32))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least of h under each of SKETCH multipliers."""
+    out = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for low in range(0, len(h), 2048):
+        np.minimum(out, (h[low : low + 2048, None] * MULTIPLIERS).min(axis=0), out=out)
+    return out
+
+
+def least_of(h: np.ndarray) -> np.ndarray:
+    """The LEAST least distinct values of h, by their upper half."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:LEAST]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two texts by their least shingles."""
+    both = np.union1d(a, b)[:LEAST]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / max(1, len(both))
+
+
+def bands(least: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
 def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
@@ -78,6 +131,40 @@ def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
     return docs.withColumn(name, fingerprints(F.coalesce(text, F.lit(""))))
 
 
+def with_sketch(docs: DataFrame, text: str) -> DataFrame:
+    """docs with `like`: the fingerprint, a byte of each minimum, the least shingles, and the bands (none for fewer words)."""
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp bigint, sketch binary, least binary, bands array<bigint>")
+    def sketches(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            h = shingle_hashes(t)
+            fp, h = np.uint64(majority(h)).view(np.int64), long_shingles(h)
+            m = minima(h)
+            out.append((fp, (m >> np.uint64(16)).astype(np.uint8).tobytes(), least_of(h).tobytes(), bands(m)) if len(h) else (fp, b"", b"", []))
+        return pd.DataFrame(out, columns=["fp", "sketch", "least", "bands"])
+
+    return docs.withColumn("like", sketches(F.coalesce(text, F.lit(""))))
+
+
+class Likeness:
+    """Which pairs of rows are alike, by their sketches and then by their least shingles."""
+
+    def __init__(self, sketch: pd.Series, least: pd.Series) -> None:
+        self.sketch = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, SKETCH)
+        self.least = least.tolist()
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # One in 256 bytes agrees by chance.
+        share = [(self.sketch[a[i : i + STEP]] == self.sketch[b[i : i + STEP]]).mean(axis=1) for i in range(0, len(a), STEP)]
+        out = np.concatenate([np.zeros(0), *share]) >= (LIKE - 3 * LIKE_ERROR) * 255 / 256 + 1 / 256
+        of = lambda i: np.frombuffer(self.least[i], dtype=np.uint32)
+        for i in np.flatnonzero(out).tolist():
+            out[i] = similarity(of(a[i]), of(b[i])) >= LIKE
+        return out
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of x in the Gray sequence: the prefix XOR of its bits."""
     x = x.copy()
@@ -141,8 +228,9 @@ class GrayIndex:
             self.root = np.where(old[at] == self.root, new[at], self.root)
             self._components()
 
-    def components(self, radius: int = RADIUS) -> np.ndarray:
-        """For each fingerprint the position of the first one of its component within its group."""
+    def components(self, radius: int = RADIUS, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """For each fingerprint the position of the first one of its component within its group. check: which of the pairs
+        within the radius link."""
         self.root = np.arange(len(self.fps))
         if len(self.fps) < 2:
             return self.root
@@ -170,35 +258,50 @@ class GrayIndex:
             near = apart <= radius
             ca, cb = ca[near], cb[near]
             if k == 1:
-                self._merge(ca, cb)
+                linked = check(ca, cb) if check else slice(None)
+                self._merge(ca[linked], cb[linked])
             else:
                 stack += [(k - 1, ca[i : i + STEP], cb[i : i + STEP]) for i in range(0, len(ca), STEP)][::-1]
         return self.root
 
 
-def _links(fps: np.ndarray, group: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((gray_rank(fps), group))
-    fps, group = fps[order], group[order]
-    root = GrayIndex(fps, group).components()
+def _sorted_by_rank(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.iloc[np.lexsort((gray_rank(pdf["fp"].to_numpy().view(np.uint64)), pdf["bucket"]))]
+
+
+def _links(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = _sorted_by_rank(pdf)
+    fps = pdf["fp"].to_numpy().view(np.uint64)
+    root = GrayIndex(fps, pdf["bucket"].to_numpy()).components()
     linked = np.flatnonzero(root != np.arange(len(root)))
     return pd.DataFrame({"u": fps[linked].view(np.int64), "v": fps[root[linked]].view(np.int64)})
 
 
-def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches are sorted by bucket; whole buckets are worked off together."""
-    kept: list[pd.DataFrame] = []
-    n = 0
-    for pdf in batches:
-        kept.append(pdf)
-        n += len(pdf)
-        if n >= HOLD and len(pdf) and kept[0]["bucket"].iloc[0] != pdf["bucket"].iloc[-1]:
-            whole = pd.concat(kept)
-            last = whole["bucket"] == whole["bucket"].iloc[-1]
-            yield _links(whole.loc[~last, "fp"].to_numpy().view(np.uint64), whole.loc[~last, "bucket"].to_numpy())
-            kept, n = [whole[last]], int(last.sum())
-    if n:
-        whole = pd.concat(kept)
-        yield _links(whole["fp"].to_numpy().view(np.uint64), whole["bucket"].to_numpy())
+def _like_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = _sorted_by_rank(pdf)
+    index = GrayIndex(pdf["fp"].to_numpy().view(np.uint64), pdf["bucket"].to_numpy())
+    first = index.components(WIDE, Likeness(pdf["sketch"], pdf["least"]))
+    linked, root = np.flatnonzero(first != np.arange(len(first))), pdf["root"].to_numpy()
+    return pd.DataFrame({"u": root[linked], "v": root[first[linked]]})
+
+
+def _whole_buckets(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches are sorted by bucket; whole buckets are worked off together."""
+        kept: list[pd.DataFrame] = []
+        n = 0
+        for pdf in batches:
+            kept.append(pdf)
+            n += len(pdf)
+            if n >= HOLD and len(pdf) and kept[0]["bucket"].iloc[0] != pdf["bucket"].iloc[-1]:
+                whole = pd.concat(kept)
+                last = whole["bucket"] == whole["bucket"].iloc[-1]
+                yield work(whole.loc[~last])
+                kept, n = [whole[last]], int(last.sum())
+        if n:
+            yield work(pd.concat(kept))
+
+    return search
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -208,7 +311,19 @@ def links(distinct: DataFrame) -> DataFrame:
     block = [F.shiftleft(block[i], BLOCK_BITS) + block[j] + (k << 2 * BLOCK_BITS) for k, (i, j) in enumerate(pairs)]
     dealt = distinct.select("fp", F.explode(F.array(*block)).alias("bucket"))
     parts = partitions(distinct.sparkSession)
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInPandas(_search, "u bigint, v bigint").where(F.col("u") != F.col("v"))
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInPandas(_whole_buckets(_links), "u bigint, v bigint").where(F.col("u") != F.col("v"))
+
+
+def like_links(classes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(u, v): links among the roots of classes (fp, root, bands, a, b), by likeness of their members, whose sketches are the
+    rows (a, b) of sketches. Only those of buckets with several roots are looked up."""
+    dealt = classes.select(F.explode("bands").alias("bucket"), "root", "fp", "a", "b")
+    across = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    one = dealt.join(across, "bucket").groupBy("bucket", "root").agg(F.min_by(F.struct("fp", "a", "b"), F.xxhash64("fp", "bucket")).alias("c"))
+    one = one.select("bucket", "root", "c.*")
+    rows = sketches.join(one.select("a", "b").distinct(), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    found = one.join(rows, ["a", "b"]).select("bucket", "root", "fp", "sketch", "least")
+    return found.repartition(partitions(classes.sparkSession), "bucket").sortWithinPartitions("bucket").mapInPandas(_whole_buckets(_like_links), "u bigint, v bigint").where(F.col("u") != F.col("v"))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -260,17 +375,43 @@ def hex_of(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _first() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+
+
+def _kept(prints: DataFrame) -> DataFrame:
+    """(a, b): the first row of each component, by fingerprints within RADIUS."""
+    classes = prints.groupBy("fp").agg(F.min(_first()).alias("first"))
+    linked = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    kept = classes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return kept.select("first.a", "first.b")
+
+
+def _kept_by_likeness(prints: DataFrame) -> DataFrame:
+    """(a, b): the first row of each component, by fingerprints within RADIUS or by likeness. The sketch of a fingerprint is
+    that of its first row."""
+    classes = stored(prints.groupBy("fp").agg(F.min(F.struct(_first().alias("first"), "bands")).alias("c")).select("fp", "c.*"), "classes")
+    linked = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    rooted = stored(classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    dropped(classes)
+    above = components(like_links(rooted.select("fp", "root", "bands", "first.a", "first.b"), prints.select("a", "b", "sketch", "least")))
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return first.join(above.select(F.col("u").alias("root"), F.col("v").alias("top")), "root", "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("first").alias("first")).select("first.a", "first.b")
+
+
+def keep_one(docs: DataFrame, likeness: bool = False) -> DataFrame:
     """docs with exactly one row of each component: the one with the smallest doc_id (rows without an id come last), then by
-    a hash of id and text. Rows are known by two such hashes, and of rows alike in both one stays."""
+    a hash of id and text. Rows are known by two such hashes, and of rows alike in both one stays. likeness: components are
+    also linked by likeness of five-word shingles."""
     a, b = keys = fresh(docs, "_a", "_b")
     marked = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64(F.lit(1), "doc_id", "text")})
     each = marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(a).alias("a"), F.col(b).alias("b"))
-    prints = stored(with_fingerprint(each, "text", "fp").select("doc_id", "a", "b", "fp"), "rows")
-    classes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("first"))
-    linked = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    kept = classes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select("first.a", "first.b")
+    if likeness:
+        prints = stored(with_sketch(each, "text").select("doc_id", "a", "b", "like.*"), "rows")
+        kept = _kept_by_likeness(prints)
+    else:
+        prints = stored(with_fingerprint(each, "text", "fp").select("doc_id", "a", "b", "fp"), "rows")
+        kept = _kept(prints)
     counted = prints.groupBy("a", "b").agg(F.count("*").alias("n"))
     gone = counted.join(kept, ["a", "b"], "left_anti").select("a", "b")
     repeated = counted.where("n > 1").join(kept, ["a", "b"], "left_semi").select("a", "b")

@@ -184,6 +184,57 @@ def test_keep_one_row_of_each_component(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, x), (2, y), (0, z)])
 
 
+def brute_similarity(s, t):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.translate(LOWER).split() for x in (s, t)))
+    return len(a & b) / max(1, len(a | b))
+
+
+def edited(rng, vocabulary, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = rng.choice(vocabulary)
+    return " ".join(out)
+
+
+def test_similarity_by_least_shingles():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    least = lambda t: simhash.least_of(simhash.long_shingles(simhash.shingle_hashes(t)))
+    for length, tolerance in ((5, 1e-9), (60, 1e-9), (500, 1e-9), (20_000, 0.06)):
+        words = [rng.choice(vocabulary) for _ in range(length)]
+        for n in (0, 1, length // 100, length // 20):
+            a, b = " ".join(words), edited(rng, vocabulary, words, n)
+            assert abs(simhash.similarity(least(a), least(b)) - brute_similarity(a, b)) <= tolerance
+    assert len(simhash.long_shingles(simhash.shingle_hashes("four words are few"))) == len(simhash.long_shingles(simhash.shingle_hashes(None))) == 0
+
+
+def test_keep_one_by_likeness(spark, empty):
+    """Components of links by fingerprint and by exact similarity; groups of near copies, chains, repeats, null and short texts."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    data = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 300)))) for i in range(60)]
+    for g in range(12):
+        words = [rng.choice(vocabulary) for _ in range(150)]
+        data += [(1000 + 100 * g + k, edited(rng, vocabulary, words, 1 + k % 2)) for k in range(8)]
+    chain = [rng.choice(vocabulary) for _ in range(200)]
+    for k in range(6):
+        chain = edited(rng, vocabulary, chain, 2).split()
+        data.append((5000 + k, " ".join(chain)))
+    half = [rng.choice(vocabulary) for _ in range(100)]
+    data += [(6000 + k, " ".join(half + [rng.choice(vocabulary) for _ in range(60)])) for k in range(5)]
+    data += [(7000, "one two three"), (7001, "One  two three"), (7002, ""), (7003, None), data[0], data[70], data[70]]
+    fp, group = [brute_simhash(t) for _, t in data], list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= simhash.RADIUS or brute_similarity(data[i][1] or "", data[j][1] or "") >= simhash.LIKE:
+                a, b = group[i], group[j]
+                group = [a if g == b else g for g in group]
+    want = sorted(min(d[0] for d, k in zip(data, group) if k == g) for g in set(group))
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(table, likeness=True).collect()) == want
+    assert len(want) < simhash.keep_one(table).count() and simhash.keep_one(empty, likeness=True).count() == 0
+
+
 def test_gray_index_finds_every_component():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
