@@ -112,8 +112,13 @@ def least_of(h: np.ndarray) -> np.ndarray:
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two texts by their least shingles."""
-    both = np.union1d(a, b)[:LEAST]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True)) / max(1, len(both))
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    again = both[1:] == both[:-1]
+    n = len(both) - int(again.sum())
+    if n > LEAST:
+        cut = both[np.r_[True, ~again]][LEAST - 1]
+        return int((again & (both[1:] <= cut)).sum()) / LEAST
+    return int(again.sum()) / max(1, n)
 
 
 def bands(least: np.ndarray) -> list[int]:
