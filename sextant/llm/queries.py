@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import chat, decontaminate, fingerprints, langid, pieces, quality, simhash, toxicity, warc, wordpiece
+from sextant.llm import chat, decontaminate, fingerprints, langid, phrases, pieces, quality, simhash, toxicity, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,8 @@ QUERIES: dict[str, Query] = {
     "op8_language": language,
     "op9_toxicity": toxicity_scores,
     "op10_warc": warc_round_trip,
+    "op13_phrases": phrase_collocations,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op13_phrases": phrases.ORACLE}
