@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import chat, decontaminate, fingerprints, langid, phrases, pieces, quality, simhash, toxicity, warc, wordpiece
+from sextant.llm import bytepairs, chat, decontaminate, fingerprints, langid, phrases, pieces, quality, simhash, toxicity, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digests(_table(spark, sf_dir, "documents"), bytepairs.load_vocabulary())
+
+
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_collocations(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": language,
     "op9_toxicity": toxicity_scores,
     "op10_warc": warc_round_trip,
+    "op11_byte_pairs": byte_pairs,
     "op13_phrases": phrase_collocations,
     "pipeline": pipeline,
 }
