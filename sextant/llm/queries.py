@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import bytepairs, chat, decontaminate, fingerprints, langid, phrases, pieces, quality, simhash, toxicity, warc, wordpiece
+from sextant.llm import bytepairs, chat, decontaminate, fingerprints, langid, negatives, phrases, pieces, quality, simhash, toxicity, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.digests(_table(spark, sf_dir, "documents"), bytepairs.load_vocabulary())
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.shifted(_table(spark, sf_dir, "embeddings")))
+
+
 def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_collocations(_table(spark, sf_dir, "documents"))
 
@@ -82,8 +86,9 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": toxicity_scores,
     "op10_warc": warc_round_trip,
     "op11_byte_pairs": byte_pairs,
+    "op12_hard_negatives": hard_negatives,
     "op13_phrases": phrase_collocations,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op13_phrases": phrases.ORACLE}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_phrases": phrases.ORACLE}
