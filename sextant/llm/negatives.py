@@ -252,7 +252,8 @@ def search(queries: DataFrame, index: Index, same: bool, k: int) -> DataFrame:
 
     def visit(given: DataFrame, again: bool) -> DataFrame:
         sent = given.mapInPandas(_packed(index, again), packs)
-        met = sent.join(index.lists, ["list", "block"])
+        # Packs grow with the anchors and their table's size on disk says little about them: never a broadcast.
+        met = sent.hint("merge").join(index.lists, ["list", "block"])
         return _best(met.mapInPandas(_scores(index, same, k), "anchor long, nth int, id long, score long"), k)
 
     once = stored(visit(planned, False), "once")
