@@ -33,7 +33,9 @@ from pyspark.sql import types as T
 from sextant.llm.common import bounded_batches, fresh
 
 #: Bytes of text of a block; characters from which a text's words are taken one by one.
-BLOCK, LONG = 32 << 20, 1 << 20
+BLOCK, LONG = 16 << 20, 1 << 20
+#: Positions that a merge takes one after the other, as arrays aren't worth it.
+FEW = 8
 _NONE = np.iinfo(np.int32).max
 
 
@@ -48,7 +50,7 @@ class Vocabulary:
         """All pairs of tokens that make a token, as sorted numbers of left and right, and the rank that each makes."""
         rank = {t: r for r, t in self.tokens.items()}
         found = {(rank[t[:i]] << 32) + rank[t[i:]]: r for r, t in self.tokens.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
-        keys = np.array(sorted(found), dtype=np.int64)
+        keys = np.array(sorted(found), dtype=np.int64)  # of two ids below 2^31
         return keys, np.array([found[k] for k in keys.tolist()], dtype=np.int32)
 
 
@@ -66,11 +68,12 @@ class Replay:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.keys, self.made = vocabulary.pairs()
+        self.known = dict(zip(self.keys.tolist(), self.made.tolist()))
         rank = {t: r for r, t in vocabulary.tokens.items()}
         self.single = np.array([rank.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = (left << 32) + right
+        key = (left.astype(np.int64) << 32) + right
         at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.made[at], _NONE)
 
@@ -96,17 +99,17 @@ class Replay:
         if not n:
             return np.zeros(0, dtype=np.int32), starts
         # A last symbol stands for the end of all. What stands after the last of a word, or before its first, is -1.
-        self.symbol = np.r_[self.single[text], 0]
+        self.symbol = np.r_[self.single[text], 0].astype(np.int32)
         if (self.symbol < 0).any():
             raise ValueError("the vocabulary lacks a byte of the text")
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         first = np.zeros(n + 1, dtype=bool)
         first[starts[:-1][lengths > 0]] = True
         first[n] = True
-        self.following = np.where(first[1:], -1, np.arange(1, n + 1))
-        self.before = np.where(first[:-1], -1, np.arange(-1, n - 1))
+        self.following = np.where(first[1:], -1, np.arange(1, n + 1)).astype(np.int32)
+        self.before = np.where(first[:-1], -1, np.arange(-1, n - 1)).astype(np.int32)
         self.alive = np.ones(n, dtype=bool)
-        inner = np.flatnonzero(self.following >= 0)
+        inner = np.flatnonzero(self.following >= 0).astype(np.int32)
         self.rank = np.full(n, _NONE, dtype=np.int32)
         self.rank[inner] = self._ranks(self.symbol[inner], self.symbol[inner + 1])
         self.index: defaultdict[int, list[np.ndarray]] = defaultdict(list)
@@ -117,8 +120,10 @@ class Replay:
             places = self.index.pop(r)
             at = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
             at = at[self.rank[at] == r]
-            if len(at):
+            if len(at) > FEW:
                 self._merge(r, at, word)
+            else:
+                self._merge_few(r, at.tolist(), word)
         alive = np.flatnonzero(self.alive)
         return self.symbol[alive].astype(np.int32), np.searchsorted(alive, starts)
 
@@ -128,7 +133,7 @@ class Replay:
             at, later = self._apart(at)
         else:
             later = at[:0]
-        new = np.int64(r)
+        new = np.int32(r)
         end = self.following[at]  # the right sides, which go
         last, before = self.following[end], self.before[at]
         # The pairs that each merge would make alone; one of a lower rank goes first, so its word takes one merge now.
@@ -137,7 +142,7 @@ class Replay:
         left[some] = self._ranks(self.symbol[before[some]], new)
         right = np.full(len(at), _NONE, dtype=np.int32)
         some = last >= 0
-        right[some] = self._ranks(np.full(int(some.sum()), new), self.symbol[last[some]])
+        right[some] = self._ranks(np.full(int(some.sum()), new, dtype=np.int32), self.symbol[last[some]])
         low = np.minimum(left, right) < r
         if low.any():
             slow = np.isin(word[at], word[at[low]])
@@ -164,6 +169,38 @@ class Replay:
         if len(later):
             self._enter(later, self.rank[later])
 
+    def _merge_few(self, r: int, at: list[int], word: np.ndarray) -> None:
+        """The same, one position after the other."""
+        symbol, following, before, rank = self.symbol, self.following, self.before, self.rank
+        waits = -1
+        for p in at:
+            if rank[p] != r:
+                continue  # it overlapped with the one before
+            if word[p] == waits:
+                self._enter_one(p, r)
+                continue
+            end = int(following[p])
+            last, first = int(following[end]), int(before[p])
+            symbol[p], following[p], self.alive[end], rank[end], rank[p] = r, last, False, _NONE, _NONE
+            low = _NONE
+            if last >= 0:
+                before[last] = p
+                if (low := self.known.get((r << 32) + int(symbol[last]), _NONE)) != _NONE:
+                    rank[p] = low
+                    self._enter_one(p, low)
+            if first >= 0:
+                rank[first] = new = self.known.get((int(symbol[first]) << 32) + r, _NONE)
+                if new != _NONE:
+                    self._enter_one(first, new)
+                    low = min(low, new)
+            if low < r:
+                waits = word[p]
+
+    def _enter_one(self, at: int, rank: int) -> None:
+        if rank not in self.index:
+            heapq.heappush(self.heap, rank)
+        self.index[rank].append(np.array([at], dtype=np.int32))
+
     def _apart(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of the sorted positions whose merges don't overlap, taken from the left, and none or those that do."""
         overlaps = np.r_[False, self.following[at[:-1]] == at[1:]]
@@ -175,9 +212,13 @@ class Replay:
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    lengths = starts[numbers + 1] - starts[numbers]
-    ends = np.cumsum(lengths)
-    return flat[np.repeat(starts[numbers] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    out = [np.zeros(0, dtype=np.int32)]
+    for low in range(0, len(numbers), 1 << 18):
+        some = numbers[low : low + (1 << 18)]
+        lengths = starts[some + 1] - starts[some]
+        ends = np.cumsum(lengths)
+        out.append(flat[np.repeat(starts[some] - (ends - lengths), lengths) + np.arange(ends[-1])])
+    return np.concatenate(out)
 
 
 class _Encoder:
@@ -189,40 +230,57 @@ class _Encoder:
             return (found := self.pattern.findall(text)), len(found)
         return (m.group() for m in self.pattern.finditer(text)), -1
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        numbers: defaultdict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        rows = []
-        for text in texts:
-            words, n = self.words(text)
-            rows.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=n))
-        flat, starts = self.replay([w.encode("utf-8", "surrogatepass") for w in numbers])
-        for row in rows:
-            yield _gather(flat, starts, row)
+    def begin(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+
+    def numbered(self, text: str) -> np.ndarray:
+        """The words of a text by their numbers in the block."""
+        words, n = self.words(text)
+        return np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=n)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the block's words and where each word's begin."""
+        words = [w.encode("utf-8", "surrogatepass") for w in self.numbers]
+        self.numbers.clear()
+        return self.replay(words)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        self.begin()
+        rows = [self.numbered(t) for t in texts]
+        flat, starts = self.end()
+        return [_gather(flat, starts, row) for row in rows]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each text as an array of int, in the place of a column of that name."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+    """docs with the ids of each text as an array of int, in the place of a column of that name; with the text or without it."""
     bounded_batches(docs.sparkSession)
     if ids.lower() != text.lower():
         docs = docs.drop(ids)
     (own,) = fresh(docs, "_text")
     given = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if not keep_text or ids.lower() == text.lower():
+        given = given.drop(text)
+    schema = T.StructType([*given.drop(own).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, kept, held = _Encoder(vocabulary), [], 0
+        encoder = _Encoder(vocabulary)
+        kept: list[tuple[list[pa.Array], list[str], np.ndarray, np.ndarray]] = []
+        held = 0
+        encoder.begin()
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = encoder([t for b in kept for t in b.column(b.num_columns - 1).to_pylist()])
-            for b in kept:
-                rows = [next(found) for _ in range(b.num_rows)]
-                at = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *rows])))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], ids])
+            flat, starts = encoder.end()
+            lengths = starts[1:] - starts[:-1]
+            for columns, names, numbers, at in kept:
+                tokens = np.r_[0, np.cumsum(lengths[numbers])][at].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(tokens), pa.array(_gather(flat, starts, numbers)))
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, ids])
 
         for b in batches:
-            kept.append(b)
+            rows = [encoder.numbered(t.as_py()) for t in b.column(b.num_columns - 1)]
+            at = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
+            kept.append((b.columns[:-1], b.schema.names[:-1], np.concatenate([np.zeros(0, dtype=np.int32), *rows]), at))
             held += b.column(b.num_columns - 1).nbytes
             if held >= BLOCK:
                 yield from done()
@@ -247,6 +305,6 @@ def decoded(ids: Column | str, vocabulary: Vocabulary) -> Column:
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of docs: its ids, encoded and decoded again."""
-    ids = encode(docs.select("doc_id", F.col("text").alias("text")), vocabulary).select("doc_id", "ids")
+    ids = encode(docs.select("doc_id", "text"), vocabulary, keep_text=False)
     whole = ids.withColumn("decoded", decoded("ids", vocabulary))
     return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,7 +5,7 @@ Words: `[^\\x20\\x09]+` within pieces, which are what `[.,;:!?\\x0A-\\x0D]` sepa
 
 Naming: tasks cut their rows into blocks of one language and of BLOCK bytes, and write each block as a sequence of numbers
 with a dictionary of its distinct words and their counts. The dictionaries are summed over all blocks; a word of LEAST or
-more occurrences gets a global name, which is joined back to the dictionaries, and each block replaces its numbers by names.
+more occurrences gets a global name, which goes back to the blocks that have it, and each block replaces its numbers by names.
 Two names side by side are then a pair: the block counts its distinct pairs, these are summed over all blocks, pairs of LEAST or more
 are named, and the next level pairs the names of overlapping pairs. The k-gram so named points to its left and right
 (k-1)-gram. Only distinct words and pairs of a block are ever shuffled by their value, so a word that holds a third of the
@@ -26,7 +26,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -106,26 +105,27 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 
 
 def _paired(last: bool):
-    def pair(seqs: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("seq", pa.binary())])
+
+    def pair(seqs: pa.Table, names: pa.Table) -> pa.Table:
         """One block: its pairs of names side by side, with counts, and the sequence of their numbers."""
-        none = pd.DataFrame({"block": [], "local": [], "left": [], "right": [], "n": [], "seq": []})
         if not len(seqs) or not len(names):
-            return none
-        seq, local, name = np.frombuffer(seqs["seq"].iloc[0], dtype=np.int32), names["local"].to_numpy(), names["id"].to_numpy()
-        to = np.full(max(int(seq.max(initial=-1)), int(local.max())) + 2, -1, dtype=np.int64)  # the last entry is for -1
-        to[local] = np.arange(len(name))
+            return schema.empty_table()
+        seq, local, name = np.frombuffer(seqs["seq"][0].as_py(), dtype=np.int32), names["local"].to_numpy(), names["id"].to_numpy()
+        to = np.full(max(int(seq.max(initial=-1)), int(local.max())) + 2, -1, dtype=np.int32)  # the last entry is for -1
+        to[local] = np.arange(len(name), dtype=np.int32)
         at = to[seq]
         both = (at[:-1] >= 0) & (at[1:] >= 0)
-        found, number, n = np.unique(at[:-1][both] * len(name) + at[1:][both], return_inverse=True, return_counts=True)
+        found, number, n = np.unique(at[:-1][both].astype(np.int64) * len(name) + at[1:][both], return_inverse=True, return_counts=True)
         if not len(found):
-            return none
-        block = int(seqs["block"].iloc[0])
-        out = pd.DataFrame({"block": block, "local": np.arange(len(found), dtype=np.int32), "left": name[found // len(name)], "right": name[found % len(name)], "n": n, "seq": None})
+            return schema.empty_table()
+        block = seqs["block"][0].as_py()
+        out = pa.table([np.full(len(found), block), np.arange(len(found), dtype=np.int32), name[found // len(name)], name[found % len(name)], n, pa.nulls(len(found), pa.binary())], schema=schema)
         if last:
             return out
         following = np.full(len(both), -1, dtype=np.int32)
         following[both] = number
-        return pd.concat([out.astype({"local": object}), pd.DataFrame([{"block": block, "seq": following.tobytes()}])]).astype({c: "Int64" for c in ("local", "left", "right", "n")})
+        return pa.concat_tables([out, pa.Table.from_pylist([{"block": block, "seq": following.tobytes()}], schema=schema)])
 
     return pair
 
@@ -139,8 +139,12 @@ def grams(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[list
     out: list[DataFrame] = []
     for k in range(1, words + 1):
         key = ["lang", "word"] if k == 1 else ["left", "right"]
-        entries = blocks.where("seq is null")
-        named = stored(entries.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "names")
+        entries = blocks.where("seq is null").withColumn("place", F.monotonically_increasing_id())
+        # One shuffle gives frequency and name; a key has one row a block at most.
+        same = Window.partitionBy(*key)
+        named = entries.withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least)
+        places = stored(named.select(*key, "f", "id", "block", "local", (F.col("place") == F.col("id")).alias("first")), "names")
+        named = places.where("first").select(*key, "f", "id")
         if k == 1:
             none = F.lit(None).cast("long")
             level = named.select("id", "lang", F.array("word").alias("words"), "f", none.alias("left"), none.alias("right"), F.array("f").alias("heads"), F.array("f").alias("tails"))
@@ -151,12 +155,12 @@ def grams(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[list
             level = both.select("id", "lang", F.array_append("first", F.col("word")).alias("words"), "f", "left", "right", F.array_append("heads", F.col("f")).alias("heads"), F.array_append("tails", F.col("f")).alias("tails"))
         out.append(stored(level, "grams"))
         if k < words:
-            names = entries.join(named, key).select(F.col("block").alias("of"), "local", "id")
+            names = places.select(F.col("block").alias("of"), "local", "id")
             seqs = blocks.where("seq is not null").select("block", "seq")
-            paired = seqs.groupBy("block").cogroup(names.groupBy("of")).applyInPandas(_paired(k + 1 == words), _GRAMS)
+            paired = seqs.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(_paired(k + 1 == words), _GRAMS)
             before, blocks = blocks, stored(paired, "blocks")
             dropped(before)
-        dropped(named)
+        dropped(places)
     dropped(blocks)
     return out, totals
 
