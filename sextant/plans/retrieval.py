@@ -2,43 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.text import normalize
 from sextant.operators import fusion, ranking
+from sextant.operators.search_index import SearchIndex, index_of
+from sextant.storage import shared_folder
+
+
+def indexes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[SearchIndex, SearchIndex]:
+    """The stored indexes of a table of documents for BM25 and for TF-IDF, built where this session hasn't built them."""
+    return index_of(docs, "words", key, text), index_of(docs, "words_of_two", key, text)
+
+
+def built(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[SearchIndex, SearchIndex]:
+    """New indexes of any table, in the shared folder."""
+    folder = shared_folder(docs.sparkSession)
+    return tuple(SearchIndex.build(docs, f"{folder}/index-{uuid.uuid4().hex}", a, key, text) for a in ("words", "words_of_two"))
 
 
 def evidence(docs: DataFrame, queries: DataFrame, plan: fusion.Plan | None = None, k: int = 5) -> DataFrame:
     """BM25 hits as wiki and TF-IDF hits as code evidence, graded, weighed, deduplicated and cut to the plan."""
     plan = plan or fusion.Plan()
     lists = []
-    for source, ranked in (("wiki", ranking.bm25(docs, queries, k)), ("code", ranking.tfidf(docs, queries, k))):
+    first, second = indexes(docs)
+    for source, ranked in (("wiki", first.bm25(queries, k)), ("code", second.tfidf(queries, k))):
         graded = ranking.with_grade(ranked, *ranking.GRADES[source])
         lists.append(graded.select("query_id", F.lit(source).alias("source"), "item_id", F.col("item_id").cast("string").alias("path"), F.lit("").alias("section"), "rank", "score", "grade"))
     return fusion.merge(lists[0].unionByName(lists[1]), plan)
 
 
-def recalled(docs: DataFrame, queries: DataFrame, k: int, depth: int = 64, weights: tuple[float, float] = (0.6, 0.4)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recalled(found: tuple[SearchIndex, SearchIndex], queries: DataFrame, k: int, depth: int = 64, weights: tuple[float, float] = (0.6, 0.4)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fused, BM25, TF-IDF) lists as deep as fusion needs: max(depth, 8 k)."""
     deep = max(depth, 8 * k)
-    first, second = ranking.bm25(docs, queries, deep), ranking.tfidf(docs, queries, deep)
+    first, second = found[0].bm25(queries, deep), found[1].tfidf(queries, deep)
     return ranking.fuse([(first, weights[0]), (second, weights[1])], deep), first, second
 
 
-def ranked_children(children: DataFrame, queries: DataFrame, strategy: str, k: int = 5, per_path: int = 2) -> DataFrame:
+def ranked_children(children: DataFrame, queries: DataFrame, strategy: str, k: int = 5, per_path: int = 2, found: tuple[SearchIndex, SearchIndex] | None = None) -> DataFrame:
     """Code search: children (child_id, parent_id, path, symbol, signature, content) for queries (query_id, text), to the best
     parents. Lexical and pattern scores and the ranks of both lists and of their fusion make a child's score; parents come
-    from their children, `per_path` of a path at most. Literal boosts are 0 here: they come with candidates of a grep."""
+    from their children, `per_path` of a path at most. found: the stored indexes of the children's contents, else they are built. Literal
+    boosts are 0 here: they come with candidates of a grep."""
     docs = children.select(F.col("child_id").alias("doc_id"), F.col("content").alias("text"))
     asked = queries.select(F.col("query_id").alias("item_id"), "text")
-    fused, first, second = recalled(docs, asked, k)
+    fused, first, second = recalled(found or built(docs), asked, k)
     ranks = lambda ranked, name: ranked.select("query_id", F.col("item_id").alias("child_id"), F.col("rank").alias(name))
-    found = fused.select("query_id", F.col("item_id").alias("child_id"))
+    rows = fused.select("query_id", F.col("item_id").alias("child_id"))
     for ranked, name in ((first, "bm25_rank"), (second, "tfidf_rank"), (fused, "fused_rank")):
-        found = found.join(ranks(ranked, name), ["query_id", "child_id"], "left")
+        rows = rows.join(ranks(ranked, name), ["query_id", "child_id"], "left")
     asked = queries.select("query_id", ranking.code_patterns(F.col("text")).alias("asked"))
-    rows = found.join(children, "child_id").join(asked, "query_id")
+    rows = rows.join(children, "child_id").join(asked, "query_id")
     text, symbol, path, sign = (normalize(F.col(c)) for c in ("content", "symbol", "path", "signature"))
     lexical = ranking.code_lexical(text, symbol, path, sign, F.col("asked.ids"))
     pattern = ranking.code_pattern(text, F.col("content"), symbol, path, F.col("asked"))
