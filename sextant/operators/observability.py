@@ -168,7 +168,8 @@ def next_matching(events: DataFrame, key: str, order: str, is_left: Column, is_r
     at = F.when(is_right, F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
     # Right rows of each time, then the nearest time after: rows are numbered by their times, of which ties share one.
     numbered = events.withColumn("_t", F.dense_rank().over(Window.partitionBy(key).orderBy(order))).withColumn("_r", at)
-    w = Window.partitionBy(key).orderBy("_t").rangeBetween(1, Window.unboundedFollowing)
+    # Later times come first, so that the frame grows by what it has not seen and isn't evaluated anew for each row.
+    w = Window.partitionBy(key).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
     return numbered.withColumn("matched", F.min("_r").over(w)["v"]).where(is_left).drop("_t", "_r")
 
 
