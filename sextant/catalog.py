@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import text as T
 from sextant.operators import answers, chunking, evaluation, fusion, observability, ranking, sessions, understanding
+from sextant.operators.literal_index import literal_index_of
 from sextant.operators.search_index import index_of
 from sextant.plans import retrieval
 from sextant.streaming import metrics
@@ -196,6 +197,63 @@ def rank_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.grep(table(spark, sf_dir, "documents"), ["rights reserved", "The and"])
 
 
+@query(ORACLES["rank_grep"].replace("'rights reserved'", "'ation th'").replace("'The and'", "'Re'"))
+def rank_grep_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through the stored runs of three characters, with a text shorter than a run."""
+    return literal_index_of(table(spark, sf_dir, "documents")).grep(["ation th", "Re"])
+
+
+def _wiki_sql(strategy: str) -> str:
+    lists = {"rg_only": "g0", "no_rg": "g1", "rg_first": "g0 UNION ALL SELECT * FROM g1"}[strategy]
+    lexical = "CASE WHEN len(words) > 0 THEN least(2.0, 2.0 * len([w FOR w IN words IF contains(content, w)]) / len(words)) ELSE 0.0 END"
+    grep = "CASE WHEN hits > 0 THEN least(0.55 * (1 + 0.25 * (hits - 1)), 0.55 * 2.5) ELSE 0.0 END"
+    semantic = "0.3 * coalesce(12.0 / (br + 1), 0) + 0.5 * coalesce(12.0 / (er + 1), 0) + 0.2 * lexical + boost"
+    score = {"rg_only": f"4.0 * {grep} + 0.8 * lexical + boost", "no_rg": semantic, "rg_first": f"{semantic} + {grep}"}[strategy]
+    return f"""WITH {_BM25},
+ch AS (SELECT doc_id AS item_id, source || '/' || doc_id AS path, lang AS title, {NORM.format('text')} AS content FROM documents),
+qa AS (SELECT item_id AS query_id, ['src' || item_id % 5] AS hints, regexp_extract_all(lower(coalesce(text, '')), '([a-z][a-z0-9_+\\-]+)', 1) AS a FROM benchmark),
+qs AS (SELECT query_id, hints, [s.t FOR s IN list_sort([{{'p': list_position(a, t), 't': t}} FOR t IN list_distinct(a)])][1:48] AS words FROM qa),
+ln AS (SELECT doc_id AS item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+h AS (SELECT query_id, item_id, count(DISTINCT no) AS hits FROM (SELECT query_id, unnest(words[1:8]) AS term FROM qs) JOIN ln ON contains(lower(line), term) GROUP BY ALL),
+b AS (SELECT query_id, item_id, rank FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 24),
+ev AS (SELECT a.vec_id AS query_id, e.vec_id AS item_id, list_cosine_similarity(a.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings e ON a.vec_id IN (SELECT item_id FROM benchmark)),
+e AS (SELECT query_id, item_id, rank FROM (SELECT *, {_RANKED.format('ev', 'score')}) WHERE rank <= 24),
+g0 AS (SELECT query_id, item_id, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY path, item_id) AS r FROM h JOIN ch USING (item_id)),
+g1 AS (SELECT query_id, item_id, 1 AS l, rank AS r FROM b UNION ALL SELECT query_id, item_id, 2, rank FROM e),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p.l, p.r, item_id) AS place FROM (SELECT query_id, item_id, min({{'l': l, 'r': r}}) AS p FROM (SELECT * FROM {lists}) GROUP BY ALL) QUALIFY place <= 24),
+f AS (SELECT c.query_id, c.item_id, path, place, coalesce(hits, 0) AS hits, b.rank AS br, e.rank AS er, {lexical} AS lexical,
+  least(0.6, 0.25 * (contains(path, hints[1])::INT + 2.0 * contains(coalesce(title, ''), hints[1])::INT + 0.5 * contains(content, hints[1])::INT)) AS boost
+  FROM c JOIN ch USING (item_id) JOIN qs USING (query_id) LEFT JOIN h ON h.query_id = c.query_id AND h.item_id = c.item_id
+  LEFT JOIN b ON b.query_id = c.query_id AND b.item_id = c.item_id LEFT JOIN e ON e.query_id = c.query_id AND e.item_id = c.item_id),
+s AS (SELECT *, {score} AS score FROM f)
+SELECT query_id, item_id, path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, place) AS INTEGER) AS rank, round(score, 5) AS score FROM s QUALIFY rank <= 4"""
+
+
+def _search_wiki(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    """Documents as pages of one chunk, asked by the benchmark's texts; their vectors are those of the same ids."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    chunks = d.select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("page"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("lang", F.lit("")).alias("title"), F.col("text").alias("content"))
+    vectors = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("").alias("module"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 5).cast("string"))).alias("hints"))
+    q = q.join(vectors.withColumnRenamed("item_id", "query_id"), "query_id", "left")
+    return _rounded(retrieval.search_wiki(chunks, q, strategy, index_of(d, "words"), literal_index_of(d), vectors), "path")
+
+
+@query(_wiki_sql("rg_first"))
+def search_wiki_literal_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_wiki(spark, sf_dir, "rg_first")
+
+
+@query(_wiki_sql("rg_only"))
+def search_wiki_literal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_wiki(spark, sf_dir, "rg_only")
+
+
+@query(_wiki_sql("no_rg"))
+def search_wiki_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_wiki(spark, sf_dir, "no_rg")
+
+
 _PAIRS = "p AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS c FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 
 

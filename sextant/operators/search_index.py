@@ -182,19 +182,24 @@ class SearchIndex:
         return self._search(asked, F.col("w") * F.col("top_weight"), F.col("w") * F.col("tf"), k, lambda x: x.join(norms, "item_id").withColumn("score", F.col("score") / F.col("norm")))
 
 
-_KNOWN: dict[tuple, SearchIndex] = {}
+_KNOWN: dict[tuple, object] = {}
 
 
-def index_of(docs: DataFrame, analyser: str, key: str = "doc_id", text: str = "text") -> SearchIndex:
-    """The index of a table in files. It is built at the first call of the session and used as long as the files are the same, by
-    name, length and time."""
+def known(docs: DataFrame, kind: tuple, build: Callable[[], object]):
+    """What `build` made of a table in files at the first call of the session; it is made anew once the files differ in name, length
+    or time."""
     spark = docs.sparkSession
     files = []
     for name in docs.inputFiles():
         fs, at = _fs(spark, name)
         status = fs.getFileStatus(at)
         files.append((name, status.getLen(), status.getModificationTime()))
-    known = (spark.sparkContext.applicationId, tuple(files), docs.semanticHash(), analyser, key, text)
-    if known not in _KNOWN:
-        _KNOWN[known] = SearchIndex.build(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", analyser, key, text)
-    return _KNOWN[known]
+    key = (spark.sparkContext.applicationId, tuple(files), docs.semanticHash(), *kind)
+    if key not in _KNOWN:
+        _KNOWN[key] = build()
+    return _KNOWN[key]
+
+
+def index_of(docs: DataFrame, analyser: str, key: str = "doc_id", text: str = "text") -> SearchIndex:
+    """The index of a table in files, built at the first call of the session."""
+    return known(docs, ("ranked", analyser, key, text), lambda: SearchIndex.build(docs, f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}", analyser, key, text))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.functions.text import normalize
+from sextant.functions.text import normalize, terms
 from sextant.operators import fusion, ranking
+from sextant.operators.literal_index import LiteralIndex
 from sextant.operators.search_index import SearchIndex, index_of
-from sextant.storage import shared_folder
+from sextant.storage import shared_folder, stored
 
 
 def indexes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[SearchIndex, SearchIndex]:
@@ -64,3 +65,57 @@ def ranked_children(children: DataFrame, queries: DataFrame, strategy: str, k: i
     parents = ranking.roll_up(scored.select("query_id", "parent_id", "child_id", "score", "pattern"))
     paths = children.select("parent_id", "path").distinct()
     return ranking.diversify(parents.withColumnRenamed("parent_id", "item_id").join(paths.withColumnRenamed("parent_id", "item_id"), "item_id"), "path", per_path, k)
+
+
+#: What marks a page as a general one.
+GENERAL_MARKS = ("00-", "总体架构")
+
+
+def search_wiki(
+    chunks: DataFrame, queries: DataFrame, strategy: str, found: SearchIndex, literal: LiteralIndex, vectors: DataFrame, k: int = 4, multiplier: int = 6, least: int = 12, per_path: int = 1,
+    path_boost: float = 0.55, prior: float = 0.25, weights: tuple[float, float, float] = (0.3, 0.5, 0.2),
+) -> DataFrame:
+    """Wiki search by one of the strategies: rg_first, no_rg, or rg_only, which looks at no ranking. chunks (item_id, page, path, title,
+    content), queries (query_id, text, module, hints, vector); found, literal and vectors (item_id, vector) are the stored indexes of
+    the chunks and of their pages. Candidates are chunks of the pages that hold a literal term, by path, then BM25's, then the
+    dense ones, each at its first place, max(k * multiplier, least) in all. One score orders them; `per_path` of a path stay.
+    Ties go by the place as a candidate. Queries without a candidate have no rows."""
+    if strategy not in ("rg_first", "rg_only", "no_rg"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    deep = max(k * multiplier, least)
+    words = terms(F.col("text"))
+    asked = queries.select("query_id", "text", "hints", words.alias("words"), ranking.wiki_grep_terms(words, F.col("module")).alias("grep"))
+    of = lambda ranked, name: ranked.select("query_id", "item_id", F.col("rank").alias(name))
+    lists, ranks = [], []
+    if strategy != "no_rg":
+        wanted = asked.select("query_id", F.explode("grep").alias("term"))
+        lines = literal.search(wanted).withColumnRenamed("item_id", "page")
+        hits = wanted.join(lines, "term").select("query_id", "page", "line_no").distinct().groupBy("query_id", "page").agg(F.count("*").alias("hits"))
+        hits = stored(hits.join(chunks.select("item_id", "page", "path"), "page"), "hits")
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy("path", "item_id"))
+        lists.append(hits.withColumn("rank", first).where(F.col("rank") <= deep).select("query_id", "item_id", "rank"))
+        ranks.append(hits.select("query_id", "item_id", "hits"))
+    if strategy != "rg_only":
+        by_words = found.bm25(queries, deep, "query_id")
+        near = stored(ranking.dense(vectors, queries.where("vector is not null").select("query_id", "vector"), deep).where("score is not null"), "near")
+        lists += [by_words, near]
+        ranks += [of(by_words, "bm25_rank"), of(near, "dense_rank")]
+    rows = ranking.union_candidates(lists, deep).withColumnRenamed("rank", "place")
+    for more in ranks:
+        rows = rows.join(more, ["query_id", "item_id"], "left")
+    missing = [F.lit(None).cast("int").alias(c) for c in ("hits", "bm25_rank", "dense_rank") if c not in rows.columns]
+    known = chunks.select("item_id", F.lower("path").alias("low_path"), F.lower("title").alias("title"), "path", normalize(F.col("content")).alias("content"))
+    rows = rows.select("*", *missing).join(known, "item_id").join(asked.select("query_id", "words", "hints"), "query_id")
+    lexical = ranking.lexical_coverage(F.col("content"), F.col("words"))
+    hints = F.transform("hints", lambda h: F.lower(h))
+    rows = rows.withColumns({"lexical": lexical, "boost": ranking.module_boost(F.col("low_path"), F.col("title"), F.col("content"), hints, prior)})
+    general = F.contains("low_path", F.lit(GENERAL_MARKS[0])) | F.contains("low_path", F.lit(GENERAL_MARKS[1]))
+    penalty = ranking.general_penalty(F.col("low_path"), hints, F.col("boost"), general)
+    literal_boost = ranking.path_boost(F.coalesce("hits", F.lit(0)), path_boost)
+    if strategy == "rg_only":
+        score = ranking.rg_only(literal_boost, F.col("lexical"), F.col("boost"))
+    else:
+        score = ranking.hybrid(ranking.rank_score(F.col("bm25_rank")), ranking.rank_score(F.col("dense_rank")), F.col("lexical"), F.col("boost"), penalty, literal_boost if strategy == "rg_first" else F.lit(0.0), weights)
+    order = [F.desc(F.round("score", ranking.DIGITS)), "place"]
+    scored = rows.withColumn("score", score).withColumn("in_path", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(*order))).where(F.col("in_path") <= per_path)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "item_id", "path", "rank", "score")

@@ -7,7 +7,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import observability, ranking, search_index
+from sextant.operators import literal_index, observability, ranking, search_index
+from sextant.operators.literal_index import LiteralIndex
 from sextant.operators.search_index import SearchIndex, index_of
 
 
@@ -123,3 +124,26 @@ def test_next_matching_on_one_key(spark):
     e = spark.range(30_000).select(F.lit(1).alias("k"), F.floor(F.col("id") / 3).alias("t"), "id")
     found = observability.next_matching(e, "k", "t", F.col("id") % 3 == 0, F.col("id") % 3 > 0, "id")
     assert found.where(F.col("matched") == F.col("id") + 4).count() == 9_999 and found.where("matched is null").count() == 1
+
+
+def test_literal_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(literal_index, "RANGE", 20)
+    rng = random.Random(6)
+    text = lambda: "\n".join("".join(rng.choice("abAB éÉΣσς.中x") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 8)))
+    rows = [(i, text(), 1) for i in range(80)] + [(200 + i, "one common line ab", 1) for i in range(60)] + [(300, None, 1), (301, "", 1), (None, "ab", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, number int").repartition(3)
+    index = LiteralIndex.build(docs, f"{tmp_path}/l")
+    words = ["ab", "a", "common", "line ab", "AB", "É", "é", "σ", "bab", "中", "not there", "ab\n", ""]
+    got = {(r.term, r.item_id, r.line_no, r.line) for r in index.search(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+
+    def holds(line, w):
+        return w != "" and (w in line if w != w.lower() else w in line.lower())
+
+    assert got == {(w, i, n, line) for w in words for i, t, _ in rows if t is not None and i is not None for n, line in enumerate(t.split("\n"), start=1) if holds(line, w)}
+    for monkeyed in (1000, 1):
+        monkeypatch.setattr(literal_index, "FEW", monkeyed)
+        some = ["common", "ab", "BA"]
+        assert sorted(map(tuple, index.grep(some, per_item=2).collect())) == sorted(map(tuple, ranking.grep(docs.where("doc_id is not null"), some, per_doc=2).collect()))
+    # A rare text meets few lines, and no other is compared.
+    assert index.candidates(spark.createDataFrame([("common",)], "term string")).count() == 60
+    assert LiteralIndex.build(docs.limit(0), f"{tmp_path}/e").grep(["ab"]).collect() == []
