@@ -183,19 +183,27 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def search(index: Index, queries: DataFrame, slop: int | None = None) -> DataFrame:
-    """(query_id, doc_id, starts): queries is (query_id, phrase). Without slop the phrase's terms follow each other exactly, for
-    phrases of LONGEST_WINDOW terms at most; starts are the positions of its first term. With slop all its terms, as often as
+    """(query_id, doc_id, starts): queries is (query_id, phrase). Without slop the phrase's terms follow each other exactly; starts
+    are the positions of its first term. A phrase of more than LONGEST_WINDOW terms is cut into parts of so many, the last one
+    at its end, and starts where all parts start at their offsets. With slop all its terms, as often as
     the phrase has them, occur within a span of `slop` positions, in any order; starts are the positions of the rarest term
-    that are in such a span. A phrase with a missing term, or no terms, matches nothing."""
+    that are in such a span. A phrase with a missing term, or no terms, matches nothing; nor does a null text or phrase. Query ids are
+    distinct; repeated rows of documents each match; empty tables give no rows."""
     ends = index.postings.where(F.col("number") == END).select("row", "doc_id")
-    asked = queries.select(F.col("query_id").alias("item_id"), F.col("phrase").alias("text"))
-    items = stored(_numbered(asked, index), "phrases")
     if slop is None:
-        # The whole phrase is one window, so that its anchor is its rarest term.
-        rare = anchors(items.where(F.col("m") <= LONGEST_WINDOW), index.counts(), LONGEST_WINDOW)
-        found = occurrences(index, rare, LONGEST_WINDOW).select("row", F.col("item_id").alias("query_id"), (F.col("centre") - F.col("at")).alias("start"))
-        by = found.groupBy("query_id", "row").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+        each = queries.select("query_id", words(F.col("phrase")).alias("ws")).withColumn("last", F.size("ws") - LONGEST_WINDOW)
+        offsets = F.when(F.col("last") <= 0, F.array(F.lit(0))).otherwise(F.array_union(F.sequence(F.lit(0), F.col("last"), F.lit(LONGEST_WINDOW)), F.array("last")))
+        parts = each.select("query_id", "ws", F.size(offsets).alias("parts"), F.explode(offsets).alias("offset"))
+        asked = parts.select(F.struct("query_id", "offset", "parts").alias("item_id"), F.array_join(F.slice("ws", F.col("offset") + 1, F.lit(LONGEST_WINDOW)), " ").alias("text"))
+        items = stored(_numbered(asked, index), "phrases")
+        # A whole part is one window, so that its anchor is its rarest term.
+        rare = anchors(items, index.counts(), LONGEST_WINDOW)
+        found = occurrences(index, rare, LONGEST_WINDOW).select("row", "item_id.*", (F.col("centre") - F.col("at") - F.col("item_id.offset")).alias("start"))
+        whole = found.groupBy("query_id", "row", "start").agg(F.count_distinct("offset").alias("n"), F.max("parts").alias("parts")).where("n = parts")
+        by = whole.groupBy("query_id", "row").agg(F.sort_array(F.collect_list("start")).alias("starts"))
         return by.join(ends, "row").select("query_id", "doc_id", "starts")
+    asked = queries.select(F.col("query_id").alias("item_id"), F.col("phrase").alias("text"))
+    items = stored(_numbered(asked, index), "phrases")
     whole = items.where(~F.exists("numbers", lambda x: x.isNull()))
     terms = whole.select("item", "item_id", F.explode("numbers").alias("number")).groupBy("item", "item_id", "number").agg(F.count("*").alias("times"))
     ranked = terms.join(index.counts(), "number").withColumn("nth", F.row_number().over(Window.partitionBy("item").orderBy("n", "number")))

@@ -136,6 +136,19 @@ def test_phrase_and_proximity_search(spark):
     assert got == want
 
 
+def test_long_phrases(spark):
+    """Phrases longer than a window, at its length and beside it, with repeats of a part and a word that differs."""
+    rng = random.Random(8)
+    text = [[rng.choice("abcdefgh") for _ in range(120)] for _ in range(4)] + [["a"] * 90, ["a", "b"] * 60]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(text)], "doc_id bigint, text string")
+    asked = [text[i][low : low + n] for i, low, n in [(0, 3, 31), (0, 5, 32), (1, 0, 33), (2, 40, 64), (2, 7, 65), (3, 0, 120), (4, 0, 70), (5, 1, 100)]]
+    asked += [text[1][:40] + ["z"] + text[1][41:80], text[0][:33] + text[1][:33], ["a"] * 91]
+    index = decontaminate.build_index(docs)
+    found = decontaminate.search(index, spark.createDataFrame([(i, " ".join(a)) for i, a in enumerate(asked)], "query_id int, phrase string"))
+    want = [(i, k, s) for i, a in enumerate(asked) for k, t in enumerate(text) if (s := [x for x in range(len(t) + 1 - len(a)) if t[x : x + len(a)] == a])]
+    assert sorted((r.query_id, r.doc_id, r.starts) for r in found.collect()) == want and len(want) >= 8
+
+
 def test_token_counts(docs, empty):
     vocabulary = [bytes([b]) for b in range(256)] + [b" ab", b"abc", b"cde", b"bcdef", b" a", b"de", b"fg", b"efgab", "é".encode()]
     known = set(vocabulary)
