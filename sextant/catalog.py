@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sextant.functions import text as T
 from sextant.operators import answers, chunking, evaluation, fusion, observability, ranking, sessions, understanding
 from sextant.operators.literal_index import literal_index_of
-from sextant.operators.search_index import index_of
+from sextant.operators.search_index import index_of, known
 from sextant.plans import retrieval
 from sextant.streaming import metrics
 
@@ -377,6 +377,73 @@ def rank_grep_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("conv_id", "turn", F.array_join(ranking.grep_terms(ranking.code_patterns(F.col("text")), F.lit("Bid-Optimizer x")), ",").alias("terms"))
 
 
+def _code_sql(strategy: str) -> str:
+    """Windows of lines as children of their documents."""
+    index = f"{_BM25}, {_TFIDF}".replace("documents", "kids")
+    lists = {"rg_only": "g0", "no_rg": "g1", "rg_first": "g0 UNION ALL SELECT * FROM g1"}[strategy]
+    semantic = "lexical + 0.6 * coalesce(14.0 / (br + 1), 0) + 4.0 * coalesce(14.0 / (greatest(tr, fr) + 1), 0) + 1.6 * pattern"
+    semantic = semantic.replace("greatest(tr, fr)", "CASE WHEN tr IS NOT NULL AND fr IS NOT NULL THEN greatest(tr, fr) END")
+    score = {"rg_only": "1.4 * pb + 1.2 * lb + 0.7 * lexical + 0.8 * pattern", "no_rg": semantic, "rg_first": f"{semantic} + pb + lb"}[strategy]
+    return f"""WITH k0 AS (SELECT doc_id AS parent, source || '/' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+k1 AS (SELECT parent, path, ls, unnest(range(0, CAST(greatest(ceil((len(ls) - 36) / 28.0), 0) AS BIGINT) + 1)) AS no FROM k0),
+kids AS (SELECT parent || '-' || no AS doc_id, parent, path, no, array_to_string(ls[no * 28 + 1 : no * 28 + 36], chr(10)) AS text FROM k1),
+{index},
+qa AS (SELECT item_id AS query_id, text AS q, {NORM.format('text')} AS nq, [lower(x) FOR x IN regexp_extract_all(coalesce(text, ''), '([A-Za-z_][A-Za-z0-9_]+)', 1)] AS a FROM benchmark),
+qi AS (SELECT *, [x.t FOR x IN list_sort([{{'n': -length(t), 'p': list_position(a, t), 't': t}} FOR t IN list_distinct(a)])][1:48] AS ids, regexp_matches(nq, '在哪|哪里|定位|定义|实现|哪个文件|哪个函数|入口函数|where|located|find') AS place FROM qa),
+qe AS (SELECT *, [y FOR y IN ids IF contains(y, '_') OR length(y) >= 8][1:24] AS exact, [y FOR y IN ids IF regexp_matches(y, '(_id|_rate|_score|_cpa|_cpc|_ctr|_cvr)$') OR y IN ('pctr', 'pcvr', 'trace_id', 'request_id')][1:24] AS fields FROM qi),
+qw AS (SELECT *, exact || fields || ids[1:24] AS ws FROM qe),
+g AS (SELECT query_id, unnest([z.w FOR z IN list_sort([{{'p': list_position(ws, x), 'w': x}} FOR x IN list_distinct(ws)])][1:10]) AS term FROM qw),
+ln AS (SELECT parent, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM k0),
+lh AS (SELECT DISTINCT query_id, parent, n FROM g JOIN ln ON contains(lower(line), term)),
+ph AS (SELECT query_id, parent, count(*) AS hits FROM lh GROUP BY ALL),
+kh AS (SELECT ph.query_id, kids.doc_id AS item_id, kids.parent, kids.path, kids.no, hits, count(lh.n) AS lhits FROM ph JOIN kids USING (parent) LEFT JOIN lh ON lh.query_id = ph.query_id AND lh.parent = kids.parent AND lh.n > kids.no * 28 AND lh.n <= kids.no * 28 + 36 GROUP BY ALL),
+kc AS (SELECT * FROM kh QUALIFY lhits > 0 OR row_number() OVER (PARTITION BY query_id, parent, lhits > 0 ORDER BY no) <= 2),
+b AS (SELECT query_id, item_id, rank FROM (SELECT *, {_RANKED.format('bm', 'score')}) WHERE rank <= 64),
+t AS (SELECT query_id, item_id, rank FROM (SELECT *, {_RANKED.format('tx', 'score')}) WHERE rank <= 64),
+fu AS (SELECT query_id, item_id, sum(p) AS score FROM (SELECT query_id, item_id, 0.6 / (60 + rank) AS p FROM b UNION ALL SELECT query_id, item_id, 0.4 / (60 + rank) FROM t) GROUP BY ALL),
+f AS (SELECT query_id, item_id, rank FROM (SELECT *, {_RANKED.format('fu', 'score')}) WHERE rank <= 64),
+g0 AS (SELECT query_id, item_id, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY path, parent, no) AS r FROM kc),
+g1 AS (SELECT query_id, item_id, 1 AS l, rank AS r FROM f UNION ALL SELECT query_id, item_id, 2, rank FROM b UNION ALL SELECT query_id, item_id, 3, rank FROM t),
+c AS (SELECT query_id, item_id FROM (SELECT query_id, item_id, min({{'l': l, 'r': r}}) AS p FROM (SELECT * FROM {lists}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p.l, p.r, item_id) <= 64),
+x AS (SELECT c.query_id, c.item_id, kids.parent, lower(kids.path) AS path, kids.text AS c, {NORM.format('kids.text')} AS n, b.rank AS br, t.rank AS tr, f.rank AS fr, q, nq, ids, exact, fields, place,
+  coalesce(CASE WHEN hits > 0 THEN least(1 + 0.2 * (hits - 1), 2.5) END, 0) AS pb, coalesce(least(lhits * 2.2, 6.6), 0) AS lb
+  FROM c JOIN kids ON kids.doc_id = c.item_id JOIN qw USING (query_id) LEFT JOIN kh ON kh.query_id = c.query_id AND kh.item_id = c.item_id
+  LEFT JOIN b ON b.query_id = c.query_id AND b.item_id = c.item_id LEFT JOIN t ON t.query_id = c.query_id AND t.item_id = c.item_id LEFT JOIN f ON f.query_id = c.query_id AND f.item_id = c.item_id),
+y AS (SELECT *, coalesce(list_sum([CAST(least((length(n) - length(replace(n, w, ''))) // length(w), 3) * (CASE WHEN length(w) >= 4 THEN 1.8 ELSE 1.0 END) + CASE WHEN contains(path, w) THEN 1.1 ELSE 0 END AS DOUBLE) FOR w IN ids]), 0) AS lexical,
+  coalesce(list_sum([CAST(CASE WHEN contains(path, w) THEN CASE WHEN place THEN 2.8 ELSE 1.6 END ELSE 0 END AS DOUBLE) FOR w IN exact]), 0) + coalesce(list_sum([CAST(CASE WHEN contains(n, w) THEN 0.8 ELSE 0 END AS DOUBLE) FOR w IN fields]), 0)
+  + CASE WHEN (regexp_matches(nq, '公式|计算|怎么算|formula|calculate') OR regexp_matches(q, '[=*/+-]')) AND contains(c, '=') THEN 1.2 ELSE 0 END + CASE WHEN place THEN 0.6 ELSE 0 END AS pattern FROM x),
+z AS (SELECT query_id, parent, score, pattern, row_number() OVER (PARTITION BY query_id, parent ORDER BY score DESC) AS i, row_number() OVER (PARTITION BY query_id, parent ORDER BY pattern DESC) AS j
+  FROM (SELECT query_id, parent, CAST(pattern AS DOUBLE) AS pattern, CAST({score} AS DOUBLE) AS score FROM y) WHERE score >= 0.25),
+p AS (SELECT query_id, parent AS item_id, max(score) + 0.25 * avg(score) FILTER (WHERE i <= 2) + 0.9 * max(pattern) + 0.35 * avg(pattern) FILTER (WHERE j <= 2) AS score FROM z GROUP BY ALL)
+SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM (SELECT *, {_RANKED.format('p', 'score')}) WHERE rank <= 5"""
+
+
+def _search_code(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    c = chunking.children(d, "doc_id", "text").join(d.select("doc_id", "source"), "doc_id")
+    own = F.concat_ws("-", "doc_id", "child_no").alias("child_id")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")
+    c = c.select(own, F.col("doc_id").alias("parent_id"), F.col("doc_id").alias("page"), "child_no", path, F.lit("").alias("symbol"), F.lit("").alias("signature"), "content")
+    found = known(d, ("children",), lambda: retrieval.built(c.select(F.col("child_id").alias("doc_id"), F.col("content").alias("text"))))
+    q = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return _rounded(retrieval.search_code(c, q, strategy, found, literal_index_of(table(spark, sf_dir, "documents"))))
+
+
+@query(_code_sql("rg_first"))
+def search_code_literal_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_code(spark, sf_dir, "rg_first")
+
+
+@query(_code_sql("rg_only"))
+def search_code_literal_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_code(spark, sf_dir, "rg_only")
+
+
+@query(_code_sql("no_rg"))
+def search_code_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search_code(spark, sf_dir, "no_rg")
+
+
 # Evidence of a conversation's answers: the words of its texts as paths
 
 

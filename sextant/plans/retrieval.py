@@ -43,28 +43,62 @@ def recalled(found: tuple[SearchIndex, SearchIndex], queries: DataFrame, k: int,
     return ranking.fuse([(first, weights[0]), (second, weights[1])], deep), first, second
 
 
-def ranked_children(children: DataFrame, queries: DataFrame, strategy: str, k: int = 5, per_path: int = 2, found: tuple[SearchIndex, SearchIndex] | None = None) -> DataFrame:
-    """Code search: children (child_id, parent_id, path, symbol, signature, content) for queries (query_id, text), to the best
-    parents. Lexical and pattern scores and the ranks of both lists and of their fusion make a child's score; parents come
-    from their children, `per_path` of a path at most. found: the stored indexes of the children's contents, else they are built. Literal
-    boosts are 0 here: they come with candidates of a grep."""
-    docs = children.select(F.col("child_id").alias("doc_id"), F.col("content").alias("text"))
-    asked = queries.select(F.col("query_id").alias("item_id"), "text")
-    fused, first, second = recalled(found or built(docs), asked, k)
-    ranks = lambda ranked, name: ranked.select("query_id", F.col("item_id").alias("child_id"), F.col("rank").alias(name))
-    rows = fused.select("query_id", F.col("item_id").alias("child_id"))
-    for ranked, name in ((first, "bm25_rank"), (second, "tfidf_rank"), (fused, "fused_rank")):
-        rows = rows.join(ranks(ranked, name), ["query_id", "child_id"], "left")
-    asked = queries.select("query_id", ranking.code_patterns(F.col("text")).alias("asked"))
-    rows = rows.join(children, "child_id").join(asked, "query_id")
-    text, symbol, path, sign = (normalize(F.col(c)) for c in ("content", "symbol", "path", "signature"))
-    lexical = ranking.code_lexical(text, symbol, path, sign, F.col("asked.ids"))
-    pattern = ranking.code_pattern(text, F.col("content"), symbol, path, F.col("asked"))
-    none = F.lit(0.0)
-    scored = ranking.score_children(rows.withColumns({"lexical": lexical, "pattern": pattern, "path_boost": none, "line_boost": none}), strategy)
+def search_code(
+    children: DataFrame, queries: DataFrame, strategy: str, found: tuple[SearchIndex, SearchIndex] | None = None, literal: LiteralIndex | None = None, k: int = 5, per_path: int = 2, most: int = 64,
+    path_boost: float = 1.0, line_boost: float = 2.2,
+) -> DataFrame:
+    """Code search by one of the strategies: rg_first, no_rg, or rg_only, which looks at no ranking; children (child_id, parent_id,
+    path, symbol, signature, content) for queries (query_id, text, and module where there is one), to the best parents. found: the
+    stored indexes of the children's contents, else they are built. For literal candidates children also have page, an item of
+    `literal`, and child_no, their number among the windows of its lines.
+
+    Candidates are children that hold a literal hit and the first two others of their page, by path, then the fused list, BM25's and
+    TF-IDF's, each at its first place, `most` in all. Lexical and pattern scores, ranks and literal boosts make a child's score;
+    parents come from their children, `per_path` of a path at most."""
+    asked = queries if "module" in queries.columns else queries.withColumn("module", F.lit(""))
+    merged = F.trim(F.concat_ws(" ", "text", "module"))
+    asked = asked.select("query_id", merged.alias("text"), "module", ranking.code_patterns(merged).alias("asked"))
+    lists, facts = [], []
+    if strategy != "no_rg":
+        wanted = asked.select("query_id", F.explode(ranking.grep_terms(F.col("asked"), F.col("module"))).alias("term"))
+        lines = wanted.join(literal.search(wanted), "term").select("query_id", F.col("item_id").alias("page"), "line_no").distinct()
+        lines = stored(lines, "lines")
+        hits = lines.groupBy("query_id", "page").agg(F.count("*").alias("hits"))
+        own = hits.join(children.select("page", "path", "child_no", "child_id"), "page").withColumn("place", F.struct("query_id", "page"))
+        boosted = ranking.line_boost(own, lines.select(F.struct("query_id", "page").alias("place"), "line_no"), "place", line_boost)
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy("path", "page", "child_no"))
+        lists.append(stored(boosted.withColumn("rank", first).select("query_id", F.col("child_id").alias("item_id"), "rank", "line_boost"), "literal"))
+        facts += [lists[0].select("query_id", "item_id", "line_boost"), own.select("query_id", F.col("child_id").alias("item_id"), ranking.path_boost(F.col("hits"), path_boost, 0.2).alias("path_boost"))]
+    if strategy != "rg_only":
+        if found is None:
+            found = built(children.select(F.col("child_id").alias("doc_id"), F.col("content").alias("text")))
+        fused, first, second = recalled(found, asked.select(F.col("query_id").alias("item_id"), "text"), k)
+        lists += [fused, first, second]
+        facts += [x.select("query_id", "item_id", F.col("rank").alias(name)) for x, name in ((fused, "fused_rank"), (first, "bm25_rank"), (second, "tfidf_rank"))]
+    rows = ranking.union_candidates(lists, most).select("query_id", "item_id")
+    for more in facts:
+        rows = rows.join(more, ["query_id", "item_id"], "left")
+    for name in ("fused_rank", "bm25_rank", "tfidf_rank"):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("int"))
+    for name in ("line_boost", "path_boost"):
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(0.0)) if name in rows.columns else F.lit(0.0))
+    # Texts are normalised once for a child, before it meets its queries and their words.
+    plain = {f"n_{c}": normalize(F.col(c)) for c in ("content", "symbol", "path", "signature")}
+    known = children.select(F.col("child_id").alias("item_id"), "child_id", "parent_id", "path", "content", *[v.alias(n) for n, v in plain.items()])
+    rows = rows.join(known, "item_id").join(asked.select("query_id", "asked", "module"), "query_id")
+    lexical = ranking.code_lexical(F.col("n_content"), F.col("n_symbol"), F.col("n_path"), F.col("n_signature"), F.col("asked.ids"))
+    own_words = F.filter(F.split(normalize(F.col("module")), r"[._\-/\s]+"), lambda w: F.length(w) >= 2)
+    lexical = lexical + F.when(F.exists(own_words, lambda w: F.contains(F.col("n_path"), w)), 0.8).otherwise(0.0)
+    pattern = ranking.code_pattern(F.col("n_content"), F.col("content"), F.col("n_symbol"), F.col("n_path"), F.col("asked"))
+    scored = ranking.score_children(rows.withColumns({"lexical": lexical, "pattern": pattern}), strategy)
     parents = ranking.roll_up(scored.select("query_id", "parent_id", "child_id", "score", "pattern"))
-    paths = children.select("parent_id", "path").distinct()
-    return ranking.diversify(parents.withColumnRenamed("parent_id", "item_id").join(paths.withColumnRenamed("parent_id", "item_id"), "item_id"), "path", per_path, k)
+    paths = children.select(F.col("parent_id").alias("item_id"), "path").distinct()
+    return ranking.diversify(parents.withColumnRenamed("parent_id", "item_id").join(paths, "item_id"), "path", per_path, k)
+
+
+def ranked_children(children: DataFrame, queries: DataFrame, strategy: str, k: int = 5, per_path: int = 2, found: tuple[SearchIndex, SearchIndex] | None = None) -> DataFrame:
+    """Code search without literal candidates: `search_code` for children that have no pages."""
+    return search_code(children, queries, strategy, found, None, k, per_path)
 
 
 #: What marks a page as a general one.
