@@ -406,7 +406,7 @@ g0 AS (SELECT query_id, item_id, 0 AS l, row_number() OVER (PARTITION BY query_i
 g1 AS (SELECT query_id, item_id, 1 AS l, rank AS r FROM f UNION ALL SELECT query_id, item_id, 2, rank FROM b UNION ALL SELECT query_id, item_id, 3, rank FROM t),
 c AS (SELECT query_id, item_id FROM (SELECT query_id, item_id, min({{'l': l, 'r': r}}) AS p FROM (SELECT * FROM {lists}) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p.l, p.r, item_id) <= 64),
 x AS (SELECT c.query_id, c.item_id, kids.parent, lower(kids.path) AS path, kids.text AS c, {NORM.format('kids.text')} AS n, b.rank AS br, t.rank AS tr, f.rank AS fr, q, nq, ids, exact, fields, place,
-  coalesce(CASE WHEN hits > 0 THEN least(1 + 0.2 * (hits - 1), 2.5) END, 0) AS pb, coalesce(least(lhits * 2.2, 6.6), 0) AS lb
+  coalesce(CASE WHEN hits > 0 THEN least(1 + 0.2 * (hits - 1), 2.5) END, 0) AS pb, least(coalesce(lhits, 0) * 2.2, 6.6) AS lb
   FROM c JOIN kids ON kids.doc_id = c.item_id JOIN qw USING (query_id) LEFT JOIN kh ON kh.query_id = c.query_id AND kh.item_id = c.item_id
   LEFT JOIN b ON b.query_id = c.query_id AND b.item_id = c.item_id LEFT JOIN t ON t.query_id = c.query_id AND t.item_id = c.item_id LEFT JOIN f ON f.query_id = c.query_id AND f.item_id = c.item_id),
 y AS (SELECT *, coalesce(list_sum([CAST(least((length(n) - length(replace(n, w, ''))) // length(w), 3) * (CASE WHEN length(w) >= 4 THEN 1.8 ELSE 1.0 END) + CASE WHEN contains(path, w) THEN 1.1 ELSE 0 END AS DOUBLE) FOR w IN ids]), 0) AS lexical,
