@@ -40,6 +40,23 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _counted(words: DataFrame, repeated: DataFrame) -> DataFrame:
+    """words (item_id, ts) as (item_id, dl, size, length, counts): the distinct terms of each item with their counts, and the length of
+    its vector of counts. A row's terms are sorted and counted where they are; only rows of repeated ids are brought together."""
+    few = [r.item_id for r in repeated.limit(FEW + 1).collect()]
+    if few:
+        own = lambda how: words.where(F.col("item_id").isin(few) if how == "left_semi" else ~F.col("item_id").isin(few)) if len(few) <= FEW else words.join(repeated, "item_id", how)
+        merged = own("left_semi").groupBy("item_id").agg(F.flatten(F.collect_list("ts")).alias("ts"))
+        words = own("left_anti").unionByName(merged)
+    line = words.select("item_id", F.size("ts").cast("long").alias("dl"), F.array_sort("ts").alias("ts"))
+    begins = F.filter(F.transform("ts", lambda t, i: F.when((i == 0) | (t != F.get("ts", i - 1)), i)), lambda i: i.isNotNull())
+    line = line.withColumn("begins", begins)
+    counts = F.transform("begins", lambda b, j: F.struct(F.get("ts", b).alias("term"), (F.coalesce(F.get("begins", j + 1), F.col("dl")) - b).cast("long").alias("tf")))
+    size = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, c: s + c["tf"] * c["tf"]))
+    line = line.withColumn("counts", counts).withColumn("size", size)
+    return line.select("item_id", "dl", "size", F.floor(F.log2(F.col("dl") + 1)).cast("long").alias("length"), "counts")
+
+
 class SearchIndex:
     """One version of an index. `build` makes the first one, `open` finds the last one; `append` and `delete` return the next."""
 
@@ -67,26 +84,26 @@ class SearchIndex:
 
     def append(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> SearchIndex:
         """The version with the rows of docs added, which are read once."""
-        words = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), ANALYSERS[self.state["analyser"]](F.col(text)).alias("ts"))
-        each = words.select("item_id", F.explode(F.array_append("ts", F.lit(""))).alias("term"))
-        counts = stored(each.groupBy("item_id", "term").agg(F.count("*").alias("tf")), "counts")
-        own = F.when(F.col("term") != "", F.col("tf"))
-        items = counts.groupBy("item_id").agg(F.coalesce(F.sum(own), F.lit(0)).alias("dl"), F.sqrt(F.coalesce(F.sum(own * own), F.lit(0))).alias("size"))
-        length = F.floor(F.log2(F.col("dl") + 1)).cast("long")
-        items = stored(items.withColumn("length", length), "lengths")
+        given = docs.where(F.col(key).isNotNull())
+        words = given.select(F.col(key).alias("item_id"), ANALYSERS[self.state["analyser"]](F.col(text)).alias("ts"))
+        counts = stored(_counted(words, given.groupBy(F.col(key).alias("item_id")).count().where("count > 1").select("item_id")), "counts")
         # One row for each class of lengths, of which there are 64 at most.
-        shares = F.broadcast(items.groupBy("length").agg(F.ceil(F.count("*") / RANGE).alias("shares")))
+        shares = F.broadcast(counts.groupBy("length").agg(F.ceil(F.count("*") / RANGE).alias("shares")))
         segment = len(self.state["segments"])
-        placed = items.join(shares, "length").withColumn("range", F.lit(segment << 48) + F.col("length") * (1 << 40) + F.pmod(F.xxhash64("item_id"), F.col("shares")))
-        blocks = counts.where("term <> ''").join(placed, "item_id").groupBy("term", "range").agg(
+        place = F.lit(segment << 48) + F.col("length") * (1 << 40) + F.pmod(F.xxhash64("item_id"), F.col("shares"))
+        each = counts.join(shares, "length").select("item_id", "dl", "size", place.alias("range"), F.explode("counts").alias("c"))
+        # Dealt out as rows: lists that are gathered before the shuffle have one posting each, and take twice the room.
+        each = each.select("item_id", "dl", "size", "range", "c.term", "c.tf").repartition("term", "range")
+        blocks = each.groupBy("term", "range").agg(
             F.max("tf").alias("top_tf"), F.min("dl").alias("least_dl"), F.max(F.col("tf") / F.col("size")).alias("top_weight"), F.collect_list(F.struct("item_id", "tf", "dl")).alias("postings")
         )
         at = self._write(blocks.sortWithinPartitions("term", "range"), "segment")
-        more = items.select("item_id", "dl")
+        items = stored(counts.select("item_id", "dl"), "lengths")
+        dropped(counts)
+        more = items
         if self.state["items"]:
             more = more.unionByName(self._read("items").select("item_id", "dl"))
         out = self._next(more, {"segments": [*self.state["segments"], at]})
-        dropped(counts)
         dropped(items)
         return out
 

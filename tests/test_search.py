@@ -81,6 +81,16 @@ def test_append_delete_and_versions(spark, tmp_path, small_ranges):
     assert rows(SearchIndex.open(spark, f"{tmp_path}/i").tfidf(queries, 4)) == rows(ranking.tfidf(frame(left), queries, 4))
 
 
+def test_rows_of_one_item_are_one_text(spark, tmp_path, monkeypatch):
+    queries = spark.createDataFrame([(0, "a b")], "item_id long, text string")
+    several = spark.createDataFrame([(1, "a a b"), (1, "a c"), (2, "b"), (3, "c c")], "doc_id long, text string")
+    one = spark.createDataFrame([(1, "a a b a c"), (2, "b"), (3, "c c")], "doc_id long, text string")
+    want = rows(ranking.bm25(one, queries, 5))
+    for few in (1000, 0):
+        monkeypatch.setattr(search_index, "FEW", few)
+        assert rows(SearchIndex.build(several, f"{tmp_path}/{few}").bm25(queries, 5)) == want
+
+
 def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     queries = spark.createDataFrame([(0, "w1")], "item_id long, text string")
