@@ -12,7 +12,7 @@ __all__ = ["dropped", "shared_folder", "stored"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Documents longer than this aren't used to learn from, which bounds what a sample holds. They are scored whole.
+#: Documents up to this length are learned from first, and it bounds what a sample holds in all. All are scored whole.
 LEARN_CHARS = 20_000
 
 #: Arrow batches are bounded by rows and by bytes, so that a run of long texts never fills a worker.
@@ -39,21 +39,27 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int) -> DataFrame:
-    """At most `bound` rows, one for each labelled document outside the held-out fold, as (doc_id, text, y); y is 0 or 1. Documents
-    are taken in the order of a hash of doc_id, so that the choice depends on nothing else. Of several labels of one document
-    the largest counts, of several texts of one doc_id the one with the smallest hash; null labels, labels without a document
-    and texts of over LEARN_CHARS characters are ignored. What is broadcast has `bound` rows at most."""
-    keep = (
+    """At most `bound` rows, one for each labelled document outside the held-out fold, as (doc_id, text, y); y is 0 or 1. Only
+    documents that are there count towards the bound. They are taken in the order of a hash of doc_id, so that the choice
+    depends on nothing else, those of up to LEARN_CHARS characters before longer ones, as far as the texts have no more than
+    `bound` times LEARN_CHARS characters together: long texts are learned from, whole, where there aren't enough others. Of
+    several labels of one document the largest counts, of several texts of one doc_id a shorter one, then that with the smallest
+    hash; null labels and labels without a document are ignored. What is broadcast has `bound` rows at most."""
+    known = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
     )
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", text.alias("text")).where(F.length("text") <= LEARN_CHARS).join(F.broadcast(keep), "doc_id")
-    return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "y")
+    n, h = F.length(text), F.xxhash64(text)
+    one = docs.groupBy("doc_id").agg(F.min(F.struct((n > LEARN_CHARS).alias("long"), h.alias("h"), n.alias("n"))).alias("one"))
+    order = ["long", F.xxhash64("doc_id"), "doc_id"]
+    first = one.join(known, "doc_id").select("doc_id", "y", "one.*").orderBy(*order).limit(bound)
+    chars = F.sum(F.col("n").cast("bigint")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    keep = first.withColumn("chars", chars).where(F.col("chars") <= bound * LEARN_CHARS).select("doc_id", "y", "h")
+    found = docs.select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text")).join(F.broadcast(keep), ["doc_id", "h"])
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def sample_of(docs: DataFrame, keep: Column, group: Column, each: int, buckets: int = 4096) -> DataFrame:
