@@ -10,7 +10,8 @@ Of records with equal payloads (same SHA-1 and length) of at least min_bytes byt
 stored as response; the others are revisit records without a payload that refer to it.
 
 Defined results: a null html is an empty payload, a null url an empty target. Repeated rows of the largest page_id are each
-a response; a null page_id is smaller than any other, and stays null; ids are whole at any size. An empty table gives an
+a response, of an id of its own; what revisits them names the page and the digest, but no one of their records. A null
+page_id is smaller than any other, and stays null; ids are whole numbers of any size (others, as texts, are an error). An empty table gives an
 empty archive. Extra columns are ignored.
 """
 
@@ -52,9 +53,10 @@ def _headers(r: object) -> bytes:
     digest = "sha1:" + base32(bytes.fromhex(r.digest))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r.bytes}\r\n\r\n".encode()
     own, target = f"{_text(r.page_id)} {r.digest}", "".join(r.url.split())
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if r.revisit else 'response'}", f"WARC-Record-ID: {_urn(f'{own} {r.record}' if r.revisit else own)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: {digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if r.revisit else 'response'}", f"WARC-Record-ID: {_urn(own if r.referred else f'{own} {r.record}')}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: {digest}"]
     if r.revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(f'{_text(r.keeper)} {r.digest}')}", f"Refers-To-Page: {_text(r.keeper)}"]
+        refers = [f"WARC-Refers-To: {_urn(f'{_text(r.keeper)} {r.digest}')}"] if r.single else []
+        lines += [f"WARC-Profile: {PROFILE}", *refers, f"Refers-To-Page: {_text(r.keeper)}"]
     lines += [f"Page: {_text(r.page_id)}", f"Payload-Length: {r.bytes}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if r.revisit else r.bytes)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -86,19 +88,22 @@ def archive(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
     twice = (
         rows.select("page_id", digest.alias("digest"), size.alias("bytes"))
         .where(F.col("bytes") >= min_bytes)
+        .groupBy("digest", "bytes", "page_id")
+        .agg(F.count("*").alias("n"))
         .groupBy("digest", "bytes")
-        .agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"))
+        .agg(F.sum("n").alias("n"), F.max("page_id").alias("keeper"), (F.max_by("n", "page_id") == 1).alias("single"))
         .where("n > 1")
         .drop("n")
     )
     known = rows.select("page_id", "url", "payload", digest.alias("digest"), size.alias("bytes")).join(twice, ["digest", "bytes"], "left")
     known = known.withColumn("revisit", F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")))
-    known = known.withColumn("record", F.monotonically_increasing_id())
+    known = known.withColumn("single", F.coalesce("single", F.lit(False)))
+    known = known.withColumn("referred", F.col("single") & F.col("keeper").eqNullSafe(F.col("page_id"))).withColumn("record", F.monotonically_increasing_id())
     n = F.when(F.col("revisit"), 1).otherwise(F.greatest(F.ceil(F.col("bytes") / chunk), F.lit(1))).cast("int")
-    cut = known.select("record", "page_id", "url", "digest", "bytes", "keeper", "revisit", "payload", n.alias("n_chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    cut = known.select("record", "page_id", "url", "digest", "bytes", "keeper", "revisit", "single", "referred", "payload", n.alias("n_chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     data = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
     ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "keeper")]
-    return cut.select("record", *ids, "url", "digest", "bytes", "revisit", "n_chunks", "chunk_no", data.alias("data")).mapInPandas(_write, CHUNKS)
+    return cut.select("record", *ids, "url", "digest", "bytes", "revisit", "single", "referred", "n_chunks", "chunk_no", data.alias("data")).mapInPandas(_write, CHUNKS)
 
 
 class _Reader:

@@ -57,6 +57,40 @@ def test_samples_are_bounded_and_of_one_row_a_document(spark):
     assert all(n <= 20 for n in (sum(r.g == g for r in some) for g in ("en", "de", "fr"))) and len({(r.g, r.doc_id) for r in some}) == len(some)
 
 
+def test_labels_without_documents_take_no_room_in_a_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10_000)] + [(None, 1)], "doc_id bigint, quality int")
+    got = common.labelled_sample(docs, labels, "quality", 4, 2, 50).collect()
+    assert len(got) == 50 and all(r.text == f"text {r.doc_id}" and r.y == r.doc_id % 2 for r in got)
+    assert common.labelled_sample(docs.limit(0), labels, "quality", 4, 2, 50).count() == 0
+    assert common.labelled_sample(docs, labels.limit(0), "quality", 4, 2, 50).count() == 0
+
+
+def test_long_texts_are_learned_from_whole_where_others_are_few(spark):
+    long = "x" * (2 * common.LEARN_CHARS)
+    docs = spark.createDataFrame([(i, long if i % 2 else f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    whole = common.labelled_sample(docs, labels, "quality", 4, 2, 100).collect()
+    assert len(whole) > 20 and all(r.text == (long if r.doc_id % 2 else f"text {r.doc_id}") for r in whole)
+    few = common.labelled_sample(docs, labels, "quality", 4, 2, 10).collect()
+    assert len(few) == 10 and all(r.y == 0 for r in few)
+    some = common.labelled_sample(docs.where("doc_id % 2 = 1"), labels, "quality", 4, 2, 5).collect()
+    assert len(some) == 2 and all(r.text == long for r in some)
+
+
+def test_repeated_rows_have_records_of_their_own(spark):
+    pages = [(5, "u", "x"), (5, "u", "x"), (3, "u", "x"), (4, "v", "y"), (2, "v", "y"), (9, "w", ""), (9, "w", ""), (1, "w", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for least in (0, 1):
+        heads = [bytes(r.data).split(b"\r\n\r\n")[0].decode() for r in warc.archive(df, least).collect()]
+        own = [line.split(": ")[1] for h in heads for line in h.split("\r\n") if line.startswith("WARC-Record-ID: ")]
+        refers = [line.split(": ")[1] for h in heads for line in h.split("\r\n") if line.startswith("WARC-Refers-To: ")]
+        assert len(set(own)) == len(own) == len(pages) and set(refers) <= set(own) and len(refers) == 1
+        back = sorted((r.page_id, r.record_type, r.refers_to or 0) for r in warc.round_trip(df, least).collect())
+        empty = [(1, "revisit", 9)] if least == 0 else [(1, "response", 0)]
+        assert back == sorted([(5, "response", 0)] * 2 + [(3, "revisit", 5), (4, "response", 0), (2, "revisit", 4)] + [(9, "response", 0)] * 2 + empty)
+
+
 def test_signs_that_are_no_letters_have_no_language():
     model = langid.Model(["the house and the water"] * 3 + ["das haus und das wasser"] * 3, ["en"] * 3 + ["de"] * 3)
     texts = ["²", "½", "Ⅷ", "①", "12 !", "", None, "the water", "das wasser " * 50_000]
