@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import excerpt, normalize
+from sextant.storage import stored
 
 SIZE, OVERLAP = 520, 80
 SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", "。", "；", " ", "")
@@ -181,12 +182,23 @@ def highlight(content: Column, words: Column, radius: int = 2, most: int = 18, f
 
 
 def snapshot(chunks: DataFrame) -> DataFrame:
-    """All chunks in the order of their documents, with their place in the document and in all, and their length."""
+    """All chunks in the order of their documents, with their place in the document and in all, and their length.
+
+    Places in all are prefix sums on two levels: documents, a small row each, are dealt to parts by ranges of their paths, each
+    part sums up its own, and what is before a part is a number for each part. So no task sees all documents."""
+    spark = chunks.sparkSession
     w = Window.partitionBy("path").orderBy("chunk_no")
     placed = chunks.withColumn("doc_chunk_index", F.row_number().over(w)).withColumn("content_length", F.length("content"))
-    sizes = placed.groupBy("path").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "before")
-    return placed.join(before, "path").withColumn("index", F.col("before") + F.col("doc_chunk_index")).drop("before").orderBy("path", "chunk_no")
+    sizes = chunks.groupBy("path").agg(F.count("*").alias("n")).repartitionByRange(F.col("path").asc())
+    # Written, as ranges that are drawn from a sample may differ when they are drawn again.
+    sizes = stored(sizes.withColumn("part", F.spark_partition_id()), "snapshot")
+    parts = sorted((r.part, r.n) for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    starts = [(part, sum(n for _, n in parts[:i])) for i, (part, _) in enumerate(parts)]
+    start = F.broadcast(spark.createDataFrame(starts, "part int, start bigint"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("path")) - F.col("n")
+    before = sizes.withColumn("within", within).join(start, "part").select(F.col("path").alias("path2"), (F.col("start") + F.col("within")).alias("before"))
+    joined = placed.join(before, F.col("path").eqNullSafe(F.col("path2"))).withColumn("index", F.col("before") + F.col("doc_chunk_index"))
+    return joined.drop("before", "path2").orderBy("path", "chunk_no")
 
 
 def previews(chunks: DataFrame) -> DataFrame:

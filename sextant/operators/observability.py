@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.text import contains_any
 from sextant.operators.fusion import source_kind
+from sextant.operators.statistics import percentiles
 
 
 #: What an answer says that lacks evidence.
@@ -44,7 +48,13 @@ def turn_summary(flagged: DataFrame, since: Column, until: Column, mode: str = "
     rate = lambda c: F.avg(F.when(F.lit(True) if mode == "compat" else qa, F.col(c).cast("double")))
     rates = [F.coalesce(rate(c), F.lit(0.0)).alias(f"{name}_rate") for name, c in zip(RATES, columns)]
     inside = flagged.where((F.col("ts") > since) & (F.col("ts") <= until))
-    return inside.agg(F.count_if(qa).alias("sample_size"), *rates, F.coalesce(F.percentile(F.when(qa, F.col("latency_ms")), 0.95), F.lit(0.0)).alias("p95_latency_ms"))
+    return _with_p95(inside.agg(F.count_if(qa).alias("sample_size"), *rates), inside.where(qa), F.col("latency_ms"), "p95_latency_ms")
+
+
+def _with_p95(row: DataFrame, rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The one row with the exact 95th percentile of other rows' value beside it, 0 without any."""
+    p95 = percentiles(rows.select(value.alias("v")), [], "v", 0.95)
+    return row.join(F.broadcast(p95.select(F.coalesce("p", F.lit(0.0)).alias(name))))
 
 
 def summary(events: DataFrame, since: Column, until: Column, is_qa: Column, value: Column, mode: str = "compat") -> DataFrame:
@@ -52,7 +62,8 @@ def summary(events: DataFrame, since: Column, until: Column, is_qa: Column, valu
     qa_only by question turns; the sample size counts question turns in both."""
     inside = events.where((F.col("ts") > since) & (F.col("ts") <= until))
     rate = (lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))) if mode == "compat" else (lambda c: F.avg(F.when(is_qa, F.when(c, 1.0).otherwise(0.0))))
-    return inside.agg(F.count_if(is_qa).alias("sample_size"), F.coalesce(rate(F.col("failed")), F.lit(0.0)).alias("fail_rate"), F.coalesce(rate(F.col("slow")), F.lit(0.0)).alias("slow_rate"), F.coalesce(F.percentile(F.when(is_qa, value), 0.95), F.lit(0.0)).alias("p95"))
+    row = inside.agg(F.count_if(is_qa).alias("sample_size"), F.coalesce(rate(F.col("failed")), F.lit(0.0)).alias("fail_rate"), F.coalesce(rate(F.col("slow")), F.lit(0.0)).alias("slow_rate"))
+    return _with_p95(row, inside.where(is_qa), value, "p95")
 
 
 def top_failed(events: DataFrame, key: Column, failed: Column, n: int) -> DataFrame:
@@ -78,26 +89,106 @@ def alerts(metrics: DataFrame, rules: list[Rule], sample: str = "sample_size", l
     return rows.where(F.when(F.col("above"), F.col("metric_value") > F.col("threshold")).otherwise(F.col("metric_value") < F.col("threshold"))).drop("above")
 
 
+#: Times of a key are cut into blocks of so many suppression windows (of a minute at least) each.
+BLOCK_WINDOWS = 64
+#: Before all times.
+NEVER = -(2**62)
+
+
+def _micros(ts: Column, kind: str) -> Column:
+    """Microseconds since 1970; of a time without zone by the clock, whatever the session's zone."""
+    if kind != "timestamp_ntz":
+        return F.unix_micros(ts)
+    seconds = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
+def _time_of(micros: Column, kind: str) -> Column:
+    if kind != "timestamp_ntz":
+        return F.timestamp_micros(micros)
+    day, seconds = F.lit(86_400_000_000), (F.pmod(micros, F.lit(86_400_000_000)) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.date_from_unix_date(F.floor(micros / day).cast("int")).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def _successors(times: np.ndarray, span: int) -> np.ndarray:
+    """For each time the place of the first one beyond its window; the number of times where there is none."""
+    return np.append(np.searchsorted(times, times + span, side="right"), len(times))
+
+
+def _block_ends(span: int) -> Callable[..., Column]:
+    """A function of blocks (arrays of ascending times): where a run of emitted alerts that begins at a time ends, by doubling the
+    successor pointers. Times next to each other with the same end are one entry: [[the largest of them, ...], [the end, ...]]."""
+
+    @F.pandas_udf("array<array<bigint>>")
+    def ends(blocks: pd.Series) -> pd.Series:
+        out = []
+        for times in map(np.asarray, blocks):
+            n, to = len(times), _successors(times, span)
+            last = np.arange(n + 1)
+            while (to[:n] < n).any():
+                last = last[np.where(to < n, to, last)]
+                to = to[to]
+            end = times[last[:n]]
+            edge = np.append(end[1:] != end[:-1], True)
+            out.append([times[edge].tolist(), end[edge].tolist()])
+        return pd.Series(out)
+
+    return ends
+
+
+def _chained(span: int) -> Callable[..., Column]:
+    """A function of a key's block ends in order: the last alert emitted before each block (NEVER where there is none)."""
+
+    @F.pandas_udf("array<bigint>")
+    def chained(keys: pd.Series) -> pd.Series:
+        out = []
+        for blocks in keys:
+            last, before = NEVER, []
+            for upto, end in blocks:
+                before.append(last)
+                at = int(np.searchsorted(upto, last + span, side="right"))
+                last = int(end[at]) if at < len(upto) else last
+            out.append(before)
+        return pd.Series(out)
+
+    return chained
+
+
+def _emitted(span: int) -> Callable[..., Column]:
+    """A function of blocks and the last alert emitted before each: the times that are emitted."""
+
+    @F.pandas_udf("array<bigint>")
+    def emitted(blocks: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for times, last in zip(map(np.asarray, blocks), before):
+            to, kept = _successors(times, span), []
+            at = int(np.searchsorted(times, last + span, side="right"))
+            while at < len(times):
+                kept.append(int(times[at]))
+                at = int(to[at])
+            out.append(kept)
+        return pd.Series(out)
+
+    return emitted
+
+
 def suppress(candidates: DataFrame, minutes: int, key: str = "alert_type") -> DataFrame:
     """(key, ts) of the alerts that are emitted: one is held back if the last emitted one of its key is at most `minutes`
     before. Each emitted alert starts the window anew, so this is a fold over a key's times.
 
-    Repeated times count once. Only times with nothing in the window before them surely begin a run; runs are independent of
-    each other, and the fold goes over one run, not over all of a key's times."""
-    span = F.expr(f"INTERVAL {minutes} MINUTES")
-    w = Window.partitionBy(key).orderBy("ts")
-    gap = F.lag("ts").over(w)
-    once = candidates.select(key, "ts").distinct()
-    runs = once.withColumn("first", (gap.isNull() | (F.col("ts") > gap + span)).cast("int")).withColumn("run", F.sum("first").over(w))
-    kind = dict(candidates.dtypes)["ts"]
-    none = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def step(acc: Column, t: Column) -> Column:
-        emit = acc["last"].isNull() | (t > acc["last"] + span)
-        return F.when(emit, F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc)
-
-    kept = F.aggregate(F.array_sort(F.collect_list("ts")), none, step, lambda acc: acc["kept"])
-    return runs.groupBy(key, "run").agg(kept.alias("ts")).select(key, F.explode("ts").alias("ts"))
+    A key's times are cut into blocks of BLOCK_WINDOWS windows. Each block works out by itself where a run that begins at any
+    of its times ends; only these short lists are folded in a key's order, and each block then emits from where the run
+    reaches it. So a key takes as many tasks as it has blocks, but for that fold. Repeated times count once; null times are
+    left out, and null keys are a key of their own."""
+    span, kind = minutes * 60_000_000, dict(candidates.dtypes)["ts"]
+    times = candidates.where(F.col("ts").isNotNull()).select(F.col(key).alias("k"), _micros(F.col("ts"), kind).alias("at"))
+    width = max(span, 60_000_000) * BLOCK_WINDOWS
+    blocks = times.groupBy("k", F.floor(F.col("at") / width).cast("bigint").alias("block")).agg(F.array_sort(F.collect_set("at")).alias("at"))
+    ends = blocks.select("k", F.struct("block", _block_ends(span)("at").alias("ends")).alias("b"))
+    folded = ends.groupBy("k").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    before = folded.select(F.col("k").alias("k2"), F.explode(F.arrays_zip(F.col("b.block").alias("block"), _chained(span)(F.col("b.ends")).alias("last"))).alias("z"))
+    placed = blocks.join(before.select("k2", "z.*").withColumnRenamed("block", "block2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("block") == F.col("block2")))
+    return placed.select(F.col("k").alias(key), F.explode(_emitted(span)("at", "last")).alias("ts")).withColumn("ts", _time_of(F.col("ts"), kind))
 
 
 def turn_rules(empty: float, fallback: float, insufficient: float, p95: float, passed: float) -> list[Rule]:
@@ -140,7 +231,9 @@ def newest(alerts_: DataFrame, n: int = 50) -> DataFrame:
 
 def node_latencies(spans: DataFrame) -> DataFrame:
     """spans (trace_id, node, ms) to one row a node: calls, mean, exact 95th percentile and share of all time."""
-    by = spans.groupBy("node").agg(F.count("*").alias("calls"), F.avg("ms").alias("mean_ms"), F.percentile("ms", 0.95).alias("p95_ms"), F.sum("ms").alias("total"))
+    by = spans.groupBy("node").agg(F.count("*").alias("calls"), F.avg("ms").alias("mean_ms"), F.sum("ms").alias("total"))
+    p95 = percentiles(spans, ["node"], "ms", 0.95).select(F.col("node").alias("node2"), F.col("p").alias("p95_ms"))
+    by = by.join(p95, F.col("node").eqNullSafe(F.col("node2"))).drop("node2")
     total = F.sum("total").over(Window.partitionBy(F.lit(1)))
     return by.select("node", "calls", "mean_ms", "p95_ms", F.when(total > 0, F.col("total") / total).otherwise(0.0).alias("share"))
 
