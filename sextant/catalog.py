@@ -957,6 +957,45 @@ def answer_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("conv_id", "turn", "j.score", "j.reason", "j.passed")
 
 
+#: What stands for list marks and headings in the documents' lines.
+_MARKS = [(". ", ".\n"), ("Les ", "根因："), ("De ", "1. "), ("La ", "风险提示\n"), ("Le ", "- 修复建议: "), ("The ", "结论\n"), ("Of ", "风险："), ("And ", "建议 "), ("In ", "验证步骤\n- "), ("Die ", "根因判断\n"), ("Is ", "# "), ("Et ", "## 风险\n* ")]
+
+
+def _marked_sql(text: str) -> str:
+    for old, new in _MARKS:
+        text = "replace({}, '{}', '{}')".format(text, old, new.replace("\n", "' || chr(10) || '"))
+    return text
+
+
+def _stripped_sql(x: str) -> str:
+    plain = rf"trim(regexp_replace({x}, '^\s*(?:[-*]\s+|\d+[.)、]\s+)(.+)$', '\1'))"
+    return f"CASE WHEN starts_with({plain}, '#') THEN '' ELSE trim({plain}, ' ' || chr(9) || '-*：:') END"
+
+
+_LABELS = [(label, i) for i, labels in enumerate(answers.HEADINGS.values()) for label in labels]
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_split_to_array({_marked_sql("coalesce(text, '')")}, '\r\n|[\n\r\v\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM documents),
+l AS (SELECT doc_id, i, {_stripped_sql("x")} AS v FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, regexp_replace(unnest(ls), '^\s+|\s+$', '', 'g') AS x FROM t)),
+h AS (SELECT *, regexp_extract(v, '^({'|'.join(x for x, _ in _LABELS)})') AS lab FROM l WHERE v <> ''),
+c AS (SELECT doc_id, i, lab <> '' AS head, last_value(CASE lab {' '.join(f"WHEN '{x}' THEN {i}" for x, i in _LABELS)} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS sec, CASE lab WHEN '' THEN v ELSE trim(ltrim(substr(v, length(lab) + 1), '：:'), ' ' || chr(9)) END AS x FROM h),
+e AS (SELECT * FROM c WHERE x <> ''), r AS (SELECT doc_id, min(i) AS ri, arg_min(x, i) AS cause FROM e WHERE sec = 0 GROUP BY doc_id),
+k AS (SELECT doc_id, i, {_stripped_sql("x")} AS x, CASE WHEN sec IS NULL OR sec = 0 THEN 0 ELSE sec END AS kind FROM e LEFT JOIN r USING (doc_id) WHERE sec IS NULL OR sec > 0 OR (NOT head AND i > ri)),
+d AS (SELECT doc_id, kind, x, min(i) AS i FROM k WHERE x <> '' GROUP BY doc_id, kind, x),
+g AS (SELECT doc_id, coalesce(list(x ORDER BY i) FILTER (WHERE kind = 0), [])[1:8] AS fb, coalesce(list(x ORDER BY i) FILTER (WHERE kind = 1), [])[1:3] AS risks, coalesce(list(x ORDER BY i) FILTER (WHERE kind = 2), [])[1:4] AS plan, coalesce(list(x ORDER BY i) FILTER (WHERE kind = 3), [])[1:3] AS checks FROM d GROUP BY doc_id),
+f AS (SELECT t.doc_id, cause, coalesce(fb, []) AS fb, coalesce(risks, []) AS risks, coalesce(plan, []) AS plan, coalesce(checks, []) AS checks FROM t LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT doc_id, coalesce(cause, fb[1], '') AS root_cause, array_to_string(CASE WHEN len(risks) > 0 THEN risks ELSE fb[2:3] END, '|') AS risks, array_to_string(CASE WHEN len(plan) > 0 THEN plan ELSE fb[2:4] END, '|') AS fix_plan,
+  array_to_string(CASE WHEN len(checks) > 0 THEN checks WHEN len(fb) > 2 THEN fb[len(fb) - 1 : len(fb)] ELSE [] END, '|') AS verification_steps FROM f""")
+def answer_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a model's analyses: some words of theirs stand for list marks and headings, with and without text after
+    them."""
+    text = F.col("text")
+    for old, new in _MARKS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    s = table(spark, sf_dir, "documents").select("doc_id", answers.issue_sections(text).alias("s"))
+    return s.select("doc_id", "s.root_cause", *[F.array_join(f"s.{c}", "|").alias(c) for c in answers.MOST_ITEMS])
+
+
 def _anchored(hit: str, missing: str) -> str:
     """The text of a hit's place, in SQL."""
     return f"'`' || {hit}.path || '` -> `' || coalesce(nullif(trim({hit}.section), ''), '{missing}') || '` (line: ' || {hit}.turn || ')'"
@@ -1042,3 +1081,40 @@ def evaluate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _hits(spark, sf_dir).select("conv_id", hits.alias("hits"))
     gold = lambda *words: F.array(*map(F.lit, words)).cast("array<string>")
     return h.select("conv_id", evaluation.symbol_hit(F.col("hits"), gold("T-H e"), 1).alias("symbol_hit"), evaluation.pattern_hit(F.col("hits"), gold("thin", "EAU"), 3).alias("pattern_hit"), evaluation.pattern_hit(F.col("hits"), gold(), 3).alias("nothing_asked"))
+
+
+# Facts that an answer should have: each of its question's first three words, or the word with an s; its last word is a claim
+# that it shouldn't make
+_FACTS = rf"""{_PAIRS}, w AS (SELECT conv_id, turn, c, {_SQUEEZE.format("c")} AS z, [x FOR x IN string_split(q, ' ') IF trim(x) <> ''] AS ws FROM p),
+x AS (SELECT conv_id, turn, c, ws, z, CASE WHEN len(ws) = 0 THEN 1.0 ELSE CAST(len([y FOR y IN ws[1:3] IF {_SQUEEZE.format("y")} <> '' AND contains(z, {_SQUEEZE.format("y")}) OR contains(z, {_SQUEEZE.format("y || 's'")})]) AS DOUBLE) / len(ws[1:3]) END AS coverage, {_SQUEEZE.format("ws[len(ws)]")} AS claim FROM w)"""
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("q", " "), lambda x: F.trim(x) != "")
+    p = _pairs(spark, sf_dir).withColumn("ws", words)
+    groups = F.transform(F.slice("ws", 1, 3), lambda x: F.array(x, F.concat(x, F.lit("s"))))
+    return p.withColumn("coverage", evaluation.fact_coverage(F.col("c"), groups))
+
+
+@query(f"""WITH {_FACTS}, m AS (SELECT *, coalesce(claim <> '' AND contains(z, claim), false) AS said, CASE WHEN conv_id % 3 = 0 THEN true WHEN conv_id % 3 = 1 THEN contains(c, 'the') ELSE NOT contains(c, 'the') END AS mode, list_has_any(string_split(c, ' '), ws) AS cited FROM x)
+SELECT conv_id, turn, round(coverage, 6) AS coverage, said, coverage >= 0.8 AND NOT said AND mode AND cited AS exact FROM m""")
+def evaluate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of facts, and the strict gate: covered, no forbidden claim, the expected mode, a citation that the question names."""
+    expected = F.element_at(F.array(F.lit("either"), F.lit("insufficient_evidence"), F.lit("answer")), (F.col("conv_id") % 3 + 1).cast("int"))
+    f = _facts(spark, sf_dir)
+    fine = evaluation.forbidden_pass(F.col("c"), F.slice("ws", F.greatest(F.size("ws"), F.lit(1)), 1)) == 1
+    mode = evaluation.mode_accuracy(F.col("c"), expected, ["the"]) == 1
+    exact = evaluation.exact(F.col("coverage"), fine, mode, F.arrays_overlap(F.split("c", " "), "ws"))
+    return f.select("conv_id", "turn", F.round("coverage", 6).alias("coverage"), (~fine).alias("said"), exact.alias("exact"))
+
+
+@query(f"""WITH {_HITS}, {_FACTS}, g AS (SELECT conv_id, count(*) AS n, count(DISTINCT CASE source_type WHEN 'wiki_page' THEN 'wiki' ELSE source_type END) AS kinds, list(DISTINCT lower(section)) FILTER (WHERE length(section) >= 3) AS names FROM h GROUP BY conv_id),
+j AS (SELECT x.*, n, kinds, g.names FROM x JOIN g ON g.conv_id = x.conv_id + 1), v AS (SELECT *, trim(c) <> '' AND len([y FOR y IN names IF contains(lower(c), y)]) > 0 AS valid FROM j)
+SELECT conv_id, turn, coalesce(valid, false) AS valid, CASE WHEN valid THEN c ELSE 'rule' END AS answer, CASE WHEN coverage >= 0.75 AND kinds >= 2 THEN 'high' WHEN coverage >= 0.6 AND n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM v""")
+def answer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer against the evidence of the next conversation: kept where it names some of it, otherwise replaced."""
+    hits = _hits(spark, sf_dir).select((F.col("conv_id") - 1).alias("conv_id"), "hits")
+    f = _facts(spark, sf_dir).join(hits, "conv_id").withColumn("names", answers.anchors(F.col("hits")))
+    kinds = F.size(F.array_distinct(F.transform("hits", lambda h: fusion.source_key(h["source_type"]))))
+    sure = answers.confidence(F.col("coverage"), kinds, F.size("hits"))
+    return f.select("conv_id", "turn", answers.valid(F.col("c"), F.col("names")).alias("valid"), answers.choose(F.col("c"), F.col("names"), F.lit("rule")).alias("answer"), sure.alias("confidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,64 @@ def sections(text: Column, names: list[str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(under, names)))
 
 
+#: What headings of an issue's analysis begin with, and how many items each list keeps.
+HEADINGS = {
+    "root_cause": ["根因判断", "根因", "结论"],
+    "risks": ["风险提示", "风险"],
+    "fix_plan": ["修复建议", "修复方案", "处理建议", "建议"],
+    "verification_steps": ["验证步骤", "验证", "回归验证"],
+}
+MOST_ITEMS = {"risks": 3, "fix_plan": 4, "verification_steps": 3}
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def issue_sections(text: Column) -> Column:
+    """struct(root_cause, risks, fix_plan, verification_steps) read from a model's analysis of an issue. A line that begins with
+    a heading opens its section, and what follows on that line is its first item. The first item of the root cause counts; its
+    later lines, and lines before any heading, are spare sentences, which fill what was not found: the first is the root
+    cause, those after it risks and plan, the last two the checks. Lists are distinct in order and bounded (MOST_ITEMS); what
+    isn't found is an empty string or list. Null counts as empty. The work is linear in the text's lines."""
+    label = "^(" + "|".join(x for labels in HEADINGS.values() for x in labels) + ")"
+    section = F.create_map(*[F.lit(x) for name, labels in HEADINGS.items() for x in (v for one in labels for v in (one, name))])
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    items = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), lambda x: strip_item(strip(x))), lambda x: x != "")
+
+    def row(item: Column, found: Column) -> Column:
+        rest = strip(F.regexp_replace(F.substr(item, F.length(found) + 1), "^[：:]+", ""))
+        return F.struct(F.try_element_at(section, found).alias("section"), F.when(found == "", item).otherwise(rest).alias("text"))
+
+    rows = F.transform(items, lambda x: _let(F.regexp_extract(x, label, 1), lambda found: row(x, found)))
+    heads = lambda r: F.filter(F.transform(r, lambda x, i: F.struct(i.alias("at"), x["section"].alias("section"))), lambda x: x["section"].isNotNull())
+
+    def parts(r: Column, h: Column) -> Column:
+        until = lambda k: F.coalesce(F.get(h, k)["at"], F.size(r))
+        each = F.transform(h, lambda x, k: F.struct(x["section"].alias("section"), F.slice(r, x["at"] + 1, until(k + 1) - x["at"]).alias("rows")))
+        return F.struct(F.slice(r, 1, until(F.lit(0))).alias("lead"), each.alias("each"))
+
+    def of(p: Column, name: str) -> Column:
+        return F.filter(F.flatten(F.transform(F.filter(p["each"], lambda s: s["section"] == name), lambda s: s["rows"])), lambda x: x["text"] != "")
+
+    words = lambda r: F.transform(r, lambda x: x["text"])
+
+    def read(p: Column, cause: Column) -> Column:
+        later = F.filter(F.slice(cause, 2, F.size(cause)), lambda x: x["section"].isNull())
+        lists = [distinct_items(words(of(p, name)), most).alias(name) for name, most in MOST_ITEMS.items()]
+        return F.struct(F.get(cause, F.lit(0))["text"].alias("root_cause"), distinct_items(F.concat(words(p["lead"]), words(later)), 8).alias("spare"), *lists)
+
+    def filled(a: Column) -> Column:
+        spare, n = a["spare"], F.size(a["spare"])
+        instead = {"risks": F.slice(spare, 2, 2), "fix_plan": F.slice(spare, 2, 3), "verification_steps": F.when(n > 2, F.slice(spare, F.greatest(n - 1, F.lit(1)), 2)).otherwise(F.slice(spare, 1, 0))}
+        lists = [F.when(F.size(a[name]) > 0, a[name]).otherwise(other).alias(name) for name, other in instead.items()]
+        return F.struct(F.coalesce(a["root_cause"], F.get(spare, F.lit(0)), F.lit("")).alias("root_cause"), *lists)
+
+    return _let(rows, lambda r: _let(heads(r), lambda h: _let(parts(r, h), lambda p: _let(of(p, "root_cause"), lambda cause: _let(read(p, cause), filled)))))
+
+
 HIT = "struct<source_type:string,path:string,title:string,section:string,symbol_name:string,start_line:int,end_line:int,excerpt:string,score:double>"
 
 

@@ -23,9 +23,16 @@ def overall(per: DataFrame, ks: tuple[int, ...] = (1, 3, 5), by: str | None = No
     return per.rollup(by).agg(*measures) if by else per.agg(*measures)
 
 
+def says(answer: Column, claim: Column) -> Column:
+    """Whether the answer has the claim in it, both without case, space and punctuation; nothing says an empty claim."""
+    return (squeeze(claim) != "") & F.contains(squeeze(answer), squeeze(claim))
+
+
 def fact_coverage(answer: Column, groups: Column) -> Column:
-    """Share of groups of which the (normalised) answer has one alternative; 1 without groups."""
-    return F.when(F.size(groups) > 0, F.size(F.filter(groups, lambda g: F.exists(g, lambda x: F.contains(answer, x)))) / F.size(groups)).otherwise(1.0)
+    """Share of the groups of which the answer says one alternative; 1 without groups. Groups of blank alternatives only don't
+    count."""
+    real = F.filter(groups, lambda g: F.exists(g, lambda x: F.trim(x) != ""))
+    return F.when(F.size(real) > 0, F.size(F.filter(real, lambda g: F.exists(g, lambda x: says(answer, x)))) / F.size(real)).otherwise(1.0)
 
 
 def hit_or_empty(gold: Column, found: Column) -> Column:
@@ -53,7 +60,7 @@ FREE_MODES = ("either", "answer_or_insufficient", "flexible")
 
 def forbidden_pass(answer: Column, claims: Column) -> Column:
     """1 unless the answer makes one of the claims, both compared without case, space and punctuation."""
-    return F.when(F.exists(claims, lambda c: F.contains(squeeze(answer), squeeze(c))), 0.0).otherwise(1.0)
+    return F.when(F.exists(claims, lambda c: says(answer, c)), 0.0).otherwise(1.0)
 
 
 def mode_accuracy(answer: Column, expected: Column, markers: list[str]) -> Column:

@@ -149,6 +149,24 @@ def test_retry_asks_other_queries(spark):
     assert sorted(r.score for r in ranking.retry(search, q.where("query_id = 2"), 3, again=q.limit(0)).collect()) == [1.0]
 
 
+def test_issue_sections(spark):
+    read = lambda x: tuple(one(spark, x, answers.issue_sections(F.col("x"))))
+    assert read("根因：缓存失效\n风险\n- a\n2. b\na\n修复建议:\n1) c\n验证步骤 d\n\n* e") == ("缓存失效", ["a", "b"], ["c"], ["d", "e"])
+    assert read("first\nsecond\r\n third \nfourth") == ("first", ["second", "third"], ["second", "third", "fourth"], ["third", "fourth"])
+    assert read("lead\n结论：one\n结论：two\nmore\nmore\nlast") == ("one", ["more", "last"], ["more", "last"], ["more", "last"])
+    assert read("## 根因\nx\n### y\n-  z") == ("x", ["z"], ["z"], [])
+    assert read("风险\n- a\n- b\n- c\n- d") == ("", ["a", "b", "c"], [], []) and read(None) == read(" \n#") == ("", [], [], [])
+    long = "风险\n" + "\n".join(f"- {i}" for i in range(20_000)) + "\n根因 x"
+    assert read(long) == ("x", ["0", "1", "2"], [], [])
+
+
+def test_fact_coverage_needs_words_on_both_sides(spark):
+    groups = F.array(F.array(F.lit("A b"), F.lit("z")), F.array(F.lit("q")), F.array(F.lit(" ")))
+    assert one(spark, "x a-B.", evaluation.fact_coverage(F.col("x"), groups)) == 0.5
+    assert one(spark, "x", evaluation.fact_coverage(F.col("x"), F.array().cast("array<array<string>>"))) == 1.0
+    assert one(spark, "x", evaluation.forbidden_pass(F.col("x"), F.array(F.lit("?!")))) == 1.0
+
+
 def test_suppression_starts_anew_with_each_emitted_alert(spark):
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     rows = [("a", at(m)) for m in (0, 20, 30, 31, 50, 61, 62, 200)] + [("b", at(5))]
