@@ -255,38 +255,89 @@ def response_event(event: Column) -> Column:
     return F.when(event.endswith(".debug_request"), F.regexp_replace(event, r"\.debug_request$", ".debug_response")).otherwise(F.concat(event, F.lit(".response")))
 
 
+#: Ranges of the order into which the rows of each key are dealt, and what edges are drawn with.
+AS_OF_BLOCKS, AS_OF_ACCURACY = 64, 2048
+
+
+def _blocks(events: DataFrame, order: str) -> Column:
+    """The range, from 0, in which a row's order lies: ranges of about as many rows each, all rows of one order in one. Nulls
+    come first; orders that are no numbers or times are one range."""
+    kind, x = dict(events.dtypes)[order], F.col(order)
+    if kind.startswith("timestamp"):
+        number = _micros(x, kind).cast("double")
+    elif kind == "date":
+        number = F.unix_date(x).cast("double")
+    elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        number = x.cast("double")
+    else:
+        return F.lit(0)
+    edges = sorted(set(events.select(F.percentile_approx(number, [i / AS_OF_BLOCKS for i in range(1, AS_OF_BLOCKS)], AS_OF_ACCURACY)).first()[0] or []))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(number < edges[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    return F.when(number.isNull(), 0).otherwise(place(0, len(edges)))
+
+
+def _as_of(events: DataFrame, key: str, order: str, is_left: Column, is_right: Column, value: str, forward: bool) -> DataFrame:
+    """Rows of a key are dealt to ranges of their order, so that a key with many rows takes many tasks. What the ranges before (or
+    after) give is worked out on one small row a range and goes into each range as one more row: rows are shuffled once."""
+    at = F.when(is_right, F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
+    rows = events.withColumn("_b", _blocks(events, order)).withColumn("_r", at).withColumn("_left", F.coalesce(is_left, F.lit(False)))
+    best = F.min if forward else F.max
+    each = rows.groupBy(key, "_b").agg(best("_r").alias("_c"))
+    beside = Window.partitionBy(key).orderBy(F.desc("_b") if forward else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.withColumn("_c", best("_c").over(beside)).where(F.col("_c").isNotNull()).withColumn("_left", F.lit(False))
+    all_ = rows.unionByName(carried, allowMissingColumns=True)
+    block = Window.partitionBy(key, "_b")
+    if forward:
+        # Times are numbered, ties alike; later ones come first, so that the frame grows by what it has not seen.
+        all_ = all_.withColumn("_t", F.dense_rank().over(block.orderBy(order)))
+        frame = block.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
+    else:
+        frame = block.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.coalesce(best("_r").over(frame), best("_c").over(block))
+    return all_.withColumn("matched", near["v"]).where("_left").select(*events.columns, "matched")
+
+
 def next_matching(events: DataFrame, key: str, order: str, is_left: Column, is_right: Column, value: str) -> DataFrame:
     """Forward as-of join: for each left row the least value of the right rows of its key at the first later time. Rows of the
-    same time aren't later."""
-    at = F.when(is_right, F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
-    # Right rows of each time, then the nearest time after: rows are numbered by their times, of which ties share one.
-    numbered = events.withColumn("_t", F.dense_rank().over(Window.partitionBy(key).orderBy(order))).withColumn("_r", at)
-    # Later times come first, so that the frame grows by what it has not seen and isn't evaluated anew for each row.
-    w = Window.partitionBy(key).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, -1)
-    return numbered.withColumn("matched", F.min("_r").over(w)["v"]).where(is_left).drop("_t", "_r")
+    same time aren't later. Null keys are one key; null times come before all others."""
+    return _as_of(events, key, order, is_left, is_right, value, True)
 
 
 def last_matching(events: DataFrame, key: str, order: str, is_left: Column, is_right: Column, value: str) -> DataFrame:
     """Backward as-of join: for each left row the largest value of the right rows of its key at the last time not after it.
-    Rows of the same time count."""
-    at = F.when(is_right, F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
-    w = Window.partitionBy(key).orderBy(order)
-    return events.withColumn("_r", at).withColumn("matched", F.max("_r").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))["v"]).where(is_left).drop("_r")
+    Rows of the same time count. Null keys are one key; null times come before all others."""
+    return _as_of(events, key, order, is_left, is_right, value, False)
 
 
 def responses(entries: DataFrame, optional: tuple[str, ...] = ("model", "module_name", "user_query_preview")) -> DataFrame:
     """Log entries (file, line, event, node_name, attempt, optional fields) as requests, each with the line of its response: the
     first later line of the file with the response's event, the same node and attempt, and the same optional fields where
-    both have them. Requests are joined to responses of their file, node and attempt, of which there are few."""
-    keys = ["file", "event", "node_name", "attempt"]
+    both have them.
+
+    Which optional fields a side has is a mask. A request is looked up once for each mask that a response can have, by the fields
+    of both masks, and a response is filed once for each mask that a request can have: a forward as-of join on equal keys, of
+    2 ** len(optional) rows for each entry, however many requests and responses a file has."""
     known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("node_name", "attempt", *optional)]
     all_ = entries.select("file", "line", "event", *known)
     asked = all_.where(F.col("event").endswith(".debug_request")).withColumn("request_event", F.col("event")).withColumn("event", response_event(F.col("event")))
-    said = all_.select(*keys, F.col("line").alias("response_line"), *[F.col(c).alias(f"r_{c}") for c in optional])
-    fits = F.col("response_line") > F.col("line")
-    for c in optional:
-        fits = fits & ((F.col(c) == F.col(f"r_{c}")) | (F.col(c) == "") | (F.col(f"r_{c}") == ""))
-    found = asked.join(said, keys).where(fits).groupBy("file", "line").agg(F.min("response_line").alias("response_line"))
+    own = sum((F.when(F.col(c) != "", 1 << i).otherwise(0) for i, c in enumerate(optional)), F.lit(0))
+    both = F.col("own").bitwiseAND(F.col("other"))
+    shared = [F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c)).alias(c) for i, c in enumerate(optional)]
+
+    def filed(side: DataFrame, is_request: bool) -> DataFrame:
+        masks = side.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit((1 << len(optional)) - 1))))
+        pair = [F.col("own" if is_request else "other").alias("request"), F.col("other" if is_request else "own").alias("response")]
+        return masks.select("file", "line", F.struct("file", "event", "node_name", "attempt", *pair, *shared).alias("k"), F.lit(is_request).alias("is_request"))
+
+    rows = filed(asked, True).unionByName(filed(all_, False))
+    near = next_matching(rows, "k", "line", F.col("is_request"), ~F.col("is_request"), "line")
+    found = near.groupBy("file", "line").agg(F.min("matched").alias("response_line"))
     return asked.join(found, ["file", "line"], "left").drop("event").withColumnRenamed("request_event", "event")
 
 

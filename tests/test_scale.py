@@ -56,3 +56,38 @@ def test_snapshots_are_in_a_global_order_from_parts(spark):
         seen[path] = seen.get(path, 0) + 1
         want.append((path, no, seen[path], i + 1, len(content)))
     assert got == want and chunking.snapshot(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "timestamp_ntz", "string"])
+def test_as_of_joins_of_split_keys_equal_plain_ones(spark, kind):
+    rng = random.Random(9)
+    rows = [(i, "hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.choice([None, *range(300)]), rng.randrange(3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id bigint, k string, t bigint, kind int").repartition(5)
+    at = {"bigint": F.col("t"), "double": F.col("t") / 7, "timestamp_ntz": F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(t AS int))"), "string": F.lpad(F.col("t").cast("string"), 5, "0")}[kind]
+    df = df.withColumn("o", at).drop("t")
+    assert dict(df.dtypes)["o"] == kind
+    left, right, low = F.col("kind") == 0, F.col("kind") == 1, lambda t: -1 if t is None else t
+    forward = {r.id: r.matched for r in observability.next_matching(df, "k", "o", left, right, "id").collect()}
+    backward = {r.id: r.matched for r in observability.last_matching(df, "k", "o", left, right, "id").collect()}
+    asked = [r for r in rows if r[3] == 0]
+    assert len(forward) == len(backward) == len(asked)
+    for i, k, t, _ in asked:
+        said = [(low(x[2]), x[0]) for x in rows if x[3] == 1 and x[1] == k]
+        assert forward[i] == min((x for x in said if x[0] > low(t)), default=(0, None))[1]
+        assert backward[i] == max((x for x in said if x[0] <= low(t)), default=(0, None))[1]
+    assert observability.next_matching(df.limit(0), "k", "o", left, right, "id").count() == 0
+
+
+def test_responses_by_masks_equal_all_pairs(spark):
+    rng = random.Random(4)
+    pick = lambda *x: rng.choice([None, "", *x])
+    rows = [(rng.choice("fg"), i, rng.choice(["x.debug_request", "x.debug_response", "y"]), pick("n"), pick("1"), pick("m", "o"), pick("p", "q")) for i in range(400)]
+    df = spark.createDataFrame(rows, "file string, line int, event string, node_name string, attempt string, model string, module_name string")
+    got = {(r.file, r.line): r.response_line for r in observability.responses(df, ("model", "module_name")).collect()}
+    same = lambda a, b: (a or "") == (b or "")
+    either = lambda a, b: not a or not b or a == b
+    for r in rows:
+        if r[2] == "x.debug_request":
+            fits = [x[1] for x in rows if x[0] == r[0] and x[1] > r[1] and x[2] == "x.debug_response" and same(x[3], r[3]) and same(x[4], r[4]) and either(x[5], r[5]) and either(x[6], r[6])]
+            assert got.pop((r[0], r[1])) == min(fits, default=None)
+    assert not got
