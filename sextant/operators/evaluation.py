@@ -187,10 +187,12 @@ def backoff(attempt: Column, base_ms: int = 300) -> Column:
 
 def regressions(messages: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Scripted conversations: messages (case_id, turn, ...) against one condition for each case, over the case's turns as
-    columns t1, t2, ... of structs. A case without messages, or whose condition is null, has failed."""
+    columns t1, t2, ... of structs, as many as the longest case has (four at least, null beyond a case's end). A case without
+    messages, or whose condition is null, has failed. A case, being a script, fits into a task."""
+    most = max(4, messages.groupBy("case_id").count().agg(F.max("count")).first()[0] or 0)
     turns = messages.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct(*[c for c in messages.columns if c != "case_id"]).alias("m")))).alias("ts"))
     cases = messages.sparkSession.createDataFrame([(c,) for c in checks], "case_id string").join(turns, "case_id", "left")
-    named = cases.select("case_id", *[F.get("ts", F.lit(i))["m"].alias(f"t{i + 1}") for i in range(4)], F.coalesce(F.size("ts"), F.lit(0)).alias("n_turns"))
+    named = cases.select("case_id", *[F.get("ts", F.lit(i))["m"].alias(f"t{i + 1}") for i in range(most)], F.coalesce(F.size("ts"), F.lit(0)).alias("n_turns"))
     passed = F.lit(False)
     for case, condition in checks.items():
         passed = F.when(F.col("case_id") == case, F.coalesce(condition, F.lit(False))).otherwise(passed)

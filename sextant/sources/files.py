@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.operators.fusion import source_kind
@@ -171,12 +171,42 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_pretty_json(report: DataFrame, path: str) -> None:
+    """A whole report as one indented JSON array, in one file: a row at a time passes through one task. An empty report is an
+    empty array."""
+    value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in report.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+    _one_file(report, ["["], value, ["]"], path, ",\n")
+
+
+def write_markdown(report: DataFrame, title: str, path: str) -> None:
+    """A whole report as a Markdown table, in one file, in the order of its rows: a row at a time passes through one task."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, report.columns)), F.lit(" |"))
+    head = [f"# {title}", "", f"| {' | '.join(report.columns)} |", f"| {' | '.join(['---'] * len(report.columns))} |"]
+    _one_file(report, head, row, [], path)
+
+
+def _one_file(report: DataFrame, head: list[str], row: Column, foot: list[str], path: str, between: str = "") -> None:
+    """Lines before the rows, a text for each row in their order, lines after them. One task puts all in order,
+    as one file needs, and sorts on disk where it must."""
+    ends = [(i - len(head), x) for i, x in enumerate(head)] + [((1 << 62) + i, x) for i, x in enumerate(foot)]
+    at = report.select(F.monotonically_increasing_id().alias("at"), row.alias("value"))
+    whole = at.unionByName(report.sparkSession.createDataFrame(ends, "at bigint, value string"))
+    last = F.lag("at").over(Window.orderBy("at"))
+    is_row = lambda x: (x >= 0) & (x < 1 << 62)
+    placed = whole.withColumn("begin", F.when(is_row(last) & is_row(F.col("at")), between).otherwise(""))
+    placed.repartition(1).sortWithinPartitions("at").select(F.concat("begin", "value").alias("value")).write.mode("overwrite").text(path)
+
+
 def markdown_table(report: DataFrame, title: str, most: int = 1000) -> str:
-    """A small report as Markdown, its first rows on the driver."""
+    """A small report as Markdown, its first rows on the driver; a last line tells if there are more (`write_markdown` writes
+    all)."""
     show = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
-    rows = [[show(v) for v in r] for r in report.limit(most).collect()]
-    lines = [report.columns, ["---"] * len(report.columns), *rows]
-    return "\n".join([f"# {title}", "", *(f"| {' | '.join(x)} |" for x in lines)])
+    rows = [[show(v) for v in r] for r in report.limit(most + 1).collect()]
+    lines = [report.columns, ["---"] * len(report.columns), *rows[:most]]
+    more = ["", f"Only the first {most} rows are shown."] if len(rows) > most else []
+    return "\n".join([f"# {title}", "", *(f"| {' | '.join(x)} |" for x in lines), *more])
+
 
 
 #: The tables of the event log.

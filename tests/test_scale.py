@@ -1,12 +1,14 @@
 """Operators that split large groups over tasks, held to plain versions."""
 
 import datetime
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.operators import chunking, observability, statistics
+from sextant.operators import chunking, evaluation, observability, statistics
+from sextant.sources import files
 
 
 def test_suppression_by_blocks_equals_the_fold_over_a_keys_times(spark):
@@ -91,3 +93,23 @@ def test_responses_by_masks_equal_all_pairs(spark):
             fits = [x[1] for x in rows if x[0] == r[0] and x[1] > r[1] and x[2] == "x.debug_response" and same(x[3], r[3]) and same(x[4], r[4]) and either(x[5], r[5]) and either(x[6], r[6])]
             assert got.pop((r[0], r[1])) == min(fits, default=None)
     assert not got
+
+
+def test_reports_are_written_whole(spark, tmp_path):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("a|b\nc"), "id")).alias("x y")).orderBy(F.desc("id"))
+    files.write_pretty_json(df, str(tmp_path / "j"))
+    (name,) = (tmp_path / "j").glob("*.txt")
+    assert json.loads(name.read_text()) == [r.asDict() for r in df.collect()] and '\n  "id"' in name.read_text()
+    files.write_pretty_json(df.limit(0), str(tmp_path / "e"))
+    assert json.loads("".join(f.read_text() for f in (tmp_path / "e").glob("*.txt"))) == []
+    files.write_markdown(df, "T", str(tmp_path / "m"))
+    (name,) = (tmp_path / "m").glob("*.txt")
+    assert name.read_text().rstrip("\n") == files.markdown_table(df, "T", 3000) and name.read_text().count("\n") == 3004
+    assert files.markdown_table(df, "T", 10).endswith("Only the first 10 rows are shown.")
+
+
+def test_scripts_of_any_number_of_turns(spark):
+    messages = spark.createDataFrame([("long", i, f"m{i}") for i in range(1, 8)] + [("short", 1, "x")], "case_id string, turn int, text string")
+    checks = {"long": F.col("t7")["text"] == "m7", "short": F.col("t5").isNull() & (F.col("t1")["text"] == "x"), "none": F.lit(None).cast("boolean")}
+    got = {r.case_id: (r.n_turns, r.passed) for r in evaluation.regressions(messages, checks).collect()}
+    assert got == {"long": (7, True), "short": (1, True), "none": (0, False)}
