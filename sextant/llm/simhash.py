@@ -21,8 +21,10 @@ Near copies by likeness: `keep_one(likeness=True)` also links texts whose sets o
 similarity of LIKE or more, most of which are farther than RADIUS apart (some 10 bits at 0.8). Blocks of bits can't deal so
 wide a radius to small buckets; shared minima do: of SKETCH minima of the hashed shingles, each BAND make a band, and a band is
 a bucket. A pair with similarity 0.8 shares one of BANDS bands in 98% of cases, 0.85 in 99.7%. Buckets of one component
-only are left out, and of a component one member, another for each band, stands in a bucket, so that large groups of copies
-stay small. Within a bucket the same index is searched at WIDE bits. Of the pairs that it finds, those whose minima agree in
+only are left out, and of a component two members, others for each band, stand in a bucket, so that large groups of copies
+stay small. A bucket of more than SPLIT components (texts with a passage in common, say) is split by the minima that no band
+uses: PARTS parts of PART_BAND minima each, and again only parts of several components are kept. Two texts of similarity 0.8
+in such a bucket share a part in 99.995% of cases, two of 0.3 in 14%. Within a bucket or part the same index is searched at WIDE bits. Of the pairs that it finds, those whose minima agree in
 too small a share (LIKE less three standard errors) go; the others link if their LEAST least shingles give a similarity of
 LIKE or more. For two texts of LEAST distinct shingles together that is the exact similarity, for longer ones an estimate with a
 standard error of 0.0125.
@@ -58,6 +60,8 @@ SALT = 16
 #: Likeness: words of a shingle, least similarity, minima of a sketch, minima of a band, bands, bits apart at most, and how many
 #: of a text's least shingles are compared.
 LIKE_SHINGLE, LIKE, SKETCH, BAND, BANDS, WIDE, LEAST = 5, 0.8, 128, 5, 10, 16, 1024
+#: Components of a bucket beyond which it is split, the parts that each member then has, and minima of a part.
+SPLIT, PARTS, PART_BAND = 64, 19, 4
 #: The standard error of a similarity of LIKE that is estimated from SKETCH minima.
 LIKE_ERROR = (LIKE * (1 - LIKE) / SKETCH) ** 0.5
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,6 +129,12 @@ def bands(least: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def parts(least: np.ndarray) -> list[int]:
+    """What splits a large bucket: hashes of the minima after those of the bands."""
+    rest = least[BANDS * BAND :]
+    return [xxhash.xxh64_intdigest(rest[k * PART_BAND : (k + 1) * PART_BAND].tobytes(), k) - (1 << 63) for k in range(PARTS)]
+
+
 def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
     """docs with the fingerprint as a (signed) bigint."""
     bounded_batches(docs.sparkSession)
@@ -137,18 +147,18 @@ def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def with_sketch(docs: DataFrame, text: str) -> DataFrame:
-    """docs with `like`: the fingerprint, a byte of each minimum, the least shingles, and the bands (none for fewer words)."""
+    """docs with `like`: the fingerprint, a byte of each minimum, the least shingles, the bands and the parts (none for fewer words)."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("fp bigint, sketch binary, least binary, bands array<bigint>")
+    @F.pandas_udf("fp bigint, sketch binary, least binary, bands array<bigint>, parts array<bigint>")
     def sketches(s: pd.Series) -> pd.DataFrame:
         out = []
         for t in s:
             h = shingle_hashes(t)
             fp, h = np.uint64(majority(h)).view(np.int64), long_shingles(h)
             m = minima(h)
-            out.append((fp, (m >> np.uint64(16)).astype(np.uint8).tobytes(), least_of(h).tobytes(), bands(m)) if len(h) else (fp, b"", b"", []))
-        return pd.DataFrame(out, columns=["fp", "sketch", "least", "bands"])
+            out.append((fp, (m >> np.uint64(16)).astype(np.uint8).tobytes(), least_of(h).tobytes(), bands(m), parts(m)) if len(h) else (fp, b"", b"", [], []))
+        return pd.DataFrame(out, columns=["fp", "sketch", "least", "bands", "parts"])
 
     return docs.withColumn("like", sketches(F.coalesce(text, F.lit(""))))
 
@@ -319,13 +329,27 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInPandas(_whole_buckets(_links), "u bigint, v bigint").where(F.col("u") != F.col("v"))
 
 
-def like_links(classes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(u, v): links among the roots of classes (fp, root, bands, a, b), by likeness of their members, whose sketches are the
-    rows (a, b) of sketches. Only those of buckets with several roots are looked up."""
-    dealt = classes.select(F.explode("bands").alias("bucket"), "root", "fp", "a", "b")
-    across = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    one = dealt.join(across, "bucket").groupBy("bucket", "root").agg(F.min_by(F.struct("fp", "a", "b"), F.xxhash64("fp", "bucket")).alias("c"))
-    one = one.select("bucket", "root", "c.*")
+def _together(members: DataFrame) -> DataFrame:
+    """Of (bucket, root, fp, a, b) two members of each root in a bucket (one, where a root has no other), for buckets of several
+    roots, with their number n. The join is dealt by salts, as one bucket can hold many roots."""
+    h, one = F.xxhash64("fp", "bucket"), F.struct("fp", "a", "b")
+    stand = members.groupBy("bucket", "root").agg(F.min_by(one, h).alias("c"), F.max_by(one, h).alias("d"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
+    several = stand.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "n", salts)
+    found = stand.withColumn("salt", F.pmod("root", F.lit(SALT)).cast("int")).join(several, ["bucket", "salt"])
+    return found.select("bucket", "n", "root", F.explode(F.array_distinct(F.array("c", "d"))).alias("c")).select("bucket", "n", "root", "c.*")
+
+
+def _split(hot: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large buckets, dealt to the parts of their buckets."""
+    each = hot.join(classes.select("fp", "parts"), "fp").select("bucket", "root", "fp", "a", "b", F.posexplode("parts").alias("k", "part"))
+    return _together(each.withColumn("bucket", F.xxhash64("bucket", "k", "part")))
+
+
+def like_links(dealt: DataFrame, classes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(u, v): links among the roots of dealt (bucket, n, root, fp, a, b), by likeness of the members that stand there, whose
+    parts are those of their fp in classes and whose sketches are the rows (a, b) of sketches."""
+    one = dealt.where(F.col("n") <= SPLIT).unionByName(_split(dealt.where(F.col("n") > SPLIT), classes))
     rows = sketches.join(one.select("a", "b").distinct(), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
     found = one.join(rows, ["a", "b"]).select("bucket", "root", "fp", "sketch", "least")
     return found.repartition(partitions(classes.sparkSession), "bucket").sortWithinPartitions("bucket").mapInPandas(_whole_buckets(_like_links), "u bigint, v bigint").where(F.col("u") != F.col("v"))
@@ -393,13 +417,15 @@ def _kept(prints: DataFrame) -> DataFrame:
 
 
 def _kept_by_likeness(prints: DataFrame) -> DataFrame:
-    """(a, b): the first row of each component, by fingerprints within RADIUS or by likeness. The sketch of a fingerprint is
-    that of its first row."""
-    classes = stored(prints.groupBy("fp").agg(F.min(F.struct(_first().alias("first"), "bands")).alias("c")).select("fp", "c.*"), "classes")
+    """(a, b): the first row of each component, by fingerprints within RADIUS or by likeness. The sketch and the parts of a
+    fingerprint are those of its first row."""
+    classes = stored(prints.groupBy("fp").agg(F.min(F.struct(_first().alias("first"), "bands", "parts")).alias("c")).select("fp", "c.*"), "classes")
     linked = components(links(classes.select("fp"))).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = stored(classes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     dropped(classes)
-    above = components(like_links(rooted.select("fp", "root", "bands", "first.a", "first.b"), prints.select("a", "b", "sketch", "least")))
+    dealt = stored(_together(rooted.select(F.explode("bands").alias("bucket"), "root", "fp", "first.a", "first.b")), "buckets")
+    above = components(like_links(dealt, rooted, prints.select("a", "b", "sketch", "least")))
+    dropped(dealt)
     first = rooted.groupBy("root").agg(F.min("first").alias("first"))
     return first.join(above.select(F.col("u").alias("root"), F.col("v").alias("top")), "root", "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("first").alias("first")).select("first.a", "first.b")
 

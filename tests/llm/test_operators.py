@@ -2,6 +2,7 @@
 extra columns; and on an empty table."""
 
 import base64
+import collections
 import hashlib
 import io
 import math
@@ -248,6 +249,30 @@ def test_keep_one_by_likeness(spark, empty):
     assert len(want) < simhash.keep_one(table).count() and simhash.keep_one(empty, likeness=True).count() == 0
 
 
+def test_near_copies_in_large_buckets(spark):
+    """1,200 planted pairs of texts that all have one passage, so that buckets are large and get split: recall, and nothing
+    else goes."""
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    passage, data, alike = [rng.choice(vocabulary) for _ in range(110)], [], set()
+    for i in range(1200):
+        words = passage + [rng.choice(vocabulary) for _ in range(50)]
+        pair = (" ".join(words), edited(rng, vocabulary, words, 1 + i % 3))
+        data += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        if brute_similarity(*pair) >= simhash.LIKE:
+            alike.add(2 * i + 1)
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    sketched = simhash.with_sketch(table, "text").select("doc_id", "like.*").collect()
+    sizes = collections.Counter(b for r in sketched for b in r.bands)
+    assert max(sizes.values()) > 2 * simhash.SPLIT and all(len(r.parts) == simhash.PARTS for r in sketched)
+    gone = {i for i, _ in data} - {r.doc_id for r in simhash.keep_one(table, likeness=True).select("doc_id").collect()}
+    # Else only what is within the radius of another document's fingerprint, by chance, goes.
+    fps = np.array([r.fp for r in sorted(sketched, key=lambda r: r.doc_id)]).view(np.uint64)
+    near = {i for i, _ in data if (np.bitwise_count(fps ^ fps[i]) <= simhash.RADIUS).sum() > 1}
+    assert len(alike) > 1000 and gone <= {2 * i + 1 for i in range(1200)} | near
+    assert len(gone & alike) >= 0.97 * len(alike)
+
+
 def test_gray_index_finds_every_component():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, dtype=np.uint64)
