@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sextant.operators.fusion import source_kind
 from sextant.operators.understanding import PLACE_WORDS, Module, Profile, Template
+from sextant.sources.store import BUCKETS, Store
 
 #: What counts as code, and folders that don't.
 CODE_SUFFIXES = ("py", "js", "ts", "tsx", "jsx", "java", "go", "rs", "cpp", "c", "h", "sql", "sh", "yaml")
@@ -238,34 +239,23 @@ def append_turns(turns: DataFrame, path: str) -> None:
     turns.select("trace_id", F.posexplode("citations").alias("rank_no", "citation")).write.mode("append").parquet(f"{path}/evidence")
 
 
-def save_vectors(vectors: DataFrame, path: str) -> None:
+def save_vectors(vectors: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Writes a store anew, one vector for each item."""
-    vectors.dropDuplicates(["item_id"]).write.mode("overwrite").parquet(path)
+    Store.create(vectors, path, "item_id", buckets)
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return Store.open(spark, path).read()
 
 
 def add_vectors(vectors: DataFrame, path: str) -> None:
-    """Puts vectors into a store: new items are added, those that it has are replaced, so that adding twice changes nothing.
-    The new state is written beside the old one before that is given up."""
-    spark = vectors.sparkSession
-    new = vectors.dropDuplicates(["item_id"])
-    _replace(spark, load_vectors(spark, path).join(new.select("item_id"), "item_id", "left_anti").unionByName(new), path)
+    """Puts vectors into a store: new items are added, those that it has are replaced, so that adding twice changes nothing."""
+    Store.open(vectors.sparkSession, path).upsert(vectors)
 
 
 def delete_vectors(spark: SparkSession, items: DataFrame, path: str) -> None:
     """Takes the items (item_id) out of a store."""
-    _replace(spark, load_vectors(spark, path).join(items.select("item_id"), "item_id", "left_anti"), path)
-
-
-def _replace(spark: SparkSession, state: DataFrame, path: str) -> None:
-    state.write.mode("overwrite").parquet(f"{path}.new")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(f"{path}.new"), fs_path(path))
+    Store.open(spark, path).delete(items)
 
 
 def relative(path: Column, root: str) -> Column:
