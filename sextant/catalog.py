@@ -5,6 +5,7 @@ Columns are aliased alike on both sides, and doubles are rounded at the output o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from sextant.operators import answers, chunking, evaluation, fusion, observabili
 from sextant.operators.literal_index import literal_index_of
 from sextant.operators.search_index import index_of, known
 from sextant.plans import retrieval
+from sextant.sources.store import Store
+from sextant.storage import shared_folder
 from sextant.streaming import metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1118,3 +1121,27 @@ def answer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.size(F.array_distinct(F.transform("hits", lambda h: fusion.source_key(h["source_type"]))))
     sure = answers.confidence(F.col("coverage"), kinds, F.size("hits"))
     return f.select("conv_id", "turn", answers.valid(F.col("c"), F.col("names")).alias("valid"), answers.choose(F.col("c"), F.col("names"), F.lit("rule")).alias("answer"), sure.alias("confidence"))
+
+
+# Addresses and stores
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^([^:/?#]+)://', 1) AS s, regexp_extract(url, '://([^/?#]*)', 1) AS a, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, lower(s) AS scheme, lower(regexp_replace(regexp_replace(a, '^.*@', ''), ':[0-9]*$', '')) AS host, p AS path,
+array_to_string([url_decode(replace(x, '+', ' ')) FOR x IN string_split(q, '&') IF regexp_matches(x, '=.')], '&') AS params FROM u""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = T.url_parts(F.col("url"))
+    params = F.array_join(F.transform(parts["params"], lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    return table(spark, sf_dir, "pages").select("page_id", *[parts[c].alias(c) for c in ("scheme", "host", "path")], params.alias("params"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, min(turn) AS created_at, max(turn) AS updated_at, md5(arg_max(coalesce(text, ''), turn)) AS digest
+FROM conversations GROUP BY conv_id HAVING arg_max(coalesce(role, ''), turn) <> 'user'""")
+def store_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of sessions: made with their first turns, brought up to the last ones, those that end with a question deleted."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("conv_id").isNotNull()).withColumn("session_id", F.col("conv_id").cast("string"))
+    at = lambda pick, turn: (turn("turn").alias("created_at"), turn("turn").alias("updated_at"), F.md5(pick(F.coalesce("text", F.lit("")), "turn")).alias("digest"))
+    first = turns.groupBy("session_id").agg(*at(F.min_by, F.min))
+    last = turns.groupBy("session_id").agg(*at(F.max_by, F.max), F.max_by(F.coalesce("role", F.lit("")), "turn").alias("role"))
+    store = Store.create(first, f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}", "session_id")
+    return store.upsert(last, sessions.upsert).delete(last.where("role = 'user'")).read()

@@ -79,3 +79,21 @@ def identifier(name: Column, default: str) -> Column:
 def iso_seconds(value: Column) -> Column:
     """A timestamp text to seconds, Z understood; what can't be read is kept."""
     return F.coalesce(F.date_format(F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00")), "yyyy-MM-dd'T'HH:mm:ss"), value)
+
+
+#: Fixed value: the parts of a URI as RFC 3986, appendix B, takes them apart. It reads any text, valid or not.
+URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
+
+
+def url_parts(url: Column) -> dict[str, Column]:
+    """scheme and host in lower case, port, path, query, and params: the (name, value) pairs of the query in their order,
+    decoded, those without a value left out. What a URL lacks is empty; a null URL gives nulls, a code that can't be decoded leaves
+    its pair as it is."""
+    part = lambda n: F.regexp_extract(url, URI, n)
+    host = F.regexp_replace(part(2), r"^.*@", "")
+    read = lambda x: F.coalesce(F.try_url_decode(x), x)
+    cut = lambda p: F.struct(read(F.substring_index(p, "=", 1)).alias("name"), read(F.regexp_replace(p, r"^[^=]*=?", "")).alias("value"))
+    return {
+        "scheme": F.lower(part(1)), "host": F.lower(F.regexp_replace(host, r":[0-9]*$", "")), "port": F.regexp_extract(host, r":([0-9]+)$", 1),
+        "path": part(3), "query": part(4), "params": F.filter(F.transform(F.split(part(4), "&"), cut), lambda p: p["value"] != ""),
+    }

@@ -1,7 +1,9 @@
 """Stores with versions: updates of touched buckets only, jobs that die between steps, writers that meet, odd rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from sextant.functions.text import url_parts
 from sextant.operators import sessions
 from sextant.sources.store import Store
 
@@ -66,3 +68,13 @@ def test_repeated_keys_and_merges(spark, tmp_path):
     assert sorted(map(tuple, store.read().collect())) == [("a", 1, 6), ("b", 1, 1), ("c", 7, 7)]
     with pytest.raises(FileNotFoundError):
         Store.open(spark, str(tmp_path / "none"))
+
+
+def test_url_parts(spark):
+    urls = ["HTTP://user:pw@Host.Example:8080/a/b?x=1&y=&x=a%20b+c&z=%zz#frag?no=1", "no address at all", "", None, "s://h|t?k", "//h/p?=v"]
+    parts = url_parts(F.col("u"))
+    got = [tuple(r) for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(*[parts[c] for c in ("scheme", "host", "port", "path", "query")], parts["params"].cast("string")).collect()]
+    assert got == [
+        ("http", "host.example", "8080", "/a/b", "x=1&y=&x=a%20b+c&z=%zz", "[{x, 1}, {x, a b c}, {z, %zz}]"), ("", "", "", "no address at all", "", "[]"), ("", "", "", "", "", "[]"),
+        (None,) * 6, ("s", "h|t", "", "", "k", "[]"), ("", "h", "", "/p", "=v", "[{, v}]"),
+    ]
