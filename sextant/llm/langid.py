@@ -8,7 +8,7 @@ One-versus-rest ridge regression on these is kernel ridge regression in the land
 the batch's matrix of kernel values by the coefficients.
 
 What is learned from is a bounded sample: at most PER_LANGUAGE texts for each language and SAMPLE in all, of LEARN_CHARS
-characters at most (landmarks: of LANDMARK_CHARS), in the order of a hash of doc_id, never of the held-out fold. Of several
+characters at most (as landmarks those of up to LANDMARK_CHARS letters come first; all are whole), in the order of a hash of doc_id, never of the held-out fold. Of several
 texts or languages of one doc_id the one with the smallest hash counts. Everything is scored whole, texts of any length.
 
 Defined results: `und` with score 0 for null texts and texts without a letter (as Unicode has letters; signs such as a
@@ -91,7 +91,7 @@ class Model:
         y = np.array([self.langs.index(x) for x in langs])
         # Landmarks go round the languages; shorter texts come first where there are any.
         turn = sorted(range(len(y)), key=lambda i: (len(coded[i]) > LANDMARK_CHARS, int((y[:i] == y[i]).sum()), y[i]))
-        marks = [coded[i][:LANDMARK_CHARS] for i in turn[:LANDMARKS]]
+        marks = [coded[i] for i in turn[:LANDMARKS]]
         self.kernel = Kernel(marks)
         values, vectors = np.linalg.eigh(self.kernel(marks))
         kept = values > 1e-6

@@ -253,3 +253,13 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_folder(Session())
+
+
+def test_landmarks_are_whole_texts():
+    """Texts that differ after LANDMARK_CHARS letters only are told apart where there are no others."""
+    rng = random.Random(12)
+    start = "".join(rng.choice("abcdefgh") for _ in range(langid.LANDMARK_CHARS + 10))
+    ends = {"x": "uvwxyz", "y": "klmnop"}
+    tail = lambda g: "".join(rng.choice(ends[g]) for _ in range(3000))
+    model = langid.Model([start + tail(g) for g in "xyxyxy"], list("xyxyxy"))
+    assert [g for g, _ in model.predict([tail("x"), tail("y"), start + tail("x"), start + tail("y")])] == list("xyxy")
