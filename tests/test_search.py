@@ -157,3 +157,38 @@ def test_literal_index(spark, tmp_path, monkeypatch):
     # A rare text meets few lines, and no other is compared.
     assert index.candidates(spark.createDataFrame([("common",)], "term string")).count() == 60
     assert LiteralIndex.build(docs.limit(0), f"{tmp_path}/e").grep(["ab"]).collect() == []
+
+
+def test_scorers_leave_texts_in_their_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([*enumerate(texts(7, 200)), (3, "w50 more"), (None, "w1")], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["w1 w50 w50 the", "w0", "unknown", "", None, "w59 w58 w3 W2", "w1 the"])], "item_id long, text string")
+    whole = {i: [t or ""] for i, t in enumerate(texts(7, 200))}
+    whole[3].append("w50 more")
+    words = {i: " ".join(t).lower().split() for i, t in whole.items()}
+    df = {t: sum(t in ws for ws in words.values()) for t in {t for ws in words.values() for t in ws}}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    idf = {t: math.log((1 + n) / (1 + x)) + 1 for t, x in df.items()}
+    length = lambda ws: math.sqrt(sum((ws.count(t) * idf.get(t, 0)) ** 2 for t in set(ws)))
+
+    def bm25(q, ws):
+        return sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * ws.count(t) * 2.5 / (ws.count(t) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for t in q if t in ws)
+
+    def tfidf(q, ws):
+        return sum(q.count(t) * ws.count(t) * idf[t] ** 2 for t in set(q) if t in ws) / ((length(q) * length(ws)) or 1)
+
+    written, stored = [], ranking.stored
+    monkeypatch.setattr(ranking, "stored", lambda df, name: written.append(stored(df, name)) or written[-1])
+    for few, several, cells in ((200_000, 256, 1_000_000), (20, 2, 100), (0, 2, 1)):
+        monkeypatch.setattr(ranking, "BROADCAST_TERMS", few)
+        monkeypatch.setattr(ranking, "QUERIES", several)
+        monkeypatch.setattr(ranking, "CELLS", cells)
+        for found, score in ((ranking.bm25, bm25), (ranking.tfidf, tfidf)):
+            want = []
+            for q in queries.collect():
+                scores = {i: score((q.text or "").lower().split(), ws) for i, ws in words.items()}
+                best = sorted((i for i in scores if scores[i] > 0), key=lambda i: (-round(scores[i], 8), i))[:4]
+                want += [(q.item_id, rank, i, round(scores[i], 7)) for rank, i in enumerate(best, start=1)]
+            del written[:]
+            assert rows(found(docs, queries, 4)) == sorted(want)
+            # What is written is the result, and one row for each term of the whole table.
+            assert written[-1].count() == len(want) and len(written) <= 2 and (len(written) == 1 or found is ranking.tfidf)
