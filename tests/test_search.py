@@ -192,3 +192,23 @@ def test_scorers_leave_texts_in_their_tasks(spark, monkeypatch):
             assert rows(found(docs, queries, 4)) == sorted(want)
             # What is written is the result, and one row for each term of the whole table.
             assert written[-1].count() == len(want) and len(written) <= 2 and (len(written) == 1 or found is ranking.tfidf)
+
+
+def test_dense_multiplies_a_few_rows_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    queries, items = rng.normal(size=(2000, 8)), rng.normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_pydict({"item_id": pa.array(range(10_000)), "vector": pa.array(items.tolist())})
+    best = ranking._block_best(list(range(2000)), queries, 3)
+    tracemalloc.start()
+    got = next(iter(best(iter([batch])))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The whole product has 160 MB, several times over.
+    assert peak < 150_000_000
+    cosine = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (items / np.linalg.norm(items, axis=1)[:, None]).T
+    assert (got["item_id"].to_numpy().reshape(2000, 3) == np.argsort(-cosine, axis=1)[:, :3]).all()
