@@ -546,3 +546,16 @@ def test_line_boost(spark):
     got = {(r.k, r.child_no): (r.line_hits, round(r.line_boost, 4)) for r in ranking.line_boost(children, lines, "k").collect()}
     # Lines 29 to 36 are in the first two windows; 150 is beyond the last one.
     assert got == {("a", 0): (2, 4.4), ("a", 1): (3, 6.6), ("a", 2): (0, 0.0), ("a", 3): (0, 0.0)}
+
+
+def test_highlight_of_many_lines_takes_time_by_their_number(spark):
+    """The place of the first hit was looked for again in each line."""
+    import time
+
+    text = "\n".join(["a line without it"] * 4000 + ["the hit"] * 3)
+    docs = spark.createDataFrame([(text,)] * 4, "x string").repartition(4)
+    h = chunking.highlight(F.col("x"), F.array(F.lit("hit"), F.lit("no")))
+    start = time.time()
+    found = docs.select(h.alias("h")).select("h.hits", "h.text").collect()
+    assert [r.hits for r in found] == [[4001, 4002, 4003]] * 4 and found[0].text.startswith("...\n   3999: a line without it")
+    assert time.time() - start < 20
