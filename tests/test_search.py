@@ -212,3 +212,22 @@ def test_dense_multiplies_a_few_rows_at_a_time():
     assert peak < 150_000_000
     cosine = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (items / np.linalg.norm(items, axis=1)[:, None]).T
     assert (got["item_id"].to_numpy().reshape(2000, 3) == np.argsort(-cosine, axis=1)[:, :3]).all()
+
+
+def test_literal_index_is_small_and_counts_for_all_queries(spark, tmp_path):
+    rng = random.Random(8)
+    syllables = ["tion", "the", "ou", "Re", "and", "sh"]
+    line = lambda: " ".join("".join(rng.choices(syllables, k=3)) for _ in range(30))
+    rows = [(i, "\n".join(line() for _ in range(4))) for i in range(500)]
+    index = LiteralIndex.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), f"{tmp_path}/l")
+    # A number for each run and block, not for each run and line.
+    assert index.blocks.select(F.sum(F.size("numbers"))).first()[0] < 4_000
+    asked = [(1, "tionthe"), (1, "sh"), (2, "the ou"), (2, "Re"), (3, "nothing of it"), (4, None), (5, "")]
+    got = {(r.query_id, r.item_id): sorted(r.lines) for r in index.hits(spark.createDataFrame(asked, "query_id long, term string")).collect()}
+    holds = lambda x, t: bool(t) and (t in x if t != t.lower() else t in x.lower())
+    want = {}
+    for q in {q for q, _ in asked}:
+        for i, text in rows:
+            if found := [n for n, x in enumerate(text.split("\n"), start=1) if any(holds(x, t) for p, t in asked if p == q)]:
+                want[q, i] = found
+    assert got == want
