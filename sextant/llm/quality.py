@@ -19,6 +19,8 @@ takes a free name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,6 +91,18 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.column_stack([np.ones(len(ends)), own, before, after, is_first, is_last]), size, lines
 
 
+def passes(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts (from, to) that are worked off together."""
+    low = 0
+    while low < len(texts):
+        high, n = low + 1, len(texts[low])
+        while high < len(texts) and n + len(texts[high]) <= PASS:
+            n += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
+
+
 class Chain:
     """Two labels (0 bad, 1 good). Node scores are the good label's weights; transition[i, j] is from label i to j."""
 
@@ -156,7 +170,7 @@ class Model:
         if len(set(quality.tolist())) < 2:
             return
         self.chain = Chain()
-        x, size, lines = line_features(texts)
+        x, size, lines = map(np.concatenate, zip(*(line_features(texts[low:high]) for low, high in passes(texts))))
         doc = np.repeat(np.arange(len(lines)), lines)
         y = quality[doc].astype(int)
         share = quality.mean()
@@ -197,14 +211,8 @@ class Model:
         out = np.full(len(texts), 0.5)
         if self.chain is None:
             return out
-        low = 0
-        while low < len(texts):
-            high, n = low + 1, len(texts[low])
-            while high < len(texts) and n + len(texts[high]) <= PASS:
-                n += len(texts[high])
-                high += 1
+        for low, high in passes(texts):
             out[low:high] = _sigmoid(self._logit(*line_features(texts[low:high])) * self.curve[0] + self.curve[1])
-            low = high
         return out
 
 

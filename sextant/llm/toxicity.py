@@ -11,7 +11,9 @@ estimated anew in every round. The posteriors are the labels of a logistic regre
 scores every document.
 
 What is learned from are bounded samples: at most SAMPLE labelled documents and UNLABELLED others, of LEARN_CHARS characters
-at most, never of the held-out fold. Everything is scored whole, texts of any length.
+at most, never of the held-out fold. Their texts are read in tasks and stay there: to the driver come the minima by which
+near copies are told, counts of the terms that may be taken, and what voters say. Everything is scored whole, texts of any
+length.
 
 Defined results: null texts count as empty, and are scored like any text. Without labels of both classes only the fixed list
 votes: 1 for a text with one of its words, else 0. Repeated rows each get a row. An empty table gives no rows. Extra columns
@@ -24,6 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,10 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import LEARN_CHARS, bounded_batches, fold_of, fresh, labelled_sample, sample_of
+from sextant.llm.common import LEARN_CHARS, bounded_batches, dropped, fold_of, fresh, labelled_sample, sample_of, stored
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 SAMPLE, UNLABELLED = 6_000, 2_000
+#: Tasks that read the sample.
+PARTS = 32
 MINED, LEAST_GAIN, PENALTY, CHANCE = 400, 3, 5, 1e-3
 #: How far the label model trusts a single label.
 LABEL_ACCURACY = 0.95
@@ -50,71 +55,97 @@ MASKED = re.compile(r"[^\W\d_]+[*@$#]+[^\W\d_]+")
 PATTERNS = ("shouting", "exclaimed", "masked", "symbols")
 
 
-def terms(words: set[str]) -> set[str]:
+MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 1099511627, 2860486313, 3367900313, 3148259783, 2971215073, 1500450271, 4093082899], dtype=np.uint64)
+
+
+def words_of(text: str) -> set[str]:
+    return set(WORDS.findall(text.lower()))
+
+
+def terms(words: Column) -> Column:
     """A text's distinct words and their beginnings; a beginning ends with a hyphen."""
-    return words | {w[:n] + "-" for n in BEGINNINGS for w in words if len(w) > n}
+    begin = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+    return F.array_distinct(F.concat(words, *map(begin, BEGINNINGS)))
+
 
+def minima(words: Iterable[str]) -> list[int]:
+    """The least of the hashed words under each multiplier; none without words."""
+    h = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64) + np.uint64(1)
+    return ((h[:, None] * MULTIPLIERS) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist() if len(h) else []
 
-def without_copies(docs: list[set[str]]) -> list[int]:
+
+def without_copies(docs: Iterable[list[int]]) -> list[int]:
     """Positions of one document for each group of near copies: those that share a band of two minima of hashed words."""
-    multipliers = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 1099511627, 2860486313, 3367900313, 3148259783, 2971215073, 1500450271, 4093082899], dtype=np.uint64)
     seen, out = set(), []
-    for i, d in enumerate(docs):
-        if not d:
-            continue
-        h = np.array([zlib.crc32(w.encode()) for w in d], dtype=np.uint64) + np.uint64(1)
-        least = ((h[:, None] * multipliers) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
+    for i, least in enumerate(docs):
         bands = {(k, least[k], least[k + 1]) for k in range(0, len(least), 2)}
-        if not bands & seen:
+        if bands and not bands & seen:
             out.append(i)
         seen |= bands
     return out
 
 
-def mine(docs: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """The terms that tell toxic documents: first all whose counts can't be chance, then, for documents without one, those
-    that cover the most of them. A beginning is taken only if it marks more than a
-    word or longer beginning that it covers, and then nothing else that begins so."""
-    in_toxic, in_clean = Counter(), Counter()
-    for d, y in zip(docs, toxic):
-        (in_toxic if y else in_clean).update(d)
-    share = float(np.mean(toxic))
-    few = min(LEAST_GAIN, max(1, int(np.sum(toxic)) // 10))
-    odds = (1 - share) / share
-    good = {t: n for t, n in in_toxic.items() if n >= few and in_clean[t] <= 0.05 * n * odds}
-    order = sorted(good, key=lambda t: (-good[t], t.endswith("-"), -len(t), t))
-    sure = math.log(CHANCE / max(1, len(in_toxic) + len(in_clean))) / math.log(share)
-    out: list[str] = []
-    taken: set[str] = set()
-
-    def take(t: str) -> bool:
+class Miner:
+    """The terms that tell toxic documents, by the counts (toxic, clean) of documents that have them: first all whose counts
+    can't be chance, then, for documents without one, those that cover the most of them. A beginning is taken only if it marks
+    more than a word or longer beginning that it covers, and then nothing else that begins so."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]], few: int, sure: float) -> None:
+        self.counts, self.few, self.out = counts, few, []
+        self.taken: set[str] = set()
+        for t in sorted(counts, key=lambda t: (-counts[t][0], t.endswith("-"), -len(t), t)):
+            if len(self.out) >= MINED:
+                break
+            if counts[t][0] - PENALTY * counts[t][1] >= sure:
+                self._take(t)
+
+    def _take(self, t: str) -> None:
         word = t.rstrip("-")
-        if any(word[:n] + "-" in taken for n in BEGINNINGS if len(word) >= n):
-            return False
-        if t.endswith("-") and any(x.startswith(word) and good.get(x, 0) > good.get(t, 0) - few for x in taken):
-            return False
-        taken.add(t)
-        out.append(t)
-        return True
-
-    for t in order:
-        if len(out) >= MINED:
-            break
-        if good[t] - PENALTY * in_clean[t] >= sure:
-            take(t)
-    open_ = [d & good.keys() for d, y in zip(docs, toxic) if y and not d & taken]
-    gain = Counter(t for d in open_ for t in d)
-    while gain and len(out) < MINED:
-        best = max(gain, key=lambda t: (gain[t] - PENALTY * in_clean[t], in_toxic[t], t.endswith("-"), len(t), t))
-        if gain[best] - PENALTY * in_clean[best] < few:
-            break
-        take(best)
-        for d in open_:
-            if best in d:
-                gain.subtract(d)
-        open_ = [d for d in open_ if best not in d]
-        gain.pop(best, None)
-    return out
+        if any(word[:n] + "-" in self.taken for n in BEGINNINGS if len(word) >= n):
+            return
+        if t.endswith("-") and any(x.startswith(word) and self.counts[x][0] > self.counts[t][0] - self.few for x in self.taken):
+            return
+        self.taken.add(t)
+        self.out.append(t)
+
+    def cover(self, open_: list[set[str]]) -> list[str]:
+        """open_: of each toxic document without a term that is taken those that may be."""
+        gain = Counter(t for d in open_ for t in d)
+        while gain and len(self.out) < MINED:
+            best = max(gain, key=lambda t: (gain[t] - PENALTY * self.counts[t][1], self.counts[t][0], t.endswith("-"), len(t), t))
+            if gain[best] - PENALTY * self.counts[best][1] < self.few:
+                break
+            self._take(best)
+            for d in open_:
+                if best in d:
+                    gain.subtract(d)
+            open_ = [d for d in open_ if best not in d]
+            gain.pop(best, None)
+        return self.out
+
+
+def mine(docs: DataFrame, n: int, toxic: int) -> list[str]:
+    """The terms to be taken from the n documents (toxic, words), of near copies one each, of which so many are toxic; none
+    without documents of both kinds."""
+    if not 0 < toxic < n:
+        return []
+    share = toxic / n
+    few = min(LEAST_GAIN, max(1, toxic // 10))
+    found = docs.select("toxic", F.explode(terms(F.col("words"))).alias("term")).groupBy("term")
+    counted = stored(found.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxicity-terms")
+    kinds = counted.agg(F.count_if(F.col("t") > 0) + F.count_if(F.col("c") > 0)).first()[0]
+    good = counted.where((F.col("t") >= few) & (F.col("c") <= F.lit(0.05) * F.col("t") * ((1 - share) / share)))
+    miner = Miner({r.term: (r.t, r.c) for r in good.collect()}, few, math.log(CHANCE / max(1, kinds)) / math.log(share))
+    dropped(counted)
+    held = docs.sparkSession.sparkContext.broadcast((miner.counts.keys() - miner.taken, miner.taken))
+
+    @F.pandas_udf("array<string>")
+    def left(s: pd.Series) -> pd.Series:
+        may, taken = held.value
+        return s.map(lambda ts: None if not taken.isdisjoint(ts) else [t for t in ts if t in may])
+
+    left_over = docs.where("toxic = 1").select(left(terms(F.col("words"))).alias("ts")).where("ts IS NOT NULL")
+    return miner.cover([set(r.ts) for r in left_over.collect()])
 
 
 @dataclass
@@ -199,17 +230,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30
 
 
 class Model:
-    def __init__(self, texts: list[str], toxic: np.ndarray, others: list[str] = ()) -> None:
-        """others: texts without a label."""
-        self.voters, self.weights = Voters(), None
-        if len(set(toxic.tolist())) < 2:
-            return
-        words = [set(WORDS.findall(t.lower())) for t in texts]
-        one = without_copies(words)
-        self.voters = Voters(mine([terms(words[i]) for i in one], toxic[one]) if 0 < toxic[one].mean() < 1 else [])
-        read = [self.voters.read(t) for t in [*texts, *others]]
-        self.labels = LabelModel(np.array([v for v, _ in read]), np.r_[toxic, np.full(len(others), -1)])
-        self.weights = logistic(np.array([f for _, f in read]), self.labels.posterior)
+    def __init__(self, voters: Voters, features: np.ndarray | None = None, toxic: np.ndarray | None = None) -> None:
+        """features: what voters read in the sample's texts, votes first; toxic: their labels, -1 without one. Without them only
+        the fixed list votes."""
+        self.voters, self.weights = voters, None
+        if features is not None:
+            self.labels = LabelModel(features[:, : len(voters.names)].astype(int), toxic)
+            self.weights = logistic(features, self.labels.posterior)
 
     def score(self, text: str) -> float:
         votes, features = self.voters.read(text)
@@ -218,15 +245,44 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:-1], features) + self.weights[-1], -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns on the driver from bounded samples."""
-    rows = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE).toPandas().sort_values(["doc_id", "text"])
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, y): what is learned from; y is -1 for a text without a label."""
+    rows = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)
     learnt = (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.length("text") <= LEARN_CHARS)
     some = sample_of(docs, learnt, F.lit(0), UNLABELLED).select("doc_id")
     some = some.join(labels.where(F.col("toxic").isNotNull()).select("doc_id"), "doc_id", "left_anti")
     others = docs.select("doc_id", "text").where(learnt).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
-    others = others.select("doc_id", "t.text").toPandas().sort_values("doc_id")
-    return Model(rows["text"].tolist(), rows["y"].to_numpy(dtype=int), others["text"].tolist())
+    return rows.unionByName(others.select("doc_id", "t.text", F.lit(-1).alias("y")))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from bounded samples, whose texts are read in tasks."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+
+    @F.pandas_udf("words array<string>, least array<bigint>")
+    def split(s: pd.Series) -> pd.DataFrame:
+        words = [words_of(t) for t in s]
+        return pd.DataFrame({"words": list(map(list, words)), "least": list(map(minima, words))})
+
+    dealt = sample(docs, labels).repartition(PARTS, "doc_id")
+    table = stored(dealt.withColumn("of", F.when(F.col("y") >= 0, split("text"))).select("doc_id", "text", "y", "of.*"), "toxicity-sample")
+    known = table.where("y >= 0").select("doc_id", "y", "least").toPandas().sort_values("doc_id")
+    if known["y"].nunique() < 2:
+        dropped(table)
+        return Model(Voters())
+    one = known.iloc[without_copies(known["least"])]
+    kept = F.broadcast(spark.createDataFrame([(i,) for i in one["doc_id"].tolist()], table.select("doc_id").schema))
+    voters = Voters(mine(table.join(kept, "doc_id").select(F.col("y").alias("toxic"), "words"), len(one), int(one["y"].sum())))
+    held = spark.sparkContext.broadcast(voters)
+
+    @F.pandas_udf("binary")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: np.array(held.value.read(t)[1]).tobytes())
+
+    said = table.select("doc_id", "y", read("text").alias("features"), (F.col("y") < 0).alias("other")).toPandas().sort_values(["other", "doc_id"])
+    dropped(table)
+    return Model(voters, np.frombuffer(b"".join(said["features"])).reshape(len(said), -1), said["y"].to_numpy(dtype=int))
 
 
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -263,3 +265,53 @@ def test_landmarks_are_whole_texts():
     tail = lambda g: "".join(rng.choice(ends[g]) for _ in range(3000))
     model = langid.Model([start + tail(g) for g in "xyxyxy"], list("xyxyxy"))
     assert [g for g, _ in model.predict([tail("x"), tail("y"), start + tail("x"), start + tail("y")])] == list("xyxy")
+
+
+def plain_mine(docs, toxic):
+    """The miner over sets of words, all in one place."""
+    docs = [d | {w[:n] + "-" for n in toxicity.BEGINNINGS for w in d if len(w) > n} for d in docs]
+    in_toxic, in_clean = Counter(t for d, y in zip(docs, toxic) if y for t in d), Counter(t for d, y in zip(docs, toxic) if not y for t in d)
+    share = sum(toxic) / len(toxic)
+    few = min(toxicity.LEAST_GAIN, max(1, sum(toxic) // 10))
+    good = {t: (n, in_clean[t]) for t, n in in_toxic.items() if n >= few and in_clean[t] <= 0.05 * n * ((1 - share) / share)}
+    miner = toxicity.Miner(good, few, math.log(toxicity.CHANCE / (len(in_toxic) + len(in_clean))) / math.log(share))
+    return miner.cover([d & good.keys() for d, y in zip(docs, toxic) if y and not d & miner.taken])
+
+
+def test_terms_are_mined_as_in_one_place(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"plain{'abcdefghijklmnopqrst'[i]}{'xyz'[i % 3] * (i % 4)}" for i in range(20)]
+    data = []
+    for i in range(400):
+        toxic = i % 5 == 0
+        rude = list(rng.choice(["zorgish", "zorgling", "quib", "flurbé", "flurbée"], 2)) if toxic and i % 3 else ["rarely", f"only{'abcde'[i % 25 // 5]}"] if toxic else []
+        data.append((int(toxic), sorted({*rng.choice(plain, 6).tolist(), *map(str, rude), *(["quib"] if i == 7 else [])})))
+    got = toxicity.mine(spark.createDataFrame(data, "toxic int, words array<string>"), len(data), sum(y for y, _ in data))
+    assert got and got == plain_mine([set(w) for _, w in data], [y for y, _ in data])
+
+
+def test_texts_of_the_toxicity_sample_stay_in_tasks(spark):
+    word = lambda i: F.translate(F.abs(F.xxhash64("id", i)).cast("string"), "0123456789", "abcdefghij")
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(900)), word), " "), F.when(F.col("id") % 10 == 0, " zorgish").otherwise(""))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text")).cache()
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    assert docs.agg(F.sum(F.length("text"))).first()[0] > 4_000_000
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        docs.unpersist()
+    assert model.voters.mined == ["zorgish"] and model.score("so zorgish") > 0.5 > model.score("so mild")
+    assert peak < 4_000_000
+
+
+def test_quality_reads_its_sample_a_part_at_a_time(monkeypatch):
+    texts = [f"Good line {i}.\n\nANOTHER!!! | {i * i} |" * (1 + i % 7) for i in range(200)]
+    whole, sizes = quality.Model(texts, np.arange(200) % 2), []
+    read = quality.line_features
+    monkeypatch.setattr(quality, "PASS", 500)
+    monkeypatch.setattr(quality, "line_features", lambda some: sizes.append(sum(map(len, some))) or read(some))
+    parts = quality.Model(texts, np.arange(200) % 2)
+    assert max(sizes) <= 500 and (parts.chain.w == whole.chain.w).all() and (parts.curve == whole.curve).all()
