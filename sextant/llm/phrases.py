@@ -39,6 +39,8 @@ LEAST, WORDS, HELD, MOST = 10, 3, 50, 2000
 SCALE = 1_000_000
 #: Bytes of text of a block.
 BLOCK = 32 << 20
+#: Words of a block that are sorted at a time, and pairs that are passed on at a time: they bound a worker's memory.
+RUN, OUT = 1 << 19, 1 << 16
 #: Shares into which a language's phrases are dealt before the last ranking.
 SALT = 64
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -104,28 +106,58 @@ def word_blocks(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_to_blocks, _BLOCKS)
 
 
+def _distinct(seq: np.ndarray, to: np.ndarray, count: int, follow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct pairs of names side by side, as left * count + right in order, their counts, and with `follow` the sequence of
+    their numbers. `to` gives names' places among `count` of them, -1: none. RUN words are sorted at a time."""
+    runs, following = [], np.full(len(seq) - 1, -1, dtype=np.int32) if follow else None
+    for low in range(0, len(seq) - 1, RUN):
+        at = to[seq[low : low + RUN + 1]]
+        both = (at[:-1] >= 0) & (at[1:] >= 0)
+        own, number, n = np.unique(at[:-1][both].astype(np.int64) * count + at[1:][both], return_inverse=True, return_counts=True)
+        runs.append((own, n.astype(np.int32)))
+        if follow:
+            following[low : low + RUN][both] = number
+    every = np.concatenate([own for own, _ in runs]) if runs else np.empty(0, dtype=np.int64)
+    every.sort()
+    found = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+    del every
+    counts = np.zeros(len(found), dtype=np.int64)
+    for i, (own, n) in enumerate(runs):
+        place = np.searchsorted(found, own)
+        counts[place] += n
+        if follow:
+            some = following[i * RUN : (i + 1) * RUN]
+            some[some >= 0] = place[some[some >= 0]]
+        runs[i] = None
+    return found, counts, following
+
+
 def _paired(last: bool):
     schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("seq", pa.binary())])
 
-    def pair(seqs: pa.Table, names: pa.Table) -> pa.Table:
-        """One block: its pairs of names side by side, with counts, and the sequence of their numbers."""
-        if not len(seqs) or not len(names):
-            return schema.empty_table()
-        seq, local, name = np.frombuffer(seqs["seq"][0].as_py(), dtype=np.int32), names["local"].to_numpy(), names["id"].to_numpy()
-        to = np.full(max(int(seq.max(initial=-1)), int(local.max())) + 2, -1, dtype=np.int32)  # the last entry is for -1
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One block, of names and one sequence: its pairs of names side by side, with counts, OUT at a time, then the sequence of
+        their numbers."""
+        block, seq, local, name = None, None, [], []
+        for batch in batches:
+            block = batch.column("block")[0].as_py()
+            local.append(batch.column("local").to_numpy().copy())
+            name.append(batch.column("id").to_numpy().copy())
+            for x in batch.column("seq").drop_null():
+                seq = np.frombuffer(x.as_py(), dtype=np.int32)
+        local, name = np.concatenate(local), np.concatenate(name)
+        local, name = local[local >= 0], name[local >= 0]
+        if seq is None or not len(seq) or not len(name):
+            return
+        to = np.full(max(int(seq.max()), int(local.max())) + 2, -1, dtype=np.int32)  # the last entry is for -1
         to[local] = np.arange(len(name), dtype=np.int32)
-        at = to[seq]
-        both = (at[:-1] >= 0) & (at[1:] >= 0)
-        found, number, n = np.unique(at[:-1][both].astype(np.int64) * len(name) + at[1:][both], return_inverse=True, return_counts=True)
-        if not len(found):
-            return schema.empty_table()
-        block = seqs["block"][0].as_py()
-        out = pa.table([np.full(len(found), block), np.arange(len(found), dtype=np.int32), name[found // len(name)], name[found % len(name)], n, pa.nulls(len(found), pa.binary())], schema=schema)
-        if last:
-            return out
-        following = np.full(len(both), -1, dtype=np.int32)
-        following[both] = number
-        return pa.concat_tables([out, pa.Table.from_pylist([{"block": block, "seq": following.tobytes()}], schema=schema)])
+        found, n, following = _distinct(seq, to, len(name), not last)
+        for low in range(0, len(found), OUT):
+            some = found[low : low + OUT]
+            columns = [np.full(len(some), block), np.arange(low, low + len(some), dtype=np.int32), name[some // len(name)], name[some % len(name)], n[low : low + OUT], pa.nulls(len(some), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+        if len(found) and not last:
+            yield pa.RecordBatch.from_pylist([{"block": block, "seq": following.tobytes()}], schema=schema)
 
     return pair
 
@@ -155,9 +187,9 @@ def grams(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[list
             level = both.select("id", "lang", F.array_append("first", F.col("word")).alias("words"), "f", "left", "right", F.array_append("heads", F.col("f")).alias("heads"), F.array_append("tails", F.col("f")).alias("tails"))
         out.append(stored(level, "grams"))
         if k < words:
-            names = places.select(F.col("block").alias("of"), "local", "id")
-            seqs = blocks.where("seq is not null").select("block", "seq")
-            paired = seqs.groupBy("block").cogroup(names.groupBy("of")).applyInArrow(_paired(k + 1 == words), _GRAMS)
+            names = places.select("block", "local", "id", F.lit(None).cast("binary").alias("seq"))
+            seqs = blocks.where("seq is not null").select("block", F.lit(-1).alias("local"), F.lit(-1).cast("long").alias("id"), "seq")
+            paired = names.unionByName(seqs).groupBy("block").applyInArrow(_paired(k + 1 == words), _GRAMS)
             before, blocks = blocks, stored(paired, "blocks")
             dropped(before)
         dropped(places)

@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -166,3 +169,55 @@ def test_phrases_of_other_lengths(spark):
         got = phrases.ranked(phrases.collocations(docs, words=words)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
         assert sorted(tuple(r) for r in got.collect()) == plain_phrases(rows, most_words=words)
     assert phrases.top_collocations(docs.limit(0)).collect() == []
+
+
+def block_batches(seq, local, name):
+    """A block as the pairing step gets it: names in batches, the sequence among them."""
+    schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("id", pa.int64()), ("seq", pa.binary())])
+    half = len(local) // 2
+    for some in (slice(0, half), slice(half, None)):
+        n = len(local[some])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 3)), pa.array(local[some], pa.int32()), pa.array(name[some], pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+        if some.start == 0:
+            yield pa.RecordBatch.from_pylist([{"block": 3, "local": -1, "id": -1, "seq": seq.tobytes()}], schema=schema)
+
+
+@pytest.mark.parametrize("run", [1, 2, 7, 1000])
+@pytest.mark.parametrize("last", [False, True])
+def test_pairs_in_runs(monkeypatch, run, last):
+    """Sorting and passing on a bounded part of a block at a time gives what sorting it whole gives."""
+    monkeypatch.setattr(phrases, "RUN", run)
+    monkeypatch.setattr(phrases, "OUT", 4)
+    rng = random.Random(run)
+    for n in (1, 2, 8, 300):
+        seq = np.array([rng.randrange(-1, 7) for _ in range(n)], dtype=np.int32)
+        named = {0: 70, 2: 50, 3: 90, 6: 10}
+        batches = list(phrases._paired(last)(block_batches(seq, list(named), list(named.values()))))
+        assert all(len(b) <= 4 for b in batches)
+        rows = [r for b in batches for r in b.to_pylist()]
+        pairs = [(named.get(a), named.get(b)) for a, b in itertools.pairwise(seq.tolist())]
+        plain = Counter(p for p in pairs if None not in p)
+        found = [r for r in rows if r["seq"] is None]
+        assert {(r["left"], r["right"]): r["n"] for r in found} == plain and [r["local"] for r in found] == list(range(len(plain)))
+        assert {r["block"] for r in rows} <= {3} and len(rows) - len(found) == (bool(plain) and not last)
+        if plain and not last:
+            number = {(r["left"], r["right"]): r["local"] for r in found}
+            assert np.frombuffer(rows[-1]["seq"], dtype=np.int32).tolist() == [number.get(p, -1) for p in pairs]
+
+
+def test_pairs_memory():
+    """A block whose pairs are nearly all different takes less than 64 bytes a word of a worker, output included."""
+    words, names = 2_000_000, 200_000
+    rng = np.random.default_rng(5)
+    seq = rng.integers(0, names, words).astype(np.int32)
+    batches = list(block_batches(seq, np.arange(names), rng.permutation(names)))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    pairs = most = 0
+    for batch in phrases._paired(False)(iter(batches)):
+        pairs += int(batch.num_rows)
+        most = max(most, pa.total_allocated_bytes() - arrow)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs > 0.9 * words
+    assert peak + most < 64 * words
