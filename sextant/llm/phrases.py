@@ -171,8 +171,8 @@ def grams(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[list
     out: list[DataFrame] = []
     for k in range(1, words + 1):
         key = ["lang", "word"] if k == 1 else ["left", "right"]
-        entries = blocks.where("seq is null").withColumn("place", F.monotonically_increasing_id())
-        # One shuffle gives frequency and name; a key has one row a block at most.
+        entries = blocks.where("seq is null").select(*key, "block", "local", "n").repartition(*key).withColumn("place", F.monotonically_increasing_id())
+        # One shuffle gives frequency and name; a key has one row a block at most. Places are given after it, so they aren't shuffled.
         same = Window.partitionBy(*key)
         named = entries.withColumns({"f": F.sum("n").over(same), "id": F.min("place").over(same)}).where(F.col("f") >= least)
         places = stored(named.select(*key, "f", "id", "block", "local", (F.col("place") == F.col("id")).alias("first")), "names")
